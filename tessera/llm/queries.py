@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, exact_dedup, ngram_join, warc
+from . import bpe, common, decontam, exact_dedup, ngram_join, quality, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,22 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _predicted(toxicity.score(docs, model), 0.5)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return _predicted(quality.score(docs, model), 0.3)
+
+
+def _predicted(scored: DataFrame, least: float) -> DataFrame:
+    return scored.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
 def _with_imports(f: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         common.ship(spark)
