@@ -244,27 +244,34 @@ def bpe_decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: s
     return src.mapInArrow(run, src.select(id_col, F.lit(None).cast("binary").alias("bytes")).schema)
 
 
-def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode each whole text, decode its ids, and return digests of both.
 
-    (id_col, n_tokens long, ids_sha256, decoded_sha256) per row: SHA-256 of the decimal ids joined by commas and of
-    the decoded bytes. The same rules as bpe_encode; neither ids nor bytes leave the task.
+    (id_col, n_tokens long, ids_sha256, decoded_sha256, and ids with with_ids) per row: SHA-256 of the decimal ids
+    joined by commas and of the decoded bytes. The same rules as bpe_encode; the decoded bytes don't leave the task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(path, pattern)
         for b in batches:
             for at, texts in texts_of(b.column(1)):
-                n, ids, back = [], [], []
+                n, ids, back, lists = [], [], [], []
                 for parts in enc.encode(texts):
                     n.append(sum(p[0] for p in parts))
-                    ids.append(hashlib.sha256(b",".join([p[1] for p in parts])).hexdigest())
+                    flat = b",".join([p[1] for p in parts])
+                    ids.append(hashlib.sha256(flat).hexdigest())
                     back.append(hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(texts)), pa.array(n, type=pa.int64()), pa.array(ids, type=pa.string()), pa.array(back, type=pa.string())],
-                    names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                    if with_ids:
+                        lists.append(np.array(flat.split(b","), dtype=np.int32) if flat else np.zeros(0, dtype=np.int32))
+                cols = [b.column(0).slice(at, len(texts)), pa.array(n, type=pa.int64()), pa.array(ids, type=pa.string()), pa.array(back, type=pa.string())]
+                if with_ids:
+                    cols.append(pa.array(lists, type=pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     src = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
     none = F.lit(None).cast("string")
-    return src.mapInArrow(run, src.select(id_col, F.lit(None).cast("long").alias("n_tokens"), none.alias("ids_sha256"), none.alias("decoded_sha256")).schema)
+    out = [F.lit(None).cast("long").alias("n_tokens"), none.alias("ids_sha256"), none.alias("decoded_sha256")]
+    out += [F.lit(None).cast("array<int>").alias("ids")] * with_ids
+    schema = src.select(id_col, *out).schema
+    names = schema.names
+    return src.mapInArrow(run, schema)

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
 from .textnum import ALNUM, Words, chunks, utf8
 
 #: Bytes of benchmark text whose windows one pass over the documents holds on each executor.
@@ -104,20 +104,13 @@ def decontaminate(
     there are several blocks; then narrow results are grouped by row. Null and empty texts have no words; null or empty
     items have no windows; null item ids are ignored; repeated rows are reported each. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    bench = benchmark.select(F.col(item_col).cast("string").alias("_item"), F.col(item_text_col).alias("_text")).filter("_item IS NOT NULL AND _text IS NOT NULL")
-    total = bench.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // block_bytes))
+    bench, blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     if blocks > 1:
         src = src.withColumn("_row", F.monotonically_increasing_id())
     else:
         src = src.withColumn("_row", F.lit(0).cast("long"))
-    found = []
-    for b in range(blocks):
-        part = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == b)
-        table = part.toArrow()
-        found.append(_search(src, Windows(table.column(0).to_pylist(), table.column(1), window, shingle)))
+    found = [_search(src, _counted(src, _windows(bench, b, blocks, window, shingle))) for b in range(blocks)]
     if blocks == 1:
         out = found[0]
     else:
@@ -125,17 +118,59 @@ def decontaminate(
         for f in found[1:]:
             every = every.unionByName(f)
         every = every.groupBy("_row", "_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        step = F.struct(F.col("start"), F.col("end"))
         join_up = F.expr(
             "aggregate(array_sort(hits), cast(array() as array<struct<start:bigint,end:bigint>>), (a, h) -> "
             "if(size(a) > 0 and element_at(a, -1).end >= h.start, concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, h.end)))), concat(a, array(h))))"
         )
-        del step
         out = every.withColumn("hits", join_up)
     return out.select(F.col("_id").alias(id_col), "n_words", "hits", "items")
 
 
-def _search(src: DataFrame, windows: Windows) -> DataFrame:
+def without_hits(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 10,
+    shingle: int = 3,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of docs, all columns, whose text holds no item window; the same join and rules as decontaminate.
+
+    Each block of the benchmark filters what the blocks before it left; nothing is shuffled.
+    """
+    bench, blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    columns = docs.columns
+    for b in range(blocks):
+        src = docs.withColumn("_text", F.col(text_col))
+        ready = _counted(src, _windows(bench, b, blocks, window, shingle))
+
+        def run(batches: Iterator[pa.RecordBatch], ready=ready) -> Iterator[pa.RecordBatch]:
+            for rows, data, offsets in chunks(batches, "_text"):
+                hit = {doc for _, doc, _ in ready.value.find(Words(data, offsets, ALNUM))}
+                keep = pa.array([d for d in range(rows.num_rows) if d not in hit], type=pa.int64())
+                if len(keep):
+                    yield rows.select(columns).take(keep)
+
+        docs = src.mapInArrow(run, docs.schema)
+    return docs
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    bench = benchmark.select(F.col(item_col).cast("string").alias("_item"), F.col(item_text_col).alias("_text")).filter("_item IS NOT NULL AND _text IS NOT NULL")
+    total = bench.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
+    return bench, max(1, -(-total // block_bytes))
+
+
+def _windows(bench: DataFrame, no: int, blocks: int, window: int, shingle: int) -> Windows:
+    part = bench if blocks == 1 else bench.filter(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == no)
+    table = part.toArrow()
+    return Windows(table.column(0).to_pylist(), table.column(1), window, shingle)
+
+
+def _counted(src: DataFrame, windows: Windows) -> Broadcast:
+    """The windows, broadcast with the rarest shingle of each as its prefix; counts are over all rows of src."""
     spark = src.sparkSession
     vocabulary = windows.vocabulary() if windows.keys else {}
     shared = spark.sparkContext.broadcast(vocabulary)
@@ -158,8 +193,10 @@ def _search(src: DataFrame, windows: Windows) -> DataFrame:
         counts = {(k, h & (2**64 - 1)): n for k, h, n in zip(*(c.to_pylist() for c in rows.columns), strict=True)}
     windows.prefix(counts)
     windows.shingles = []
-    ready = spark.sparkContext.broadcast(windows)
+    return spark.sparkContext.broadcast(windows)
+
 
+def _search(src: DataFrame, ready: Broadcast) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wins = ready.value
         spans_of = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

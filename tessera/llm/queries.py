@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, exact_dedup, html_text, ngram_join, quality, secret_scan, toxicity, warc
+from . import bpe, common, decontam, exact_dedup, html_text, line_dedup, ngram_join, quality, secret_scan, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,6 +85,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(quality.score(docs, model), 0.3)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", "n_lines", "n_dropped", F.char_length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def _predicted(scored: DataFrame, least: float) -> DataFrame:
     return scored.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
