@@ -117,13 +117,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = FactorizationMachine(slots, factors)
     if not n:
         return model
-    keep = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"term": pa.array(slots, type=pa.int32())}).to_pandas()))
-    some = hashed.select("id", F.explode("t").alias("term")).join(keep, "term").groupBy("id").agg(F.collect_list("term").alias("t"))
-    rows_ = known.select(F.col("_id").alias("id"), F.col("_y").alias("y")).distinct().join(some, "id", "left").select("id", "y", "t").toArrow().to_pandas().sort_values("id").reset_index(drop=True)
-    lens = rows_["t"].map(lambda x: 0 if x is None or isinstance(x, float) else len(x)).to_numpy()
-    doc = np.repeat(np.arange(len(rows_)), lens)
-    term = np.concatenate([np.sort(x) for x, k in zip(rows_["t"], lens, strict=True) if k] or [np.zeros(0)]).astype(np.int64)
-    model.fit(len(rows_), doc, term, rows_["y"].to_numpy(dtype=np.float64))
+
+    def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in _lower(batches, "_text"):
+            d, t = terms(Words(data, offsets, ALNUM))
+            own = np.isin(t, slots)
+            cut = np.searchsorted(d[own], np.arange(part.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_y"), pa.ListArray.from_arrays(pa.array(cut), pa.array(t[own].astype(np.int32)))], names=["id", "y", "t"])
+
+    rows_ = known.select("_id", "_text", "_y").mapInArrow(active, f"id {kind}, y int, t array<int>").toArrow().sort_by("id")
+    lists = rows_.column("t").combine_chunks()
+    doc = np.repeat(np.arange(rows_.num_rows), lists.value_lengths().to_numpy())
+    term = lists.flatten().to_numpy().astype(np.int64)
+    model.fit(rows_.num_rows, doc, term, rows_.column("y").to_numpy().astype(np.float64))
     return model
 
 
