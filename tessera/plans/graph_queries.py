@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import filedeps as fd
 from ..operators import graph as g
 from ..operators import traverse as t
+from ..shipping import ship
 from .bindings import Facts, oracle
 
 #: name → (query over the facts, SQL with facts in braces or None)
@@ -20,8 +21,16 @@ def register(name: str, query: Callable[[Facts], DataFrame], sql: str | None) ->
     REGISTRY[name] = (query, sql)
 
 
+def _bound(f: Callable[[Facts], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(Facts(spark, sf_dir))
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: (lambda spark, sf_dir, f=f: f(Facts(spark, sf_dir))) for k, (f, _) in REGISTRY.items()}
+    return {k: _bound(f) for k, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:

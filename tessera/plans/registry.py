@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import graph_queries
+from . import evidence_queries as _evidence  # noqa: F401  registers its queries
 from . import lifecycle_queries as _lifecycle  # noqa: F401  registers its queries
 from . import more_queries as _more  # noqa: F401  registers its queries
 from . import supply_queries as _supply  # noqa: F401  registers its queries
