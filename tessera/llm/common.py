@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,3 +90,69 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         before = after
     own = e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
     return nodes.select("id").distinct().join(own, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+#: So few pairs are cheaper to compare than another round is to set up.
+FEW_PAIRS = 200_000
+
+
+def linked(posts: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Column | None = None, rounds: int = 2, leads: int = 3) -> DataFrame:
+    """(id, component) of all ids of members, linked where verify lets a pair (a, b) pass; sub-quadratic where ids are alike.
+
+    posts (token, unit, and any columns that near compares with their namesakes ending in 2) says which units can hold
+    linked ids: those that share a token. members (unit, id) says which ids a unit stands for; a unit bears the
+    name of one of them. Both are durable. Every pair of ids whose units share a token and pass near is verified, or
+    lies in one component already:
+
+    1. ids are compared with their unit, and units with the smallest unit of each of their tokens (a star, not all pairs);
+    2. as long as more pairs than a few for each post would be left, for a few rounds, the parts of a token outside
+       its main component are compared with `leads` more members of that component;
+    3. the parts of each token outside its main component are compared with everything else there.
+    """
+    near = F.lit(True) if near is None else near
+    nodes = members.select("id")
+    extra = [c for c in posts.columns if c not in ("token", "unit")]
+    heads = posts.groupBy("token").agg(F.min(F.struct("unit", *extra)).alias("h"), F.max("unit").alias("z")).filter("h.unit <> z")
+    posts = durable(posts.join(heads.select("token", F.col("h.unit").alias("a"), *[F.col(f"h.{c}").alias(f"{c}2") for c in extra]), "token").select("*", near.alias("_near")))
+    star = posts.filter("unit <> a AND _near").select("a", F.col("unit").alias("b")).unionByName(members.filter("id <> unit").select(F.col("unit").alias("a"), F.col("id").alias("b")))
+    posts = posts.select("token", "unit", *extra)
+    links = durable(verify(star.distinct()))
+    size = posts.count()
+    for no in range(rounds + 1):
+        label = durable(components(nodes, links))
+        inside = durable(members.join(label, "id"))
+        parts = inside.groupBy("unit", "component").agg(F.min("id").alias("rep"))
+        where = durable(posts.join(parts, "unit"))
+        sizes = where.groupBy("token", "component").agg(F.count("*").alias("c"))
+        main = durable(
+            sizes.groupBy("token")
+            .agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"))
+            .filter(F.col("most") < F.col("all"))
+        )
+        left = main.agg(F.sum((F.col("all") - F.col("most")) * F.col("all")).alias("pairs"), F.sum(F.col("all") - F.col("most")).alias("posts")).first()
+        if not left["posts"]:
+            return label
+        if no == rounds or left["pairs"] <= max(4 * size, FEW_PAIRS):
+            break
+        open_ = where.join(main.select("token", "main"), "token")
+        picked = [F.min_by("rep", F.xxhash64("rep", F.lit(no * leads + i))) for i in range(leads)]
+        lead = open_.filter("component = main").groupBy("token").agg(F.array_distinct(F.array(*picked)).alias("a")).select("token", F.explode("a").alias("a"))
+        star = open_.filter("component <> main").select("token", F.col("rep").alias("b")).join(lead, "token").select("a", "b").distinct()
+        links = durable(links.unionByName(verify(star)))
+    open_ = where.join(main.select("token", "main"), "token")
+    one, other = F.struct("unit", "component"), F.struct(F.col("unit2").alias("unit"), F.col("component2").alias("component"))
+    rest = (
+        open_.filter("component <> main")
+        .select("token", "unit", "component", *extra)
+        .join(open_.select("token", *[F.col(c).alias(f"{c}2") for c in ("unit", "component", *extra)]), "token")
+        .filter((F.col("component") != F.col("component2")) & near)
+        .select(F.least(one, other).alias("x"), F.greatest(one, other).alias("y"))
+        .distinct()
+    )
+    rest = (
+        rest.join(inside.select(one.alias("x"), F.col("id").alias("a")), "x")
+        .join(inside.select(one.alias("y"), F.col("id").alias("b")), "y")
+        .select("a", "b")
+        .distinct()
+    )
+    return components(nodes, links.unionByName(durable(verify(rest))))

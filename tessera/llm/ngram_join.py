@@ -6,8 +6,8 @@
 2. In the order (count, hash) the first n - ceil(t * n) + 1 shingles of a set are its prefix: two sets that link share
    one. Equal sets collapse to one class, classes with the same size and prefix to one group.
 3. Groups first link to the first group of each prefix shingle, members to the first of their group: a star, not all
-   pairs. Components of the verified links leave the pairs that still lie in different components: these go through
-   length and positional filters, are expanded to members, and are all verified.
+   pairs. Group pairs that still lie in different components of the verified links go through length and positional
+   filters, are expanded to members, and are all verified.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable
+from .common import durable, linked
 from .textnum import NOT_SPACE, U, Words, chunks, combine, mix
 
 #: A shingle in this many texts of one chunk sends a count to its hash range; the texts' list goes round it.
@@ -88,7 +88,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for no, (rows, data, offsets) in enumerate(chunks(batches, "_text", 8 << 20)):
+        for no, (rows, data, offsets) in enumerate(chunks(batches, "_text")):
             doc, h = shingle_sets(Words(data, offsets, NOT_SPACE), shingle)
             n = np.bincount(doc, minlength=rows.num_rows).astype(np.int64)
             chunk = (part << 32) | no
@@ -199,48 +199,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     grouped = classes.groupBy("n", "prefix").agg(F.min("id").alias("gid"))
     classes_of = classes.select("id", "n", "k1", "k2", "prefix").join(grouped, ["n", "prefix"]).select("id", "n", "k1", "k2", "prefix", "gid")
-    members = durable(classes_of.select("id", "gid"))
+    members = durable(classes_of.select(F.col("gid").alias("unit"), "id"))
 
-    # a star within each group and from the first group of each prefix shingle to its other groups; `left` shared
-    # shingles, this one counted, follow in a set's order
+    # groups meet by prefix shingle; `left` shared shingles, this one counted, follow in a set's order
     shared_n = F.size("prefix") - 1 + F.ceil(F.col("n") * percent / 100)
-    posts = durable(grouped.select("gid", "n", shared_n.alias("_s"), F.posexplode("prefix").alias("pos", "token")).select("gid", "n", "token", (F.col("_s") - F.col("pos")).alias("left")))
-    alike = F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent
-    heads = posts.groupBy("token").agg(F.min(F.struct("gid", "n")).alias("h"), F.count("*").alias("groups")).filter("groups > 1").select("token", F.col("h.gid").alias("a"), F.col("h.n").alias("n2"))
-    star = posts.join(heads, "token").filter("gid <> a").filter(alike).select("a", F.col("gid").alias("b"))
-    star = star.unionByName(members.filter("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b")))
-    links = durable(_verified(star.distinct(), classes, percent))
-    nodes = classes.select("id")
-    label = durable(components(nodes, links))
-
-    # whatever still lies in two components: the smaller parts of each shingle's groups against all of them
-    parts = members.join(label, "id").groupBy("gid", "component").agg(F.count("*").alias("_m")).select("gid", "component")
-    where = durable(posts.join(parts, "gid"))
-    sizes = where.groupBy("token", "component").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("of")).filter("of > 1").select("token", "main")
-    open_ = where.join(main, "token")
-    rest = (
-        open_.filter("component <> main")
-        .select("token", "gid", "component", "n", "left")
-        .join(open_.select("token", F.col("gid").alias("g2"), F.col("component").alias("c2"), F.col("n").alias("n2"), F.col("left").alias("left2")), "token")
-        .filter("component <> c2")
-        .filter(alike)
-        .filter(F.least("left", "left2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
-        .select(
-            F.least(F.struct("gid", "component"), F.struct(F.col("g2").alias("gid"), F.col("c2").alias("component"))).alias("x"),
-            F.greatest(F.struct("gid", "component"), F.struct(F.col("g2").alias("gid"), F.col("c2").alias("component"))).alias("y"),
-        )
-        .distinct()
-    )
-    inside = durable(members.join(label, "id"))
-    rest = (
-        rest.join(inside.select(F.struct("gid", "component").alias("x"), F.col("id").alias("a")), "x")
-        .join(inside.select(F.struct("gid", "component").alias("y"), F.col("id").alias("b")), "y")
-        .select("a", "b")
-        .distinct()
-    )
-    more = durable(_verified(rest, classes, percent))
-    final = components(nodes, links.unionByName(more))
+    posts = grouped.select(F.col("gid").alias("unit"), "n", shared_n.alias("_s"), F.posexplode("prefix").alias("pos", "token"))
+    posts = durable(posts.select("token", "unit", "n", (F.col("_s") - F.col("pos")).alias("left")))
+    # length and positional bounds: at the first shingle that two prefixes share, no more than `left` can be common
+    near = (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.least("left", "left2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
+    final = linked(posts, members, lambda pairs: _verified(pairs, classes, percent), near)
 
     by_set = durable(classes_of.join(final, "id").select("n", "k1", "k2", "component"))
     own = sets.select("id", "n", "k1", "k2", F.col("shared").isNotNull().alias("_some"))

@@ -10,8 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_B = U(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
-_BI = U(pow(int(_B), -1, 1 << 64))
+_B = U(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -33,14 +32,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (_B, _BI):
-        p = np.full(size, b, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+@lru_cache(maxsize=1)
+def _powers(size: int) -> np.ndarray:
+    p = np.full(size, _B, dtype=np.uint64)
+    p[0] = 1
+    return np.cumprod(p, dtype=np.uint64)
 
 
 class Words:
@@ -58,16 +54,27 @@ class Words:
         at = offsets[1:][offsets[1:] > 0] - 1
         last[at] = mask[at]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.doc = (np.searchsorted(offsets, self.start, side="right") - 1).astype(np.int32)
-        self.counts = np.bincount(self.doc, minlength=self.n_docs).astype(np.int64)
-        self.first_word = np.concatenate(([0], np.cumsum(self.counts)))
-        power, self._inverse = _powers(1 << max(16, int(len(data)).bit_length()))
+        self.first_word = np.searchsorted(self.start, offsets)
+        self.counts = np.diff(self.first_word)
+        self.doc = np.repeat(np.arange(self.n_docs, dtype=np.int32), self.counts)
+        # bytes weigh by their place in their word, so that equal words have equal sums wherever they are
+        place = np.arange(len(data), dtype=np.int32)
+        begin = np.zeros(len(data), dtype=np.int32)
+        begin[self.start] = self.start
+        np.maximum.accumulate(begin, out=begin)
+        place -= begin
+        longest = int((self.end - self.start).max(initial=1))
+        place[~mask] = 0
         self._sum = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.low] * power[: len(data)], dtype=np.uint64, out=self._sum[1:])
+        part = self._sum[1:]
+        np.take(_powers(1 << max(10, longest.bit_length())), place, out=part, mode="clip")
+        part *= _BYTE[self.low]
+        np.cumsum(part, dtype=np.uint64, out=part)
         self.hash = self.span_hash(self.start, self.end)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-        return mix((self._sum[end] - self._sum[start]) * self._inverse[start] + U(salt))
+        """Hashes of spans that begin where a word begins and end inside it or with it."""
+        return mix(self._sum[end] - self._sum[start] + U(salt))
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of each run of k words within a text."""
