@@ -27,6 +27,8 @@ from .textnum import NOT_SPACE, U, Words, chunks, combine, mix
 #: A shingle in this many texts of one chunk sends a count to its hash range; the texts' list goes round it.
 HEAVY = 16
 _SETS, _LISTS, _COUNTS = 1, 2, 3
+#: Classes with so many bytes of shared shingles in all are broadcast to the pairs that are verified.
+BROADCAST_BYTES = 32 << 20
 
 
 def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,7 +209,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posts = durable(posts.select("token", "unit", "n", (F.col("_s") - F.col("pos")).alias("left")))
     # length and positional bounds: at the first shingle that two prefixes share, no more than `left` can be common
     near = (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.least("left", "left2") * (100 + percent) >= (F.col("n") + F.col("n2")) * percent)
-    final = linked(posts, members, lambda pairs: _verified(pairs, classes, percent), near)
+    size = classes.agg(F.sum(F.octet_length("shared") + 64).alias("n")).first()["n"] or 0
+    final = linked(posts, members, lambda pairs: _verified(pairs, classes, percent, size <= BROADCAST_BYTES), near)
 
     by_set = durable(classes_of.join(final, "id").select("n", "k1", "k2", "component"))
     own = sets.select("id", "n", "k1", "k2", F.col("shared").isNotNull().alias("_some"))
@@ -215,9 +218,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link. A set's shared shingles hold every intersection it has."""
-    of = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"s_{x}"))
+def _verified(pairs: DataFrame, classes: DataFrame, percent: int, small: bool) -> DataFrame:
+    """The pairs (a, b) of classes whose sets link. A set's shared shingles hold every intersection it has.
+
+    Where all classes together are small they are broadcast to the pairs; else pairs and classes are shuffled.
+    """
+    hint = F.broadcast if small else lambda df: df
+    of = lambda x: hint(classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shared").alias(f"s_{x}")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
