@@ -101,8 +101,9 @@ def linked(posts: DataFrame, members: DataFrame, verify: Callable[[DataFrame], D
 
     posts (token, unit, and any columns that near compares with their namesakes ending in 2) says which units can hold
     linked ids: those that share a token. members (unit, id) says which ids a unit stands for; a unit bears the
-    name of one of them. Both are durable. Every pair of ids whose units share a token and pass near is verified, or
-    lies in one component already:
+    name of one of them. Both are durable. Every pair of ids of one unit, and every pair whose units share a token and
+    pass near, is verified or lies in one component already (a unit that near doesn't let pass with itself has no links
+    inside):
 
     1. ids are compared with their unit, and units with the smallest unit of each of their tokens (a star, not all pairs);
     2. as long as more pairs than a few for each post would be left, for a few rounds, the parts of a token outside
@@ -112,10 +113,17 @@ def linked(posts: DataFrame, members: DataFrame, verify: Callable[[DataFrame], D
     near = F.lit(True) if near is None else near
     nodes = members.select("id")
     extra = [c for c in posts.columns if c not in ("token", "unit")]
+    several = members.filter("id <> unit").select("unit").distinct()
+    if not several.isEmpty():  # a token of its own for each unit of several members, whose parts are compared under it
+        alone = posts.join(several, "unit", "left_semi").withColumns({f"{c}2": F.col(c) for c in extra}).filter(near).groupBy("unit").agg(F.max(F.struct(F.lit(0), *extra)).alias("x"))
+        own = alone.select(F.xxhash64("unit").cast(posts.schema["token"].dataType).alias("token"), "unit", *[F.col(f"x.{c}").alias(c) for c in extra])
+    else:
+        own = None
     heads = posts.groupBy("token").agg(F.min(F.struct("unit", *extra)).alias("h"), F.max("unit").alias("z")).filter("h.unit <> z")
     posts = durable(posts.join(heads.select("token", F.col("h.unit").alias("a"), *[F.col(f"h.{c}").alias(f"{c}2") for c in extra]), "token").select("*", near.alias("_near")))
     star = posts.filter("unit <> a AND _near").select("a", F.col("unit").alias("b")).unionByName(members.filter("id <> unit").select(F.col("unit").alias("a"), F.col("id").alias("b")))
     posts = posts.select("token", "unit", *extra)
+    posts = posts if own is None else durable(posts.unionByName(own))
     links = durable(verify(star.distinct()))
     size = posts.count()
     for no in range(rounds + 1):

@@ -110,6 +110,25 @@ def test_linking_keeps_every_link(spark):
     assert got == {i: i // 20 * 20 for i in range(n) if i % 20 < 17}
 
 
+def test_linking_inside_an_isolated_unit(spark):
+    """The members of a unit that shares no token link with each other, not only with the unit's first."""
+    members = common.durable(spark.createDataFrame([(1, 1), (1, 2), (1, 3), (7, 7), (7, 8), (9, 9)], "unit long, id long"))
+    near = lambda pairs: pairs.filter("abs(a - b) = 1 AND least(a, b) IN (2, 7)")
+    for extra in ({}, {"left": F.lit(5)}):
+        posts = common.durable(spark.createDataFrame([("t", 1), ("u", 7), ("u", 9), ("v", 9)], "token string, unit long").withColumns(extra))
+        got = {r.id: r.component for r in common.linked(posts, members, near, F.col("left") <= F.col("left2") if extra else None).collect()}
+        assert got == {1: 1, 2: 2, 3: 2, 7: 7, 8: 7, 9: 9}
+
+
+def test_ngram_join_inside_an_isolated_group(spark):
+    """Ids 1, 2 and 3 have one size and one prefix that no other group has; only 2 and 3 link."""
+    rare, a, b = ([f"{x}{i}" for i in range(n)] for x, n in (("rare", 5), ("a", 15), ("b", 16)))
+    rows = [(1, rare + a), (2, rare + b[:15]), (3, rare + b[1:])] + [(i, a + b + [f"f{j}" for j in range(9 * i)]) for i in range(10, 14)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, DOCS), shingle=1).collect()}
+    assert got == brute_components(rows, k=1) and got[2] == got[3] == (20, 2) and got[1] == (20, 1)
+
+
 def test_secret_scan_base(spark):
     rng = random.Random(3)
     pieces = ["token=", "api_key: '", "PASSWORD = ", "secret", "=", "abcdefgh1", "short", "AKIA", "ABCD1234EFGH5678", "deadbeef" * 4, "é\U0001f600", " ", "\n", "token:token=abcdefghij", "x"]
