@@ -28,7 +28,8 @@ SIDE = re.compile(
     re.I,
 )
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Name and value of an attribute. Values are consumed whole, so that nothing inside them counts as a name.
+_ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 class Node:
@@ -108,8 +109,12 @@ def _close_implied(stack: list[Node], name: str) -> None:
 def _is_side(name: str, attrs: str) -> bool:
     if name in ("html", "body", "main"):
         return False
+    seen = set()
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), next((v for v in values if v), "")
+        if key in seen:
+            continue  # the first of a name counts
+        seen.add(key)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
         if key in ("class", "id", "role") and SIDE.search(value):
@@ -193,39 +198,56 @@ def host(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def sections(url: Column) -> Column:
+    """array<long>: the path folders of a URL, outermost first, each as a hash of the path so far."""
+    parts = F.split(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)", 1), "/")
+    return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda _, i: F.xxhash64(F.array_join(F.slice(parts, F.lit(1), i + 1), "/")))
+
+
+def within(section: int, subtree: int) -> int:
+    """One number for a subtree inside a section."""
+    return ((subtree * 0x9E3779B97F4A7C15 + section) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 12, share: float = 0.5) -> DataFrame:
     """(host, subtree): hashes of block subtrees that at least min_pages pages and a `share` of a host's pages have.
 
-    Each page counts a subtree once. Counts are partial sums before they are shuffled, so that a host with a third of
+    The same holds for each section, the pages below one path folder of the host; a subtree of a section is the number
+    `within` gives. Each page counts a subtree once in the host and in each of its sections. Counts are partial sums before they are shuffled, so that a host with a third of
     all pages is no hot key. Pages without a host have no templates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, hashes = [], []
-            for h, page in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            hosts, within_, hashes = [], [], []
+            for h, page, folders in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 own = {x for _, p in blocks(parse(page.as_py() or "")) for x in p if x}
-                hosts += [h] * (len(own) + 1)
+                hosts += [h] * ((len(own) + 1) * (len(folders) + 1))
+                within_ += [0] * (len(own) + 1)
                 hashes += [0, *own]  # 0 counts the pages
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, type=pa.string()), pa.array(hashes, type=pa.int64())], names=["host", "subtree"])
+                for f in folders:
+                    within_ += [f] * (len(own) + 1)
+                    hashes += [0, *(within(f, x) for x in own)]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, type=pa.string()), pa.array(within_, type=pa.int64()), pa.array(hashes, type=pa.int64())], names=["host", "section", "subtree"])
 
-    counted = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("_html")).filter("host <> ''").mapInArrow(run, "host string, subtree long")
-    counted = durable(counted.groupBy("host", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages))
-    size = counted.filter("subtree = 0").select("host", F.col("n").alias("pages"))
-    return durable(counted.filter("subtree <> 0").join(size, "host").filter(F.col("n") >= F.col("pages") * share).select("host", "subtree"))
+    counted = pages.select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("_html"), sections(F.col(url_col)).alias("_sections")).filter("host <> ''")
+    counted = counted.mapInArrow(run, "host string, section long, subtree long")
+    counted = durable(counted.groupBy("host", "section", "subtree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages))
+    size = counted.filter("subtree = 0").select("host", "section", F.col("n").alias("pages"))
+    return durable(counted.filter("subtree <> 0").join(size, ["host", "section"]).filter(F.col("n") >= F.col("pages") * share).select("host", "subtree").distinct())
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 12, share: float = 0.5) -> DataFrame:
     """(id_col, url_col, text) per row of pages: the article's blocks joined by newlines, empty if there are none.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by element and by
-    class, id or role; then every block inside a subtree that site_templates finds on the page's host. Character
+    class, id or role; then every block inside a subtree that site_templates finds on the page's host or in one of its sections. Character
     references are decoded, white space inside a block is one space. Null html counts as empty; broken and cut-off
     markup is read as far as it goes; null ids and urls and repeated rows pass through; other columns are ignored.
     """
     spark = pages.sparkSession
     known = site_templates(pages, url_col, html_col, min_pages, share)
-    src = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"))
+    src = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"), sections(F.col(url_col)).alias("_sections"))
     if small_enough(known, BROADCAST_ROWS):
         shared = spark.sparkContext.broadcast({(r["host"], r["subtree"]) for r in known.toLocalIterator()})
         src = src.withColumn("_cut", F.lit(None).cast("array<long>"))
@@ -240,13 +262,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part, texts = b.slice(at, 500), []
-                for h, page, cut in zip(part.column("_host").to_pylist(), part.column("_html"), part.column("_cut"), strict=True):
+                for h, page, folders, cut in zip(part.column("_host").to_pylist(), part.column("_html"), part.column("_sections").to_pylist(), part.column("_cut"), strict=True):
                     cut = set(cut.as_py() or ())
-                    gone = (lambda x, h=h: (h, x) in table) if table is not None else cut.__contains__
+                    known_ = (lambda x, h=h: (h, x) in table) if table is not None else cut.__contains__
+                    gone = lambda x, known_=known_, folders=folders: known_(x) or any(known_(within(f, x)) for f in folders)
                     found = blocks(parse(page.as_py() or ""), hashed=h in hosts if hosts is not None else bool(cut))
                     texts.append("\n".join(s for s, p in found if not any(map(gone, p))))
                 yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_url"), pa.array(texts, type=pa.string())], names=[id_col, url_col, "text"])
 
-    ordered = src.select("_id", "_url", "_host", "_html", "_cut")
+    ordered = src.select("_id", "_url", "_host", "_html", "_sections", "_cut")
     schema = pages.select(F.col(id_col), F.col(url_col), F.lit("").alias("text")).schema
     return ordered.mapInArrow(run, schema)

@@ -181,6 +181,31 @@ def test_html_rules_and_broken_markup():
     assert text('<p>one</p><div id="cookie-notice">x</div><form>y</form><p>two') == "one\ntwo"
 
 
+def test_html_attributes_count_by_their_own_name():
+    text = lambda h: "\n".join(s for s, _ in html_text.blocks(html_text.parse(h)))
+    for attrs in ('style="overflow:hidden"', "title='the hidden cost'", 'data-id="nav"', 'title="class=menu"', "data-hidden", "href=/hidden/nav", 'id="x" id="nav"', 'aria-hidden="false"', 'alt = "a hidden b" id=x'):
+        assert text(f"<div {attrs}><article><p>kept</p></article></div>") == "kept", attrs
+    for attrs in ("hidden", 'HIDDEN=""', 'title="x"hidden', 'aria-hidden="true"', "id=nav", "class = 'big menu'", 'role="navigation"', "href=/x class=nav"):
+        assert text(f"<div {attrs}><p>gone</p></div><p>kept</p>") == "kept", attrs
+
+
+def test_section_templates(spark):
+    """What the pages of one path section repeat goes there, however large the rest of the host is."""
+    page = lambda i, more: f"<article><p>only {i}</p><p>{more}</p></article>"
+    rows = [(i, f"https://h.org/en/news/{i}?x=/a/b", page(i, "news menu")) for i in range(20)] + [(i, f"https://h.org/en/shop/{i}", page(i, f"own {i}")) for i in range(20, 120)]
+    rows += [(200, "https://h.org/en/shop/200", page(200, "news menu")), (201, "https://other.org/en/news/1", page(201, "news menu"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    shuffled = html_text.BROADCAST_ROWS
+    for bound in (shuffled, -1):
+        try:
+            html_text.BROADCAST_ROWS = bound
+            got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+        finally:
+            html_text.BROADCAST_ROWS = shuffled
+        assert all(got[i] == f"only {i}" for i in range(20)) and got[20] == "only 20\nown 20"
+        assert got[200] == "only 200\nnews menu" and got[201] == "only 201\nnews menu"
+
+
 def test_site_templates(spark):
     rows = [(i, f"https://{'big' if i % 3 else 'small'}.example.org/{i}", f"<article><p>only {i}</p><p>{'read more of our news' if i % 3 else 'x'}</p></article>") for i in range(60)]
     rows += [(100, None, "<p>no host</p>"), (101, "https://big.example.org/", None), (None, "https://big.example.org/", "<p>no id</p>")]
