@@ -137,17 +137,17 @@ def containment_depth(edges: DataFrame, nodes: DataFrame, limit: int = 32) -> Da
     return nodes.select("occurrence").join(by, "occurrence", "left").select("occurrence", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
-def strong_components(deps: DataFrame, rounds: int = 64) -> DataFrame:
+def strong_components(deps: DataFrame) -> DataFrame:
     """(path, component): files on common dependency cycles, named by their smallest path.
 
     Forward and backward colouring: a node's colour is the smallest node that reaches it; those that reach their colour
-    back within it are one component and leave, the rest go on. Ends when no edge is left.
+    back within it are one component and leave, the rest go on. Nodes without incoming or outgoing edges are on no cycle
+    and leave before each round, edges between colours after it. Ends when no edge is left.
     """
-    edges = durable(deps.select(F.col("source_path").alias("s"), F.col("target_path").alias("t")).distinct())
-    done = None
-    for _ in range(rounds):
-        if edges.isEmpty():
-            break
+    edges = durable(deps.select(F.col("source_path").alias("s"), F.col("target_path").alias("t")).filter("s <> t").distinct())
+    done = edges.select(F.col("s").alias("path"), F.col("t").alias("component")).filter(F.lit(False))
+    edges = _trimmed(edges)
+    while not edges.isEmpty():
         nodes = durable(edges.select(F.col("s").alias("n")).unionByName(edges.select(F.col("t").alias("n"))).distinct())
         colour = _spread(edges, nodes.select("n", F.col("n").alias("c")))
         same = durable(edges.join(colour.toDF("s", "cs"), "s").join(colour.toDF("t", "ct"), "t").filter("cs = ct").select("s", "t", F.col("cs").alias("c")))
@@ -159,14 +159,27 @@ def strong_components(deps: DataFrame, rounds: int = 64) -> DataFrame:
             if front.isEmpty():
                 break
             back = durable(back.unionByName(front))
-        own = back.select(F.col("n").alias("path"), F.col("c").alias("component"))
-        done = own if done is None else done.unionByName(own)
+        done = done.unionByName(back.select(F.col("n").alias("path"), F.col("c").alias("component")))
         gone = back.select("n")
-        edges = durable(edges.join(gone.toDF("s"), "s", "left_anti").join(gone.toDF("t"), "t", "left_anti"))
+        edges = _trimmed(same.select("s", "t").join(gone.toDF("s"), "s", "left_anti").join(gone.toDF("t"), "t", "left_anti").select("s", "t"))
     size = Window.partitionBy("component")
     return done.withColumn("files", F.count("*").over(size)).filter("files > 1")
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose source has an incoming and whose target an outgoing edge, again until none goes."""
+    edges = durable(edges)
+    before = edges.count()
+    while before:
+        ends, starts = edges.select(F.col("t").alias("s")).distinct(), edges.select(F.col("s").alias("t")).distinct()
+        edges = durable(edges.join(ends, "s", "left_semi").join(starts, "t", "left_semi").select("s", "t"))
+        after = edges.count()
+        if after == before:
+            break
+        before = after
+    return edges
+
+
 def _spread(edges: DataFrame, label: DataFrame) -> DataFrame:
     """The smallest label that reaches each node."""
     label = durable(label)

@@ -48,6 +48,15 @@ def test_strong_components(spark):
     assert rows(traverse.strong_components(deps), "path", "component") == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c"), ("e", "c")]
 
 
+def test_strong_components_at_the_end_of_a_long_chain(spark):
+    chain = [(f"p{i:03}", f"p{i + 1:03}") for i in range(1, 70)] + [("p070", "p069"), ("p050", "p050"), (None, "p001")]
+    deps = spark.createDataFrame(chain, "source_path string, target_path string")
+    assert rows(traverse.strong_components(deps), "path", "component", "files") == [("p069", "p069", 2), ("p070", "p069", 2)]
+    between = [("a", "b"), ("b", "a")] + [(x, y) for x, y in zip("bcdef", "cdefg", strict=True)] + [("g", "f")]
+    assert rows(traverse.strong_components(spark.createDataFrame(between, deps.schema)), "path", "component") == [("a", "a"), ("b", "a"), ("f", "f"), ("g", "f")]
+    assert rows(traverse.strong_components(deps.limit(0)), "path", "component", "files") == []
+
+
 def test_null_confidence_passes(spark, cycle):
     nodes = spark.createDataFrame([("root", "a.go"), ("next", "b.go"), ("last", None)], "occurrence string, path string")
     assert rows(filedeps.pairs(nodes, cycle, 0.95), "source_path") == []
