@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -27,16 +28,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a temporary folder; on a cluster that would be one machine's own, so it raises.
+    """
     sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(told)
-        return told.rstrip("/")
+    told = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not told:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        told = tempfile.mkdtemp(prefix="spark-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir().rstrip("/")
+        sc.setCheckpointDir(told)
+    return told.rstrip("/")
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -45,6 +49,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: durable like a checkpoint, but compressed and read by column."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df, a durable table of narrow rows, has at most so many rows."""
     return df.limit(rows + 1).count() <= rows

@@ -7,6 +7,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import pytest
@@ -364,11 +365,90 @@ def test_line_dedup(spark, nothing):
     for r in line_dedup.dedup_lines(df).collect():
         got.setdefault(r.doc_id, []).append((r.text, r.n_lines, r.n_dropped))
     assert got[1] == [(docs[0][1], 3, 0)]
-    assert got[2] == [("\n".join(docs[1][1].split("\n")[1:]), 3, 1)]
+    assert got[2] == [(docs[1][1].split("\n")[2], 3, 2)]
     assert got[3] == [(docs[2][1], 3, 0)] and got[4] == [("", 1, 1)]
     assert got[5] == [(None, 0, 0)] and got[6] == [("", 0, 0)] and got[7] == [("", 1, 1)] * 2
     assert got[None] == [(docs[8][1].split("\n")[1], 2, 1)]
     assert line_dedup.dedup_lines(nothing).collect() == []
+    named = {f"n{r.doc_id}": r.text for r in line_dedup.dedup_lines(spark.createDataFrame([("nb", passage), ("na", passage), ("nc", f"{passage}\n{'x' * 1_000_000} y")], "doc_id string, text string")).collect()}
+    assert named == {"nna": passage, "nnb": "", "nnc": f"{'x' * 1_000_000} y"}
+
+
+def brute_lines(docs, percent=80):
+    """{(doc, line)} that go: the words of all pairs of lines compared, one line of each group kept."""
+    lines = {(i, j): [re.sub("[0-9]", "0", w) for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", x.lower())] for i, t in docs for j, x in enumerate((t or "").split("\n"))}
+    lines = {k: w for k, w in lines.items() if w}
+    keys = sorted(lines)
+    head = {}
+    for a in keys:
+        head.setdefault(tuple(lines[a]), a)
+    label, bags = {a: a for a in head.values()}, {a: Counter(lines[a]) for a in head.values()}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    several = sorted(head.values(), key=lambda a: len(lines[a]))
+    for i, a in enumerate(several):
+        for b in several[i + 1 :]:
+            n = len(lines[b])
+            most = n * (100 - percent) // 100
+            if n - len(lines[a]) > most:
+                break
+            if n - sum((bags[a] & bags[b]).values()) <= most and line_dedup.edit_distance(lines[a], lines[b]) <= most:
+                x, y = find(a), find(b)
+                label[max(x, y)] = min(x, y)
+    return {a for a in keys if find(head[tuple(lines[a])]) != a}
+
+
+def dropped_lines(docs, got):
+    out = set()
+    for i, t in docs:
+        left = (got[i] or "").split("\n")
+        for j, x in enumerate((t or "").split("\n")):
+            if left and left[0] == x:
+                left.pop(0)
+            else:
+                out.add((i, j))
+    return out
+
+
+@pytest.mark.parametrize("words", [(5, 9), (10, 40), (60, 150)])
+def test_line_dedup_finds_one_changed_word(spark, words):
+    rng = random.Random(words[0])
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
+    docs = []
+    for i in range(400):
+        line = [rng.choice(vocabulary) for _ in range(rng.randint(*words))]
+        docs.append((2 * i, " ".join(line)))
+        line[rng.randrange(len(line))] = rng.choice(vocabulary)
+        docs.append((2 * i + 1, " ".join(line)))
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert sum(got[2 * i + 1] for i in range(400)) >= 380 and not any(got[2 * i] for i in range(400))
+
+
+@needs_tables
+def test_line_dedup_against_all_pairs(spark):
+    """Every line that goes also goes by comparing all pairs; at least nine tenths of what those would drop go."""
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = [(r.doc_id, r.text) for r in table.collect()]
+    # near copies at every distance, down to the edge of 0.8
+    rng = random.Random(12)
+    lines = sorted({x for _, t in docs for x in (t or "").split("\n") if 5 <= len(x.split()) <= 80})
+    for n, x in enumerate(rng.sample(lines, min(len(lines), 300))):
+        w = x.split()
+        for _ in range(max(1, int(len(w) * rng.uniform(0, 0.2)))):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[f"new{chr(97 + rng.randrange(26))}"], [w[at], "more"], []]) if len(w) > 5 else ["other"]
+        docs.append((1_000_000 + n, " ".join(w)))
+    want = brute_lines(docs)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    found = dropped_lines(docs, got)
+    assert found <= want and len(found) >= 0.9 * len(want)
+    fuzzy = {k for k in want if k[0] >= 1_000_000}
+    print("lines", len(want), "found", len(found), "planted", len(fuzzy), "found", len(found & fuzzy))
+    assert len(found & fuzzy) >= 0.9 * len(fuzzy)
 
 
 @needs_tables
