@@ -56,6 +56,23 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever signs their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with low lines behind it until no column of df is called so."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def beside(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, text): each row of docs as one struct, so that its columns' names clash with nothing, and its text."""
+    return docs.select(F.struct(*columns(docs)).alias("row"), F.col(text_col).alias("text"))
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df, a durable table of narrow rows, has at most so many rows."""
     return df.limit(rows + 1).count() <= rows

@@ -16,29 +16,36 @@ from .common import BROADCAST_ROWS, durable, small_enough
 # Elements of HTML by the part they play.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-DROP = frozenset("script style noscript template iframe object embed svg math canvas audio video map head title nav header footer aside form button select option textarea input label fieldset dialog menu noembed noframes xmp".split())
+DROP = frozenset("script style noscript template iframe object embed svg annotation annotation-xml canvas audio video map head title nav header footer aside form button select option textarea input label fieldset dialog menu noembed noframes xmp".split())
+NEVER = frozenset("script style noscript template iframe object embed svg annotation annotation-xml canvas audio video map head title select option textarea button noembed noframes xmp".split())
 BLOCK = frozenset("address article blockquote body br caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: An opening tag of these ends an open paragraph.
 ENDS_P = BLOCK - {"br"} | {"nav", "header", "footer", "aside", "form", "fieldset", "menu"}
-#: Words in class, id or role that mark what isn't the article.
+#: Words in class, id or role that mark what isn't the article. They are looked for in whole names between white space,
+#: of which they are a part between hyphens or low lines.
 SIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|"
     r"nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|header|masthead|topbar|toolbar|share|sharing|social|related|recommend\w*|comments?|"
     r"commentlist|disqus|respond|reply|replies|widget\w*|pagination|pager|skip|search|login|signup|contentinfo|complementary|navigation)(?:$|[\s_-])",
     re.I,
 )
+#: Names that begin so say how a page looks, not what an element is.
+STATE = ("no-", "no_", "has-", "has_", "with-", "with_", "without-", "without_", "is-", "is_", "hide-", "show-", "search-result", "search_result")
+#: Share of a page's text from which an element is the page, whatever its name says.
+MOST = 0.5
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 #: Name and value of an attribute. Values are consumed whole, so that nothing inside them counts as a name.
 _ATTR = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 class Node:
-    """An element: its name, whether rules drop it, its children (nodes and texts)."""
+    """An element: its name, whether rules drop it, its children (nodes and texts), the text that rules leave in it."""
 
-    __slots__ = ("name", "dropped", "children")
+    __slots__ = ("name", "dropped", "children", "size", "holds")
 
     def __init__(self, name: str, dropped: bool):
         self.name, self.dropped, self.children = name, dropped, []
+        self.size, self.holds = 0, False
 
 
 def parse(page: str) -> Node:
@@ -117,13 +124,44 @@ def _is_side(name: str, attrs: str) -> bool:
         seen.add(key)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
-        if key in ("class", "id", "role") and SIDE.search(value):
+        if key in ("class", "id", "role") and any(SIDE.search(x) for x in value.split() if not x.lower().startswith(STATE)):
             return True
     return False
 
 
+def settle(root: Node) -> None:
+    """Measure the text of every element, and take back wrong drops.
+
+    Where no article or main element is left, a dropped element that holds one, or most of the page's text, wraps the
+    page and is kept after all. A header inside an article is the article's own. What never holds text for readers, and
+    navigation, stay dropped.
+    """
+    order: list[tuple[Node, bool]] = []
+    todo, free = [(root, False, False)], []
+    while todo:
+        n, inside, gone = todo.pop()
+        if n.name == "header" and inside:
+            n.dropped = False
+        order.append((n, inside))
+        gone = gone or n.dropped
+        if n.name in ("article", "main") and not gone:
+            free.append(n)
+        inside = inside or n.name == "article"
+        todo.extend((c, inside, gone) for c in n.children if isinstance(c, Node))
+    for n, _ in reversed(order):  # children before their parents; dropped ones count for now
+        n.size = sum(len(c.strip()) if isinstance(c, str) else 0 if c.name in NEVER else c.size for c in n.children)
+        n.holds = any(isinstance(c, Node) and (c.holds or c.name in ("article", "main") and not c.dropped and c.size > 0) for c in n.children)
+    whole = root.size
+    for n, inside in order if not any(n.size for n in free) else ():
+        if n.dropped and n.name not in NEVER and n.name != "nav" and not inside and (n.holds or n.size > MOST * whole):
+            n.dropped = False
+    for n, _ in reversed(order):
+        n.size = 0 if n.dropped else sum(len(c.strip()) if isinstance(c, str) else c.size for c in n.children)
+
+
 def main_nodes(root: Node) -> list[Node]:
-    """The outermost articles that no rule drops, else the main elements, else the whole page."""
+    """The outermost articles that no rule drops, else the main elements, if they hold most of the text; else the page."""
+    settle(root)
     for wanted in ("article", "main"):
         found, todo = [], [root]
         while todo:
@@ -134,7 +172,7 @@ def main_nodes(root: Node) -> list[Node]:
                 found.append(n)
             else:
                 todo.extend(c for c in reversed(n.children) if isinstance(c, Node))
-        if found:
+        if found and sum(n.size for n in found) >= MOST * root.size:
             return found
     return [root]
 
@@ -214,7 +252,8 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
     The same holds for each section, the pages below one path folder of the host; a subtree of a section is the number
     `within` gives. Each page counts a subtree once in the host and in each of its sections. Counts are partial sums before they are shuffled, so that a host with a third of
-    all pages is no hot key. Pages without a host have no templates.
+    all pages is no hot key. Pages without a host have no templates; rows that repeat a page count each; null html has
+    no subtrees; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +280,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(id_col, url_col, text) per row of pages: the article's blocks joined by newlines, empty if there are none.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by element and by
-    class, id or role; then every block inside a subtree that site_templates finds on the page's host or in one of its sections. Character
+    class, id or role (but never an element that holds an article or most of the page's text, nor an article's own
+    header); the articles are the main text if they hold most of what is left; then goes every block inside a subtree that site_templates finds on the page's host or in one of its sections. Character
     references are decoded, white space inside a block is one space. Null html counts as empty; broken and cut-off
-    markup is read as far as it goes; null ids and urls and repeated rows pass through; other columns are ignored.
+    markup is read as far as it goes; null ids and urls and repeated rows pass through; an empty table gives an empty
+    one; other columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     known = site_templates(pages, url_col, html_col, min_pages, share)

@@ -27,6 +27,8 @@ from .textnum import NOT_SPACE, U, Words, chunks, combine, mix
 #: A shingle in this many texts of one chunk sends a count to its hash range; the texts' list goes round it.
 HEAVY = 16
 _SETS, _LISTS, _COUNTS = 1, 2, 3
+#: Text whose shingles one hash range takes: about as many bytes again as packed blocks.
+RANGE_BYTES = 64 << 20
 #: Classes with so many bytes of shared shingles in all are broadcast to the pairs that are verified.
 BROADCAST_BYTES = 32 << 20
 
@@ -76,8 +78,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     `shingle` words; a text of fewer words has one, the whole sequence; a null or empty text has none and links with
     nothing. Two texts link when 100 * intersection >= percent * union, and component_id is the smallest id reachable
     by links, the text's own included. Every link between different sets is found or implied by other links of its
-    component. Sets are compared by 64-bit hashes, shared shingles of two texts by 38 bits or more (they grow with the
-    number of partitions).
+    component. Equal sets are found by 128 bits of hashes, shared shingles of two texts by 38 bits or more: hash ranges,
+    whose number counts in, grow with the bytes of text, so that each stays within a task's memory.
 
     Rows with a null id count like others but get a null component and link nothing. Rows repeated with one id are
     one node that has the links of each. An empty table gives an empty result; other columns are ignored.
@@ -85,7 +87,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs must give the same rows in the same partitions when read again (a table or files do).
     """
     spark = docs.sparkSession
-    bits = max(6, int(2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // RANGE_BYTES)
+    bits = min(24, max(6, int(ranges - 1).bit_length()))
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

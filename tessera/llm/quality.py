@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import beside
 from .labelled import sample, sampled_docs
 from .textnum import ALNUM, NOT_SPACE, U, Words, chunks, mix
 
@@ -19,6 +21,8 @@ DIMS = 48
 NEIGHBOURS = 6_000
 #: Rows of documents times labelled rows in one block of cosine products.
 BLOCK = 1024
+#: Whole steps of one in a latent vector, and in the factors of its projection.
+UNIT, EXACT = 1 << 10, 1 << 20
 
 _LETTER = np.zeros(256, dtype=np.uint8)  # 1 lower or non-ASCII letter, 2 upper, 3 digit, 4 sign
 _LETTER[:] = 4
@@ -66,32 +70,42 @@ class NeighbourVote:
         self.basis, self.vectors, self.labels, self.base, self.k, self.power = basis, vectors, labels, base, k, power
 
     def latent(self, n: int, doc: np.ndarray, col: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Unit vectors: log counts, normalised, weighted and projected. A text without terms has the null vector."""
+        """Unit vectors: log counts, normalised, weighted and projected. A text without terms has the null vector.
+
+        Factors of both products are whole multiples of small powers of two, whose sums are exact in any order: equal
+        texts have equal vectors and cosines wherever they stand.
+        """
         value = 1 + np.log(count)
         norm = np.sqrt(np.bincount(doc, weights=value**2, minlength=n))
-        out = np.zeros((n, self.basis.shape[1]), dtype=np.float32)
+        out = np.zeros((n, self.basis.shape[1]))
         for lo in range(0, n, 256):
             a, b = np.searchsorted(doc, (lo, lo + 256))
-            block = np.zeros((min(256, n - lo), COLUMNS), dtype=np.float32)
-            block[doc[a:b] - lo, col[a:b]] = value[a:b] / norm[doc[a:b]]
+            block = np.zeros((min(256, n - lo), COLUMNS))
+            block[doc[a:b] - lo, col[a:b]] = np.round(value[a:b] / norm[doc[a:b]] * EXACT)
             out[lo : lo + 256] = block @ self.basis
-        length = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.maximum(length, 1e-12)
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.round(out / np.maximum(length, 1e-12) * UNIT).astype(np.float32)
 
     def vote(self, x: np.ndarray) -> np.ndarray:
-        """Exact cosines with every labelled vector, block by block; the k nearest vote with sim ** power."""
+        """Exact cosines with every labelled vector, block by block; the k nearest vote with sim ** power.
+
+        Of equally near ones those with the smaller label id, which come first among the vectors, vote.
+        """
         if not len(self.labels):
             return np.full(len(x), self.base)
         out, k = np.empty(len(x)), min(self.k, len(self.labels))
         for lo in range(0, len(x), BLOCK):
             part = x[lo : lo + BLOCK]
-            sim, own = np.full((len(part), k), -2.0), np.zeros((len(part), k))
+            best = np.full((len(part), k), -(1 << 62))
             for at in range(0, len(self.labels), BLOCK):
-                s = np.concatenate((sim, part @ self.vectors[at : at + BLOCK].T), axis=1)
-                y = np.concatenate((own, np.broadcast_to(self.labels[at : at + BLOCK], (len(part), min(BLOCK, len(self.labels) - at)))), axis=1)
-                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                sim, own = np.take_along_axis(s, top, 1), np.take_along_axis(y, top, 1)
-            weight = np.maximum(sim, 0) ** self.power
+                s = (part @ self.vectors[at : at + BLOCK].T).astype(np.int64)
+                s = s * len(self.labels) - np.arange(at, at + s.shape[1])  # no two are equal
+                s = np.concatenate((best, s), axis=1)
+                best = -np.partition(-s, k - 1, axis=1)[:, :k]
+            best = -np.sort(-best, axis=1)
+            sim = -(-best // len(self.labels))
+            own = self.labels[sim * len(self.labels) - best]
+            weight = np.maximum(sim / UNIT**2, 0) ** self.power
             # one vote of small weight for the base rate decides where there are no neighbours
             out[lo : lo + BLOCK] = ((weight * own).sum(axis=1) + 1e-3 * self.base) / (weight.sum(axis=1) + 1e-3)
         return np.clip(out, 0.0, 1.0)
@@ -101,7 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Latent-semantic vectors of at most `rows` labelled documents outside the held-out fold.
 
     Executors count hashed terms of the sampled texts; a randomised singular value decomposition of the weighted
-    matrix of at most rows x COLUMNS gives the basis. Terms weigh the more the rarer they are in the sample.
+    matrix of at most rows x COLUMNS gives the basis. Terms weigh the more the rarer they are in the sample. Null and
+    empty texts have the null vector; rows repeated with one id count each. Without labelled documents every score is 0.5.
     """
     known = sampled_docs(docs, sample(labels, target, id_col, rows), id_col, text_col)
 
@@ -118,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     table = known.select("_id", "_text", "_y").mapInArrow(count, f"id {kind}, y int, c array<int>, n array<int>").toArrow().sort_by("id")
     y = table.column("y").to_numpy().astype(np.float32) if table.num_rows else np.zeros(0, dtype=np.float32)
     if not len(y):
-        return NeighbourVote(np.zeros((COLUMNS, 1), dtype=np.float32), np.zeros((0, 1), dtype=np.float32), y, 0.5, k, power)
+        return NeighbourVote(np.zeros((COLUMNS, 1)), np.zeros((0, 1), dtype=np.float32), y, 0.5, k, power)
     lists = table.column("c").combine_chunks()
     doc = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
     col, n = lists.flatten().to_numpy(), table.column("n").combine_chunks().flatten().to_numpy()
@@ -132,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for _ in range(4):
         q, _r = np.linalg.qr(m.T @ (m @ q))
     _, sv, vt = np.linalg.svd(m @ q, full_matrices=False)
-    basis = (idf[:, None] * (q @ vt.T[:, :dims])).astype(np.float32)
+    basis = np.round(idf[:, None] * (q @ vt.T[:, :dims]) * EXACT).astype(np.float64)
     model = NeighbourVote(basis, np.zeros((0, dims), dtype=np.float32), y, float(y.mean()), k, power)
     model.vectors = model.latent(len(y), doc, col, n)
     return model
@@ -142,16 +157,18 @@ def score(docs: DataFrame, model: NeighbourVote, text_col: str = "text", name: s
     """docs with a column `name`: the similarity-weighted share of good neighbours of the whole text.
 
     Null and empty texts have no vector and get the base rate of the sample, as does everything where no label is
-    known. Repeated rows get equal scores.
+    known. Equal texts get equal scores. Null ids pass through; an empty table gives an empty one. A column that is called
+    `name` already is replaced; no other name matters.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = docs.columns
-    src = docs.withColumn("_text", F.col(text_col))
+    kept = [c for c in docs.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part, data, offsets in chunks(batches, "_text"):
+        for part, data, offsets in chunks(batches, "text"):
             y = m.vote(m.latent(part.num_rows, *features(data, offsets)))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(y)], names=[*columns, name])
+            cols = dict(zip(docs_columns, part.column("row").flatten(), strict=True))
+            yield pa.RecordBatch.from_arrays([*(cols[c] for c in kept), pa.array(y)], names=[*kept, name])
 
-    return src.mapInArrow(run, docs.select("*", F.lit(0.0).alias(name)).schema)
+    docs_columns = docs.columns
+    return beside(docs, text_col).mapInArrow(run, StructType([*[docs.schema[c] for c in kept], StructField(name, DoubleType())]))

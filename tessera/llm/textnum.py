@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 _B = U(0x9E3779B97F4A7C15)
+_INVERSE = pow(int(_B), -1, 1 << 64)
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -32,9 +33,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-@lru_cache(maxsize=1)
-def _powers(size: int) -> np.ndarray:
-    p = np.full(size, _B, dtype=np.uint64)
+@lru_cache(maxsize=2)
+def _powers(base: int, size: int) -> np.ndarray:
+    p = np.full(size, base, dtype=np.uint64)
     p[0] = 1
     return np.cumprod(p, dtype=np.uint64)
 
@@ -43,38 +44,32 @@ class Words:
     """The words of some texts: start and end bytes, text number and 64-bit hash of each."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray):
-        self.low = LOWER[data]
+        self.low = np.take(LOWER, data, mode="clip")
         self.offsets, self.n_docs = offsets, len(offsets) - 1
-        mask = inside[self.low]
-        first, last = mask.copy(), mask.copy()
-        first[1:] &= ~mask[:-1]
-        last[:-1] &= ~mask[1:]
-        at = offsets[:-1][offsets[:-1] < len(data)]
-        first[at] = mask[at]
-        at = offsets[1:][offsets[1:] > 0] - 1
-        last[at] = mask[at]
-        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        mask = np.zeros(len(data) + 2, dtype=bool)
+        np.take(inside, self.low, out=mask[1:-1], mode="clip")
+        turns = np.flatnonzero(mask[1:] != mask[:-1])
+        self.start, self.end = turns[::2], turns[1::2]
+        inner = np.unique(offsets[1:-1])
+        inner = inner[mask[inner] & mask[inner + 1]]  # texts that meet inside a run
+        if len(inner):
+            self.start = np.insert(self.start, np.searchsorted(self.start, inner), inner)
+            self.end = np.insert(self.end, np.searchsorted(self.end, inner), inner)
         self.first_word = np.searchsorted(self.start, offsets)
         self.counts = np.diff(self.first_word)
         self.doc = np.repeat(np.arange(self.n_docs, dtype=np.int32), self.counts)
-        # bytes weigh by their place in their word, so that equal words have equal sums wherever they are
-        place = np.arange(len(data), dtype=np.int32)
-        begin = np.zeros(len(data), dtype=np.int32)
-        begin[self.start] = self.start
-        np.maximum.accumulate(begin, out=begin)
-        place -= begin
-        longest = int((self.end - self.start).max(initial=1))
-        place[~mask] = 0
+        # bytes weigh by a power of their place; a span's sum divided by that of its start is the same wherever it is
+        self._size = 1 << max(21, len(data).bit_length())
         self._sum = np.zeros(len(data) + 1, dtype=np.uint64)
         part = self._sum[1:]
-        np.take(_powers(1 << max(10, longest.bit_length())), place, out=part, mode="clip")
-        part *= _BYTE[self.low]
+        np.take(_BYTE, self.low, out=part, mode="clip")
+        part *= _powers(int(_B), self._size)[: len(data)]
         np.cumsum(part, dtype=np.uint64, out=part)
         self.hash = self.span_hash(self.start, self.end)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
         """Hashes of spans that begin where a word begins and end inside it or with it."""
-        return mix(self._sum[end] - self._sum[start] + U(salt))
+        return mix((self._sum[end] - self._sum[start]) * _powers(_INVERSE, self._size)[start] + U(salt))
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of each run of k words within a text."""

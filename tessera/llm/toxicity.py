@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import beside, durable
 from .labelled import SAMPLE_ROWS, sample, sampled_docs
 from .textnum import ALNUM, Words, chunks, mix, U
 
@@ -94,8 +95,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A machine fitted on at most `rows` labelled documents outside the held-out fold.
 
     Executors hash the terms of the sampled texts and count, per term, the documents of each label; the max_terms terms
-    with the largest chi-square stay (never one of fewer than min_docs documents or less than min_chi). Only those terms of
-    the sampled texts reach the driver: at most rows * max_terms small integers.
+    with the largest chi-square stay (never one of fewer than min_docs documents or less than min_chi). The same screen
+    follows among the documents that hold one of these terms, for terms that only tell something beside them, such as the
+    name of a group beside an insult. Only those terms of the sampled texts reach the driver: at most 2 * rows * max_terms
+    small integers. Null and empty texts count like others, repeated rows each, ties of chi-square go by term; with no
+    labelled document the machine has no terms and a base rate of one half.
     """
     known = sampled_docs(docs, sample(labels, target, id_col, rows), id_col, text_col)
 
@@ -106,17 +110,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_y"), pa.ListArray.from_arrays(pa.array(cut), pa.array(t.astype(np.int32)))], names=["id", "y", "t"])
 
     kind = known.schema["_id"].dataType.simpleString()
-    hashed = known.select("_id", "_text", "_y").mapInArrow(pairs, f"id {kind}, y int, t array<int>")
-    total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("p")).first()
-    n, p = total["n"], total["p"]
-    by_term = hashed.select("y", F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("pos")).filter(F.col("df") >= min_docs)
-    lift = (F.col("pos") * n - F.col("df") * p).cast("double")
-    chi = F.lit(float(n)) * lift * lift / (F.col("df").cast("double") * (n - F.col("df") + 1) * max(p, 1) * max(n - p, 1))
-    best = by_term.select("term", chi.alias("c")).filter(F.col("c") >= min_chi).orderBy(F.desc("c"), "term").limit(max_terms).toPandas() if n else pd.DataFrame({"term": []})
-    slots = np.sort(best["term"].to_numpy(dtype=np.int64))
+
+    def screen(beside: np.ndarray | None) -> np.ndarray:
+        """The terms that tell most, among all sampled documents or those that hold one of the terms beside."""
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, data, offsets in _lower(batches, "_text"):
+                d, t = terms(Words(data, offsets, ALNUM))
+                rows = np.arange(part.num_rows) if beside is None else np.unique(d[np.isin(t, beside)])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(part.num_rows + 1)).astype(np.int32)), pa.array(t.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("_y").take(pa.array(rows)), lists.take(pa.array(rows))], names=["y", "t"])
+
+        hashed = known.select("_text", "_y").mapInArrow(pairs, "y int, t array<int>")
+        # -1 counts the documents
+        by_term = hashed.select("y", F.explode(F.concat("t", F.array(F.lit(-1)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("pos")).filter(F.col("df") >= min_docs)
+        by_term = durable(by_term)
+        total = by_term.filter("term = -1").first()
+        if total is None:
+            return np.zeros(0, dtype=np.int64)
+        n, p = total["df"], total["pos"]
+        lift = (F.col("pos") * n - F.col("df") * p).cast("double")
+        chi = F.lit(float(n)) * lift * lift / (F.col("df").cast("double") * (n - F.col("df") + 1) * max(p, 1) * max(n - p, 1))
+        return by_term.filter("term >= 0").select("term", chi.alias("c")).filter(F.col("c") >= min_chi).orderBy(F.desc("c"), "term").limit(max_terms).toPandas()["term"].to_numpy(dtype=np.int64)
+
+    slots = np.sort(screen(None))
+    slots = np.union1d(slots, screen(slots)) if len(slots) else slots
     model = FactorizationMachine(slots, factors)
-    if not n:
-        return model
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in _lower(batches, "_text"):
@@ -126,6 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_y"), pa.ListArray.from_arrays(pa.array(cut), pa.array(t[own].astype(np.int32)))], names=["id", "y", "t"])
 
     rows_ = known.select("_id", "_text", "_y").mapInArrow(active, f"id {kind}, y int, t array<int>").toArrow().sort_by("id")
+    if not rows_.num_rows:
+        return model
     lists = rows_.column("t").combine_chunks()
     doc = np.repeat(np.arange(rows_.num_rows), lists.value_lengths().to_numpy())
     term = lists.flatten().to_numpy().astype(np.int64)
@@ -143,16 +164,20 @@ def _lower(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with a column `name`: the probability that the whole text is toxic; null and empty texts have the base rate."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    columns = docs.columns
-    src = docs.withColumn("_text", F.col(text_col))
+    """docs with a column `name`: the probability that the whole text is toxic; null and empty texts have the base rate.
+
+    Row-local: repeated rows have equal scores, null ids pass through, an empty table gives an empty one. A column that
+    is called `name` already is replaced; no other name matters.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in docs.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for part, data, offsets in _lower(batches, "_text"):
+        for part, data, offsets in _lower(batches, "text"):
             y = m.score(part.num_rows, *terms(Words(data, offsets, ALNUM)))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(y)], names=[*columns, name])
+            cols = dict(zip(docs_columns, part.column("row").flatten(), strict=True))
+            yield pa.RecordBatch.from_arrays([*(cols[c] for c in kept), pa.array(y)], names=[*kept, name])
 
-    return src.mapInArrow(run, docs.select("*", F.lit(0.0).alias(name)).schema)
+    docs_columns = docs.columns
+    return beside(docs, text_col).mapInArrow(run, StructType([*[docs.schema[c] for c in kept], StructField(name, DoubleType())]))

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, key_join, shared_dir
+from .common import durable, shared_dir, small_enough
 
 # Fixed values of the Zstandard frame format and of its WARC profile.
 SKIPPABLE_MAGIC = 0x184D2A5D
@@ -34,12 +34,14 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}').urn}>"
+def record_id(*parts: object) -> str:
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, '#'.join(map(str, parts))).urn}>"
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """One response or revisit record. A revisit has the HTTP head with the payload's length, but not the payload."""
+def warc_record(own: str, page_id: int | None, url: str | None, payload: bytes, first: tuple[int, str | None] | None, date: str) -> bytes:
+    """One response, or a revisit of first, a page id and a record id. A revisit has the HTTP head with the payload's
+    length, but not the payload."""
+    revisit = first is not None
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if not revisit:
         block += payload
@@ -47,7 +49,7 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
+        f"WARC-Record-ID: {own}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
@@ -56,7 +58,9 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     if page_id is not None:
         head.append(f"WARC-Page-ID: {page_id}")
     if revisit:
-        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Page-ID: {first[0]}"]
+        if first[1]:
+            head.append(f"WARC-Refers-To: {first[1]}")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -132,8 +136,9 @@ def write_archives(
 
     The payload is the html in UTF-8; null counts as empty. Of records with equal payloads of at least min_bytes, the
     one with the smallest id is a response and the others revisit it; smaller payloads are all responses. Rows that
-    repeat the smallest id, and rows without an id, are responses. Only digests are compared and shuffled: pages stay
-    in their partition, one set of archives a task. Names hold the task attempt, so that a task that runs again
+    repeat the smallest id, and rows without an id, are responses; each record has an id of its own, and a revisit
+    names that of its response unless rows repeat it. Only digests are compared. Where more digests repeat than executors may hold (BROADCAST_ROWS), pages are shuffled by id and digest, which no
+    hot key has, to meet their verdict; else they stay in their partition. A task writes one set of archives. Names hold the task attempt, so that a task that runs again
     leaves no half-written archive in the result: readers use the returned table, not the folder's listing. folder
     must be one that all executors share; by default a new one beside the checkpoints. An empty table writes none.
     """
@@ -141,18 +146,29 @@ def write_archives(
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     src = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).alias("_url"), html.alias("_html"), F.sha1(html).alias("_digest"))
-    same = src.filter(F.octet_length("_html") >= min_bytes).filter("_id IS NOT NULL").groupBy("_digest").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    same = durable(same.filter("_n > 1").select("_digest", "_first"))
-    rows = key_join(src, same, "_digest", "left").select("_id", "_url", "_html", F.when(F.octet_length("_html") >= min_bytes, F.col("_first")).alias("_first"))
+    keys = src.filter(F.octet_length("_html") >= min_bytes).filter("_id IS NOT NULL").groupBy("_digest", "_id").agg(F.count("*").alias("_n"))
+    same = keys.groupBy("_digest").agg(F.min(F.struct("_id", "_n")).alias("_to"), F.sum("_n").alias("_all")).filter("_all > 1")
+    same = durable(same.select("_digest", F.col("_to._id").alias("_first"), (F.col("_to._n") > 1).alias("_twice")))
+    if small_enough(same):
+        rows = src.join(F.broadcast(same), "_digest", "left")
+    else:
+        rows = src.join(durable(keys.join(same, "_digest").select("_id", "_digest", "_first", "_twice")), ["_id", "_digest"], "left")
+    rows = rows.select("_id", "_url", "_html", F.when(F.octet_length("_html") >= min_bytes, F.col("_first")).alias("_first"), "_digest", "_twice")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get()
-        out = Writer(folder, f"part-{at.partitionId():06d}-{at.taskAttemptId()}", level)
+        no, out = 0, Writer(folder, f"part-{at.partitionId():06d}-{at.taskAttemptId()}", level)
         for b in batches:
-            for page_id, url, payload, first in zip(*(c for c in b.columns), strict=True):
-                page_id, first = page_id.as_py(), first.as_py()
-                again = first is not None and page_id is not None and page_id != first
-                out.add(warc_record(page_id, url.as_py(), payload.as_py(), first if again else None, again, date))
+            for columns in zip(*(c for c in b.columns), strict=True):
+                page_id, url, payload, first, digest, twice = (c.as_py() for c in columns)
+                no += 1
+                own, target = record_id(folder, "row", at.partitionId(), at.taskAttemptId(), no), record_id(folder, first, digest)
+                if page_id is None or first is None:
+                    out.add(warc_record(own, page_id, url, payload, None, date))
+                elif page_id == first:
+                    out.add(warc_record(own if twice else target, page_id, url, payload, None, date))
+                else:
+                    out.add(warc_record(own, page_id, url, payload, (first, None if twice else target), date))
         out.close()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in out.done], type=pa.string()), pa.array([d[1] for d in out.done], type=pa.int64())], names=["path", "records"])
 
@@ -197,7 +213,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """(page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload) per record of the archives.
 
     archives has a path and its folder per row, as write_archives returns them. A response's digest is computed anew
-    from its payload and must be the one in its head; a revisit's digest and length are those in its head.
+    from its payload and must be the one in its head; a revisit's digest and length are those in its head. Repeated
+    rows give repeated records; no archives, no rows.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
