@@ -1,7 +1,8 @@
 """The corpus pipeline: toxic documents out, repeated lines out, one of each near-duplicate group, no benchmark text, token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet in the shared folder and read
-again as the next one's docs. All stages but the last return the columns of documents.
+again as the next one's docs. All stages but the last return the columns of documents, whatever further ones there are.
+Null and empty texts, null ids and repeated rows stay unless a docstring says otherwise; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,14 +26,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under TOXIC; the machine is fitted on the labelled ones among docs."""
     common.ship(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, name="_toxicity").filter(F.col("_toxicity") < TOXIC).drop("_toxicity")
+    name = common.unused(docs, "toxicity")
+    return toxicity.score(docs, model, name=name).filter(F.col(name) < TOXIC).drop(name)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that occur elsewhere; n_chars follows the text. A text may become empty, its row stays."""
     common.ship(spark)
-    kept = line_dedup.dedup_lines(docs).drop("n_lines", "n_dropped")
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    counts = common.unused(docs, "n_lines"), common.unused(docs, "n_dropped")
+    kept = line_dedup.dedup_lines(docs, counts=counts).drop(*counts)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*common.columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     common.ship(spark)
     classes = ngram_join.near_duplicates(docs)
     gone = common.durable(classes.filter("doc_id <> component_id").select("doc_id").distinct())
-    return common.key_join(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    return common.key_join(docs, gone, "doc_id", "left_anti").select(*common.columns(docs))
 
 
 def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
