@@ -148,34 +148,35 @@ def linked(posts: DataFrame, members: DataFrame, verify: Callable[[DataFrame], D
     else:
         own = None
     heads = posts.groupBy("token").agg(F.min(F.struct("unit", *extra)).alias("h"), F.max("unit").alias("z")).filter("h.unit <> z")
-    posts = durable(posts.join(heads.select("token", F.col("h.unit").alias("a"), *[F.col(f"h.{c}").alias(f"{c}2") for c in extra]), "token").select("*", near.alias("_near")))
-    star = posts.filter("unit <> a AND _near").select("a", F.col("unit").alias("b")).unionByName(members.filter("id <> unit").select(F.col("unit").alias("a"), F.col("id").alias("b")))
+    heads = written(heads.select("token", F.col("h.unit").alias("a"), *[F.col(f"h.{c}").alias(f"{c}2") for c in extra]))
+    posts = posts.join(heads, "token")
+    star = posts.filter((F.col("unit") != F.col("a")) & near).select("a", F.col("unit").alias("b")).unionByName(members.filter("id <> unit").select(F.col("unit").alias("a"), F.col("id").alias("b")))
     posts = posts.select("token", "unit", *extra)
-    posts = posts if own is None else durable(posts.unionByName(own))
-    links = durable(verify(star.distinct()))
+    posts = posts if own is None else posts.unionByName(own)
+    links = written(verify(written(star.distinct())))
     size = posts.count()
     for no in range(rounds + 1):
-        label = durable(components(nodes, links))
-        inside = durable(members.join(label, "id"))
+        label = written(components(nodes, links))
+        inside = written(members.join(label, "id"))
         parts = inside.groupBy("unit", "component").agg(F.min("id").alias("rep"))
-        where = durable(posts.join(parts, "unit"))
-        sizes = where.groupBy("token", "component").agg(F.count("*").alias("c"))
-        main = durable(
-            sizes.groupBy("token")
+        where = posts.join(parts, "unit")
+        main = written(
+            where.groupBy("token", "component")
+            .agg(F.count("*").alias("c"))
+            .groupBy("token")
             .agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all"))
             .filter(F.col("most") < F.col("all"))
         )
         left = main.agg(F.sum((F.col("all") - F.col("most")) * F.col("all")).alias("pairs"), F.sum(F.col("all") - F.col("most")).alias("posts")).first()
         if not left["posts"]:
             return label
+        open_ = written(where.join(main.select("token", "main"), "token"))  # only tokens of several components go on
         if no == rounds or left["pairs"] <= max(4 * size, FEW_PAIRS):
             break
-        open_ = where.join(main.select("token", "main"), "token")
         picked = [F.min_by("rep", F.xxhash64("rep", F.lit(no * leads + i))) for i in range(leads)]
         lead = open_.filter("component = main").groupBy("token").agg(F.array_distinct(F.array(*picked)).alias("a")).select("token", F.explode("a").alias("a"))
         star = open_.filter("component <> main").select("token", F.col("rep").alias("b")).join(lead, "token").select("a", "b").distinct()
-        links = durable(links.unionByName(verify(star)))
-    open_ = where.join(main.select("token", "main"), "token")
+        links = written(links.unionByName(verify(written(star))))
     one, other = F.struct("unit", "component"), F.struct(F.col("unit2").alias("unit"), F.col("component2").alias("component"))
     rest = (
         open_.filter("component <> main")
@@ -191,4 +192,4 @@ def linked(posts: DataFrame, members: DataFrame, verify: Callable[[DataFrame], D
         .select("a", "b")
         .distinct()
     )
-    return components(nodes, links.unionByName(durable(verify(rest))))
+    return components(nodes, links.unionByName(written(verify(written(rest)))))
