@@ -68,9 +68,40 @@ def exported_symbols(nodes: DataFrame) -> DataFrame:
     return nodes.filter("is_exported AND path IS NOT NULL").select("path", "line", "occurrence", "name", "kind")
 
 
-def files_under(files: DataFrame, prefix: str) -> DataFrame:
-    """The path itself or whatever lies under it, with the total on each row."""
-    return files.filter((F.col("path") == prefix) | F.col("path").startswith(prefix.rstrip("/") + "/")).withColumn("total", F.count("*").over(Window.partitionBy(F.lit(1))))
+def path_regex(pattern: str, anywhere: bool = False) -> str:
+    """A path pattern as a regular expression: * and ? stay inside a folder, ** crosses folders.
+
+    With anywhere, as ignore files read it: a pattern without an inner slash fits at any depth, and whatever lies under
+    what fits.
+    """
+    import re
+
+    body, at, p = "", 0, pattern.strip("/") if anywhere else pattern
+    while at < len(p):
+        if p.startswith("**/", at):
+            body, at = body + "(?:.*/)?", at + 3
+        elif p.startswith("**", at):
+            body, at = body + ".*", at + 2
+        else:
+            c = p[at]
+            body, at = body + ("[^/]*" if c == "*" else "[^/]" if c == "?" else re.sub(r"([\\.^$|()\[\]{}+*?])", r"\\\1", c)), at + 1
+    if anywhere:
+        return ("^" if "/" in pattern.strip("/") or pattern.startswith("/") else "^(?:.*/)?") + body + "(?:/.*)?$"
+    return f"^{body}$"
+
+
+def files_under(files: DataFrame, path: str, how: str = "prefix") -> DataFrame:
+    """Files by exact path, in a directory, prefix (the path or what is under it), glob (as ignore files) or pattern, with the total on each row."""
+    folder = path.rstrip("/") + "/"
+    keep = {
+        "exact": F.col("path") == path,
+        "directory": F.col("path").startswith(folder) & ~F.contains(F.substring("path", len(folder) + 1, 1 << 30), F.lit("/")),
+        "prefix": (F.col("path") == path) | F.col("path").startswith(folder),
+        "glob": F.col("path").rlike(path_regex(path, anywhere=True)),
+        "pattern": F.col("path").rlike(path_regex(path)),
+    }[how]
+    own = files.filter(keep)
+    return own.crossJoin(F.broadcast(own.agg(F.count("*").alias("total"))))
 
 
 def inventory_by_language(files: DataFrame) -> DataFrame:
@@ -152,16 +183,20 @@ def module_links(edges: DataFrame, modules: DataFrame, least: float, kinds: list
     """
     s, t = modules.toDF("source", "source_module"), modules.toDF("target", "target_module")
     sure = F.coalesce("confidence", F.lit(1.0)) >= least
-    declared = F.col("reason").isin("import", "qualified-name") | F.col("kind").isin("extends", "implements") | ((F.col("reason") == "instance-method") & (F.coalesce("confidence", F.lit(1.0)) >= 0.9))
     moved = edges.filter(F.col("kind").isin(kinds)).join(s, "source").join(t, "target").filter("source_module <> target_module")
-    return moved.groupBy("source_module", "target_module", "kind").agg(F.count_if(sure).alias("certain"), F.count_if(~sure).alias("uncertain"), F.count_if(declared).alias("declared"))
+    return moved.groupBy("source_module", "target_module", "kind").agg(F.count_if(sure).alias("certain"), F.count_if(~sure).alias("uncertain"), F.count_if(declared()).alias("declared"))
+
+
+def declared() -> Column:
+    """Whether an edge was declared rather than guessed."""
+    return F.col("reason").isin("import", "qualified-name") | F.col("kind").isin("extends", "implements") | ((F.col("reason") == "instance-method") & (F.coalesce("confidence", F.lit(1.0)) >= 0.9))
 
 
-def top_pairs(edges: DataFrame, modules: DataFrame, n: int) -> DataFrame:
-    """The n strongest pairs of each module link."""
+def top_pairs(edges: DataFrame, modules: DataFrame, n: int, kinds: list[str]) -> DataFrame:
+    """The n strongest pairs of each module link over the pair kinds: most declared edges first, then most edges, then by name."""
     s, t = modules.toDF("source", "source_module"), modules.toDF("target", "target_module")
-    by = edges.filter("kind <> 'contains'").join(s, "source").join(t, "target").filter("source_module <> target_module").groupBy("source_module", "target_module", "source", "target").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("source_module", "target_module").orderBy(F.desc("n"), F.lower("source"), F.lower("target"))
+    by = edges.filter(F.col("kind").isin(kinds)).join(s, "source").join(t, "target").filter("source_module <> target_module").groupBy("source_module", "target_module", "source", "target").agg(F.count_if(declared()).alias("declared"), F.count("*").alias("n"))
+    w = Window.partitionBy("source_module", "target_module").orderBy(F.desc("declared"), F.desc("n"), F.lower("source"), F.lower("target"), "source", "target")
     return by.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
@@ -207,22 +242,6 @@ def usages(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return neighbors(edges, roots, "incoming").withColumn("rank", relation_rank())
 
 
-def callers(edges: DataFrame, nodes: DataFrame, req: DataFrame, limit: int = 100) -> DataFrame:
-    """Neighbours that call, import, instantiate, navigate to or reference what a name names, each by its first edge."""
-    named = req.join(nodes.select(F.col("occurrence").alias("target"), "name"), "name")
-    e = edges.filter(F.col("kind").isin("calls", "imports", "instantiates", "navigates", "references"))
-    w = Window.partitionBy("query_id", "target", "source").orderBy(relation_rank(), "occurrence")
-    first = named.join(e, "target").withColumn("r", F.row_number().over(w)).filter("r = 1")
-    w = Window.partitionBy("query_id", "target").orderBy(relation_rank(), "occurrence")
-    return first.withColumn("no", F.row_number().over(w)).filter(F.col("no") <= limit).select("query_id", "target", F.col("source").alias("caller"), "kind", "no")
-
-
-def type_relations(edges: DataFrame) -> DataFrame:
-    """Per type: who uses it as a type and who returns it, and its edges of each role."""
-    role = F.when(F.col("kind") == "type_of", "users").when(F.col("kind") == "returns", "returners").when(F.col("kind") == "implements", "implementers")
-    return edges.withColumn("role", role).filter("role IS NOT NULL").groupBy(F.col("target").alias("entity"), "role").agg(F.countDistinct("source").alias("others"), F.count("*").alias("edges"))
-
-
 def filtered_subgraph(nodes: DataFrame, edges: DataFrame, keep: Column) -> DataFrame:
     """Edges with both ends among the kept nodes."""
     own = nodes.filter(keep).select("occurrence")
@@ -241,7 +260,18 @@ def violations(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFram
     )
 
 
-def content_hash(edges: DataFrame, by: list[str]) -> DataFrame:
-    """Order-free digest of each group's rows."""
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ("occurrence", "source", "target", "kind")]), 256)
-    return edges.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ""), 256).alias("digest"), F.count("*").alias("rows"))
+def content_hash(rows: DataFrame, by: list[str], columns: list[str] | None = None, least: int = 2) -> DataFrame:
+    """Order-free digest of each group's rows: (by, digest, rows).
+
+    A row's digest is that of its canonical JSON (columns sorted by name, nulls left out). Digests fold in two levels:
+    rows into at most 16 ** least buckets by the first hexadecimal digits of their digest, each the count and the sums of the
+    digest's four 64-bit words modulo 2 ** 64; then the buckets in order. Sums don't mind the order, so that no task ever
+    holds a group's rows.
+    """
+    cols = sorted(columns or [c for c in rows.columns if c not in by])
+    row = F.sha2(F.to_json(F.struct(*cols)), 256)
+    word = lambda i: F.conv(F.substring("_h", 16 * i + 1, 16), 16, 10).cast("decimal(38,0)")
+    buckets = rows.select(*by, row.alias("_h")).groupBy(*by, F.substring("_h", 1, least).alias("_b")).agg(F.count("*").alias("_n"), *[F.sum(word(i)).alias(f"_w{i}") for i in range(4)])
+    wrap = lambda i: (F.col(f"_w{i}") % F.lit(str(1 << 64)).cast("decimal(38,0)")).cast("decimal(20,0)").cast("string")
+    part = F.concat_ws(":", "_b", F.col("_n").cast("string"), *[wrap(i) for i in range(4)])
+    return buckets.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(part)), ","), 256).alias("digest"), F.sum("_n").alias("rows"))

@@ -91,26 +91,6 @@ def symbol_context(edges: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
     return roots.join(out, "root").withColumn("no", F.row_number().over(w)).filter(F.col("no") <= limit).select("query_id", "direction", "kind", "node", "no")
 
 
-def derived_overrides(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes of a direct subtype's target whose name equals the subtype's: (subtype, supertype)."""
-    e = edges.filter("kind IN ('extends', 'implements')").select("source", "target").distinct()
-    names = nodes.select("occurrence", "name")
-    s, t = names.toDF("source", "own"), names.toDF("target", "other")
-    return e.join(s, "source").join(t, "target").filter("own = other AND source <> target").select(F.col("source").alias("subtype"), F.col("target").alias("supertype"))
-
-
-def spelled(nodes: DataFrame, req: DataFrame, limit: int = 50) -> DataFrame:
-    """Symbols by spelled names, split on :: . and /: the last part equals the name, the others occur in the qualified name.
-
-    Generated files come last, then path, line. req: query_id, text.
-    """
-    parts = F.split("text", r"::|\.|/")
-    q = req.select("query_id", F.element_at(parts, -1).alias("name"), F.filter(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: ~p.isin("crate", "super", "self", "")).alias("hints"))
-    hit = q.join(nodes, "name").filter(F.forall("hints", lambda h: F.contains(F.col("qualified_name"), h)))
-    w = Window.partitionBy("query_id").orderBy(F.col("path").endswith(".pb.go"), "path", "line", "occurrence")
-    return hit.withColumn("no", F.row_number().over(w)).filter(F.col("no") <= limit).select("query_id", "occurrence", "no")
-
-
 def confidence_of(results: DataFrame) -> DataFrame:
     """credible where a strong kind was found, low where anything was, per query. results: query_id, kind."""
     strong = F.bool_or(F.col("kind").isin("class", "interface", "method", "function", "enum"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import family
+
 
 def coordinate(ecosystem: str = "ecosystem", namespace: str = "namespace", name: str = "name", version: str | None = "version") -> Column:
     """Key of a coordinate: its parts, missing ones as empty, joined by a character that none of them has."""
@@ -143,27 +145,17 @@ def share_links(rows: DataFrame, key: str, ids: str, total: int) -> DataFrame:
     return rows.select(key, F.slice(F.sort_array(ids), F.lit(1), share).alias(ids))
 
 
-# Families of licences by strictness, and the licences of each.
-FAMILIES = ("permissive", "weak_copyleft", "unknown", "other", "strong_copyleft")
-FAMILY = {
-    "permissive": ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "CC0-1.0", "0BSD"),
-    "weak_copyleft": ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "CDDL-1.0"),
-    "strong_copyleft": ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later"),
-}
-
-
-def license_family(expression: Column) -> Column:
-    """The strictest family among an expression's operands; exceptions count for nothing."""
-    terms = F.filter(F.split(F.regexp_replace(F.regexp_replace(expression, r"[()]", " "), r"(?i)\s+WITH\s+\S+", ""), r"(?i)\s+(?:AND|OR)\s+"), lambda t: F.trim(t) != "")
-    strictness = lambda t: F.coalesce(*[F.when(F.trim(t).isin(*ids), F.lit(FAMILIES.index(f))) for f, ids in FAMILY.items()], F.when(F.upper(F.trim(t)).isin("NOASSERTION", "NONE", "UNLICENSED"), F.lit(2)).otherwise(F.lit(3)))
-    worst = F.array_max(F.transform(terms, strictness))
-    return F.when(worst.isNotNull(), F.element_at(F.array(*map(F.lit, FAMILIES)), worst + 1)).otherwise("unknown")
-
+def license_mix(components: DataFrame, latest: DataFrame, top: int = 5, column: str = "license_raw") -> DataFrame:
+    """Per repository and family: components, and the expressions behind them, most frequent first, `top` of them at most.
 
-def license_mix(components: DataFrame, latest: DataFrame) -> DataFrame:
-    """Component counts per repository and family."""
+    licensed is the number of the repository's components that have any licence text.
+    """
     used = components.join(latest.select("snapshot_id", "repository_id"), "snapshot_id")
-    return used.groupBy("repository_id", license_family(F.col("license_raw")).alias("family")).agg(F.count("*").alias("n"))
+    by = used.groupBy("repository_id", family(F.col(column)).alias("family"), F.col(column).alias("expression")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("repository_id", "family").orderBy(F.desc("n"), F.coalesce("expression", F.lit("")))
+    ranked = by.withColumn("r", F.row_number().over(w))
+    parts = F.filter(F.array_sort(F.collect_list(F.when(F.col("r") <= top, F.struct("r", "expression", "n")))), lambda x: x.isNotNull())
+    return ranked.groupBy("repository_id", "family").agg(F.sum("n").alias("n"), F.sum(F.when(F.trim("expression") != "", F.col("n")).otherwise(0)).alias("licensed"), F.transform(parts, lambda x: F.struct(x["expression"].alias("expression"), x["n"].alias("n"))).alias("expressions"))
 
 
 def assessed_share(components: DataFrame, latest: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Verdicts from best to worst.
-VERDICTS = ("approved", "review_required", "unknown", "prohibited")
-
+from ..functions.expressions import Policy, Terms, normalise, term_key, verdicts
 
 def raw_kind(raw: Column) -> Column:
     """What a raw licence text is: missing, a sentinel, a URL, a file, an expression or a name."""
@@ -22,36 +23,58 @@ def raw_kind(raw: Column) -> Column:
     )
 
 
-def verdict(expression: Column, rules: dict[str, list[str]]) -> Column:
-    """Verdict of a flat expression: OR takes the best of its branches, AND the worst of its terms.
+def verdict_by_status(rows: DataFrame, policy: Policy, status: str = "status", expression: str = "expression") -> DataFrame:
+    """rows with verdict and explanation: resolved and declared ones by the policy, the others by their status."""
+    judged = verdicts(rows, expression, policy)
+    own = F.when(F.col(status).isin("resolved", "declared"), F.col("verdict")).when(F.col(status) == "conflict", "review_required").when(F.col(status) == "unlicensed", "prohibited").otherwise(policy.unknown)
+    return judged.withColumn("explanation", F.when(F.col(status).isin("resolved", "declared"), F.col("explanation")).otherwise(F.concat(F.lit("by status "), F.coalesce(status, F.lit("unassessed"))))).withColumn("verdict", own)
 
-    OR binds loosest; terms that no class lists are unknown. rules: class → terms.
-    """
-    leaf = lambda t: F.coalesce(*[F.when(F.trim(t).isin(*terms), F.lit(VERDICTS.index(c))) for c, terms in rules.items()], F.lit(VERDICTS.index("unknown")))
-    worst = F.array_min(F.transform(F.split(expression, r"\s+OR\s+"), lambda b: F.array_max(F.transform(F.split(b, r"\s+AND\s+"), leaf))))
-    return F.when(expression.isNotNull(), F.element_at(F.array(*map(F.lit, VERDICTS)), worst + 1))
 
+def assess(evidence: DataFrame, by: list[str]) -> DataFrame:
+    """Status of each coordinate from all its raw licences: (by, status, expression, detail, fingerprint).
 
-def verdict_by_status(status: Column, expression: Column, rules: dict[str, list[str]], unknown: str = "unknown") -> Column:
-    return (
-        F.when(status.isin("resolved", "declared"), verdict(expression, rules))
-        .when(status == "conflict", "review_required")
-        .when(status == "unlicensed", "prohibited")
-        .otherwise(unknown)
+    evidence: the columns `by`, id, source and license_raw. Canonical forms are compared, so that spelling and case make no
+    conflict; refusals (none, unlicensed) beside an expression do. An expression that a registry backs (source begins
+    with registry_) is resolved, else declared. detail names both sides of a conflict; fingerprint changes with any
+    evidence. Sources outrank each other as concluded, declared, then registries by id.
+    """
+    known = normalise(evidence, "license_raw")
+    useful = F.when(F.col("expression_status").isin("parsed", "unknown_terms"), F.col("expression"))
+    refusal = F.col("expression_status").isin("none", "unlicensed")
+    rank = F.when(F.col("source") == "producer_concluded", 0).when(F.col("source") == "producer_declared", 1).otherwise(2)
+    item = F.struct(rank.alias("rank"), "id", "source", F.coalesce(useful, F.when(refusal, F.upper("expression_status"))).alias("says"), F.coalesce("license_raw", F.lit("")).alias("raw"))
+    agg = known.groupBy(*by).agg(
+        F.countDistinct(useful).alias("kinds"), F.bool_or(refusal).alias("refused"), F.min(useful).alias("one"), F.bool_or(useful.isNotNull() & F.col("source").startswith("registry_")).alias("backed"), F.array_sort(F.collect_set(item)).alias("items")
     )
+    conflict = (F.col("kinds") > 1) | ((F.col("kinds") == 1) & F.col("refused"))
+    status = F.when(conflict, "conflict").when(F.col("kinds") == 1, F.when(F.col("backed"), "resolved").otherwise("declared")).when(F.col("refused"), "unlicensed").otherwise("unknown")
+    said = F.transform(F.filter("items", lambda x: x["says"].isNotNull()), lambda x: F.concat(x["source"], F.lit(": "), x["says"]))
+    print_ = F.sha2(F.array_join(F.transform("items", lambda x: F.concat_ws("\x00", x["source"], x["raw"])), "\x00"), 256)
+    return agg.select(*by, status.alias("status"), F.when(~conflict & (F.col("kinds") == 1), F.col("one")).alias("expression"), F.when(conflict, F.array_join(F.array_distinct(said), " | ")).alias("detail"), print_.alias("fingerprint"))
 
 
-def assess(evidence: DataFrame, by: list[str]) -> DataFrame:
-    """Status of each coordinate from its raw licences: agreement, conflict, refusal or nothing.
+def reassess(evidence: DataFrame, changed: DataFrame, by: list[str]) -> DataFrame:
+    """assess for the coordinates that changed only. changed: by; may repeat."""
+    return assess(evidence.join(changed.select(*by).distinct(), by, "left_semi"), by)
+
+
+def rule_problems(rules: DataFrame, terms: Terms | None = None) -> DataFrame:
+    """(policy_id, class, term, problem) of terms that no policy may hold. rules: policy_id, class, term.
 
-    evidence: the columns `by`, license_raw and an order column id.
+    A term is one licence, one licence with an exception, a reference or *; else it is not_a_term. One that a policy lists
+    in another class as well, in whatever spelling, has several_classes.
     """
-    t = F.trim("license_raw")
-    refusal = F.upper(t).isin("NONE", "UNLICENSED")
-    useful = F.when(F.col("license_raw").isNotNull() & ~F.upper(t).isin("NOASSERTION", "NONE", "UNLICENSED"), t)
-    agg = evidence.groupBy(*by).agg(F.countDistinct(useful).alias("kinds"), F.bool_or(F.coalesce(refusal, F.lit(False))).alias("refused"), F.min(useful).alias("one"))
-    status = F.when((F.col("kinds") > 1) | ((F.col("kinds") == 1) & F.col("refused")), "conflict").when(F.col("kinds") == 1, "resolved").when(F.col("refused"), "unlicensed").otherwise("unknown")
-    return agg.select(*by, status.alias("status"), F.when(F.col("kinds") == 1, F.col("one")).alias("expression"))
+    known = terms or Terms()
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"term": b["term"], "k": [term_key(t, known) for t in b["term"]]})
+
+    r = rules.select("policy_id", "class", "term").distinct()
+    r = r.join(r.select("term").distinct().mapInPandas(keys, "term string, k string"), "term")
+    classes = r.filter("k IS NOT NULL").groupBy("policy_id", "k").agg(F.countDistinct("class").alias("classes"))
+    why = F.when(F.col("k").isNull(), "not_a_term").when(F.col("classes") > 1, "several_classes")
+    return r.join(classes, ["policy_id", "k"], "left").select("policy_id", "class", "term", why.alias("problem")).filter("problem IS NOT NULL")
 
 
 def latest_evidence(rows: DataFrame, key: list[str]) -> DataFrame:

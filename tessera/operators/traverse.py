@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import durable
 from .graph import CONTAINERS, confident, relation_rank
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a written copy in the folder of spark.checkpoint.dir (one of our own where it is unset)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
-
-
 def steps(edges: DataFrame, kinds: list[str] | None, direction: str, least: float = 0.0, cost: Column | None = None) -> DataFrame:
     """Distinct (here, there, cost, rank, edge): the lowest-ranked edge between two nodes in that direction."""
     here, there = ("source", "target") if direction == "outgoing" else ("target", "source")
@@ -48,9 +40,12 @@ def bfs(step: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def impact(edges: DataFrame, roots: DataFrame, depth: int = 3, direction: str = "incoming", kinds: list[str] | None = None, least: float = 0.0) -> DataFrame:
-    """Nodes by depth, without the roots."""
-    return bfs(steps(edges, kinds or ["calls", "references", "extends", "implements"], direction, least), roots, depth).filter("depth > 0")
+def impact(edges: DataFrame, roots: DataFrame, depth: int = 3, direction: str = "incoming", kinds: list[str] | None = None, least: float = 0.0, without: DataFrame | None = None) -> DataFrame:
+    """Nodes by depth, without the roots. Nodes in without (occurrence), such as those of tests, are neither reached nor gone through."""
+    step = steps(edges, kinds or ["calls", "references", "extends", "implements"], direction, least)
+    if without is not None:
+        step = step.join(without.select(F.col("occurrence").alias("there")), "there", "left_anti")
+    return bfs(step, roots, depth).filter("depth > 0")
 
 
 def call_graph(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
@@ -118,16 +113,48 @@ def affected_tests(deps: DataFrame, changed: DataFrame, test_pattern: str, depth
     return bfs(back, changed.select("query_id", F.col("path").alias("node")), depth).filter(F.col("node").rlike(test_pattern)).select("query_id", F.col("node").alias("path"), "depth")
 
 
-def type_hierarchy(edges: DataFrame, roots: DataFrame, direction: str = "outgoing", depth: int = 8) -> DataFrame:
-    """Ancestors (outgoing) or descendants (incoming) over extends and implements, by level."""
-    return bfs(steps(edges, ["extends", "implements"], direction), roots, depth).filter("depth > 0")
+def type_hierarchy(edges: DataFrame, roots: DataFrame, direction: str = "outgoing", depth: int = 8, nodes: DataFrame | None = None) -> DataFrame:
+    """Ancestors (outgoing) or descendants (incoming) over extends and implements, by level.
+
+    (query_id, node, depth, parent, edge, relation, heuristic, place): heuristic where the edge has a confidence under
+    1; place is the order within a request: level, extends before implements, then name, path and line where nodes are
+    given, then the node.
+    """
+    found = bfs(steps(edges, ["extends", "implements"], direction), roots, depth).filter("depth > 0")
+    via = edges.select(F.col("occurrence").alias("edge"), F.col("kind").alias("relation"), (F.coalesce("confidence", F.lit(1.0)) < 1).alias("heuristic"))
+    out = found.join(via, "edge", "left")
+    order = [F.col("depth"), relation_rank("relation")]
+    if nodes is not None:
+        out = out.join(nodes.select(F.col("occurrence").alias("node"), "name", "path", "line"), "node", "left")
+        order += [F.col("name"), F.col("path"), F.col("line")]
+    w = Window.partitionBy("query_id").orderBy(*order, "node")
+    return out.withColumn("place", F.row_number().over(w)).select("query_id", "node", "depth", "parent", "edge", "relation", "heuristic", "place")
+
+
+#: Kinds whose members can override.
+OVERRIDABLE = ("method", "function", "property", "field")
+
 
+def derived_overrides(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 8) -> DataFrame:
+    """Members of each focus type that an ancestor's member of the same name precedes: (query_id, member, base_member, base_type, relation).
 
-def containment_depth(edges: DataFrame, nodes: DataFrame, limit: int = 32) -> DataFrame:
-    """Distinct ancestors of each node over contains, cyclic containment included once."""
+    roots: query_id, node. Ancestors come in the order of type_hierarchy; the nearest one that has the name wins, within it
+    the first member by line. Members are what a type contains.
+    """
+    facts = nodes.select("occurrence", "name", "kind", "line")
+    inside = edges.filter("kind = 'contains'").select(F.col("source").alias("owner"), F.col("target").alias("occurrence")).distinct().join(facts, "occurrence")
+    own = roots.select("query_id", F.col("node").alias("owner")).join(inside.filter(F.col("kind").isin(*OVERRIDABLE)), "owner").select("query_id", F.col("occurrence").alias("member"), "name")
+    above = type_hierarchy(edges, roots, "outgoing", depth, nodes).select("query_id", F.col("node").alias("owner"), "relation", "place")
+    base = above.join(inside, "owner").select("query_id", "name", F.struct("place", "line", F.col("occurrence").alias("base_member"), F.col("owner").alias("base_type"), "relation").alias("b"))
+    first = base.groupBy("query_id", "name").agg(F.min("b").alias("b"))
+    return own.join(first, ["query_id", "name"]).filter(F.col("member") != F.col("b.base_member")).select("query_id", "member", "b.base_member", "b.base_type", "b.relation")
+
+
+def containment_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct ancestors of each node over contains, cyclic containment included once; goes on until no ancestor is new."""
     up = durable(edges.filter("kind = 'contains'").select(F.col("target").alias("node"), F.col("source").alias("above")).distinct())
     found = front = up
-    for _ in range(limit):
+    while True:
         more = front.join(up.select(F.col("node").alias("above"), F.col("above").alias("next")), "above").select("node", F.col("next").alias("above")).distinct()
         front = durable(more.join(found, ["node", "above"], "left_anti"))
         if front.isEmpty():
@@ -166,6 +193,43 @@ def strong_components(deps: DataFrame) -> DataFrame:
     return done.withColumn("files", F.count("*").over(size)).filter("files > 1")
 
 
+def cycles(deps: DataFrame) -> DataFrame:
+    """(component, no, cycle): the cycles that a depth-first walk meets inside each component, as arrays of paths.
+
+    The walk takes paths in order, the smallest first, and lists a cycle at each edge back to a path on its way; it
+    doesn't list every elementary cycle. Components are walked apart from each other.
+    """
+    member = durable(strong_components(deps).select("path", "component"))
+    s, t = member.toDF("source_path", "component"), member.toDF("target_path", "other")
+    inner = deps.select("source_path", "target_path").filter("source_path <> target_path").join(s, "source_path").join(t, "target_path").filter("component = other").select("component", "source_path", "target_path").distinct()
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        graph: dict[str, list[str]] = {}
+        for a, b in sorted(zip(pdf["source_path"], pdf["target_path"], strict=True)):
+            graph.setdefault(a, []).append(b)
+        seen, out = set(), []
+        for first in sorted(graph):
+            if first in seen:
+                continue
+            way, place, todo = [first], {first: 0}, [iter(graph[first])]
+            seen.add(first)
+            while todo:
+                nxt = next(todo[-1], None)
+                if nxt is None:
+                    todo.pop()
+                    place.pop(way.pop())
+                elif nxt in place:
+                    out.append(way[place[nxt] :])
+                elif nxt not in seen:
+                    seen.add(nxt)
+                    place[nxt] = len(way)
+                    way.append(nxt)
+                    todo.append(iter(graph.get(nxt, ())))
+        return pd.DataFrame({"component": pdf["component"].iloc[0], "no": range(len(out)), "cycle": out})
+
+    return inner.groupBy("component").applyInPandas(walk, "component string, no long, cycle array<string>")
+
+
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Edges whose source has an incoming and whose target an outgoing edge, again until none goes."""
     edges = durable(edges)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 FACTS: dict[str, str] = {
@@ -20,7 +22,7 @@ SELECT concat('file:', path), 'file', path, path, path, min(language), CAST(NULL
     "edges": """
 SELECT concat('e:', CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING), ':', CAST(l_partkey AS STRING), ':', CAST(l_suppkey AS STRING)) AS occurrence,
   concat('part:', CAST(prior AS STRING)) AS source, concat('part:', CAST(l_partkey AS STRING)) AS target,
-  CASE l_linenumber % 8 WHEN 0 THEN 'calls' WHEN 1 THEN 'references' WHEN 2 THEN 'imports' WHEN 3 THEN 'instantiates' WHEN 4 THEN 'extends' WHEN 5 THEN 'implements' WHEN 6 THEN 'type_of' ELSE 'returns' END AS kind,
+  CASE (l_linenumber + l_suppkey) % 8 WHEN 0 THEN 'calls' WHEN 1 THEN 'references' WHEN 2 THEN 'imports' WHEN 3 THEN 'instantiates' WHEN 4 THEN 'extends' WHEN 5 THEN 'implements' WHEN 6 THEN 'type_of' ELSE 'returns' END AS kind,
   CASE WHEN l_tax = 0 THEN CAST(NULL AS DOUBLE) ELSE 1 - l_discount END AS confidence,
   CASE l_suppkey % 5 WHEN 0 THEN 'import' WHEN 1 THEN 'qualified-name' WHEN 2 THEN 'instance-method' ELSE 'heuristic' END AS reason
 FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_tax, l_discount,
@@ -52,10 +54,30 @@ FROM {lineitem} l JOIN {part} p ON l_partkey = p_partkey""",
     "decisions": """
 SELECT CAST(event_id AS BIGINT) AS id, CAST(user_id AS BIGINT) AS repository_id, event_type AS name, ts AS created_at, ts + INTERVAL 5 DAY AS expires_at,
   CASE WHEN value > 20 THEN 'exception' ELSE 'approval' END AS kind, CAST(floor(value) AS BIGINT) AS fingerprint FROM {events}""",
+    "licences": """
+SELECT partkey, form, a, b, c, CASE form WHEN 0 THEN a WHEN 1 THEN concat(lower(a), ' or ', b) WHEN 2 THEN concat(a, ' AND ', b) WHEN 3 THEN concat('(', a, ' OR ', b, ') AND ', c) WHEN 4 THEN concat(a, ' OR ', b, ' AND ', c)
+  WHEN 5 THEN concat(a, ' WITH Classpath-exception-2.0') WHEN 6 THEN concat('LicenseRef-x AND ', a) WHEN 7 THEN concat('(', a, ' AND ') WHEN 8 THEN 'NOASSERTION' WHEN 9 THEN ' none' END AS expression
+FROM (SELECT CAST(p_partkey AS BIGINT) AS partkey, CAST(p_size % 11 AS INT) AS form, PICK(p_partkey) AS a, PICK(p_partkey / 7) AS b, PICK(p_partkey / 49 + p_size) AS c FROM {part}) q""",
+    "registry": """
+SELECT CAST(p_partkey % 200 AS BIGINT) AS coordinate, CAST(p_partkey AS BIGINT) AS id, CASE p_partkey % 3 WHEN 0 THEN 'registry_npm' WHEN 1 THEN 'producer_declared' ELSE 'producer_concluded' END AS source,
+  CASE WHEN p_size % 5 < 3 THEN licence END AS licence, CASE p_size % 5 WHEN 0 THEN lower(licence) WHEN 1 THEN concat('(', licence, ')') WHEN 2 THEN concat(licence, ' ') WHEN 3 THEN CASE WHEN p_size % 4 = 0 THEN 'none' ELSE 'NOASSERTION' END END AS license_raw
+FROM (SELECT p_partkey, p_size, PICK(p_partkey % 200 + CASE WHEN p_size = 7 THEN 1 ELSE 0 END) AS licence FROM {part}) q WHERE p_partkey % 200 <> 3 OR p_size % 5 > 2""",
+    "hits": """
+SELECT query_id, occurrence, score, r FROM (SELECT CAST(n_nationkey AS INT) AS query_id, occurrence, CAST((ordinal * 37) % 128 AS DOUBLE) / 8 AS score, row_number() OVER (PARTITION BY n_nationkey ORDER BY (ordinal * 37) % 128 DESC, occurrence) AS r
+  FROM {nation} JOIN {entities} ON line % 25 = n_nationkey WHERE ordinal % 3 = 0) q WHERE r <= 20""",
+    "terms": """
+SELECT CAST(n_nationkey AS INT) AS query_id, CASE k WHEN 0 THEN 'red' WHEN 1 THEN 'bolting' ELSE 'wid' END AS term FROM {nation} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) q""",
+    "members": """
+SELECT concat('m:', CAST(p_partkey AS STRING)) AS occurrence, concat('part:', CAST((p_partkey * 7919) % (SELECT count(*) FROM {part}) AS STRING)) AS source, concat('part:', CAST(p_partkey AS STRING)) AS target,
+  'contains' AS kind, CAST(NULL AS DOUBLE) AS confidence, 'import' AS reason FROM {part}""",
     "corpus": """
 SELECT CAST(doc_id AS BIGINT) AS doc_id, source AS repository, concat(source, '/', lang, '/', CAST(doc_id AS STRING), '.txt') AS path, text FROM {documents}""",
 }
 
+_LISTED = ("MIT", "Apache-2.0", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0", "BSD-3-Clause", "Foo")
+for _name in ("licences", "registry"):
+    FACTS[_name] = re.sub(r"PICK\(([^()]*|[^()]*CASE[^()]*)\)", lambda m: f"CASE CAST(floor({m[1]}) AS BIGINT) % {len(_LISTED)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_LISTED)) + " END", FACTS[_name])
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 

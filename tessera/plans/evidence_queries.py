@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as ev
 from ..operators import lifecycle as lc
-from ..operators import review as r
 from .graph_queries import register
 
 _NPM = """SELECT occurrence, CASE ordinal % 4 WHEN 0 THEN concat('{{"version":"1.0","license":"MIT"}}') WHEN 1 THEN '{{"version":"1.0","license":{{"type":"BSD"}}}}' WHEN 2 THEN '{{"version":"2.0","license":"ISC"}}' ELSE '{{"version":"1.0","license":"SEE LICENSE IN LICENSE.txt"}}' END AS body FROM {entities}"""
@@ -21,8 +20,6 @@ register("p15_history_retention", lambda x: ev.history_retention(x.decisions, ["
 _relations = lambda x: x.components.filter("NOT is_root").select("snapshot_id", F.lit("root").alias("from_element"), F.col("element_id").alias("to_element"))
 register("p9_touching", lambda x: ev.touching(_relations(x), x.components.filter("status = 'conflict'").select("snapshot_id", F.col("element_id").alias("element")).unionByName(x.components.filter("status = 'unlicensed' AND is_root").select("snapshot_id", F.lit("root").alias("element")))).groupBy("snapshot_id").agg(F.count("*").alias("n")), """WITH r AS (SELECT snapshot_id, element_id FROM {components} WHERE NOT is_root) SELECT snapshot_id, count(*) AS n FROM (SELECT snapshot_id FROM r JOIN (SELECT DISTINCT snapshot_id, element_id FROM {components} WHERE status = 'conflict') c USING (snapshot_id, element_id)
 UNION ALL SELECT snapshot_id FROM r WHERE snapshot_id IN (SELECT snapshot_id FROM {components} WHERE status = 'unlicensed' AND is_root)) q GROUP BY snapshot_id""")
-register("t7_reassess", lambda x: r.assess(x.components.withColumn("id", F.col("snapshot_id")).join(x.components.filter("status = 'unknown'").select("namespace", "name").distinct(), ["namespace", "name"], "left_semi"), ["namespace", "name"]).select("namespace", "name", "status"), """SELECT namespace, name, CASE WHEN k > 1 OR (k = 1 AND refused) THEN 'conflict' WHEN k = 1 THEN 'resolved' WHEN refused THEN 'unlicensed' ELSE 'unknown' END AS status FROM
-(SELECT namespace, name, count(DISTINCT CASE WHEN upper(trim(license_raw)) NOT IN ('NOASSERTION', 'NONE', 'UNLICENSED') THEN trim(license_raw) END) AS k, coalesce(bool_or(upper(trim(license_raw)) IN ('NONE', 'UNLICENSED')), false) AS refused FROM {components} c WHERE (namespace, name) IN (SELECT namespace, name FROM {components} WHERE status = 'unknown') GROUP BY namespace, name) q""")
 register("t4_import_once", lambda x: x.snapshots.groupBy("repository_id", "stream_key", "digest").agg(F.min("id").alias("id")), "SELECT repository_id, stream_key, digest, min(id) AS id FROM {snapshots} GROUP BY 1, 2, 3")
 register("a12_unresolved_of", lambda x: x.unresolved.select("source", "occurrence", "name", "ordinal"), "SELECT source, occurrence, name, ordinal FROM {unresolved}")
 register("v9_listing", lambda x: lc.repository_status(x.repositories, x.snapshots.select("repository_id", (F.col("outcome") == "published").alias("at_indexed_commit"))).groupBy("state").agg(F.count("*").alias("n")), "SELECT state, count(*) AS n FROM (SELECT CASE WHEN o IS NULL THEN 'absent' WHEN o THEN 'current' ELSE 'stale' END AS state FROM {repositories} LEFT JOIN (SELECT repository_id, bool_or(outcome = 'published') AS o FROM {snapshots} GROUP BY 1) s ON repository_id = id) q GROUP BY state")

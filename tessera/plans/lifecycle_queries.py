@@ -34,11 +34,6 @@ register("n9_package_mapping", lambda x: lc.package_mapping(x.components, x.snap
 register("n8_satisfies", lambda x: lc.satisfies(x.edges.filter("kind IN ('calls', 'references')").join(x.nodes.select(F.col("occurrence").alias("source"), F.col("kind").alias("k")), "source").select(F.col("source").alias("owner"), F.col("k").alias("kind"), (F.crc32(F.col("target").cast("binary")) % 9).cast("string").alias("name")).filter("kind = 'class'").unionByName(x.nodes.filter("kind = 'interface'").select(F.col("occurrence").alias("owner"), "kind", (F.col("ordinal") % 9).cast("string").alias("name")))), None)
 register("n7_resolve", lambda x: lc.resolve_tiers(x.unresolved.select(F.col("occurrence").alias("reference_id")), x.unresolved.select(F.col("occurrence").alias("reference_id"), "source", "line").join(x.nodes.select("occurrence", "kind", "line"), "line").select("reference_id", F.when(F.col("kind") == "class", 1).when(F.col("kind") == "method", 2).otherwise(3).alias("tier"), F.col("occurrence").alias("target"))), """WITH c AS (SELECT DISTINCT u.occurrence AS reference_id, CASE n.kind WHEN 'class' THEN 1 WHEN 'method' THEN 2 ELSE 3 END AS tier, n.occurrence AS target FROM {unresolved} u JOIN {nodes} n USING (line)),
 o AS (SELECT reference_id, tier, min(target) AS target FROM c GROUP BY 1, 2 HAVING count(*) = 1) SELECT reference_id, tier, target FROM (SELECT *, row_number() OVER (PARTITION BY reference_id ORDER BY tier) AS r FROM o) q WHERE r = 1""")
-register("g3_context", lambda x: lc.symbol_context(x.edges, x.requests.select("query_id", "root"), 5), """WITH x AS (SELECT 'outgoing' AS direction, source AS root, target AS node, kind, occurrence FROM {edges} UNION ALL SELECT 'incoming', target, source, kind, occurrence FROM {edges})
-SELECT query_id, direction, kind, node, no FROM (SELECT query_id, direction, kind, node, row_number() OVER (PARTITION BY query_id, direction, kind ORDER BY node, x.occurrence) AS no FROM {requests} JOIN x USING (root) WHERE kind IN ('calls', 'references', 'extends', 'implements')) q WHERE no <= 5""")
-register("g15_overrides", lambda x: lc.derived_overrides(x.edges, x.nodes), "SELECT DISTINCT source AS subtype, target AS supertype FROM {edges} e JOIN {nodes} s ON source = s.occurrence JOIN {nodes} d ON target = d.occurrence WHERE e.kind IN ('extends', 'implements') AND s.name = d.name AND source <> target")
-_SPELL = "SELECT query_id, concat('Brand#', CAST(query_id % 25 + 1 AS STRING), '::crate.', CASE query_id % 2 WHEN 0 THEN 'red bolt' ELSE 'small ring' END) AS text FROM {requests}"
-register("e10_spelled", lambda x: lc.spelled(x.nodes, x.spark.sql(_SPELL, requests=x.requests), 50), f"WITH q AS ({_SPELL}) SELECT query_id, occurrence, no FROM (SELECT query_id, occurrence, row_number() OVER (PARTITION BY query_id ORDER BY path LIKE '%.pb.go', path, line, occurrence) AS no FROM q JOIN {{nodes}} ON name = CASE query_id % 2 WHEN 0 THEN 'red bolt' ELSE 'small ring' END WHERE contains(qualified_name, concat('Brand#', CAST(query_id % 25 + 1 AS STRING)))) w WHERE no <= 50")
 register("d8_confidence", lambda x: lc.confidence_of(x.nodes.select(F.col("path").alias("query_id"), "kind")), "SELECT path AS query_id, CASE WHEN bool_or(kind IN ('class', 'interface', 'method', 'function', 'enum')) THEN 'credible' ELSE 'low' END AS confidence FROM {nodes} GROUP BY path")
 register("d2_filters", lambda x: x.nodes.select("occurrence", lc.parse_filters(F.concat(F.lit("find kind:"), "kind", F.lit(" the path:"), "path", F.lit("  "), "name")).alias("f")).select("occurrence", "f.kind", "f.path", "f.rest"), "SELECT occurrence, kind, path, concat('find the ', name) AS rest FROM {nodes} WHERE kind <> 'file' UNION ALL SELECT occurrence, kind, path, concat('find the ', name) FROM {nodes} WHERE kind = 'file'")
 register("r10_policy_versions", lambda x: r.superseded(x.decisions.select(F.col("name").alias("policy"), "id"), ["policy"]).filter("superseded_by IS NULL").select("policy", "id"), "SELECT name AS policy, max(id) AS id FROM {decisions} GROUP BY name")

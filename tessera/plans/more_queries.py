@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import expressions
 from ..operators import navigation as n
 from ..operators import traverse as t
 from ..sources import sbom
@@ -54,10 +53,6 @@ def _ingested(x: Facts) -> DataFrame:
 
 register("s7_spdx_round_trip", _ingested, "SELECT snapshot_id AS document_id, count(*) AS components, count(purl) AS purls, count(*) FILTER (version IS NULL) AS without_version, count(*) AS resolved, count(*) FILTER (is_root) AS roots FROM {components} GROUP BY snapshot_id")
 register("s9_detect", lambda x: _bodies(x).groupBy(sbom.detect(F.col("body")).alias("format")).agg(F.count("*").alias("n")), "SELECT 'spdx' AS format, count(DISTINCT snapshot_id) AS n FROM {components}")
-register("l2_expressions", lambda x: expressions.normalise(x.components.select("license_raw"), "license_raw").groupBy("expression_status", "expression").agg(F.count("*").alias("n")), """SELECT CASE WHEN license_raw IS NULL OR license_raw = 'NOASSERTION' THEN 'no_assertion' WHEN trim(license_raw) = 'unlicensed' THEN 'unlicensed' ELSE 'parsed' END AS expression_status,
-CASE WHEN license_raw <> 'NOASSERTION' AND trim(license_raw) <> 'unlicensed' THEN license_raw END AS expression, count(*) AS n FROM {components} GROUP BY 1, 2""")
-
-
 def _scope(x: Facts) -> DataFrame:
     """Root, direct or transitive by steps over the order's lines: each line depends on the next part of its snapshot."""
     e = x.edges.filter("kind <> 'contains'").select("occurrence", F.concat_ws("/", F.split("occurrence", ":")[1], "source").alias("source"), F.concat_ws("/", F.split("occurrence", ":")[1], "target").alias("target"), F.lit("references").alias("kind"), F.lit(None).cast("double").alias("confidence"))

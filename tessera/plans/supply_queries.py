@@ -12,7 +12,6 @@ from .bindings import Facts
 from .graph_queries import register
 
 NOW = "2002-06-01 00:00:00"
-RULES = {"approved": ["MIT", "Apache-2.0", "BSD-3-Clause"], "review_required": ["LGPL-2.1-only"], "prohibited": ["GPL-3.0-only"]}
 
 _REPOS = "repos AS (SELECT * FROM {repositories} WHERE enabled AND NOT archived)"
 _LATEST = _REPOS + ", latest AS (SELECT repository_id, stream_key, max(id) AS snapshot_id, max_by(collected_at, id) AS collected_at, max_by(outcome, id) AS outcome FROM {snapshots} WHERE repository_id IN (SELECT id FROM repos) GROUP BY repository_id, stream_key)"
@@ -51,25 +50,16 @@ register("p14_retention", lambda x: p.retention(x.snapshots, 2, [x.components.fi
 register("p16_due", lambda x: p.due_streams(x.snapshots, x.repositories, "2000-01-01 00:00:00"), f"WITH {_REPOS} SELECT repository_id, stream_key, max(collected_at) AS last_attempt FROM {{snapshots}} WHERE repository_id IN (SELECT id FROM repos) GROUP BY repository_id, stream_key HAVING max(collected_at) < TIMESTAMP '2000-01-01'")
 register("p17_share_links", lambda x: p.share_links(x.components.join(_latest(x), "snapshot_id").groupBy("ecosystem").agg(F.collect_set("repository_id").alias("ids")), "ecosystem", "ids", 1000).select("ecosystem", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids")), f"""WITH {_LATEST}, d AS (SELECT DISTINCT ecosystem, repository_id FROM {{components}} JOIN latest USING (snapshot_id)), k AS (SELECT *, row_number() OVER (PARTITION BY ecosystem ORDER BY repository_id) AS rn, count(*) OVER () AS total FROM d)
 SELECT ecosystem, string_agg(repository_id, ',' ORDER BY repository_id) AS ids FROM k WHERE total <= 1000 OR rn <= greatest(floor(1000 / (SELECT count(DISTINCT ecosystem) FROM d)), 1) GROUP BY ecosystem""")
-_FAMILY = "CASE license_raw WHEN 'MIT' THEN 'permissive' WHEN 'Apache-2.0 OR GPL-3.0-only' THEN 'strong_copyleft' WHEN 'LGPL-2.1-only AND MIT' THEN 'weak_copyleft' ELSE 'unknown' END"
-register("p18_families", lambda x: x.components.groupBy(p.license_family(F.col("license_raw")).alias("family")).agg(F.count("*").alias("n")), f"SELECT {_FAMILY} AS family, count(*) AS n FROM {{components}} GROUP BY 1")
-register("p19_license_mix", lambda x: p.license_mix(x.components, _latest(x)), f"WITH {_LATEST} SELECT repository_id, {_FAMILY} AS family, count(*) AS n FROM {{components}} JOIN latest USING (snapshot_id) GROUP BY 1, 2")
 register("p20_assessed", lambda x: p.assessed_share(x.components, _latest(x)), f'WITH {_LATEST} SELECT repository_id, count(status) AS assessed, count(*) AS "all", count(status) / count(*) AS share FROM {{components}} JOIN latest USING (snapshot_id) GROUP BY 1')
 register("s10_purl", lambda x: x.components.select("snapshot_id", "element_id", p.parse_purl(F.col("purl")).alias("u")).select("snapshot_id", "element_id", F.col("u.type").alias("type"), F.col("u.name").alias("name"), F.col("u.version").alias("version"), F.col("u.qualifiers")["arch"].alias("arch")), """SELECT snapshot_id, element_id, CASE WHEN purl IS NOT NULL THEN lower(namespace) END AS type, CASE WHEN purl IS NOT NULL THEN name END AS name, CASE WHEN purl IS NOT NULL THEN split_part(split_part(purl, '@', 2), '?', 1) END AS version, CASE WHEN purl IS NOT NULL THEN split_part(purl, 'arch=', 2) END AS arch FROM {components}""")
 register("s12_csv_cells", lambda x: x.conversations.select("conv_id", "turn", p.csv_cell("text").alias("cell")), "SELECT conv_id, turn, CASE WHEN regexp_matches(coalesce(text, ''), '^[=+\\-@\\t\\r|%]') THEN '''' || text ELSE coalesce(text, '') END AS cell FROM {conversations}")
 register("s11_document_store", lambda x: x.documents.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).groupBy("sha256").agg(F.count("*").alias("n")), "SELECT sha256(coalesce(text, '')) AS sha256, count(*) AS n FROM {documents} GROUP BY 1")
 
 register("l1_raw_kind", lambda x: x.components.groupBy(r.raw_kind(F.col("license_raw")).alias("kind")).agg(F.count("*").alias("n")), "SELECT CASE WHEN license_raw IS NULL THEN 'missing' WHEN upper(trim(license_raw)) IN ('NOASSERTION', 'UNLICENSED') THEN 'sentinel' ELSE 'expression' END AS kind, count(*) AS n FROM {components} GROUP BY 1")
-_EV = "SELECT snapshot_id AS id, ecosystem, namespace, name, license_raw, coalesce(status, 'failed') AS outcome, element_id FROM {components}"
-_ev = lambda x: x.components.select(F.col("snapshot_id").alias("id"), "ecosystem", "namespace", "name", "license_raw", F.coalesce("status", F.lit("failed")).alias("outcome"), "element_id")
 register("l8_changed_evidence", lambda x: r.changed_evidence(x.snapshots, ["repository_id", "stream_key"], "outcome", "id").select("id", "outcome"), "SELECT id, outcome FROM (SELECT *, lag(outcome) OVER w AS b, row_number() OVER w AS no FROM {snapshots} WINDOW w AS (PARTITION BY repository_id, stream_key ORDER BY id)) q WHERE no = 1 OR b IS DISTINCT FROM outcome")
 register("l7_latest_evidence", lambda x: r.latest_evidence(x.snapshots, ["repository_id"]).select("repository_id", "id", "outcome"), """WITH n AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY id DESC) AS no FROM {snapshots}), g AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY id DESC) AS no FROM {snapshots} WHERE outcome <> 'failed')
 SELECT repository_id, id, outcome FROM n WHERE no = 1 UNION ALL SELECT repository_id, id, outcome FROM g WHERE no = 1 AND repository_id IN (SELECT repository_id FROM n WHERE no = 1 AND outcome = 'failed')""")
-register("l11_assess", lambda x: r.assess(_ev(x), ["namespace", "name"]), """SELECT namespace, name, CASE WHEN k > 1 OR (k = 1 AND refused) THEN 'conflict' WHEN k = 1 THEN 'resolved' WHEN refused THEN 'unlicensed' ELSE 'unknown' END AS status, CASE WHEN k = 1 THEN one END AS expression FROM
-(SELECT namespace, name, count(DISTINCT CASE WHEN upper(trim(license_raw)) NOT IN ('NOASSERTION', 'NONE', 'UNLICENSED') THEN trim(license_raw) END) AS k, coalesce(bool_or(upper(trim(license_raw)) IN ('NONE', 'UNLICENSED')), false) AS refused, min(CASE WHEN upper(trim(license_raw)) NOT IN ('NOASSERTION', 'NONE', 'UNLICENSED') THEN trim(license_raw) END) AS one FROM {components} GROUP BY namespace, name) q""")
 register("l13_assessment_counts", lambda x: x.components.groupBy("snapshot_id", F.coalesce("status", F.lit("unassessed")).alias("status")).agg(F.count("*").alias("n")), "SELECT snapshot_id, coalesce(status, 'unassessed') AS status, count(*) AS n FROM {components} GROUP BY 1, 2")
-register("r1_verdicts", lambda x: x.components.groupBy(r.verdict(F.col("license_raw"), RULES).alias("verdict"), "license_raw").agg(F.count("*").alias("n")), """SELECT license_raw, CASE license_raw WHEN 'MIT' THEN 'approved' WHEN 'Apache-2.0 OR GPL-3.0-only' THEN 'approved' WHEN 'LGPL-2.1-only AND MIT' THEN 'review_required' WHEN 'NOASSERTION' THEN 'unknown' WHEN ' unlicensed ' THEN 'unknown' END AS verdict, count(*) AS n FROM {components} GROUP BY license_raw""")
-register("r3_verdict_by_status", lambda x: x.components.groupBy(r.verdict_by_status(F.col("status"), F.coalesce("license_raw", F.lit("")), RULES).alias("verdict")).agg(F.count("*").alias("n")), """SELECT CASE WHEN status IN ('resolved', 'declared') THEN CASE license_raw WHEN 'MIT' THEN 'approved' WHEN 'Apache-2.0 OR GPL-3.0-only' THEN 'approved' WHEN 'LGPL-2.1-only AND MIT' THEN 'review_required' ELSE 'unknown' END WHEN status = 'conflict' THEN 'review_required' WHEN status = 'unlicensed' THEN 'prohibited' ELSE 'unknown' END AS verdict, count(*) AS n FROM {components} GROUP BY 1""")
 register("r4_pending", lambda x: r.pending_evaluation(x.components.select(F.concat_ws("/", "snapshot_id", "element_id").alias("key"), F.col("status").alias("fingerprint")), x.components.filter("is_root").select(F.concat_ws("/", "snapshot_id", "element_id").alias("key"), (F.col("partkey") % 3).alias("policy_id"), F.lit("resolved").alias("fingerprint")), 1), """SELECT concat_ws('/', snapshot_id, element_id) AS key, status AS fingerprint FROM {components} WHERE NOT is_root OR partkey % 3 <> 1 OR status IS DISTINCT FROM 'resolved'""")
 register("r6_superseded", lambda x: r.superseded(x.decisions, ["repository_id", "name"]).select("id", "superseded_by"), "SELECT id, lead(id) OVER (PARTITION BY repository_id, name ORDER BY id) AS superseded_by FROM {decisions}")
 _names = "CASE WHEN is_root THEN 'click' ELSE 'error' END"

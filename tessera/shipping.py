@@ -1,11 +1,12 @@
-"""Let Python workers import this package wherever the driver was started."""
+"""Let Python workers import this package, and keep intermediate tables where every executor finds them."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -14,3 +15,22 @@ def ship(spark: SparkSession) -> None:
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in parts:
         env["PYTHONPATH"] = os.pathsep.join([root, *parts])
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; on a cluster that raises."""
+    sc = spark.sparkContext
+    told = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not told:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        told = tempfile.mkdtemp(prefix="spark-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(told)
+    return told.rstrip("/")
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a written copy in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..shipping import shared_dir
+
 
 def source(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A stream of a Parquet table's files, present and to come."""
@@ -24,8 +25,7 @@ def source(spark: SparkSession, folder: str, table: str) -> DataFrame:
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return its result, kept in the shared folder."""
     spark = stream.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, no: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/{'last' if mode == 'complete' else f'batch={no}'}")
