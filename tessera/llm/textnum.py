@@ -33,11 +33,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+#: Powers of a base are a table of so many and, for what goes beyond it, powers of the next.
+_STEP = 1 << 16
+
+
 @lru_cache(maxsize=2)
-def _powers(base: int, size: int) -> np.ndarray:
-    p = np.full(size, base, dtype=np.uint64)
-    p[0] = 1
-    return np.cumprod(p, dtype=np.uint64)
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base to 0, 1, ... _STEP - 1, and base ** _STEP to 0, 1, ... _STEP - 1: enough for texts of 4 GB."""
+    out = []
+    for b in (base, pow(base, _STEP, 1 << 64)):
+        p = np.full(_STEP, b, dtype=np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out[0], out[1]
 
 
 class Words:
@@ -59,17 +67,21 @@ class Words:
         self.counts = np.diff(self.first_word)
         self.doc = np.repeat(np.arange(self.n_docs, dtype=np.int32), self.counts)
         # bytes weigh by a power of their place; a span's sum divided by that of its start is the same wherever it is
-        self._size = 1 << max(21, len(data).bit_length())
         self._sum = np.zeros(len(data) + 1, dtype=np.uint64)
         part = self._sum[1:]
         np.take(_BYTE, self.low, out=part, mode="clip")
-        part *= _powers(int(_B), self._size)[: len(data)]
+        low, high = _powers(int(_B))
+        for i in range(0, len(data), _STEP):
+            block = part[i : i + _STEP]
+            block *= low[: len(block)]
+            block *= high[i // _STEP]
         np.cumsum(part, dtype=np.uint64, out=part)
         self.hash = self.span_hash(self.start, self.end)
 
     def span_hash(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
         """Hashes of spans that begin where a word begins and end inside it or with it."""
-        return mix((self._sum[end] - self._sum[start]) * _powers(_INVERSE, self._size)[start] + U(salt))
+        low, high = _powers(_INVERSE)
+        return mix((self._sum[end] - self._sum[start]) * low[start % _STEP] * high[start // _STEP] + U(salt))
 
     def shingles(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of each run of k words within a text."""
