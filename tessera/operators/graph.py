@@ -204,6 +204,25 @@ def unresolved_of_files(unresolved: DataFrame, nodes: DataFrame) -> DataFrame:
     return unresolved.join(nodes.select(F.col("occurrence").alias("source"), "path"), "source").select("path", "line", "occurrence", "name", "kind")
 
 
+def unresolved_of(unresolved: DataFrame, req: DataFrame) -> DataFrame:
+    """References out of nodes that nothing resolved, in ordinal order. req: query_id, source."""
+    w = Window.partitionBy("query_id").orderBy("ordinal")
+    return req.join(unresolved, "source").withColumn("no", F.row_number().over(w)).select("query_id", "occurrence", "name", "no")
+
+
+def generated_files(files: DataFrame) -> DataFrame:
+    return files.agg(F.count_if("generated").alias("generated"), F.count("*").alias("total"))
+
+
+def overview_counts(by_category: dict[str, DataFrame]) -> DataFrame:
+    """(category, status, n) of several tables with a status each."""
+    out = None
+    for category, rows in by_category.items():
+        one = rows.select(F.lit(category).alias("category"), "status")
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("category", "status").agg(F.count("*").alias("n"))
+
+
 def classify_files(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
     """Generated by name or flag; ambient: only type declarations, no calls out, nothing comes in from other files."""
     types = ("class", "interface", "enum", "type_alias", "struct", "trait", "protocol")
@@ -248,18 +267,6 @@ def filtered_subgraph(nodes: DataFrame, edges: DataFrame, keep: Column) -> DataF
     return edges.join(own.toDF("source"), "source", "left_semi").join(own.toDF("target"), "target", "left_semi").select("occurrence", "source", "target", "kind")
 
 
-def violations(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
-    """What forbids publishing a generation: (rule, subject)."""
-    known = nodes.select("occurrence")
-    out = nodes.groupBy("occurrence").count().filter("count > 1").select(F.lit("duplicate occurrence").alias("rule"), F.col("occurrence").alias("subject"))
-    for end in ("source", "target"):
-        out = out.unionByName(edges.join(known.toDF(end), end, "left_anti").select(F.lit(f"dangling {end}").alias("rule"), F.col("occurrence").alias("subject")))
-    out = out.unionByName(edges.filter(~F.col("kind").isin(*RELATIONS)).select(F.lit("unknown kind").alias("rule"), F.col("occurrence").alias("subject")))
-    return out.unionByName(edges.filter("confidence < 0 OR confidence > 1").select(F.lit("bad confidence").alias("rule"), F.col("occurrence").alias("subject"))).unionByName(
-        nodes.filter("path IS NOT NULL").join(files.select("path"), "path", "left_anti").select(F.lit("unknown path").alias("rule"), F.col("occurrence").alias("subject"))
-    )
-
-
 def content_hash(rows: DataFrame, by: list[str], columns: list[str] | None = None, least: int = 2) -> DataFrame:
     """Order-free digest of each group's rows: (by, digest, rows).
 

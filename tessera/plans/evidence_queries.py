@@ -16,10 +16,7 @@ register("l12_human", lambda x: ev.with_human(x.decisions.select("repository_id"
 register("e15_page", lambda x: ev.page(x.nodes.select("path", "occurrence"), ["path", "occurrence"], ("src/Brand#12", ""), 40), "SELECT path, occurrence FROM {nodes} WHERE path > 'src/Brand#12' OR (path = 'src/Brand#12' AND occurrence > '') ORDER BY path, occurrence LIMIT 40")
 register("t5_trailing", lambda x: ev.trailing_count(x.events, "user_id", "ts", 24).select("event_id", "trailing"), "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS trailing FROM {events}")
 register("d6_ignored", lambda x: x.files.select("path", ev.ignored(F.col("path"), ["brand#1*/", "!src/brand#12/", "*.pb.go", "!**/large_*.pb.go", "src/brand#2/test_*"]).alias("ignored")), """SELECT path, (regexp_matches(lower(path), '^src/brand#1[^/]*/') AND NOT starts_with(lower(path), 'src/brand#12/')) OR (lower(path) LIKE '%.pb.go' AND NOT regexp_matches(lower(path), '/large_[^/]*\\.pb\\.go$')) OR starts_with(lower(path), 'src/brand#2/test_') AS ignored FROM {files}""")
-register("p15_history_retention", lambda x: ev.history_retention(x.decisions, ["repository_id"], 20, "id").select("id"), "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY repository_id ORDER BY id DESC) AS no FROM {decisions}) q WHERE no > 20")
 _relations = lambda x: x.components.filter("NOT is_root").select("snapshot_id", F.lit("root").alias("from_element"), F.col("element_id").alias("to_element"))
 register("p9_touching", lambda x: ev.touching(_relations(x), x.components.filter("status = 'conflict'").select("snapshot_id", F.col("element_id").alias("element")).unionByName(x.components.filter("status = 'unlicensed' AND is_root").select("snapshot_id", F.lit("root").alias("element")))).groupBy("snapshot_id").agg(F.count("*").alias("n")), """WITH r AS (SELECT snapshot_id, element_id FROM {components} WHERE NOT is_root) SELECT snapshot_id, count(*) AS n FROM (SELECT snapshot_id FROM r JOIN (SELECT DISTINCT snapshot_id, element_id FROM {components} WHERE status = 'conflict') c USING (snapshot_id, element_id)
 UNION ALL SELECT snapshot_id FROM r WHERE snapshot_id IN (SELECT snapshot_id FROM {components} WHERE status = 'unlicensed' AND is_root)) q GROUP BY snapshot_id""")
-register("t4_import_once", lambda x: x.snapshots.groupBy("repository_id", "stream_key", "digest").agg(F.min("id").alias("id")), "SELECT repository_id, stream_key, digest, min(id) AS id FROM {snapshots} GROUP BY 1, 2, 3")
-register("a12_unresolved_of", lambda x: x.unresolved.select("source", "occurrence", "name", "ordinal"), "SELECT source, occurrence, name, ordinal FROM {unresolved}")
 register("v9_listing", lambda x: lc.repository_status(x.repositories, x.snapshots.select("repository_id", (F.col("outcome") == "published").alias("at_indexed_commit"))).groupBy("state").agg(F.count("*").alias("n")), "SELECT state, count(*) AS n FROM (SELECT CASE WHEN o IS NULL THEN 'absent' WHEN o THEN 'current' ELSE 'stale' END AS state FROM {repositories} LEFT JOIN (SELECT repository_id, bool_or(outcome = 'published') AS o FROM {snapshots} GROUP BY 1) s ON repository_id = id) q GROUP BY state")

@@ -92,8 +92,6 @@ register("a14_classify_files", lambda x: g.classify_files(x.nodes, x.edges, x.fi
 c AS (SELECT DISTINCT s.path FROM {edges} e JOIN {nodes} s ON e.source = s.occurrence WHERE e.kind IN ('calls', 'instantiates')),
 i AS (SELECT DISTINCT d.path FROM {edges} e JOIN {nodes} s ON e.source = s.occurrence JOIN {nodes} d ON e.target = d.occurrence WHERE e.kind <> 'contains' AND s.path <> d.path)
 SELECT f.path, f.generated OR regexp_matches(f.path, '(\\.pb\\.go|_generated\\.|\\.min\\.js)$') AS generated, coalesce(ty, false) AND f.path NOT IN (SELECT path FROM c) AND f.path NOT IN (SELECT path FROM i) AS ambient FROM {files} f LEFT JOIN t USING (path)""")
-register("a15_generated_files", lambda x: x.files.agg(F.count_if("generated").alias("generated"), F.count("*").alias("total")), "SELECT count(*) FILTER (generated) AS generated, count(*) AS total FROM {files}")
-register("a16_overview", lambda x: x.repositories.select(F.lit("repository").alias("category"), "status").unionByName(x.snapshots.select(F.lit("snapshot").alias("category"), F.col("outcome").alias("status"))).groupBy("category", "status").agg(F.count("*").alias("n")), "SELECT 'repository' AS category, status, count(*) AS n FROM {repositories} GROUP BY status UNION ALL SELECT 'snapshot', outcome, count(*) FROM {snapshots} GROUP BY outcome")
 register("a17_queue_depth", lambda x: g.by_status(x.snapshots, "outcome", ["published", "failed", "queued", "unchanged", "running"]), "SELECT s AS outcome, count(id) AS n FROM (SELECT unnest(['published', 'failed', 'queued', 'unchanged', 'running']) AS s) q LEFT JOIN {snapshots} ON outcome = s GROUP BY s")
 
 _STEP = "step AS (SELECT DISTINCT source AS s, target AS t FROM {edges} WHERE kind IN (%s) AND (confidence IS NULL OR confidence >= %s))"
@@ -109,9 +107,6 @@ i AS (SELECT query_id, root AS node, 0 AS depth FROM {requests} UNION SELECT que
 register("g8_usages", lambda x: g.usages(x.edges, x.requests).select("query_id", "neighbor", "kind", "edge", "rank"), """SELECT query_id, source AS neighbor, kind, occurrence AS edge, list_position(['contains', 'calls', 'imports', 'exports', 'extends', 'implements', 'references', 'type_of', 'returns', 'instantiates', 'overrides', 'decorates', 'navigates'], kind) AS rank FROM {requests} JOIN {edges} ON target = root""")
 register("g14_subtypes", lambda x: g.subtype_counts(x.edges), "SELECT target, count(*) AS subtypes, count(*) FILTER (NOT ext) AS implementers, count(*) FILTER (NOT ext) >= 8 AS polymorphic FROM (SELECT target, source, bool_or(kind = 'extends') AS ext FROM {edges} WHERE kind IN ('extends', 'implements') GROUP BY target, source) q GROUP BY target")
 register("g16_subgraph", lambda x: g.filtered_subgraph(x.nodes, x.edges, F.col("is_exported") & F.col("kind").isin("class", "method", "function")), "SELECT e.occurrence, source, target, e.kind FROM {edges} e JOIN {nodes} s ON source = s.occurrence JOIN {nodes} d ON target = d.occurrence WHERE s.is_exported AND d.is_exported AND s.kind IN ('class', 'method', 'function') AND d.kind IN ('class', 'method', 'function')")
-register("s2_violations", lambda x: g.violations(x.nodes, x.edges, x.files), """SELECT 'dangling source' AS rule, occurrence AS subject FROM {edges} WHERE source NOT IN (SELECT occurrence FROM {nodes}) UNION ALL SELECT 'dangling target', occurrence FROM {edges} WHERE target NOT IN (SELECT occurrence FROM {nodes})
-UNION ALL SELECT 'duplicate occurrence', occurrence FROM {nodes} GROUP BY occurrence HAVING count(*) > 1 UNION ALL SELECT 'bad confidence', occurrence FROM {edges} WHERE confidence < 0 OR confidence > 1""")
-
 _HASH = """SELECT kind, sha256(string_agg(part, ',' ORDER BY part)) AS digest, sum(n)::BIGINT AS rows FROM (SELECT kind, concat_ws(':', b, n, w0 % 18446744073709551616::HUGEINT, w1 % 18446744073709551616::HUGEINT, w2 % 18446744073709551616::HUGEINT, w3 % 18446744073709551616::HUGEINT) AS part, n FROM
 (SELECT kind, h[1:2] AS b, count(*) AS n, sum(('0x' || h[1:16])::UBIGINT) AS w0, sum(('0x' || h[17:32])::UBIGINT) AS w1, sum(('0x' || h[33:48])::UBIGINT) AS w2, sum(('0x' || h[49:64])::UBIGINT) AS w3 FROM
 (SELECT kind, sha256(concat('{{"occurrence":"', occurrence, '","source":"', source, '","target":"', target, '"}}')) AS h FROM {edges}) r GROUP BY kind, b) q) p GROUP BY kind"""

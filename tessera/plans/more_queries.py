@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import navigation as n
-from ..operators import traverse as t
-from ..sources import sbom
 from ..streaming import streams as st
 from .bindings import Facts
 from .graph_queries import register
@@ -36,38 +34,6 @@ SELECT DISTINCT query_id, upload_id, path, start_line, start_character, symbol F
 register("n4_enclosing", lambda x: n.enclosing(_sql(x, _REF, "events"), _sql(x, _DEF, "orders")), f"""WITH d AS ({_DEF}), q AS ({_REF}) SELECT reference_id, definition_id FROM (SELECT reference_id, definition_id, row_number() OVER (PARTITION BY reference_id ORDER BY from_line DESC, to_line, definition_id DESC) AS r FROM q JOIN d USING (upload_id, path) WHERE from_line <= line AND line <= to_line) w WHERE r = 1""")
 
 
-def _bodies(x: Facts) -> DataFrame:
-    comps = x.components.select(F.col("snapshot_id").alias("document_id"), F.xxhash64("element_id").alias("ordinal"), "element_id", "name", "version", "purl", "license_raw", "is_root")
-    return sbom.export(comps, {"name": "inventory", "created": "2024-01-01T00:00:00Z", "tool": "inventory"})
-
-
-def _ingested(x: Facts) -> DataFrame:
-    parsed = sbom.parse(_bodies(x))
-    comps = sbom.components(parsed)
-    rels = sbom.relationships(parsed, comps)
-    a = comps.groupBy("document_id").agg(F.count("*").alias("components"), F.count("purl").alias("purls"), F.count_if(F.col("version").isNull()).alias("without_version"))
-    b = rels.groupBy("document_id").agg(F.count_if("resolved").alias("resolved"))
-    c = sbom.roots(parsed, comps, rels).groupBy("document_id").agg(F.count("*").alias("roots"))
-    return a.join(b, "document_id", "left").join(c, "document_id", "left").select("document_id", "components", "purls", "without_version", F.coalesce("resolved", F.lit(0)).alias("resolved"), F.coalesce("roots", F.lit(0)).alias("roots"))
-
-
-register("s7_spdx_round_trip", _ingested, "SELECT snapshot_id AS document_id, count(*) AS components, count(purl) AS purls, count(*) FILTER (version IS NULL) AS without_version, count(*) AS resolved, count(*) FILTER (is_root) AS roots FROM {components} GROUP BY snapshot_id")
-register("s9_detect", lambda x: _bodies(x).groupBy(sbom.detect(F.col("body")).alias("format")).agg(F.count("*").alias("n")), "SELECT 'spdx' AS format, count(DISTINCT snapshot_id) AS n FROM {components}")
-def _scope(x: Facts) -> DataFrame:
-    """Root, direct or transitive by steps over the order's lines: each line depends on the next part of its snapshot."""
-    e = x.edges.filter("kind <> 'contains'").select("occurrence", F.concat_ws("/", F.split("occurrence", ":")[1], "source").alias("source"), F.concat_ws("/", F.split("occurrence", ":")[1], "target").alias("target"), F.lit("references").alias("kind"), F.lit(None).cast("double").alias("confidence"))
-    roots = x.components.filter("is_root").select(F.col("snapshot_id").alias("query_id"), F.concat_ws("/", F.col("snapshot_id").cast("string"), F.concat(F.lit("part:"), F.col("partkey").cast("string"))).alias("node"))
-    reached = t.bfs(t.steps(e, ["references"], "outgoing"), roots, 64)
-    return reached.select("query_id", "node", F.when(F.col("depth") == 0, "root").when(F.col("depth") == 1, "direct").otherwise("transitive").alias("scope"))
-
-
-register("g22_dependency_scope", _scope, """WITH RECURSIVE s AS (SELECT DISTINCT concat(split_part(occurrence, ':', 2), '/', source) AS s, concat(split_part(occurrence, ':', 2), '/', target) AS t FROM {edges} WHERE kind <> 'contains'),
-w AS (SELECT snapshot_id AS query_id, concat(CAST(snapshot_id AS VARCHAR), '/part:', CAST(partkey AS VARCHAR)) AS node, 0 AS depth FROM {components} WHERE is_root UNION SELECT query_id, t, depth + 1 FROM w JOIN s ON s = node WHERE depth < 20)
-SELECT query_id, node, CASE min(depth) WHEN 0 THEN 'root' WHEN 1 THEN 'direct' ELSE 'transitive' END AS scope FROM w GROUP BY query_id, node""")
-
 _events = lambda x: st.source(x.spark, x.sf_dir, "events")
 register("t1_deliveries", lambda x: st.drain(st.first_deliveries(_events(x).withColumn("delivery_id", F.concat_ws(":", "user_id", "event_type")))).select("delivery_id"), "SELECT DISTINCT concat_ws(':', user_id, event_type) AS delivery_id FROM {events}")
-register("t2_targets", lambda x: x.events.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("target")), "SELECT user_id, arg_max(event_id, (ts, event_id)) AS target FROM {events} GROUP BY user_id")
-register("t3_publications", lambda x: st.drain(st.publications(_events(x).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.floor("value") % 3).alias("digest")))), "SELECT user_id AS key, event_id AS id, CASE WHEN lag(floor(value)::BIGINT % 3) OVER (PARTITION BY user_id ORDER BY event_id) = floor(value)::BIGINT % 3 THEN 'unchanged' ELSE 'published' END AS outcome FROM {events}")
 register("t5_quota", lambda x: st.drain(st.sliding_quota(_events(x), "user_id"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz")), "SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS start, count(*) AS n FROM {events}, (SELECT unnest([0, 1, 2, 3]) AS k) o GROUP BY 1, 2")
-register("t6_pointers", lambda x: st.drain(st.pointers(_events(x), "user_id", "ts", "event_id"), "complete").withColumn("last_at", F.col("last_at").cast("timestamp_ntz")), "SELECT user_id, max(ts) AS last_at, max(event_id) AS last_id, count(*) AS n FROM {events} GROUP BY user_id")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import graph_queries
 from . import evidence_queries as _evidence  # noqa: F401  registers its queries
 from . import inspect_queries as _inspect  # noqa: F401  registers its queries
+from . import inventory_queries as _inventory  # noqa: F401  registers its queries
 from . import license_queries as _license  # noqa: F401  registers its queries
 from . import lifecycle_queries as _lifecycle  # noqa: F401  registers its queries
 from . import more_queries as _more  # noqa: F401  registers its queries

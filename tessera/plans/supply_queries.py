@@ -23,19 +23,8 @@ def _latest(x: Facts) -> DataFrame:
 
 register("v1_authorised", lambda x: p.authorised(x.repositories, x.nation.filter("n_regionkey < 3").select(F.col("n_nationkey").cast("long").alias("id"))).select("id", "name"), "SELECT id, name FROM {repositories} WHERE enabled AND NOT archived AND installation_id IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey < 3)")
 register("p1_latest", _latest, f"WITH {_LATEST} SELECT * FROM latest")
-register("p2_overview", lambda x: p.overview(p.authorised(x.repositories), _latest(x), NOW, 200), f"""WITH {_LATEST}, st AS (SELECT repository_id, max(collected_at) AS seen_at, arg_max(outcome, (collected_at, snapshot_id)) AS outcome FROM latest GROUP BY repository_id)
-SELECT count(*) AS repositories, count(seen_at) AS with_inventory, count(*) FILTER (seen_at < TIMESTAMP '{NOW}' - INTERVAL 400 DAY) AS stale, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (seen_at IS NULL) AS never, min(seen_at) AS oldest, max(seen_at) AS newest FROM repos LEFT JOIN st ON repository_id = id""")
 register("p3_by_ecosystem", lambda x: p.coordinates_by_ecosystem(x.components), """SELECT ecosystem, sum(n)::BIGINT AS occurrences, count(*) AS coordinates, sum(b)::BIGINT AS without_purl, sum(CASE WHEN version IS NULL THEN n ELSE 0 END)::BIGINT AS without_version FROM
 (SELECT ecosystem, namespace, name, version, count(*) AS n, count(*) FILTER (purl IS NULL) AS b FROM {components} GROUP BY ALL) q GROUP BY ecosystem""")
-register("p4_component_page", lambda x: p.component_page(x.components, search="bolt"), """SELECT ecosystem, namespace, name, version, count(*) AS occurrences, count(DISTINCT snapshot_id) AS snapshots,
-CASE WHEN count(DISTINCT status) = 0 THEN 'unassessed' WHEN count(DISTINCT status) = 1 AND count(status) = count(*) THEN max(status) ELSE 'mixed' END AS label
-FROM {components} WHERE contains(lower(name), 'bolt') OR contains(lower(coalesce(purl, '')), 'bolt') GROUP BY ecosystem, namespace, name, version""")
-_SHARED = _LATEST + """, pr AS (SELECT DISTINCT ecosystem, namespace, name, repository_id FROM {components} JOIN latest USING (snapshot_id)),
-oc AS (SELECT ecosystem, namespace, name, count(*) AS occurrences, coalesce(bool_or(status IN ('conflict', 'unlicensed')), false) AS risky FROM {components} JOIN latest USING (snapshot_id) GROUP BY ALL),
-sh AS (SELECT ecosystem, namespace, name, count(*) AS repositories FROM pr GROUP BY ALL HAVING count(*) >= 3),
-top AS (SELECT sh.*, occurrences, risky, (SELECT count(*) FROM sh) AS matching FROM sh JOIN oc USING (ecosystem, namespace, name) ORDER BY repositories DESC, ecosystem, namespace, name LIMIT 150)"""
-register("p5_shared", lambda x: p.shared_packages(x.components, _latest(x), 3, 150), f"WITH {_SHARED} SELECT * FROM top")
-register("p21_bipartite", lambda x: p.bipartite_edges(x.components, _latest(x), p.shared_packages(x.components, _latest(x), 3, 150)), f"WITH {_SHARED} SELECT DISTINCT concat_ws(chr(1), ecosystem, namespace, name) AS package, repository_id FROM pr JOIN top USING (ecosystem, namespace, name)")
 register("p6_facets", lambda x: p.facets(x.components, {"ecosystem": 10, "status": 20, "license_raw": 50}), """WITH v AS (SELECT 'ecosystem' AS facet, ecosystem AS value FROM {components} UNION ALL SELECT 'status', coalesce(status, 'unassessed') FROM {components} UNION ALL SELECT 'license_raw', coalesce(license_raw, 'none') FROM {components}),
 c AS (SELECT facet, value, count(*) AS n FROM v GROUP BY facet, value), k AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS rn FROM c) SELECT facet, value, n FROM k WHERE rn <= CASE facet WHEN 'ecosystem' THEN 10 WHEN 'status' THEN 20 ELSE 50 END""")
 _WANT = "SELECT p_brand AS ecosystem, p_type AS namespace, p_name AS name, 'R1' AS version FROM {part}"
@@ -47,14 +36,10 @@ register("p12_inventory_status", lambda x: p.inventory_status(p.authorised(x.rep
 SELECT id, CASE WHEN seen_at IS NULL THEN 'never' WHEN outcome = 'failed' THEN 'failed' WHEN epoch(TIMESTAMP '{NOW}') - epoch(seen_at) > 400 * 86400 THEN 'stale' ELSE 'current' END AS state, CAST(epoch(TIMESTAMP '{NOW}') - epoch(seen_at) AS BIGINT) AS age FROM repos LEFT JOIN st ON repository_id = id""")
 register("p13_history", lambda x: p.history(x.snapshots, 3), "SELECT * FROM (SELECT repository_id, id, outcome, row_number() OVER (PARTITION BY repository_id ORDER BY id DESC) AS no FROM {snapshots}) q WHERE no <= 3")
 register("p14_retention", lambda x: p.retention(x.snapshots, 2, [x.components.filter("status = 'conflict'").select(F.col("snapshot_id").alias("id"))]), "SELECT id, repository_id, stream_key FROM (SELECT *, row_number() OVER (PARTITION BY repository_id, stream_key ORDER BY id DESC) AS no FROM {snapshots}) q WHERE no > 2 AND id NOT IN (SELECT snapshot_id FROM {components} WHERE status = 'conflict')")
-register("p16_due", lambda x: p.due_streams(x.snapshots, x.repositories, "2000-01-01 00:00:00"), f"WITH {_REPOS} SELECT repository_id, stream_key, max(collected_at) AS last_attempt FROM {{snapshots}} WHERE repository_id IN (SELECT id FROM repos) GROUP BY repository_id, stream_key HAVING max(collected_at) < TIMESTAMP '2000-01-01'")
 register("p17_share_links", lambda x: p.share_links(x.components.join(_latest(x), "snapshot_id").groupBy("ecosystem").agg(F.collect_set("repository_id").alias("ids")), "ecosystem", "ids", 1000).select("ecosystem", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids")), f"""WITH {_LATEST}, d AS (SELECT DISTINCT ecosystem, repository_id FROM {{components}} JOIN latest USING (snapshot_id)), k AS (SELECT *, row_number() OVER (PARTITION BY ecosystem ORDER BY repository_id) AS rn, count(*) OVER () AS total FROM d)
 SELECT ecosystem, string_agg(repository_id, ',' ORDER BY repository_id) AS ids FROM k WHERE total <= 1000 OR rn <= greatest(floor(1000 / (SELECT count(DISTINCT ecosystem) FROM d)), 1) GROUP BY ecosystem""")
 register("p20_assessed", lambda x: p.assessed_share(x.components, _latest(x)), f'WITH {_LATEST} SELECT repository_id, count(status) AS assessed, count(*) AS "all", count(status) / count(*) AS share FROM {{components}} JOIN latest USING (snapshot_id) GROUP BY 1')
-register("s10_purl", lambda x: x.components.select("snapshot_id", "element_id", p.parse_purl(F.col("purl")).alias("u")).select("snapshot_id", "element_id", F.col("u.type").alias("type"), F.col("u.name").alias("name"), F.col("u.version").alias("version"), F.col("u.qualifiers")["arch"].alias("arch")), """SELECT snapshot_id, element_id, CASE WHEN purl IS NOT NULL THEN lower(namespace) END AS type, CASE WHEN purl IS NOT NULL THEN name END AS name, CASE WHEN purl IS NOT NULL THEN split_part(split_part(purl, '@', 2), '?', 1) END AS version, CASE WHEN purl IS NOT NULL THEN split_part(purl, 'arch=', 2) END AS arch FROM {components}""")
 register("s12_csv_cells", lambda x: x.conversations.select("conv_id", "turn", p.csv_cell("text").alias("cell")), "SELECT conv_id, turn, CASE WHEN regexp_matches(coalesce(text, ''), '^[=+\\-@\\t\\r|%]') THEN '''' || text ELSE coalesce(text, '') END AS cell FROM {conversations}")
-register("s11_document_store", lambda x: x.documents.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).groupBy("sha256").agg(F.count("*").alias("n")), "SELECT sha256(coalesce(text, '')) AS sha256, count(*) AS n FROM {documents} GROUP BY 1")
-
 register("l1_raw_kind", lambda x: x.components.groupBy(r.raw_kind(F.col("license_raw")).alias("kind")).agg(F.count("*").alias("n")), "SELECT CASE WHEN license_raw IS NULL THEN 'missing' WHEN upper(trim(license_raw)) IN ('NOASSERTION', 'UNLICENSED') THEN 'sentinel' ELSE 'expression' END AS kind, count(*) AS n FROM {components} GROUP BY 1")
 register("l8_changed_evidence", lambda x: r.changed_evidence(x.snapshots, ["repository_id", "stream_key"], "outcome", "id").select("id", "outcome"), "SELECT id, outcome FROM (SELECT *, lag(outcome) OVER w AS b, row_number() OVER w AS no FROM {snapshots} WINDOW w AS (PARTITION BY repository_id, stream_key ORDER BY id)) q WHERE no = 1 OR b IS DISTINCT FROM outcome")
 register("l7_latest_evidence", lambda x: r.latest_evidence(x.snapshots, ["repository_id"]).select("repository_id", "id", "outcome"), """WITH n AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY id DESC) AS no FROM {snapshots}), g AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY id DESC) AS no FROM {snapshots} WHERE outcome <> 'failed')

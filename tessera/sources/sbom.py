@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import normalise
+from ..shipping import durable
+from .purl import parse_purl
+
 SPDX = """spdxVersion string, SPDXID string, name string, documentNamespace string, dataLicense string,
 creationInfo struct<created: string, creators: array<string>>, documentDescribes array<string>,
 packages array<struct<SPDXID: string, name: string, versionInfo: string, licenseDeclared: string, licenseConcluded: string, supplier: string,
@@ -18,6 +22,12 @@ def detect(body: Column) -> Column:
     return F.when(opened & F.get_json_object(body, "$.spdxVersion").isNotNull(), "spdx").when(opened & F.get_json_object(body, "$.bomFormat").isNotNull(), "cyclonedx").otherwise("unknown")
 
 
+def store(documents: DataFrame, body: str = "body") -> DataFrame:
+    """(sha256, body, n): identical bodies share one row, named by the digest of their bytes; null counts as empty."""
+    text = F.coalesce(F.col(body), F.lit(""))
+    return documents.select(F.sha2(text, 256).alias("sha256"), text.alias("body")).groupBy("sha256").agg(F.first("body").alias("body"), F.count("*").alias("n"))
+
+
 def parse(documents: DataFrame) -> DataFrame:
     """documents (document_id, body) with the parsed struct d; bodies that aren't SPDX 2.3 are left out."""
     d = documents.withColumn("d", F.from_json("body", SPDX)).filter(F.upper("d.spdxVersion") == "SPDX-2.3")
@@ -33,8 +43,8 @@ def components(parsed: DataFrame) -> DataFrame:
     purl = F.filter("p.externalRefs", lambda r: F.lower(r["referenceType"]) == "purl")
     return p.select(
         "document_id", "ordinal", element.alias("element_id"), F.coalesce(F.nullif("p.name", F.lit("")), element).alias("name"), F.col("p.versionInfo").alias("version"),
-        F.try_element_at(purl, F.lit(1))["referenceLocator"].alias("purl"), F.coalesce(F.size(purl), F.lit(0)).alias("purls"), F.col("p.licenseDeclared").alias("license_declared"), F.col("p.licenseConcluded").alias("license_concluded"), F.col("no") > 1, F.col("p.SPDXID").alias("given_id"),
-    ).withColumnRenamed("(no > 1)", "duplicate")
+        F.try_element_at(purl, F.lit(1))["referenceLocator"].alias("purl"), F.coalesce(F.size(purl), F.lit(0)).alias("purls"), F.col("p.licenseDeclared").alias("license_declared"), F.col("p.licenseConcluded").alias("license_concluded"), (F.col("no") > 1).alias("duplicate"), F.coalesce("p.name", F.lit("")).alias("given_name"), F.col("p.SPDXID").alias("given_id"),
+    )
 
 
 def relationships(parsed: DataFrame, comps: DataFrame) -> DataFrame:
@@ -60,7 +70,21 @@ def roots(parsed: DataFrame, comps: DataFrame, rels: DataFrame) -> DataFrame:
 
 def warnings(parsed: DataFrame, comps: DataFrame, rels: DataFrame) -> DataFrame:
     """(document_id, code, n): structural problems, counted."""
+    parsed, comps, rels = durable(parsed), durable(comps), durable(rels)  # each is read by many checks
+    p = comps.withColumn("u", parse_purl(F.col("purl")))
+    created = F.nullif(F.col("d.creationInfo.created"), F.lit(""))
+    told = parsed.select("document_id", "root_id", F.explode("d.documentDescribes").alias("element_id")).unionByName(rels.filter("relationship = 'DESCRIBES' AND from_element = root_id").select("document_id", "root_id", F.col("to_element").alias("element_id"))).unionByName(rels.filter("relationship = 'DESCRIBED_BY' AND to_element = root_id").select("document_id", "root_id", F.col("from_element").alias("element_id")))
+    known = comps.select("document_id", "element_id").distinct()
     each = [
+        parsed.filter(created.isNotNull() & F.try_to_timestamp(created).isNull()).select("document_id", F.lit("created_invalid").alias("code")),
+        parsed.filter(~F.coalesce(F.exists("d.creationInfo.creators", lambda c: F.trim(c).startswith("Tool:")), F.lit(False))).select("document_id", F.lit("creator_tool_missing").alias("code")),
+        comps.filter("given_name = ''").select("document_id", F.lit("package_name_missing").alias("code")),
+        p.filter("purl IS NOT NULL AND u IS NULL").select("document_id", F.lit("package_purl_invalid").alias("code")),
+        p.filter("version <> u.version").select("document_id", F.lit("package_version_mismatch").alias("code")),
+        told.filter("element_id = root_id").select("document_id", F.lit("root_is_document").alias("code")),
+        told.filter("element_id <> root_id").join(known, ["document_id", "element_id"], "left_anti").select("document_id", F.lit("root_unresolved").alias("code")),
+        rels.filter("relationship = '' OR coalesce(from_element, '') = '' OR coalesce(to_element, '') = ''").select("document_id", F.lit("relationship_incomplete").alias("code")),
+        parsed.select("document_id").join(roots(parsed, comps, rels).select("document_id").distinct(), "document_id", "left_anti").select("document_id", F.lit("root_missing").alias("code")),
         parsed.filter(F.col("d.SPDXID").isNull() | (F.col("d.SPDXID") == "")).select("document_id", F.lit("document_id_missing").alias("code")),
         parsed.filter(F.col("d.creationInfo.created").isNull()).select("document_id", F.lit("created_missing").alias("code")),
         comps.filter(F.coalesce("given_id", F.lit("")) == "").select("document_id", F.lit("package_id_missing").alias("code")),
@@ -68,7 +92,7 @@ def warnings(parsed: DataFrame, comps: DataFrame, rels: DataFrame) -> DataFrame:
         comps.filter(F.coalesce("version", F.lit("")) == "").select("document_id", F.lit("package_version_missing").alias("code")),
         comps.filter("purls = 0").select("document_id", F.lit("package_purl_missing").alias("code")),
         comps.filter("purls > 1").select("document_id", F.lit("package_purl_multiple").alias("code")),
-        rels.filter("NOT resolved AND relationship <> ''").select("document_id", F.lit("relationship_unresolved").alias("code")),
+        rels.filter("NOT resolved AND relationship <> '' AND coalesce(from_element, '') <> '' AND coalesce(to_element, '') <> ''").select("document_id", F.lit("relationship_unresolved").alias("code")),
     ]
     out = each[0]
     for e in each[1:]:
@@ -77,10 +101,18 @@ def warnings(parsed: DataFrame, comps: DataFrame, rels: DataFrame) -> DataFrame:
 
 
 def export(comps: DataFrame, header: dict[str, str]) -> DataFrame:
-    """(document_id, body): one SPDX 2.3 JSON document per snapshot. comps: document_id, ordinal, element_id, name, version, purl, license_raw, is_root."""
-    sanitised = F.concat(F.lit("SPDXRef-"), F.regexp_replace("element_id", "[^A-Za-z0-9.-]", "-"))
+    """(document_id, body): one SPDX 2.3 JSON document per snapshot. comps: document_id, ordinal, element_id, name, version, purl, license_raw, is_root.
+
+    Ids are sanitised and stay unique within a document. Licences that parse are declared in canonical form; others go to a
+    comment and nothing is asserted.
+    """
+    clean = F.regexp_replace("element_id", "[^A-Za-z0-9.-]", "-")
+    base = F.when(F.col("element_id").startswith("SPDXRef-"), clean).otherwise(F.concat(F.lit("SPDXRef-"), clean))
+    comps = normalise(comps.withColumn("base", base), "license_raw").withColumn("same", F.row_number().over(Window.partitionBy("document_id", "base").orderBy("ordinal", "element_id")))
+    sanitised = F.when(F.col("same") > 1, F.concat("base", F.lit("-"), F.col("same").cast("string"))).otherwise(F.col("base"))
+    usable = F.col("expression_status").isin("parsed", "unknown_terms")
     package = F.struct(
-        "ordinal", "is_root", sanitised.alias("SPDXID"), "name", F.col("version").alias("versionInfo"), F.col("license_raw").alias("licenseDeclared"),
+        "ordinal", "is_root", sanitised.alias("SPDXID"), "name", F.col("version").alias("versionInfo"), F.when(usable, F.col("expression")).otherwise("NOASSERTION").alias("licenseDeclared"), F.when(~usable & (F.trim("license_raw") != ""), F.concat(F.lit("declared as: "), F.col("license_raw"))).alias("licenseComments"),
         F.when(F.col("purl").isNotNull(), F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), F.col("purl").alias("referenceLocator")))).alias("externalRefs"),
     )
     by = comps.groupBy("document_id").agg(F.array_sort(F.collect_list(package)).alias("p"))
