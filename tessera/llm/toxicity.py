@@ -159,111 +159,6 @@ def _lower(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
         yield part, *utf8(pc.utf8_lower(pc.fill_null(part.column(text), "").cast(pa.large_string())))
 
 
-def score(self, n: int, doc: np.ndarray, term: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(n, *self.rows(n, doc, term))[0], -35, 35)))
-
-    def fit(self, n: int, doc: np.ndarray, term: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 0.05, l2: float = 1e-3, batch: int = 512, seed: int = 11) -> None:
-        doc, at = self.rows(n, doc, term)
-        begin = np.searchsorted(doc, np.arange(n + 1))
-        base = min(max(y.mean(), 1e-3), 1 - 1e-3) if n else 0.5
-        self.b = float(np.log(base / (1 - base)))
-        rng = np.random.default_rng(seed)
-        state = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in (("w", self.w), ("v", self.v), ("b", np.zeros(1)))}
-        step = 0
-        for _ in range(epochs if n else 0):
-            for rows in np.array_split(rng.permutation(n), max(1, n // batch)):
-                ln = begin[rows + 1] - begin[rows]
-                flat = np.repeat(begin[rows], ln) + np.arange(ln.sum()) - np.repeat(np.cumsum(ln) - ln, ln)
-                own, a = np.repeat(np.arange(len(rows)), ln), at[flat]
-                m, s = self.margin(len(rows), own, a)
-                g = (1 / (1 + np.exp(-np.clip(m, -35, 35))) - y[rows]) / len(rows)
-                used, back = np.unique(a, return_inverse=True)
-                gw = np.bincount(back, weights=g[own], minlength=len(used)) + l2 * self.w[used] / len(rows)
-                gv = np.stack([np.bincount(back, weights=g[own] * (s[own, f] - self.v[a, f]), minlength=len(used)) for f in range(self.v.shape[1])], axis=1) + l2 * self.v[used]
-                step += 1
-                for k, grad, idx in (("w", gw, used), ("v", gv, used), ("b", np.array([g.sum()]), slice(None))):
-                    m1, m2 = state[k]
-                    m1[idx] = 0.9 * m1[idx] + 0.1 * grad
-                    m2[idx] = 0.999 * m2[idx] + 0.001 * grad**2
-                    move = rate * (m1[idx] / (1 - 0.9**step)) / (np.sqrt(m2[idx] / (1 - 0.999**step)) + 1e-8)
-                    if k == "b":
-                        self.b -= float(move[0])
-                    else:
-                        getattr(self, k)[idx] -= move
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "toxic", rows: int = SAMPLE_ROWS, factors: int = 6, max_terms: int = TERMS, min_docs: int = 3, min_chi: float = 20.0) -> FactorizationMachine:
-    """A machine fitted on at most `rows` labelled documents outside the held-out fold.
-
-    Executors hash the terms of the sampled texts and count, per term, the documents of each label; the max_terms terms
-    with the largest chi-square stay (never one of fewer than min_docs documents or less than min_chi). The same screen
-    follows among the documents that hold one of these terms, for terms that only tell something beside them, such as the
-    name of a group beside an insult. Only those terms of the sampled texts reach the driver: at most 2 * rows * max_terms
-    small integers. Null and empty texts count like others, repeated rows each, ties of chi-square go by term; with no
-    labelled document the machine has no terms and a base rate of one half.
-    """
-    known = sampled_docs(docs, sample(labels, target, id_col, rows), id_col, text_col)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in _lower(batches, "_text"):
-            d, t = terms(Words(data, offsets, ALNUM))
-            cut = np.searchsorted(d, np.arange(part.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_y"), pa.ListArray.from_arrays(pa.array(cut), pa.array(t.astype(np.int32)))], names=["id", "y", "t"])
-
-    kind = known.schema["_id"].dataType.simpleString()
-
-    def screen(beside: np.ndarray | None) -> np.ndarray:
-        """The terms that tell most, among all sampled documents or those that hold one of the terms beside."""
-
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, data, offsets in _lower(batches, "_text"):
-                d, t = terms(Words(data, offsets, ALNUM))
-                rows = np.arange(part.num_rows) if beside is None else np.unique(d[np.isin(t, beside)])
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(part.num_rows + 1)).astype(np.int32)), pa.array(t.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("_y").take(pa.array(rows)), lists.take(pa.array(rows))], names=["y", "t"])
-
-        hashed = known.select("_text", "_y").mapInArrow(pairs, "y int, t array<int>")
-        # -1 counts the documents
-        by_term = hashed.select("y", F.explode(F.concat("t", F.array(F.lit(-1)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("pos")).filter(F.col("df") >= min_docs)
-        by_term = durable(by_term)
-        total = by_term.filter("term = -1").first()
-        if total is None:
-            return np.zeros(0, dtype=np.int64)
-        n, p = total["df"], total["pos"]
-        lift = (F.col("pos") * n - F.col("df") * p).cast("double")
-        chi = F.lit(float(n)) * lift * lift / (F.col("df").cast("double") * (n - F.col("df") + 1) * max(p, 1) * max(n - p, 1))
-        return by_term.filter("term >= 0").select("term", chi.alias("c")).filter(F.col("c") >= min_chi).orderBy(F.desc("c"), "term").limit(max_terms).toPandas()["term"].to_numpy(dtype=np.int64)
-
-    slots = np.sort(screen(None))
-    slots = np.union1d(slots, screen(slots)) if len(slots) else slots
-    model = FactorizationMachine(slots, factors)
-
-    def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in _lower(batches, "_text"):
-            d, t = terms(Words(data, offsets, ALNUM))
-            own = np.isin(t, slots)
-            cut = np.searchsorted(d[own], np.arange(part.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_y"), pa.ListArray.from_arrays(pa.array(cut), pa.array(t[own].astype(np.int32)))], names=["id", "y", "t"])
-
-    rows_ = known.select("_id", "_text", "_y").mapInArrow(active, f"id {kind}, y int, t array<int>").toArrow().sort_by("id")
-    if not rows_.num_rows:
-        return model
-    lists = rows_.column("t").combine_chunks()
-    doc = np.repeat(np.arange(rows_.num_rows), lists.value_lengths().to_numpy())
-    term = lists.flatten().to_numpy().astype(np.int64)
-    model.fit(rows_.num_rows, doc, term, rows_.column("y").to_numpy().astype(np.float64))
-    return model
-
-
-def _lower(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    def low() -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.get_field_index(text)
-            yield b.set_column(at, text, pc.utf8_lower(pc.fill_null(b.column(at), "").cast(pa.large_string())))
-
-    return chunks(low(), text)
-
-
 def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with a column `name`: the probability that the whole text is toxic; null and empty texts have the base rate.
 
