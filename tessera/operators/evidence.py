@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import durable
+
 
 def npm_license(body: Column, version: Column) -> Column:
     """struct(raw, kind) of a package document; rejected where its version is another one."""
@@ -26,13 +28,76 @@ def nuspec_license(body: Column, id_: Column, version: Column) -> Column:
     return F.struct(F.coalesce(expression, file_, url).alias("raw"), kind.alias("kind"))
 
 
-def outcome(status: Column, fetched_at: Column, ttl_days: dict[str, int]) -> Column:
-    """struct(outcome, expires_at) of a fetch by HTTP status; only negative outcomes expire."""
-    what = F.when(status == 200, "resolved").when(status.isin(404, 410), "not_found").when(status == 413, "too_large").when(status.isin(401, 403), "rejected").otherwise("unavailable")
+def outcome(status: Column, fetched_at: Column, ttl_days: dict[str, int], malformed: Column | None = None) -> Column:
+    """struct(outcome, expires_at) of a fetch by HTTP status; only negative outcomes expire.
+
+    malformed says that a body came but couldn't be read.
+    """
+    bad = F.lit(False) if malformed is None else F.coalesce(malformed, F.lit(False))
+    what = F.when((status == 200) & bad, "malformed").when(status == 200, "resolved").when(status.isin(404, 410), "not_found").when(status == 413, "too_large").when(status.isin(401, 403), "rejected").otherwise("unavailable")
     days = F.coalesce(*[F.when(what == k, F.lit(v)) for k, v in ttl_days.items()])
     return F.struct(what.alias("outcome"), F.when(days.isNotNull(), fetched_at + F.make_interval(days=days)).alias("expires_at"))
 
 
+def evidence_history(rows: DataFrame, key: list[str], first: int = 0, size: int = 50) -> DataFrame:
+    """A page of each coordinate's evidence, newest first, with its number."""
+    w = Window.partitionBy(*key).orderBy(F.desc("id"))
+    return rows.withColumn("no", F.row_number().over(w)).filter((F.col("no") > first) & (F.col("no") <= first + size))
+
+
+def parse_pom(body: Column) -> Column:
+    """struct(key, parent, licenses array, properties map) of a project file in XML; key and parent are group:artifact:version.
+
+    A project without its own group or version has its parent's. Coordinates may hold ${properties}.
+    """
+    one = lambda p: F.nullif(F.trim(F.xpath_string(body, F.lit(f"/project/{p}"))), F.lit(""))
+    many = lambda p: F.coalesce(F.xpath(body, F.lit(f"/project/{p}/text()")), F.array().cast("array<string>"))
+    group, version = F.coalesce(one("groupId"), one("parent/groupId")), F.coalesce(one("version"), one("parent/version"))
+    parent = F.when(one("parent/artifactId").isNotNull(), F.concat_ws(":", one("parent/groupId"), one("parent/artifactId"), one("parent/version")))
+    names = F.regexp_extract_all(F.regexp_extract(body, "(?s)<properties>(.*?)</properties>", 1), F.lit("<([A-Za-z0-9_.-]+)>[^<]*</"), F.lit(1))
+    values = F.regexp_extract_all(F.regexp_extract(body, "(?s)<properties>(.*?)</properties>", 1), F.lit("<[A-Za-z0-9_.-]+>([^<]*)</"), F.lit(1))
+    return F.struct(F.concat_ws(":", group, one("artifactId"), version).alias("key"), parent.alias("parent"), F.transform(many("licenses/license/name"), F.trim).alias("licenses"), F.map_from_arrays(names, values).alias("properties"))
+
+
+def expand(text: Column, properties: Column, passes: int = 4) -> Column:
+    """text with ${name} replaced by properties, which may name others, in so many passes."""
+    for _ in range(passes):
+        text = F.aggregate(F.map_entries(properties), text, lambda t, e: F.replace(t, F.concat(F.lit("${"), e["key"], F.lit("}")), e["value"]))
+    return text
+
+
+def maven_licenses(poms: DataFrame, requests: DataFrame, names: dict[str, str], depth: int = 8) -> DataFrame:
+    """(query_id, outcome, raw, steps): licences along the parent chain. poms: key, parent, licenses, properties. requests: query_id, key.
+
+    The first project with licences decides: one whose name is known (names: licence name → identifier) gives that, another
+    name stays itself, several are a list that no expression parser takes. Properties of children win. Without
+    licences the outcome says why: no_license, cyclic, too_deep, parent_unresolved (a property is missing) or parent_missing.
+    One join for each step of all chains.
+    """
+    known = durable(poms.select("key", "parent", "licenses", "properties"))
+    state = requests.select("query_id", "key", F.array().cast("array<string>").alias("chain"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("props"))
+    done = None
+    for step in range(depth + 2):
+        at = state.join(known, "key", "left")
+        mine = F.coalesce("properties", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
+        props = F.map_concat("props", F.map_filter(mine, lambda k, v: ~F.map_contains_key("props", k)))
+        at = at.withColumn("props", props).withColumn("next", expand(F.col("parent"), F.col("props")))
+        why = (
+            F.when(F.array_contains("chain", F.col("key")), "cyclic").when(F.col("licenses").isNull(), "parent_missing" if step else "not_found").when(F.size("licenses") > 0, "resolved")
+            .when(F.col("parent").isNull(), "no_license").when(F.lit(step >= depth), "too_deep").when(F.contains("next", F.lit("${")), "parent_unresolved")
+        )
+        at = durable(at.withColumn("why", why))
+        end = at.filter("why IS NOT NULL").select("query_id", "why", "licenses", F.lit(step).alias("steps"))
+        done = end if done is None else done.unionByName(end)
+        state = at.filter("why IS NULL").select("query_id", F.col("next").alias("key"), F.concat("chain", F.array("key")).alias("chain"), "props")
+        if state.isEmpty():
+            break
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in (kv[0].lower(), kv[1])])
+    one = F.coalesce(F.try_element_at(table, F.lower(F.element_at("licenses", 1))), F.element_at("licenses", 1))
+    raw = F.when(F.col("why") == "resolved", F.when(F.size("licenses") == 1, one).otherwise(F.array_join("licenses", "; ")))
+    return done.select("query_id", F.col("why").alias("outcome"), raw.alias("raw"), "steps")
+
+
 def with_human(rows: DataFrame, by: list[str]) -> DataFrame:
     """The newest human statement wins; whether the machine's newest one disagrees is kept. rows: by, id, human, value."""
     own = F.max_by(F.when(F.col("human"), F.col("value")), F.when(F.col("human"), F.col("id")))

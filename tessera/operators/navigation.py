@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFINITION = 1
@@ -13,13 +13,23 @@ def _before(line: str, char: str, other_line: str, other_char: str, strict: bool
     return (F.col(line) < F.col(other_line)) | ((F.col(line) == F.col(other_line)) & same)
 
 
+#: Lines in one bin: ranges and positions meet by file and bin, not by file alone.
+BIN = 32
+
+
+def _binned(rows: DataFrame, first: str, last: str) -> DataFrame:
+    """rows once for each bin of lines that first to last touches, as bin."""
+    return rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col(first) / BIN), F.floor(F.col(last) / BIN))))
+
+
 def occurrence_at(occurrences: DataFrame, req: DataFrame) -> DataFrame:
     """The innermost occurrence of each request's position: latest start, then smallest end.
 
     occurrences: upload_id, path, start_line, start_character, end_line, end_character, symbol, roles.
     req: query_id, upload_id, path, line, character.
     """
-    hit = req.join(occurrences, ["upload_id", "path"]).filter(_before("start_line", "start_character", "line", "character") & _before("line", "character", "end_line", "end_character", strict=True))
+    at = req.withColumn("bin", F.floor(F.col("line") / BIN))
+    hit = at.join(_binned(occurrences, "start_line", "end_line"), ["upload_id", "path", "bin"]).filter(_before("start_line", "start_character", "line", "character") & _before("line", "character", "end_line", "end_character", strict=True))
     w = Window.partitionBy("query_id").orderBy(F.desc("start_line"), F.desc("start_character"), "end_line", "end_character", "symbol")
     return hit.withColumn("r", F.row_number().over(w)).filter("r = 1").select("query_id", "symbol", "start_line", "start_character")
 
@@ -45,10 +55,62 @@ def locations(occurrences: DataFrame, relationships: DataFrame, req: DataFrame,
 
 
 def enclosing(references: DataFrame, definitions: DataFrame) -> DataFrame:
-    """For each reference the innermost definition whose range contains it.
+    """For each reference the innermost definition whose range contains it; a definition's own name is not inside it.
 
-    references: reference_id, upload_id, path, line. definitions: definition_id, upload_id, path, from_line, to_line.
+    references: reference_id, upload_id, path, line, and character where there is one. definitions: definition_id, upload_id, path,
+    from_line, to_line, and name_line, name_character where there are such.
     """
-    hit = references.join(definitions, ["upload_id", "path"]).filter("from_line <= line AND line <= to_line")
+    at = references.withColumn("bin", F.floor(F.col("line") / BIN))
+    hit = at.join(_binned(definitions, "from_line", "to_line"), ["upload_id", "path", "bin"]).filter("from_line <= line AND line <= to_line")
+    if "character" in references.columns and "name_line" in definitions.columns:
+        hit = hit.filter(~((F.col("line") == F.col("name_line")) & (F.col("character") == F.col("name_character"))))
     best = hit.groupBy("reference_id").agg(F.max(F.struct("from_line", (-F.col("to_line")).alias("to"), "definition_id")).alias("b"))
     return best.select("reference_id", F.col("b.definition_id").alias("definition_id"))
+
+
+def visible(found: DataFrame, req: DataFrame, local: Column) -> DataFrame:
+    """Locations without local symbols of other documents. req: query_id, upload_id, path of the place that asks."""
+    own = req.select("query_id", F.col("upload_id").alias("_u"), F.col("path").alias("_p"))
+    return found.join(own, "query_id").filter(~local | ((F.col("upload_id") == F.col("_u")) & (F.col("path") == F.col("_p")))).drop("_u", "_p")
+
+
+def symbol_graph(occurrences: DataFrame, relationships: DataFrame, symbols: DataFrame, kinds: dict[str, str], legacy: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) from symbol rows. occurrences: upload_id, path, start_line, start_character, end_line, symbol, roles, to_line (where a
+    definition's body ends, null without one); relationships: upload_id, source_symbol, target_symbol and is_ flags; symbols: symbol, kind.
+
+    nodes: (upload_id, occurrence, kind, path, line): a file for each path, a symbol at its first definition. edges, each once:
+    contains from the symbol whose descriptor is the longest proper prefix, else from the file; imports from a file to a module
+    that it refers to; references from the innermost definition around, else from the file; implements, type_of and
+    references of relationships between known symbols. In the legacy form there are no imports, implements are extends as
+    well where both ends are types, and type_of is left out. kinds: symbol kind → node kind; others are variables.
+    """
+    first = F.min(F.struct("path", F.col("start_line").alias("line"), "start_character", "to_line")).alias("d")
+    defined = F.col("roles").bitwiseAND(DEFINITION) != 0
+    table = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    sym = occurrences.filter(defined).groupBy("upload_id", "symbol").agg(first).join(symbols, "symbol", "left")
+    sym = sym.select("upload_id", "symbol", F.coalesce(F.try_element_at(table, F.col("kind")), F.lit("variable")).alias("kind"), "d.path", "d.line", "d.to_line")
+    file_of = lambda path: F.concat(F.lit("file:"), path)
+    nodes = sym.select("upload_id", F.col("symbol").alias("occurrence"), "kind", "path", "line")
+    nodes = nodes.unionByName(occurrences.select("upload_id", "path").distinct().select("upload_id", file_of(F.col("path")).alias("occurrence"), F.lit("file").alias("kind"), "path", F.lit(0).alias("line")))
+    edge = lambda df, source, kind, target: df.select("upload_id", source.alias("source"), kind.alias("kind"), target.alias("target"))
+    above = F.regexp_replace("symbol", r"[^#./]+[#./]*$", "")
+    up = sym.withColumn("above", above).join(sym.select("upload_id", F.col("symbol").alias("above"), F.lit(True).alias("_known")), ["upload_id", "above"], "left")
+    out = edge(up, F.when(F.col("_known"), F.col("above")).otherwise(file_of(F.col("path"))), F.lit("contains"), F.col("symbol"))
+    ref = occurrences.filter(~defined).select("upload_id", "path", F.col("start_line").alias("line"), "symbol").distinct().join(sym.select("upload_id", "symbol", "kind"), ["upload_id", "symbol"])
+    ref = ref.withColumn("reference_id", F.struct("upload_id", "path", "line", "symbol"))
+    inside = enclosing(ref, sym.filter("to_line IS NOT NULL").select(F.col("symbol").alias("definition_id"), "upload_id", "path", F.col("line").alias("from_line"), "to_line"))
+    ref = ref.join(inside, "reference_id", "left")
+    source = F.coalesce("definition_id", file_of(F.col("path")))
+    if not legacy:
+        out = out.unionByName(edge(ref.filter("kind = 'module'"), file_of(F.col("path")), F.lit("imports"), F.col("symbol")))
+        ref = ref.filter("kind <> 'module'")
+    out = out.unionByName(edge(ref.filter(source != F.col("symbol")), source, F.lit("references"), F.col("symbol")))
+    own = sym.select("upload_id", "symbol", "kind")
+    r = relationships.join(own.toDF("upload_id", "source_symbol", "_a"), ["upload_id", "source_symbol"]).join(own.toDF("upload_id", "target_symbol", "_b"), ["upload_id", "target_symbol"])
+    says = [("is_implementation", "implements"), ("is_reference", "references")] + ([] if legacy else [("is_type_definition", "type_of")])
+    for flag, kind in says:
+        out = out.unionByName(edge(r.filter(F.col(flag)), F.col("source_symbol"), F.lit(kind), F.col("target_symbol")))
+    if legacy:
+        types = F.col("_a").isin("class", "interface") & F.col("_b").isin("class", "interface")
+        out = out.unionByName(edge(r.filter(F.col("is_implementation") & types), F.col("source_symbol"), F.lit("extends"), F.col("target_symbol")))
+    return nodes, out.distinct()

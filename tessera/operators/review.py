@@ -97,9 +97,11 @@ def superseded(decisions: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def review_queue(components: DataFrame, decisions: DataFrame, now: str) -> DataFrame:
-    """Components that await a decision, with the reason. decisions: repository_id, name, kind, expires_at, fingerprint, id."""
+    """Components that await a decision, with the reason. components: repository_id, name, fingerprint, verdict and more;
+    approved ones await none. decisions: repository_id, name, kind, expires_at, fingerprint, id; the newest of each name counts."""
     last = decisions.withColumn("r", F.row_number().over(Window.partitionBy("repository_id", "name").orderBy(F.desc("id")))).filter("r = 1").drop("r")
-    d = components.join(last.select("repository_id", "name", F.col("kind").alias("decision"), "expires_at", F.col("fingerprint").alias("seen")), ["repository_id", "name"], "left")
+    open_ = components.filter(F.coalesce("verdict", F.lit("unknown")) != "approved")
+    d = open_.join(last.select("repository_id", "name", F.col("kind").alias("decision"), "expires_at", F.col("fingerprint").alias("seen")), ["repository_id", "name"], "left")
     why = (
         F.when(F.col("decision").isNull(), "no decision")
         .when((F.col("decision") == "exception") & (F.col("expires_at") < F.lit(now).cast("timestamp")), "exception expired")
@@ -108,7 +110,51 @@ def review_queue(components: DataFrame, decisions: DataFrame, now: str) -> DataF
     return d.withColumn("reason", why).filter("reason IS NOT NULL")
 
 
-def pending_evaluation(components: DataFrame, results: DataFrame, policy: int) -> DataFrame:
-    """Components without a current result of this policy for their fingerprint. results: key, policy_id, fingerprint."""
-    r = results.select("key", "policy_id", F.col("fingerprint").alias("seen"))
-    return components.join(r, "key", "left").filter(F.col("policy_id").isNull() | (F.col("policy_id") != policy) | ~F.col("seen").eqNullSafe(F.col("fingerprint"))).select("key", "fingerprint")
+def current_results(results: DataFrame, new: DataFrame) -> DataFrame:
+    """Results with new ones added: (key, policy_id, verdict, fingerprint, id, current, version). The newest of a key is current.
+
+    A new result equal to the current one in policy, verdict and fingerprint adds nothing. new has at most one row for each key.
+    """
+    w = Window.partitionBy("key").orderBy(F.desc("id"))
+    now = results.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("policy_id", "verdict", "fingerprint")]
+    old = now.select("key", *[F.col(c).alias(f"_{c}") for c in ("policy_id", "verdict", "fingerprint")], F.lit(True).alias("_has"))
+    fresh = new.join(old, "key", "left").filter(F.col("_has").isNull() | ~(same[0] & same[1] & same[2])).select(*results.columns)
+    all_ = results.unionByName(fresh)
+    return all_.withColumn("current", F.row_number().over(w) == 1).withColumn("version", F.row_number().over(Window.partitionBy("key").orderBy("id")))
+
+
+def conclusion_history(conclusions: DataFrame, current: DataFrame, limit: int = 20) -> DataFrame:
+    """(key, id, no, basis_holds): conclusions newest first, with whether their basis is the current fingerprint.
+
+    conclusions: key, id, basis; current: key, fingerprint. Of a key without a fingerprint nothing holds.
+    """
+    w = Window.partitionBy("key").orderBy(F.desc("id"))
+    rows = conclusions.withColumn("no", F.row_number().over(w)).filter(F.col("no") <= limit).join(current.select("key", "fingerprint"), "key", "left")
+    return rows.select("key", "id", "no", F.coalesce(F.col("basis") == F.col("fingerprint"), F.lit(False)).alias("basis_holds"))
+
+
+def event_listing(review: DataFrame, audit: DataFrame, scope: DataFrame, limit: int) -> DataFrame:
+    """(listing, id, seen_at): the newest review events of the repositories in scope, and the newest audit events of all."""
+    own = review.join(scope.select(F.col("id").alias("repository_id")), "repository_id", "left_semi").orderBy(F.desc("seen_at"), F.desc("id")).limit(limit)
+    return own.select(F.lit("review").alias("listing"), "id", "seen_at").unionByName(audit.orderBy(F.desc("seen_at"), F.desc("id")).limit(limit).select(F.lit("audit").alias("listing"), "id", "seen_at"))
+
+
+def policy_versions(policies: DataFrame) -> DataFrame:
+    """(name, id, version, active, conflict): the newest version of each policy name and the state of the name.
+
+    policies: name, version, id, active. active is the newest active version of the name, conflict that several are.
+    """
+    by = policies.groupBy("name").agg(F.max_by("id", "version").alias("id"), F.max("version").alias("version"), F.max(F.when(F.col("active"), F.col("version"))).alias("active"), F.count_if("active").alias("n"))
+    return by.select("name", "id", "version", "active", (F.col("n") > 1).alias("conflict"))
+
+
+def pending_evaluation(components: DataFrame, results: DataFrame, policies: DataFrame) -> DataFrame:
+    """Components without a current result of their repository's active policy for their fingerprint.
+
+    components: key, repository_id, fingerprint; results: key, policy_id, fingerprint; policies: repository_id, policy_id.
+    Repositories without a policy have nothing to evaluate.
+    """
+    r = results.select("key", F.col("policy_id").alias("_policy"), F.col("fingerprint").alias("_seen"))
+    c = components.join(policies.select("repository_id", "policy_id"), "repository_id").join(r, "key", "left")
+    return c.filter(F.col("_policy").isNull() | (F.col("_policy") != F.col("policy_id")) | ~F.col("_seen").eqNullSafe(F.col("fingerprint"))).select("key", "policy_id", "fingerprint")

@@ -11,7 +11,6 @@ from .graph_queries import register
 _NPM = """SELECT occurrence, CASE ordinal % 4 WHEN 0 THEN concat('{{"version":"1.0","license":"MIT"}}') WHEN 1 THEN '{{"version":"1.0","license":{{"type":"BSD"}}}}' WHEN 2 THEN '{{"version":"2.0","license":"ISC"}}' ELSE '{{"version":"1.0","license":"SEE LICENSE IN LICENSE.txt"}}' END AS body FROM {entities}"""
 register("l3_npm", lambda x: x.spark.sql(_NPM, entities=x.entities).select("occurrence", ev.npm_license(F.col("body"), F.lit("1.0")).alias("l")).select("occurrence", "l.raw", "l.kind"), "SELECT occurrence, CASE ordinal % 4 WHEN 0 THEN 'MIT' WHEN 1 THEN 'BSD' WHEN 2 THEN 'ISC' ELSE 'SEE LICENSE IN LICENSE.txt' END AS raw, CASE ordinal % 4 WHEN 0 THEN 'expression' WHEN 1 THEN 'legacy_object' WHEN 2 THEN 'rejected' ELSE 'file' END AS kind FROM {entities}")
 register("l4_nuspec", lambda x: x.entities.select("occurrence", "ordinal", F.concat(F.lit("<package><metadata><id>"), F.upper("language"), F.lit("</id><version>1.0</version>"), F.when(F.col("ordinal") % 3 == 0, "<license type=\"expression\">MIT</license>").when(F.col("ordinal") % 3 == 1, "<licenseUrl>https://x/y</licenseUrl>").otherwise(""), F.lit("</metadata></package>")).alias("body"), "language").select("occurrence", ev.nuspec_license(F.col("body"), F.col("language"), F.lit("1.0")).alias("l")).select("occurrence", "l.raw", "l.kind"), "SELECT occurrence, CASE ordinal % 3 WHEN 0 THEN 'MIT' WHEN 1 THEN 'https://x/y' END AS raw, CASE ordinal % 3 WHEN 0 THEN 'expression' WHEN 1 THEN 'url' ELSE 'missing' END AS kind FROM {entities}")
-register("l6_outcomes", lambda x: x.events.select("event_id", ev.outcome(F.when(F.col("event_type") == "error", 404).when(F.col("event_type") == "view", 503).otherwise(200), F.col("ts"), {"not_found": 7, "unavailable": 1}).alias("o")).select("event_id", "o.outcome", "o.expires_at"), "SELECT event_id, CASE event_type WHEN 'error' THEN 'not_found' WHEN 'view' THEN 'unavailable' ELSE 'resolved' END AS outcome, CASE event_type WHEN 'error' THEN ts + INTERVAL 7 DAY WHEN 'view' THEN ts + INTERVAL 1 DAY END AS expires_at FROM {events}")
 register("l12_human", lambda x: ev.with_human(x.decisions.select("repository_id", "id", (F.col("kind") == "exception").alias("human"), F.col("name").alias("value")), ["repository_id"]), """SELECT repository_id, coalesce(h, m) AS value, h <> m AS disagrees FROM (SELECT repository_id, arg_max(name, id) FILTER (kind = 'exception') AS h, arg_max(name, id) FILTER (kind <> 'exception') AS m FROM {decisions} GROUP BY 1) q""")
 register("e15_page", lambda x: ev.page(x.nodes.select("path", "occurrence"), ["path", "occurrence"], ("src/Brand#12", ""), 40), "SELECT path, occurrence FROM {nodes} WHERE path > 'src/Brand#12' OR (path = 'src/Brand#12' AND occurrence > '') ORDER BY path, occurrence LIMIT 40")
 register("t5_trailing", lambda x: ev.trailing_count(x.events, "user_id", "ts", 24).select("event_id", "trailing"), "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS trailing FROM {events}")
@@ -19,4 +18,3 @@ register("d6_ignored", lambda x: x.files.select("path", ev.ignored(F.col("path")
 _relations = lambda x: x.components.filter("NOT is_root").select("snapshot_id", F.lit("root").alias("from_element"), F.col("element_id").alias("to_element"))
 register("p9_touching", lambda x: ev.touching(_relations(x), x.components.filter("status = 'conflict'").select("snapshot_id", F.col("element_id").alias("element")).unionByName(x.components.filter("status = 'unlicensed' AND is_root").select("snapshot_id", F.lit("root").alias("element")))).groupBy("snapshot_id").agg(F.count("*").alias("n")), """WITH r AS (SELECT snapshot_id, element_id FROM {components} WHERE NOT is_root) SELECT snapshot_id, count(*) AS n FROM (SELECT snapshot_id FROM r JOIN (SELECT DISTINCT snapshot_id, element_id FROM {components} WHERE status = 'conflict') c USING (snapshot_id, element_id)
 UNION ALL SELECT snapshot_id FROM r WHERE snapshot_id IN (SELECT snapshot_id FROM {components} WHERE status = 'unlicensed' AND is_root)) q GROUP BY snapshot_id""")
-register("v9_listing", lambda x: lc.repository_status(x.repositories, x.snapshots.select("repository_id", (F.col("outcome") == "published").alias("at_indexed_commit"))).groupBy("state").agg(F.count("*").alias("n")), "SELECT state, count(*) AS n FROM (SELECT CASE WHEN o IS NULL THEN 'absent' WHEN o THEN 'current' ELSE 'stale' END AS state FROM {repositories} LEFT JOIN (SELECT repository_id, bool_or(outcome = 'published') AS o FROM {snapshots} GROUP BY 1) s ON repository_id = id) q GROUP BY state")

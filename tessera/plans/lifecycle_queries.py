@@ -17,8 +17,6 @@ def _gen(x: Facts):
 
 
 register("v2_active_generation", lambda x: lc.active_generation(_gen(x)), f"WITH g AS ({_GEN}) SELECT repository_id, id, source FROM (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY CASE WHEN source = 'external' THEN 0 ELSE 1 END, id DESC) AS r FROM g WHERE at_indexed_commit) q WHERE r = 1")
-register("v4_readiness", lambda x: lc.readiness(x.repositories.select(F.col("id").alias("repository_id")), _gen(x)), f"WITH g AS ({_GEN}), h AS (SELECT repository_id, bool_or(at_indexed_commit) AS ready FROM g GROUP BY 1), w AS (SELECT CASE WHEN ready IS NULL THEN 'graph_missing' WHEN NOT ready THEN 'graph_not_ready' END AS reason FROM {{repositories}} LEFT JOIN h ON repository_id = id) SELECT reason, count(*) AS n FROM w WHERE reason IS NOT NULL GROUP BY reason")
-register("v5_repository_status", lambda x: lc.repository_status(x.repositories, _gen(x)), f"WITH g AS ({_GEN}), h AS (SELECT repository_id, bool_or(at_indexed_commit) AS ready FROM g GROUP BY 1) SELECT id, CASE WHEN ready IS NULL THEN 'absent' WHEN ready THEN 'current' ELSE 'stale' END AS state FROM {{repositories}} LEFT JOIN h ON repository_id = id")
 register("v6_freshness", lambda x: lc.freshness(x.files.filter("language <> 'rust'").select("path", F.col("size").cast("string").alias("hash")), x.files.filter("language <> 'java'").select("path", F.when(F.col("node_count") > 1, (F.col("size") + F.col("node_count") % 2).cast("string")).alias("hash"))), """WITH a AS (SELECT path, CAST(size AS STRING) AS was FROM {files} WHERE language <> 'rust'), b AS (SELECT path, CASE WHEN node_count > 1 THEN CAST(size + node_count % 2 AS STRING) END AS now, 1 AS one FROM {files} WHERE language <> 'java')
 SELECT path, change FROM (SELECT path, CASE WHEN one IS NULL THEN 'not_in_commit' WHEN was IS NULL THEN 'not_indexed' WHEN now IS NULL THEN 'unverifiable' WHEN was <> now THEN 'modified' END AS change FROM a FULL JOIN b USING (path)) q WHERE change IS NOT NULL""")
 register("v7_prunable", lambda x: lc.prunable(_gen(x), "2000-01-01 00:00:00", 30), f"WITH g AS ({_GEN}) SELECT id, row_number() OVER (PARTITION BY repository_id ORDER BY retired_at, id) AS no, repository_id FROM g WHERE retired_at < TIMESTAMP '2000-01-01' - INTERVAL 30 DAY")
@@ -29,13 +27,5 @@ def lc_active(x: Facts):
     return _gen(x).groupBy("repository_id").agg(F.min_by("digest", "id").alias("digest"), F.min_by("producer", "id").alias("producer"))
 
 
-register("l10_pending_enrichment", lambda x: lc.pending_enrichment(x.components, x.components.filter("status = 'resolved'")), "SELECT DISTINCT ecosystem, namespace, name FROM {components} c WHERE purl IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {components} e WHERE e.status = 'resolved' AND e.ecosystem = c.ecosystem AND e.namespace = c.namespace AND e.name = c.name)")
-register("n9_package_mapping", lambda x: lc.package_mapping(x.components, x.snapshots), "SELECT DISTINCT repository_id, CASE WHEN is_root THEN 'provides' ELSE 'depends_on' END AS relation, purl FROM {components} c JOIN {snapshots} s ON s.id = c.snapshot_id WHERE purl IS NOT NULL")
-register("n8_satisfies", lambda x: lc.satisfies(x.edges.filter("kind IN ('calls', 'references')").join(x.nodes.select(F.col("occurrence").alias("source"), F.col("kind").alias("k")), "source").select(F.col("source").alias("owner"), F.col("k").alias("kind"), (F.crc32(F.col("target").cast("binary")) % 9).cast("string").alias("name")).filter("kind = 'class'").unionByName(x.nodes.filter("kind = 'interface'").select(F.col("occurrence").alias("owner"), "kind", (F.col("ordinal") % 9).cast("string").alias("name")))), None)
-register("n7_resolve", lambda x: lc.resolve_tiers(x.unresolved.select(F.col("occurrence").alias("reference_id")), x.unresolved.select(F.col("occurrence").alias("reference_id"), "source", "line").join(x.nodes.select("occurrence", "kind", "line"), "line").select("reference_id", F.when(F.col("kind") == "class", 1).when(F.col("kind") == "method", 2).otherwise(3).alias("tier"), F.col("occurrence").alias("target"))), """WITH c AS (SELECT DISTINCT u.occurrence AS reference_id, CASE n.kind WHEN 'class' THEN 1 WHEN 'method' THEN 2 ELSE 3 END AS tier, n.occurrence AS target FROM {unresolved} u JOIN {nodes} n USING (line)),
-o AS (SELECT reference_id, tier, min(target) AS target FROM c GROUP BY 1, 2 HAVING count(*) = 1) SELECT reference_id, tier, target FROM (SELECT *, row_number() OVER (PARTITION BY reference_id ORDER BY tier) AS r FROM o) q WHERE r = 1""")
 register("d8_confidence", lambda x: lc.confidence_of(x.nodes.select(F.col("path").alias("query_id"), "kind")), "SELECT path AS query_id, CASE WHEN bool_or(kind IN ('class', 'interface', 'method', 'function', 'enum')) THEN 'credible' ELSE 'low' END AS confidence FROM {nodes} GROUP BY path")
 register("d2_filters", lambda x: x.nodes.select("occurrence", lc.parse_filters(F.concat(F.lit("find kind:"), "kind", F.lit(" the path:"), "path", F.lit("  "), "name")).alias("f")).select("occurrence", "f.kind", "f.path", "f.rest"), "SELECT occurrence, kind, path, concat('find the ', name) AS rest FROM {nodes} WHERE kind <> 'file' UNION ALL SELECT occurrence, kind, path, concat('find the ', name) FROM {nodes} WHERE kind = 'file'")
-register("r10_policy_versions", lambda x: r.superseded(x.decisions.select(F.col("name").alias("policy"), "id"), ["policy"]).filter("superseded_by IS NULL").select("policy", "id"), "SELECT name AS policy, max(id) AS id FROM {decisions} GROUP BY name")
-register("n3_providers", lambda x: lc.providers(lc.package_mapping(x.components.filter("is_root OR status = 'resolved'"), x.snapshots)), """WITH m AS (SELECT DISTINCT repository_id, is_root, purl FROM {components} c JOIN {snapshots} s ON s.id = c.snapshot_id WHERE purl IS NOT NULL AND (is_root OR status = 'resolved'))
-SELECT d.repository_id AS consumer, provider, count(*) AS packages FROM m d JOIN (SELECT purl, min(repository_id) AS provider FROM m WHERE is_root GROUP BY purl) p USING (purl) WHERE NOT d.is_root AND d.repository_id <> provider GROUP BY 1, 2""")

@@ -45,15 +45,7 @@ register("l8_changed_evidence", lambda x: r.changed_evidence(x.snapshots, ["repo
 register("l7_latest_evidence", lambda x: r.latest_evidence(x.snapshots, ["repository_id"]).select("repository_id", "id", "outcome"), """WITH n AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY id DESC) AS no FROM {snapshots}), g AS (SELECT *, row_number() OVER (PARTITION BY repository_id ORDER BY id DESC) AS no FROM {snapshots} WHERE outcome <> 'failed')
 SELECT repository_id, id, outcome FROM n WHERE no = 1 UNION ALL SELECT repository_id, id, outcome FROM g WHERE no = 1 AND repository_id IN (SELECT repository_id FROM n WHERE no = 1 AND outcome = 'failed')""")
 register("l13_assessment_counts", lambda x: x.components.groupBy("snapshot_id", F.coalesce("status", F.lit("unassessed")).alias("status")).agg(F.count("*").alias("n")), "SELECT snapshot_id, coalesce(status, 'unassessed') AS status, count(*) AS n FROM {components} GROUP BY 1, 2")
-register("r4_pending", lambda x: r.pending_evaluation(x.components.select(F.concat_ws("/", "snapshot_id", "element_id").alias("key"), F.col("status").alias("fingerprint")), x.components.filter("is_root").select(F.concat_ws("/", "snapshot_id", "element_id").alias("key"), (F.col("partkey") % 3).alias("policy_id"), F.lit("resolved").alias("fingerprint")), 1), """SELECT concat_ws('/', snapshot_id, element_id) AS key, status AS fingerprint FROM {components} WHERE NOT is_root OR partkey % 3 <> 1 OR status IS DISTINCT FROM 'resolved'""")
 register("r6_superseded", lambda x: r.superseded(x.decisions, ["repository_id", "name"]).select("id", "superseded_by"), "SELECT id, lead(id) OVER (PARTITION BY repository_id, name ORDER BY id) AS superseded_by FROM {decisions}")
-_names = "CASE WHEN is_root THEN 'click' ELSE 'error' END"
-register("r8_review_queue", lambda x: r.review_queue(x.components.join(x.snapshots.select(F.col("id").alias("snapshot_id"), "repository_id"), "snapshot_id").select("repository_id", F.expr(_names).alias("name"), (F.col("partkey") % 30).alias("fingerprint"), "snapshot_id", "element_id"), x.decisions, "2024-01-20 00:00:00").select("snapshot_id", "element_id", "reason"), f"""WITH d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repository_id, name ORDER BY id DESC) AS rn FROM {{decisions}}) q WHERE rn = 1)
-SELECT snapshot_id, element_id, reason FROM (SELECT snapshot_id, element_id, CASE WHEN d.kind IS NULL THEN 'no decision' WHEN d.kind = 'exception' AND d.expires_at < TIMESTAMP '2024-01-20' THEN 'exception expired' WHEN d.fingerprint <> c.partkey % 30 THEN 'evidence changed' END AS reason
-FROM {{components}} c JOIN {{snapshots}} s ON s.id = c.snapshot_id LEFT JOIN d ON d.repository_id = s.repository_id AND d.name = {_names}) q WHERE reason IS NOT NULL""")
-
-register("v8_reconcile", lambda x: x.repositories.select("id", "status").join(x.snapshots.groupBy(F.col("repository_id").alias("id")).agg(F.max("id").alias("head")), "id", "full").select("id", F.when(F.col("status").isNull(), "insert").when(F.col("head").isNull(), "disable").otherwise("update").alias("action")), "SELECT id, CASE WHEN status IS NULL THEN 'insert' WHEN head IS NULL THEN 'disable' ELSE 'update' END AS action FROM {repositories} FULL JOIN (SELECT repository_id AS id, max(id) AS head FROM {snapshots} GROUP BY repository_id) s USING (id)")
-
 register("c1_literal_search", lambda x: s.search(x.corpus, "the and", context=0).select("path", "line_no"), """SELECT path, line_no FROM (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM {corpus}) q WHERE contains(lower(line), 'the') AND contains(lower(line), 'and')""")
 register("c1_regex_search", lambda x: s.search(x.corpus, "th[a-e]+r", regex=True, case=True, context=0).select("path", "line_no"), """SELECT path, line_no FROM (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM {corpus}) q WHERE regexp_matches(line, 'th[a-e]+r')""")
 register("c2_path_search", lambda x: x.corpus.filter(F.col("path").rlike("/de/.*7\\.txt$")).select("path"), "SELECT path FROM {corpus} WHERE regexp_matches(path, '/de/.*7\\.txt$')")

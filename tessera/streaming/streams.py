@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -43,25 +43,71 @@ def sliding_quota(events: DataFrame, key: str, at: str = "ts", width: str = "24
     return events.withWatermark(at, late).groupBy(F.window(at, width, slide), key).agg(F.count("*").alias("n")).select(key, F.col("window.start").alias("start"), "n")
 
 
-def pointers(events: DataFrame, key: str, at: str, order: str) -> DataFrame:
-    """Latest row and number of rows per key, for complete mode."""
-    return events.groupBy(key).agg(F.max(at).alias("last_at"), F.max(order).alias("last_id"), F.count("*").alias("n"))
+def pointers(events: DataFrame, key: str, at: str, order: str, good: Column | None = None) -> DataFrame:
+    """Latest row, last success, last outcome and number of rows per key, for complete mode. good: whether a row is a success."""
+    out = [F.max(at).alias("last_at"), F.max(order).alias("last_id"), F.count("*").alias("n")]
+    if good is not None:
+        out += [F.max(F.when(good, F.col(at))).alias("last_success_at"), F.max_by(good, order).alias("last_good")]
+    return events.groupBy(key).agg(*out)
+
+
+def coalesced_targets(events: DataFrame) -> DataFrame:
+    """queued where a key's target differs from the one that is pending, else same: (key, id, target, outcome). events: key, id, target.
+
+    The state is the pending target; rows of a batch are taken in id order, frame by frame.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.get[0] if state.exists else None
+        for rows in _in_order(frames):
+            outcome = []
+            for target in rows["target"]:
+                outcome.append("same" if now is not None and target == now else "queued")
+                now = target
+            yield pd.DataFrame({"key": key[0], "id": rows["id"], "target": rows["target"], "outcome": outcome})
+        state.update((now,))
+
+    return events.groupBy("key").applyInPandasWithState(run, "key long, id long, target string, outcome string", "target string", "append", GroupStateTimeout.NoTimeout)
+
+
+def imports_once(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The first accepted import of each (key, digest): a repeat returns the earlier one, so it isn't in the result. events: key, digest, ts, accepted."""
+    return events.filter("accepted").withWatermark("ts", late).dropDuplicates(["key", "digest"])
+
+
+def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The frames of a key as sorted runs: ids of one frame are in order, and a frame that goes back before its predecessor's
+    last id makes both one run."""
+    held: pd.DataFrame | None = None
+    for f in frames:
+        f = f.sort_values("id")
+        if held is not None and len(f) and len(held) and f["id"].iloc[0] < held["id"].iloc[-1]:
+            f = pd.concat([held, f]).sort_values("id")
+        elif held is not None:
+            yield held
+        held = f
+    if held is not None:
+        yield held
 
 
 def publications(events: DataFrame) -> DataFrame:
-    """published where a digest differs from the key's current one, else unchanged. events: key, id, digest.
+    """published where a digest differs from the key's current one, else unchanged; failed without a digest, which moves nothing.
 
-    The state is the current digest of each key; rows of a batch are taken in id order.
+    events: key, id, digest (null for a failed arrival). The state is the current digest of each key; rows of a batch are taken in
+    id order, frame by frame.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("id")
-        outcome = []
-        for d in rows["digest"]:
-            outcome.append("unchanged" if now is not None and d == now else "published")
-            now = d
-        state.update((int(now),))
-        yield pd.DataFrame({"key": key[0], "id": rows["id"], "outcome": outcome})
+        for rows in _in_order(frames):
+            outcome = []
+            for d in rows["digest"]:
+                if pd.isna(d):
+                    outcome.append("failed")
+                else:
+                    outcome.append("unchanged" if now is not None and d == now else "published")
+                    now = d
+            yield pd.DataFrame({"key": key[0], "id": rows["id"], "outcome": outcome})
+        state.update((None if now is None else int(now),))
 
     return events.groupBy("key").applyInPandasWithState(run, "key long, id long, outcome string", "digest long", "append", GroupStateTimeout.NoTimeout)
