@@ -232,15 +232,3 @@ def symbol_context(edges: DataFrame, roots: DataFrame, limit: int) -> DataFrame:
     out = edges.filter(F.col("kind").isin(kinds)).select(F.explode(F.array(F.struct(F.lit("outgoing").alias("direction"), F.col("source").alias("root"), F.col("target").alias("node")), F.struct(F.lit("incoming").alias("direction"), F.col("target").alias("root"), F.col("source").alias("node")))).alias("x"), "kind", "occurrence").select("x.*", "kind", "occurrence")
     w = Window.partitionBy("query_id", "direction", "kind").orderBy("node", "occurrence")
     return roots.join(out, "root").withColumn("no", F.row_number().over(w)).filter(F.col("no") <= limit).select("query_id", "direction", "kind", "node", "no")
-
-
-def confidence_of(results: DataFrame) -> DataFrame:
-    """credible where a strong kind was found, low where anything was, per query. results: query_id, kind."""
-    strong = F.bool_or(F.col("kind").isin("class", "interface", "method", "function", "enum"))
-    return results.groupBy("query_id").agg(F.when(strong, "credible").otherwise("low").alias("confidence"))
-
-
-def parse_filters(text: Column) -> Column:
-    """struct(kind, path, rest) of a query text with kind: and path: filters."""
-    one = lambda k: F.nullif(F.regexp_extract(text, rf"(?:^|\s){k}:(\S+)", 1), F.lit(""))
-    return F.struct(one("kind").alias("kind"), one("path").alias("path"), F.trim(F.regexp_replace(F.regexp_replace(text, r"(?:^|\s)(kind|path):\S+", " "), r"\s+", " ")).alias("rest"))

@@ -27,5 +27,3 @@ def lc_active(x: Facts):
     return _gen(x).groupBy("repository_id").agg(F.min_by("digest", "id").alias("digest"), F.min_by("producer", "id").alias("producer"))
 
 
-register("d8_confidence", lambda x: lc.confidence_of(x.nodes.select(F.col("path").alias("query_id"), "kind")), "SELECT path AS query_id, CASE WHEN bool_or(kind IN ('class', 'interface', 'method', 'function', 'enum')) THEN 'credible' ELSE 'low' END AS confidence FROM {nodes} GROUP BY path")
-register("d2_filters", lambda x: x.nodes.select("occurrence", lc.parse_filters(F.concat(F.lit("find kind:"), "kind", F.lit(" the path:"), "path", F.lit("  "), "name")).alias("f")).select("occurrence", "f.kind", "f.path", "f.rest"), "SELECT occurrence, kind, path, concat('find the ', name) AS rest FROM {nodes} WHERE kind <> 'file' UNION ALL SELECT occurrence, kind, path, concat('find the ', name) FROM {nodes} WHERE kind = 'file'")

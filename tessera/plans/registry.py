@@ -14,6 +14,7 @@ from . import license_queries as _license  # noqa: F401  registers its queries
 from . import lifecycle_queries as _lifecycle  # noqa: F401  registers its queries
 from . import more_queries as _more  # noqa: F401  registers its queries
 from . import process_queries as _process  # noqa: F401  registers its queries
+from . import search_queries as _search  # noqa: F401  registers its queries
 from . import supply_queries as _supply  # noqa: F401  registers its queries
 
 

@@ -48,16 +48,5 @@ register("l13_assessment_counts", lambda x: x.components.groupBy("snapshot_id",
 register("r6_superseded", lambda x: r.superseded(x.decisions, ["repository_id", "name"]).select("id", "superseded_by"), "SELECT id, lead(id) OVER (PARTITION BY repository_id, name ORDER BY id) AS superseded_by FROM {decisions}")
 register("c1_literal_search", lambda x: s.search(x.corpus, "the and", context=0).select("path", "line_no"), """SELECT path, line_no FROM (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM {corpus}) q WHERE contains(lower(line), 'the') AND contains(lower(line), 'and')""")
 register("c1_regex_search", lambda x: s.search(x.corpus, "th[a-e]+r", regex=True, case=True, context=0).select("path", "line_no"), """SELECT path, line_no FROM (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM {corpus}) q WHERE regexp_matches(line, 'th[a-e]+r')""")
-register("c2_path_search", lambda x: x.corpus.filter(F.col("path").rlike("/de/.*7\\.txt$")).select("path"), "SELECT path FROM {corpus} WHERE regexp_matches(path, '/de/.*7\\.txt$')")
 register("c4_preview", lambda x: s.search(x.corpus, "license", context=1).select("path", "line_no", F.sha2("preview", 256).alias("preview")), """SELECT path, line_no, sha256(array_to_string(list_slice(parts, greatest(line_no - 1, 1), line_no + 1), chr(10))) AS preview FROM (SELECT path, parts, unnest(parts) AS line, generate_subscripts(parts, 1) AS line_no FROM (SELECT path, string_split(text, chr(10)) AS parts FROM {corpus}) a) q WHERE contains(lower(line), 'license')""")
 register("c7_file_range", lambda x: s.file_range(x.corpus, 2, 6, 3).select("path", F.sha2("content", 256).alias("content"), "truncated", "out_of_range"), """SELECT path, sha256(array_to_string(list_slice(parts, 2, 4), chr(10))) AS content, least(len(parts), 6) - 1 > 3 AS truncated, len(parts) < 2 AS out_of_range FROM (SELECT path, string_split(coalesce(text, ''), chr(10)) AS parts FROM {corpus}) q""")
-_SEG = "[s FOR s IN string_split(lower(regexp_replace(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' ') IF length(s) >= 2]"
-_REQ = "SELECT n_nationkey AS query_id, concat(CASE n_nationkey % 3 WHEN 0 THEN 'red bolt' WHEN 1 THEN 'smallWidget' ELSE 'Brand medium ring' END, ' ', n_name) AS text FROM {nation}"
-register("d3_discover", lambda x: s.discover(x.nodes, x.edges, x.nation.selectExpr("n_nationkey AS query_id", "concat(CASE n_nationkey % 3 WHEN 0 THEN 'red bolt' WHEN 1 THEN 'smallWidget' ELSE 'Brand medium ring' END, ' ', n_name) AS text")), f"""WITH rq AS ({_REQ}), qt AS (SELECT DISTINCT query_id, unnest({_SEG.format('text')}) AS term FROM rq),
-po AS (SELECT occurrence, term, max(w) AS weight FROM (SELECT occurrence, unnest({_SEG.format('name')}) AS term, 1.0 AS w FROM {{nodes}} UNION ALL SELECT occurrence, unnest({_SEG.format('qualified_name')}), 0.25 FROM {{nodes}} UNION ALL SELECT occurrence, unnest({_SEG.format('path')}), 0.1 FROM {{nodes}}) q GROUP BY occurrence, term),
-hi AS (SELECT query_id, occurrence, sum(weight)::DOUBLE AS weight, count(*) AS terms FROM po JOIN qt USING (term) GROUP BY query_id, occurrence),
-us AS (SELECT occurrence, count(*) AS usage FROM (SELECT source AS occurrence FROM {{edges}} WHERE kind NOT IN ('contains', 'imports', 'exports') UNION ALL SELECT target FROM {{edges}} WHERE kind NOT IN ('contains', 'imports', 'exports') AND source <> target) q GROUP BY occurrence),
-sc AS (SELECT query_id, occurrence, terms, round((1 + 100 * weight + 0.2 * least(coalesce(usage, 0), 20)) * CASE WHEN path LIKE '%.pb.go' THEN 0.3 ELSE 1 END * CASE WHEN contains(path, '/test_') THEN 0.5 ELSE 1 END * CASE WHEN kind = 'variable' AND coalesce(usage, 0) = 0 THEN 0.08 ELSE 1 END * CASE WHEN kind = 'file' THEN 0.5 ELSE 1 END, 6) AS score FROM hi JOIN {{nodes}} USING (occurrence) LEFT JOIN us USING (occurrence)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, occurrence) AS r FROM sc) SELECT query_id, occurrence, terms, score, r FROM rk WHERE r <= 20""")
-register("d4_fuzzy", lambda x: s.fuzzy(x.nodes, x.nation.selectExpr("n_nationkey AS query_id", "CASE n_nationkey % 3 WHEN 0 THEN 'red bold' WHEN 1 THEN 'smal ring' ELSE 'blue wigdet' END AS text")), "SELECT DISTINCT query_id, name, levenshtein(text, name) AS distance FROM (SELECT n_nationkey AS query_id, CASE n_nationkey % 3 WHEN 0 THEN 'red bold' WHEN 1 THEN 'smal ring' ELSE 'blue wigdet' END AS text FROM {nation}) r, {nodes} WHERE levenshtein(text, name) <= 2")
-register("d7_segments", lambda x: s.segment_vocabulary(x.nodes), f"SELECT segment, count(*) AS names FROM (SELECT DISTINCT name, unnest({_SEG.format('name')}) AS segment FROM {{nodes}}) q GROUP BY segment")
