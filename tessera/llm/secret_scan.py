@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ ASSIGN_LEAST = 8
 KINDS = ("assign", "access", "hex", "random")
 
 #: Runs of the letters of common encodings, of this length at least, are candidates of the battery.
-LEAST = 24
+LEAST = 16
 CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}"
 
 # Alphabets, narrowest first, and the pattern that a string in each has.
@@ -36,9 +38,12 @@ ENCODINGS = (
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", "^"),
 )
 
-#: What structured strings look like: letters coincide so many times as often as in random ones; they have this share
-#: of the runs of random ones; neighbours correlate by this much.
-COINCIDENCE, RUNS, SERIAL = 1.7, 0.5, 0.5
+# How often letters coincide in ordinary strings of each alphabet, as a multiple of random ones. Words keep
+# the letter frequencies of language (about 0.065 of pairs coincide) however large the alphabet is; digits and
+# hexadecimal digits of ordinary strings repeat and count up.
+COINCIDENCE = (1.6, 2.2, 2.2, 1.7, 1.7, 2.2, 2.3, 2.3, 3.2, 3.5, 3.6, 3.6, 3.7)
+#: A string whose runs or serial correlation lie further out than this many standard deviations of random ones isn't random.
+OUTLYING = 2.8
 #: Share of wrong ones that is allowed among the spans that the battery adds.
 FALSE_DISCOVERY = 0.05
 #: Width of the bins of -ln(p) that the threshold is read from.
@@ -67,33 +72,34 @@ def _spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column
         return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["g"].alias("g"), x["m"].alias("m")))).alias("out"))
 
     placed = F.transform(groups, lambda g: F.struct(F.aggregate(g, start, add)["out"].alias("out"), total(g).alias("n")))
-    moved = F.transform(
-        placed,
-        lambda g, i: F.transform(
-            g["out"],
-            lambda x: F.struct((x["s"] + F.aggregate(F.slice(placed, F.lit(1), i), F.lit(0), lambda n, y: n + y["n"])).alias("s"), (x["e"] + F.aggregate(F.slice(placed, F.lit(1), i), F.lit(0), lambda n, y: n + y["n"])).alias("e"), x["g"].alias("g"), x["m"].alias("m")),
-        ),
-    )
+    begin = F.aggregate(placed, F.array(F.lit(0)), lambda a, g: F.concat(a, F.array(F.element_at(a, -1) + g["n"])))
+    both = F.struct(placed.alias("placed"), begin.alias("begin"))
+    moved = F.transform(F.arrays_zip(both["placed"].alias("g"), F.slice(both["begin"], F.lit(1), F.size(both["placed"])).alias("at")), lambda z: F.transform(z["g"]["out"], lambda x: F.struct((x["s"] + z["at"]).alias("s"), (x["e"] + z["at"]).alias("e"), x["g"].alias("g"), x["m"].alias("m"))))
     found = F.flatten(moved)
     if least:
         found = F.filter(found, lambda x: x["g"] >= least)
     return F.when(text.rlike(pattern), F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
 
 
-def _normal(z: Column) -> Column:
-    """The normal distribution function, to three places."""
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-60.0), F.least(F.lit(60.0), 1.5976 * z + 0.07056 * z * z * z))))
+def _below(z: Column) -> Column:
+    """The normal distribution function; in its lower tail the relative error stays under half a percent."""
+    x = F.least(F.abs(z), F.lit(37.0))
+    tail = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) / (0.661 * x + 0.339 * F.sqrt(x * x + 5.51))
+    return F.when(z < 0, tail).otherwise(1 - tail)
 
 
 def surprise(token: Column) -> Column:
-    """-ln p of a string: p is how likely a structured string looks as random, the largest of three tests.
+    """-ln p of a string: p is how likely an ordinary string of its alphabet and length has letters as even as these.
 
-    Alphabet uniformity (chi-squared, as the rate of coinciding letters), runs above and below the middle of the
-    alphabet, and correlation of neighbours, in the narrowest encoding that holds the string.
+    The narrowest encoding that holds the string is its alphabet. Its chi-squared statistic against uniform letters is
+    about k - 1 for random strings; for ordinary ones, whose letters coincide COINCIDENCE times as often, it is noncentral
+    by (n - 1) * (COINCIDENCE - 1). A string is no candidate (0) if the statistic is too large for a random one, or if the runs
+    above and below the middle of the alphabet, or the correlation of neighbours, lie outside OUTLYING deviations.
     """
     alphabet = F.lit(ENCODINGS[-1][0])
-    for letters, pattern in reversed(ENCODINGS[:-1]):
-        alphabet = F.when(token.rlike(pattern), F.lit(letters)).otherwise(alphabet)
+    often = F.lit(COINCIDENCE[-1])
+    for (letters, pattern), c in reversed(list(zip(ENCODINGS[:-1], COINCIDENCE[:-1], strict=True))):
+        alphabet, often = F.when(token.rlike(pattern), F.lit(letters)).otherwise(alphabet), F.when(token.rlike(pattern), F.lit(c)).otherwise(often)
     codes = F.transform(F.split(token, ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
     n, k = F.char_length(token).cast("double"), F.char_length(alphabet).cast("double")
 
@@ -120,17 +126,19 @@ def surprise(token: Column) -> Column:
             (a["up"] + F.when(half(x), F.lit(1.0)).otherwise(zero)).alias("up"),
         ),
     )
-    coincide = k * (squares - n) / (n * (n - 1))
-    p_chi = _normal((coincide - COINCIDENCE) / (F.sqrt(2 * (k - 1)) / (n - 1)))
+    chi = k * squares / n - n
+    away = (n - 1) * (often - 1)
+    p = _below((chi - (k - 1) - away) / F.sqrt(2 * (k - 1) + 4 * away))
+    even = (chi - (k - 1)) / F.sqrt(2 * (k - 1)) < OUTLYING
     up, down = sums["up"], n - sums["up"]
     expect = 2 * up * down / n + 1
     spread = F.sqrt(F.greatest((expect - 1) * (expect - 2) / (n - 1), F.lit(0.25)))
-    p_runs = F.when((up == 0) | (down == 0), F.lit(1.0)).otherwise(_normal((RUNS * expect - sums["runs"]) / spread))
+    mixed = (up > 0) & (down > 0) & (F.abs(sums["runs"] - expect) / spread < OUTLYING)
     mean = sums["x"] / n
     variance = sums["xx"] / n - mean * mean
-    serial = F.when(variance <= 0, F.lit(1.0)).otherwise((sums["xy"] / (n - 1) - mean * mean) / variance)
-    p_serial = _normal((F.abs(serial) - SERIAL) * F.sqrt(n))
-    return -F.log(F.greatest(p_chi, p_runs, p_serial, F.lit(1e-26)))
+    serial = (sums["xy"] / (n - 1) - mean * mean) / F.greatest(variance, F.lit(1e-9))
+    apart = (variance > 0) & (F.abs(serial) * F.sqrt(n) < OUTLYING)
+    return F.when(even & mixed & apart, -F.log(F.greatest(p, F.lit(1e-26)))).otherwise(0.0)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: float = FALSE_DISCOVERY) -> DataFrame:
@@ -141,6 +149,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: flo
     documents share one false-discovery threshold at q (Benjamini-Hochberg over p-values that are divided by a weight
     which grows with length and has mean 1). Places are code points, ends exclusive.
 
+    p-values say how ordinary a string is (surprise); strings that fail the battery can't be added.
+
     Row-local but for the threshold, which is read from a histogram of bounded size. Null and empty texts have no
     spans; null ids and repeated rows pass through; an empty table gives an empty result; other columns are ignored.
     """
