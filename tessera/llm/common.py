@@ -92,15 +92,18 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable from each id of nodes over the undirected edges (a, b).
 
     Alternates large-star and small-star steps, each a partial aggregation and a join, until the edges no longer
-    change. Nodes without edges are their own component. Neither edges nor components reach the driver.
+    change. Nodes without edges are their own component. Neither edges nor components reach the driver. Up to FEW_EDGES
+    edges, a few megabytes, the steps run in one partition, where they need no shuffle.
     """
     e = durable(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     )
     total = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     before = total(e)
+    few = before["n"] <= FEW_EDGES
     while before["n"]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        e = e.coalesce(1) if few else e
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -120,6 +123,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().join(own, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+#: So many edges at most are linked in one partition.
+FEW_EDGES = 100_000
 #: So few pairs are cheaper to compare than another round is to set up.
 FEW_PAIRS = 200_000
 
@@ -153,14 +158,14 @@ def linked(posts: DataFrame, members: DataFrame, verify: Callable[[DataFrame], D
     star = posts.filter((F.col("unit") != F.col("a")) & near).select("a", F.col("unit").alias("b")).unionByName(members.filter("id <> unit").select(F.col("unit").alias("a"), F.col("id").alias("b")))
     posts = posts.select("token", "unit", *extra)
     posts = posts if own is None else posts.unionByName(own)
-    links = written(verify(written(star.distinct())))
+    links = durable(verify(written(star.distinct())))
     size = posts.count()
     for no in range(rounds + 1):
-        label = written(components(nodes, links))
-        inside = written(members.join(label, "id"))
+        label = durable(components(nodes, links))
+        inside = durable(members.join(label, "id"))
         parts = inside.groupBy("unit", "component").agg(F.min("id").alias("rep"))
         where = posts.join(parts, "unit")
-        main = written(
+        main = durable(
             where.groupBy("token", "component")
             .agg(F.count("*").alias("c"))
             .groupBy("token")
@@ -176,7 +181,7 @@ def linked(posts: DataFrame, members: DataFrame, verify: Callable[[DataFrame], D
         picked = [F.min_by("rep", F.xxhash64("rep", F.lit(no * leads + i))) for i in range(leads)]
         lead = open_.filter("component = main").groupBy("token").agg(F.array_distinct(F.array(*picked)).alias("a")).select("token", F.explode("a").alias("a"))
         star = open_.filter("component <> main").select("token", F.col("rep").alias("b")).join(lead, "token").select("a", "b").distinct()
-        links = written(links.unionByName(verify(written(star))))
+        links = durable(links.unionByName(verify(written(star))))
     one, other = F.struct("unit", "component"), F.struct(F.col("unit2").alias("unit"), F.col("component2").alias("component"))
     rest = (
         open_.filter("component <> main")
@@ -192,4 +197,4 @@ def linked(posts: DataFrame, members: DataFrame, verify: Callable[[DataFrame], D
         .select("a", "b")
         .distinct()
     )
-    return components(nodes, links.unionByName(written(verify(written(rest)))))
+    return components(nodes, links.unionByName(durable(verify(written(rest)))))

@@ -101,6 +101,25 @@ def test_ngram_join_awkward(awkward, nothing):
     assert ngram_join.near_duplicates(nothing).collect() == []
 
 
+@pytest.mark.parametrize("few", [common.FEW_EDGES, 0])
+def test_components_equal_a_walk(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
+    rng = random.Random(21)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)]
+    label = {i: i for i in range(500)}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        label[max(x, y)] = min(x, y)
+    got = {r.id: r.component for r in common.components(spark.range(500), spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i: find(i) for i in range(500)}
+
+
 def test_linking_keeps_every_link(spark):
     """Ids on a line, linked when they differ by at most 3, all under one token: the star alone can't connect them."""
     n = 120
