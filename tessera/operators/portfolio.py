@@ -173,13 +173,17 @@ def compare_snapshots(components: DataFrame, edges: DataFrame, snapshots: DataFr
     return out.groupBy("pair_id", "change").agg(F.count("*").alias("n"))
 
 
-def inventory_status(repositories: DataFrame, latest: DataFrame, now: str, stale_days: int) -> DataFrame:
-    """never, failed, stale or current, and the age in seconds."""
+def inventory_status(repositories: DataFrame, latest: DataFrame, now: str, stale_days: int, components: DataFrame | None = None) -> DataFrame:
+    """never, failed, stale or current, and the age in seconds; with components also how many there are and have a licence text."""
     by = latest.groupBy(F.col("repository_id").alias("id")).agg(F.max("collected_at").alias("at"), F.max_by("outcome", F.struct("collected_at", "snapshot_id")).alias("outcome"))
     t = F.lit(now).cast("timestamp")
     age = F.unix_timestamp(t) - F.unix_timestamp("at")
     state = F.when(F.col("at").isNull(), "never").when(F.col("outcome") == "failed", "failed").when(age > stale_days * 86400, "stale").otherwise("current")
-    return repositories.select("id").join(by, "id", "left").select("id", state.alias("state"), age.alias("age"))
+    out = repositories.select("id").join(by, "id", "left").select("id", state.alias("state"), age.alias("age"))
+    if components is None:
+        return out
+    n = components.join(latest.select("snapshot_id", F.col("repository_id").alias("id")), "snapshot_id").groupBy("id").agg(F.count("*").alias("components"), F.count_if(F.trim("license_raw") != "").alias("licensed"))
+    return out.join(n, "id", "left").na.fill(0, ["components", "licensed"])
 
 
 def history(snapshots: DataFrame, newest: int) -> DataFrame:

@@ -154,7 +154,7 @@ _PAGE = """SELECT ecosystem, namespace, name, version, count(*) AS occurrences,
 CASE WHEN count(DISTINCT status) = 0 THEN 'unassessed' WHEN count(DISTINCT status) = 1 AND count(status) = count(*) THEN max(status) ELSE 'mixed' END AS label FROM {components}"""
 _flat = lambda df: df.withColumn("statuses", F.array_join("statuses", ",")).withColumn("licenses", F.array_join("licenses", ",")).drop("expression")
 register("p4_component_page", lambda x: _flat(p.component_page(x.components, search="bolt")), _PAGE + " WHERE contains(lower(name), 'bolt') OR contains(lower(coalesce(purl, '')), 'bolt') GROUP BY ecosystem, namespace, name, version")
-register("p4_next_page", lambda x: _flat(p.component_page(x.components, ecosystem="Brand#13", licence="MIT", status="conflict", after=("Brand#13", "ECONOMY", "g", ""), limit=25)), _PAGE + " WHERE ecosystem = 'Brand#13' AND license_raw = 'MIT' AND status = 'conflict' AND (namespace > 'ECONOMY' OR namespace = 'ECONOMY' AND name > 'g') GROUP BY ecosystem, namespace, name, version ORDER BY ecosystem, namespace, name, coalesce(version, '') LIMIT 25")
+register("p4_next_page", lambda x: _flat(p.component_page(x.components, ecosystem="Brand#21", licence="LGPL-2.1-only AND MIT", status="unlicensed", after=("Brand#21", "MEDIUM", "g", ""), limit=25)), _PAGE + " WHERE ecosystem = 'Brand#21' AND license_raw = 'LGPL-2.1-only AND MIT' AND status = 'unlicensed' AND (namespace > 'MEDIUM' OR namespace = 'MEDIUM' AND name > 'g') GROUP BY ecosystem, namespace, name, version ORDER BY ecosystem, namespace, name, coalesce(version, '') LIMIT 25")
 _SHARED = _LATEST + """, us AS (SELECT * FROM {components} JOIN latest USING (snapshot_id)), sh AS (SELECT ecosystem, namespace, name, count(DISTINCT repository_id) AS repositories FROM us GROUP BY ALL HAVING count(DISTINCT repository_id) >= 3),
 top AS (SELECT *, (SELECT count(*) FROM sh) AS matching FROM sh ORDER BY repositories DESC, ecosystem, namespace, name LIMIT 150)"""
 register("p5_shared", lambda x: p.shared_packages(x.components, _latest(x), 3, 150).select("ecosystem", "namespace", "name", "repositories", "matching", "occurrences", "risky", F.array_join("versions", ",").alias("versions"), F.array_join("statuses", ",").alias("statuses"), "snapshots"), f"""WITH {_SHARED} SELECT ecosystem, namespace, name, repositories, matching, count(*) AS occurrences, coalesce(bool_or(status IN ('conflict', 'unlicensed')), false) AS risky, coalesce(string_agg(DISTINCT version, ',' ORDER BY version), '') AS versions, coalesce(string_agg(DISTINCT status, ',' ORDER BY status), '') AS statuses, count(DISTINCT snapshot_id) AS snapshots FROM top JOIN us USING (ecosystem, namespace, name) GROUP BY ALL""")

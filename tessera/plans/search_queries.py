@@ -22,7 +22,7 @@ n AS (SELECT query_id, repository, path, line_no, CASE k WHEN 0 THEN CASE WHEN c
 WHEN 1 THEN CASE WHEN contains(path, '/en/') THEN (length(lower(line)) - length(replace(lower(line), 'er the', ''))) // 6 END WHEN 2 THEN (length(line) - length(replace(line, 'The', ''))) // 3 ELSE (length(lower(line)) - length(replace(lower(line), two, ''))) // 2 END::INT AS score FROM q, li),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, repository, path, line_no) AS no, count(*) OVER (PARTITION BY query_id) > 15 AS truncated FROM n WHERE score > 0) SELECT query_id, repository, path, line_no, score, no, truncated FROM b WHERE no <= 15"""
 register("c6_bounded_requests", lambda x: s.search_requests(x.corpus, _sql(x, _ASK, "nation"), 0, 15).drop("preview"), _HITS.replace("[scope]", ""))
-register("c3_scoped_requests", lambda x: s.search_requests(x.corpus, _sql(x, _ASK, "nation"), 0, 15, x.corpus.select("repository").distinct().filter("repository < 'm'")).drop("preview"), _HITS.replace("[scope]", "WHERE repository < 'm'"))
+register("c3_scoped_requests", lambda x: s.search_requests(x.corpus, _sql(x, _ASK, "nation"), 0, 15, x.corpus.select("repository").distinct().filter("repository < 'src15'")).drop("preview"), _HITS.replace("[scope]", "WHERE repository < 'src15'"))
 register("c3_empty_scope", lambda x: s.search_requests(x.corpus, _sql(x, _ASK, "nation"), 0, 15, x.corpus.select("repository").limit(0)).groupBy().agg(F.count("*").alias("n")), "SELECT CAST(0 AS BIGINT) AS n")
 register("c2_path_search", lambda x: s.path_search(x.corpus, x.nation.selectExpr("CAST(n_nationkey AS INT) AS query_id", "concat('/de/.*', n_nationkey, '[.]txt$') AS pattern")), "SELECT n_nationkey::INT AS query_id, repository, path FROM {corpus}, {nation} WHERE regexp_matches(path, concat('/de/.*', n_nationkey, '[.]txt$'))")
 _MATCH = "SELECT c_custkey AS id, concat('r', CAST(c_custkey % 40 AS STRING)) AS repository, concat('sha', CAST(c_custkey % 3 AS STRING)) AS commit, split(CASE c_custkey % 4 WHEN 0 THEN 'main,dev' WHEN 1 THEN 'dev' ELSE 'trunk,main' END, ',') AS branches FROM {customer}"

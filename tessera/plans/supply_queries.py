@@ -32,8 +32,8 @@ register("p7_occurrences", lambda x: p.occurrences_of(x.components, _latest(x),
 register("p11_compare", lambda x: p.compare(x.components.filter("snapshot_id % 2 = 0"), x.components.filter("snapshot_id % 2 = 1"), ["ecosystem"]), """WITH o AS (SELECT ecosystem, namespace, name, coalesce(version, '') AS v, min(license_raw) AS l FROM {components} WHERE snapshot_id % 2 = 0 GROUP BY ALL), n AS (SELECT ecosystem, namespace, name, coalesce(version, '') AS v, min(license_raw) AS l FROM {components} WHERE snapshot_id % 2 = 1 GROUP BY ALL)
 SELECT ecosystem, change, count(*) AS n FROM (SELECT ecosystem, CASE WHEN NOT ino THEN 'added' WHEN NOT inn THEN 'removed' WHEN ol IS DISTINCT FROM nl THEN 'license_changed' END AS change FROM
 (SELECT coalesce(o.ecosystem, n.ecosystem) AS ecosystem, o.ecosystem IS NOT NULL AS ino, n.ecosystem IS NOT NULL AS inn, o.l AS ol, n.l AS nl FROM o FULL JOIN n USING (ecosystem, namespace, name, v)) q) w WHERE change IS NOT NULL GROUP BY ecosystem, change""")
-register("p12_inventory_status", lambda x: p.inventory_status(p.authorised(x.repositories), _latest(x), NOW, 400), f"""WITH {_LATEST}, st AS (SELECT repository_id, max(collected_at) AS seen_at, arg_max(outcome, (collected_at, snapshot_id)) AS outcome FROM latest GROUP BY repository_id)
-SELECT id, CASE WHEN seen_at IS NULL THEN 'never' WHEN outcome = 'failed' THEN 'failed' WHEN epoch(TIMESTAMP '{NOW}') - epoch(seen_at) > 400 * 86400 THEN 'stale' ELSE 'current' END AS state, CAST(epoch(TIMESTAMP '{NOW}') - epoch(seen_at) AS BIGINT) AS age FROM repos LEFT JOIN st ON repository_id = id""")
+register("p12_inventory_status", lambda x: p.inventory_status(p.authorised(x.repositories), _latest(x), NOW, 400, x.components), f"""WITH {_LATEST}, lc AS (SELECT repository_id AS id, count(*) AS components, count(*) FILTER (trim(license_raw) <> '') AS licensed FROM {{components}} JOIN latest USING (snapshot_id) GROUP BY 1), st AS (SELECT repository_id, max(collected_at) AS seen_at, arg_max(outcome, (collected_at, snapshot_id)) AS outcome FROM latest GROUP BY repository_id)
+SELECT id, CASE WHEN seen_at IS NULL THEN 'never' WHEN outcome = 'failed' THEN 'failed' WHEN epoch(TIMESTAMP '{NOW}') - epoch(seen_at) > 400 * 86400 THEN 'stale' ELSE 'current' END AS state, CAST(epoch(TIMESTAMP '{NOW}') - epoch(seen_at) AS BIGINT) AS age, coalesce(components, 0) AS components, coalesce(licensed, 0) AS licensed FROM repos LEFT JOIN st ON repository_id = id LEFT JOIN lc USING (id)""")
 register("p13_history", lambda x: p.history(x.snapshots, 3), "SELECT * FROM (SELECT repository_id, id, outcome, row_number() OVER (PARTITION BY repository_id ORDER BY id DESC) AS no FROM {snapshots}) q WHERE no <= 3")
 register("p14_retention", lambda x: p.retention(x.snapshots, 2, [x.components.filter("status = 'conflict'").select(F.col("snapshot_id").alias("id"))]), "SELECT id, repository_id, stream_key FROM (SELECT *, row_number() OVER (PARTITION BY repository_id, stream_key ORDER BY id DESC) AS no FROM {snapshots}) q WHERE no > 2 AND id NOT IN (SELECT snapshot_id FROM {components} WHERE status = 'conflict')")
 register("p17_share_links", lambda x: p.share_links(x.components.join(_latest(x), "snapshot_id").groupBy("ecosystem").agg(F.collect_set("repository_id").alias("ids")), "ecosystem", "ids", 1000).select("ecosystem", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids")), f"""WITH {_LATEST}, d AS (SELECT DISTINCT ecosystem, repository_id FROM {{components}} JOIN latest USING (snapshot_id)), k AS (SELECT *, row_number() OVER (PARTITION BY ecosystem ORDER BY repository_id) AS rn, count(*) OVER () AS total FROM d)
