@@ -121,7 +121,7 @@ def type_hierarchy(edges: DataFrame, roots: DataFrame, direction: str = "outgoin
     given, then the node.
     """
     found = bfs(steps(edges, ["extends", "implements"], direction), roots, depth).filter("depth > 0")
-    via = edges.select(F.col("occurrence").alias("edge"), F.col("kind").alias("relation"), (F.coalesce("confidence", F.lit(1.0)) < 1).alias("heuristic"))
+    via = edges.groupBy(F.col("occurrence").alias("edge")).agg(F.min("kind").alias("relation"), (F.min(F.coalesce("confidence", F.lit(1.0))) < 1).alias("heuristic"))
     out = found.join(via, "edge", "left")
     order = [F.col("depth"), relation_rank("relation")]
     if nodes is not None:

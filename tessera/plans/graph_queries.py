@@ -125,7 +125,7 @@ register("f6_cycle_paths", lambda x: t.cycles(fd.pairs(x.nodes, x.edges.filter("
 
 _UP = """step AS (SELECT DISTINCT source AS s, target AS t FROM {edges} WHERE kind IN ('extends', 'implements')),
 w AS (SELECT query_id, root AS node, 0 AS depth FROM {requests} UNION SELECT query_id, %s, depth + 1 FROM w JOIN step ON %s = node WHERE depth < 3), m AS (SELECT query_id, node, min(depth) AS depth FROM w GROUP BY query_id, node),
-v AS (SELECT m.query_id, m.node, m.depth, u.node AS parent, e.occurrence AS edge, e.kind AS relation, coalesce(e.confidence, 1) < 1 AS heuristic, row_number() OVER (PARTITION BY m.query_id, m.node ORDER BY e.kind, u.node, e.occurrence) AS r FROM m JOIN m u ON u.query_id = m.query_id AND u.depth = m.depth - 1 JOIN {edges} e ON e.%s = u.node AND e.%s = m.node AND e.kind IN ('extends', 'implements')),
+v AS (SELECT m.query_id, m.node, m.depth, u.node AS parent, e.occurrence AS edge, e.kind AS relation, (SELECT min(coalesce(z.confidence, 1)) FROM {edges} z WHERE z.occurrence = e.occurrence) < 1 AS heuristic, row_number() OVER (PARTITION BY m.query_id, m.node ORDER BY e.kind, u.node, e.occurrence) AS r FROM m JOIN m u ON u.query_id = m.query_id AND u.depth = m.depth - 1 JOIN {edges} e ON e.%s = u.node AND e.%s = m.node AND e.kind IN ('extends', 'implements')),
 hier AS (SELECT query_id, v.node, depth, parent, edge, relation, heuristic, row_number() OVER (PARTITION BY query_id ORDER BY depth, relation, n.name, n.path, n.line, v.node) AS place FROM v JOIN {nodes} n ON n.occurrence = v.node WHERE r = 1)"""
 _FOCUS = lambda x: x.requests.select("query_id", F.col("root").alias("node"))
 _KNOWN = lambda x: x.edges.join(x.nodes.select(F.col("occurrence").alias("source")), "source", "left_semi").join(x.nodes.select(F.col("occurrence").alias("target")), "target", "left_semi")
