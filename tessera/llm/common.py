@@ -125,11 +125,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 #: So many edges at most are linked in one partition.
 FEW_EDGES = 100_000
-#: So few pairs are cheaper to compare than another round is to set up.
-FEW_PAIRS = 200_000
 
 
-def linked(posts: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Column | None = None, rounds: int = 2, leads: int = 3) -> DataFrame:
+def linked(posts: DataFrame, members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Column | None = None, rounds: int = 2, leads: int = 3, few: int = 200_000, share: float = 4) -> DataFrame:
     """(id, component) of all ids of members, linked where verify lets a pair (a, b) pass; sub-quadratic where ids are alike.
 
     posts (token, unit, and any columns that near compares with their namesakes ending in 2) says which units can hold
@@ -139,8 +137,8 @@ def linked(posts: DataFrame, members: DataFrame, verify: Callable[[DataFrame], D
     inside):
 
     1. ids are compared with their unit, and units with the smallest unit of each of their tokens (a star, not all pairs);
-    2. as long as more pairs than a few for each post would be left, for a few rounds, the parts of a token outside
-       its main component are compared with `leads` more members of that component;
+    2. as long as more pairs than `few`, and than `share` for each post, would be left, for a few rounds, the parts of a
+       token outside its main component are compared with `leads` more members of that component;
     3. the parts of each token outside its main component are compared with everything else there.
     """
     near = F.lit(True) if near is None else near
@@ -176,7 +174,7 @@ def linked(posts: DataFrame, members: DataFrame, verify: Callable[[DataFrame], D
         if not left["posts"]:
             return label
         open_ = written(where.join(main.select("token", "main"), "token"))  # only tokens of several components go on
-        if no == rounds or left["pairs"] <= max(4 * size, FEW_PAIRS):
+        if no == rounds or left["pairs"] <= max(share * size, few):
             break
         picked = [F.min_by("rep", F.xxhash64("rep", F.lit(no * leads + i))) for i in range(leads)]
         lead = open_.filter("component = main").groupBy("token").agg(F.array_distinct(F.array(*picked)).alias("a")).select("token", F.explode("a").alias("a"))
