@@ -62,7 +62,7 @@ def _cdx_warnings(x: Facts) -> DataFrame:
     return cdx.warnings(parsed, comps, cdx.relationships(parsed, comps, contains)).groupBy("code").agg(F.sum("n").alias("n"))
 
 
-register("s8_warnings", _cdx_warnings, _INNER + """, w AS (SELECT 'package_id_missing' AS code FROM c WHERE partkey % 7 = 0 UNION ALL SELECT 'package_version_missing' FROM c WHERE version IS NULL UNION ALL SELECT 'package_purl_missing' FROM c WHERE purl IS NULL UNION ALL SELECT 'license_list_ambiguous' FROM c WHERE partkey % 4 = 2
+register("s8_warnings", _cdx_warnings, _INNER + """, w AS (SELECT 'package_id_missing' AS code FROM c WHERE partkey % 7 = 0 UNION ALL SELECT 'package_id_duplicate' FROM (SELECT row_number() OVER (PARTITION BY snapshot_id, element_id) AS rn FROM c WHERE partkey % 7 > 0) z WHERE rn > 1 UNION ALL SELECT 'package_version_missing' FROM c WHERE version IS NULL UNION ALL SELECT 'package_purl_missing' FROM c WHERE purl IS NULL UNION ALL SELECT 'license_list_ambiguous' FROM c WHERE partkey % 4 = 2
 UNION ALL SELECT 'package_version_mismatch' FROM c WHERE purl IS NOT NULL AND version IS NOT NULL UNION ALL SELECT 'root_missing' FROM (SELECT DISTINCT snapshot_id FROM c WHERE root_element IS NULL) z UNION ALL SELECT 'created_missing' FROM (SELECT DISTINCT snapshot_id FROM c WHERE snapshot_id % 4 = 0) z
 UNION ALL SELECT 'relationship_unresolved' FROM c WHERE root_part % 7 <> 0 AND partkey % 7 = 0 AND NOT top UNION ALL SELECT 'relationship_unresolved' FROM c WHERE top AND root_part % 7 <> 0 AND snapshot_id % 3 = 0 UNION ALL SELECT 'relationship_unresolved' FROM c WHERE top AND root_part % 7 = 0)
 SELECT code, count(*) AS n FROM w GROUP BY code""")
