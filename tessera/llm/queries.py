@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontam, exact_dedup, html_text, line_dedup, ngram_join, quality, secret_scan, toxicity, warc
+from . import bpe, common, conversations, decontam, exact_dedup, html_text, line_dedup, ngram_join, quality, secret_scan, simhash, spelling, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,6 +91,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.char_length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def _predicted(scored: DataFrame, least: float) -> DataFrame:
     return scored.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
@@ -150,3 +162,55 @@ g AS (SELECT page_id, payload_bytes, min(page_id) OVER (PARTITION BY bits) AS fi
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to FROM g
 """
+
+#: crc32 of the bytes of the text that stands for {0}; step holds the remainders of all bytes.
+_STEP = "step AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS of)"
+_CRC = "xor(list_reduce(list_transform(range(strlen({0})), lambda k: CAST('0x' || substr(hex({0}), CAST(2 * k + 1 AS INT), 2) AS BIGINT)), lambda c, b: xor(c >> 8, step.of[CAST(1 + (xor(c, b) & 255) AS INT)]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+SQL_OP12_CONVERSATION_TRIE = (
+    "WITH RECURSIVE "
+    + _STEP
+    + r""",
+turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT conv_id, """
+    + _CRC.format("CAST(conv_id AS VARCHAR)")
+    + r""" % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns), step),
+rebuilt AS (SELECT c.conv_id, t.pos, t.role, t.text FROM conv c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, t.pos + 1000, t.role, t.text FROM conv c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+placed AS (SELECT conv_id, sha256(length(role)::VARCHAR || ':' || role || text) AS id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+  row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth FROM rebuilt),
+path AS (SELECT conv_id, depth, words, string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY depth) AS p, max(depth) OVER (PARTITION BY conv_id) AS size FROM placed
+  UNION ALL SELECT conv_id, 0, 0, '', coalesce(s, 0) FROM conv LEFT JOIN (SELECT conv_id, max(depth) AS s FROM placed GROUP BY conv_id) USING (conv_id)),
+node AS (SELECT p, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(words) AS words,
+  coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = depth), '') AS ends FROM path GROUP BY p),
+kid AS (SELECT left(p, length(p) - 64) AS p, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL),
+below AS (SELECT top.p, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((x.n_convs - 1) * x.words) AS saved FROM node x
+  LEFT JOIN kid k ON k.p = x.p, unnest(range(0, x.depth + 1)) AS r(d) JOIN node top ON top.p = left(x.p, 64 * r.d) GROUP BY top.p)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(kid.n, 0) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM node n LEFT JOIN kid ON kid.p = n.p JOIN below ON below.p = n.p LEFT JOIN node up ON n.depth > 0 AND up.p = left(n.p, length(n.p) - 64)
+"""
+)
+
+SQL_OP13_SPELLING = (
+    "WITH RECURSIVE "
+    + _STEP
+    + r""",
+run AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents) WHERE length(w) >= 6 GROUP BY ALL),
+hashed AS (SELECT w, c, """
+    + _CRC.format("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)")
+    + r""" AS h FROM run, step),
+word AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN left(w, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) + 2 AS INT)) ELSE w END AS word, c FROM hashed) WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+gap AS (SELECT word, n, left(word, CAST(i AS INT)) || '*' || substr(word, CAST(i + 2 AS INT)) AS replaced, left(word, CAST(i AS INT)) || substr(word, CAST(i + 2 AS INT)) AS less FROM word, unnest(range(0, length(word))) AS r(i)),
+one AS (SELECT a.word AS a, b.word AS b FROM gap a JOIN gap b ON a.replaced = b.replaced AND a.word <> b.word
+  UNION SELECT g.word, w.word FROM gap g JOIN word w ON w.word = g.less UNION SELECT w.word, g.word FROM gap g JOIN word w ON w.word = g.less),
+best AS (SELECT a, count(*) AS n_near, max(n) AS top FROM one JOIN word ON word = b GROUP BY a),
+form AS (SELECT word.word, word.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * word.n THEN top END AS form_n FROM word LEFT JOIN best ON a = word.word),
+chosen AS (SELECT o.a, min(o.b) AS form FROM one o JOIN word w ON w.word = o.b JOIN form f ON f.word = o.a AND w.n = f.form_n GROUP BY o.a),
+known AS (SELECT f.word, n, n_near, form_n, c.form FROM form f LEFT JOIN chosen c ON c.a = f.word),
+walk AS (SELECT word, word AS root FROM known UNION SELECT walk.word, k.form FROM walk JOIN known k ON k.word = walk.root WHERE k.form IS NOT NULL),
+last AS (SELECT w.word, w.root FROM walk w JOIN known k ON k.word = w.root WHERE k.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM known JOIN last USING (word)
+"""
+)
