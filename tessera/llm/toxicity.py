@@ -95,46 +95,52 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A machine fitted on at most `rows` labelled documents outside the held-out fold.
 
     Executors hash the terms of the sampled texts and count, per term, the documents of each label; the max_terms terms
-    with the largest chi-square stay (never one of fewer than min_docs documents or less than min_chi). The same screen
-    follows among the documents that hold one of these terms, for terms that only tell something beside them, such as the
-    name of a group beside an insult. Only those terms of the sampled texts reach the driver: at most 2 * rows * max_terms
+    with the largest chi-square stay (never one of fewer than min_docs documents or less than min_chi). A second screen admits
+    terms that only tell something beside one of these, such as the name of a group beside an insult: it compares documents
+    with the same strongest term of the first screen, and sums over these strata (Cochran, Mantel and Haenszel), so that a
+    term has to tell more than its partner alone; its bar rises with the number of terms tested. Only those terms of the sampled texts reach the driver: at most 2 * rows * max_terms
     small integers. Null and empty texts count like others, repeated rows each, ties of chi-square go by term; with no
     labelled document the machine has no terms and a base rate of one half.
     """
     known = sampled_docs(docs, sample(labels, target, id_col, rows), id_col, text_col)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in _lower(batches, "_text"):
-            d, t = terms(Words(data, offsets, ALNUM))
-            cut = np.searchsorted(d, np.arange(part.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_y"), pa.ListArray.from_arrays(pa.array(cut), pa.array(t.astype(np.int32)))], names=["id", "y", "t"])
-
     kind = known.schema["_id"].dataType.simpleString()
 
-    def screen(beside: np.ndarray | None) -> np.ndarray:
-        """The terms that tell most, among all sampled documents or those that hold one of the terms beside."""
+    def counted(first: np.ndarray | None) -> DataFrame:
+        """(stratum, term, df, pos): labelled documents by term, -1 counting all of them; strata are the place in `first` of a
+        document's strongest term there, and documents without any are left out. Without `first` all are one stratum."""
+        rank = None if first is None else (np.sort(first), np.argsort(first))
 
-        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part, data, offsets in _lower(batches, "_text"):
                 d, t = terms(Words(data, offsets, ALNUM))
-                rows = np.arange(part.num_rows) if beside is None else np.unique(d[np.isin(t, beside)])
+                stratum = np.zeros(part.num_rows, dtype=np.int32)
+                if rank is not None:
+                    stratum[:] = len(first)
+                    own = np.isin(t, rank[0])
+                    np.minimum.at(stratum, d[own], rank[1][np.searchsorted(rank[0], t[own])].astype(np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(part.num_rows + 1)).astype(np.int32)), pa.array(t.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("_y").take(pa.array(rows)), lists.take(pa.array(rows))], names=["y", "t"])
-
-        hashed = known.select("_text", "_y").mapInArrow(pairs, "y int, t array<int>")
-        # -1 counts the documents
-        by_term = hashed.select("y", F.explode(F.concat("t", F.array(F.lit(-1)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("pos")).filter(F.col("df") >= min_docs)
-        by_term = durable(by_term)
-        total = by_term.filter("term = -1").first()
-        if total is None:
-            return np.zeros(0, dtype=np.int64)
-        n, p = total["df"], total["pos"]
-        lift = (F.col("pos") * n - F.col("df") * p).cast("double")
-        chi = F.lit(float(n)) * lift * lift / (F.col("df").cast("double") * (n - F.col("df") + 1) * max(p, 1) * max(n - p, 1))
-        return by_term.filter("term >= 0").select("term", chi.alias("c")).filter(F.col("c") >= min_chi).orderBy(F.desc("c"), "term").limit(max_terms).toPandas()["term"].to_numpy(dtype=np.int64)
-
-    slots = np.sort(screen(None))
-    slots = np.union1d(slots, screen(slots)) if len(slots) else slots
+                keep = pa.array(np.flatnonzero(stratum < (1 if first is None else len(first))))
+                yield pa.RecordBatch.from_arrays([part.column("_y").take(keep), pa.array(stratum).take(keep), lists.take(keep)], names=["y", "stratum", "t"])
+
+        each = known.select("_text", "_y").mapInArrow(hashed, "y int, stratum int, t array<int>").select("y", "stratum", F.explode(F.concat("t", F.array(F.lit(-1)))).alias("term"))
+        return durable(each.groupBy("stratum", "term").agg(F.count("*").alias("df"), F.sum("y").alias("pos")))
+
+    def telling(by_term: DataFrame) -> np.ndarray:
+        """Terms by their chi-square summed over strata, largest first."""
+        all_ = by_term.filter("term = -1").select("stratum", F.col("df").cast("double").alias("n"), F.col("pos").cast("double").alias("p"))
+        spread = F.col("df") * (F.col("n") - F.col("df")) * F.col("p") * (F.col("n") - F.col("p")) / (F.col("n") * F.col("n") * F.greatest(F.col("n") - 1, F.lit(1.0)))
+        by = by_term.filter("term >= 0").join(F.broadcast(all_), "stratum").groupBy("term").agg(F.sum("df").alias("df"), F.sum(F.col("pos") - F.col("df") * F.col("p") / F.col("n")).alias("more"), F.sum(spread).alias("spread"))
+        by = durable(by.filter(F.col("df") >= min_docs))
+        tested = by.count()
+        chi = F.round(F.col("more") * F.col("more") / F.greatest("spread", F.lit(0.25)), 9)
+        # twice the logarithm of tests over a twentieth: what the largest of so many chances stays under
+        least = max(min_chi, 2 * np.log(max(tested, 1) / 0.05)) if by_term is not first_count else min_chi
+        top = by.select("term", chi.alias("c")).filter(F.col("c") >= least).orderBy(F.desc("c"), "term").limit(max_terms).toPandas()
+        return top["term"].to_numpy(dtype=np.int64)
+
+    first_count = counted(None)
+    first = telling(first_count)
+    slots = np.union1d(first, telling(counted(first))) if len(first) else first
     model = FactorizationMachine(slots, factors)
 
     def active(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -322,3 +322,37 @@ def test_query_equals_its_sql(spark, name):
     df = queries.queries()[name](spark, SF)
     assert sorted(df.columns) == sorted(want.columns)
     assert sorted(map(str, df.select(*want.columns).collect())) == sorted(map(str, spark.createDataFrame(want.fetchall(), df.select(*want.columns).schema).collect()))
+
+
+# held-out figures on the given tables
+
+TENTH = "/root/testdata/sf0.1"
+
+
+def held_out_figures(spark, name, target, least):
+    """Recall and precision at the query's threshold, and the area under the curve, over the held-out fold."""
+    labels = spark.read.parquet(f"{TENTH}/labels.parquet").select("doc_id", F.col(target).alias("y")).filter("y IS NOT NULL")
+    rows = queries.queries()[name](spark, TENTH).filter("held_out").join(labels, "doc_id").select("score", "y").toPandas()
+    score, y = rows["score"].to_numpy(), rows["y"].to_numpy() == 1
+    said = score >= least
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    for v in np.unique(score):  # ties share a rank
+        rank[score == v] = rank[score == v].mean()
+    auc = (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+    out = (said & y).sum() / y.sum(), (said & y).sum() / max(said.sum(), 1), auc
+    print(name, *(f"{x:.3f}" for x in out))
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(TENTH), reason="no tables here")
+def test_toxicity_holds_up(spark):
+    recall, precision, auc = held_out_figures(spark, "op8_toxicity", "toxic", 0.5)
+    assert recall >= 0.9 and precision >= 0.98 and auc >= 0.96
+
+
+@pytest.mark.skipif(not os.path.isdir(TENTH), reason="no tables here")
+def test_quality_holds_up(spark):
+    recall, precision, auc = held_out_figures(spark, "op9_quality", "quality", 0.3)
+    assert recall >= 0.98 and precision >= 0.93 and auc >= 0.97
