@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 RELATIONS = ("contains", "calls", "imports", "exports", "extends", "implements", "references", "type_of", "returns", "instantiates", "overrides", "decorates", "navigates")
 CONTAINERS = ("class", "interface", "struct", "union", "trait", "protocol", "module", "enum")
 
+#: Fixed value: file names that generators give.
+GENERATED = (
+    r"(\.pb\.go|\.pulsar\.go|_grpc\.pb\.go|_mock\.go|_mocks\.go|\.generated\.[jt]sx?|\.gen\.[jt]sx?|\.pb\.[jt]s|_pb\.[jt]s|_grpc_pb\.[jt]s|\.min\.m?js|_pb2(_grpc)?\.py|_pb2\.pyi|\.pb\.(cc|h)|\.g\.cs|Grpc\.cs"
+    r"|OuterClass\.java|Grpc\.java|\.pb\.swift|\.g\.dart|\.freezed\.dart|\.pb\.dart|\.pbgrpc\.dart|\.chopper\.dart|\.generated\.rs)$|^mock_[^/]+\.go$"
+)
+
 
 def confident(least: float, column: str = "confidence") -> Column:
     """An edge without a confidence passes every threshold."""
@@ -232,7 +238,7 @@ def classify_files(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> Data
     both = edges.filter("kind <> 'contains'").join(at.toDF("source", "from_path"), "source").join(at.toDF("target", "path"), "target")
     entered = both.filter("from_path <> path").select("path", F.lit(True).alias("entered")).distinct()
     out = files.join(own, "path", "left").join(calls, "path", "left").join(entered, "path", "left")
-    generated = F.coalesce("generated", F.lit(False)) | F.col("path").rlike(r"(\.pb\.go|_generated\.|\.min\.js)$")
+    generated = F.coalesce("generated", F.lit(False)) | F.col("path").rlike(GENERATED)
     return out.select("path", generated.alias("generated"), (F.coalesce("only_types", F.lit(False)) & F.col("calls").isNull() & F.col("entered").isNull()).alias("ambient"))
 
 

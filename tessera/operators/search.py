@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import durable
+
 
 def lines(corpus: DataFrame) -> DataFrame:
     """One row per line, numbered from 1; an empty text has one empty line."""
@@ -34,15 +36,25 @@ def search(corpus: DataFrame, query: str, regex: bool = False, case: bool = Fals
         own = own.filter(F.col("path").rlike(f))
     for t in terms:
         own = own.filter(has(F.col("text"), t))
-    parts = F.split("text", "\n", -1)
-    hit = own.select("repository", "path", parts.alias("_all"), F.posexplode(parts).alias("at", "line"))
-    for t in terms:
-        hit = hit.filter(has(F.col("line"), t))
-    first = F.greatest(F.col("at") + 1 - context, F.lit(1))
-    out = hit.select("repository", "path", (F.col("at") + 1).alias("line_no"), F.array_join(F.slice("_all", first, F.col("at") + 2 + context - first), "\n").alias("preview"))
+    # lines that match are picked inside the array, and previews cut there: no row carries all lines
+    line_has = lambda line: F.forall(F.array(*[has(line, t) for t in terms]) if terms else F.array(F.lit(True)), lambda x: x)
+    hit = own.select("repository", "path", F.split("text", "\n", -1).alias("_lines"))
+    out = _shown(hit.withColumn("_hits", F.filter(_numbered(), lambda x: line_has(x["line"]))), context, ["repository", "path"])
     return out if limit is None else out.orderBy("repository", "path", "line_no").limit(limit)
 
 
+def _numbered() -> Column:
+    return F.transform("_lines", lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line")))
+
+
+def _shown(hits: DataFrame, context: int, keep: list[str], more: Callable[[Column], Column] | None = None) -> DataFrame:
+    """A row for each of _hits with keep, line_no, preview and what `more` makes of it. hits: _lines, _hits array of (line_no, line)."""
+    first = lambda n: F.greatest(n - context, F.lit(1))
+    shown = lambda x: F.array_join(F.slice("_lines", first(x["line_no"]), x["line_no"] + 1 + context - first(x["line_no"])), "\n")
+    made = F.transform("_hits", lambda x: F.struct(x["line_no"].alias("line_no"), shown(x).alias("preview"), *([more(x["line"]).alias("score")] if more else [])))
+    return hits.filter(F.size("_hits") > 0).select(*keep, F.explode(made).alias("_h")).select(*[k.split(".")[-1] for k in keep], "_h.*")
+
+
 def path_search(corpus: DataFrame, req: DataFrame) -> DataFrame:
     """(query_id, repository, path) of files whose path each request's pattern fits. req: query_id, pattern; a bounded table."""
     return _with_requests(corpus.select("repository", "path"), req.select("query_id", "pattern")).filter(F.regexp_like("path", F.col("r.pattern"))).select("r.query_id", "repository", "path")
@@ -91,19 +103,23 @@ def search_requests(corpus: DataFrame, req: DataFrame, context: int = 3, limit:
     own = own.select("repository", "path", "text", F.lower("text").alias("low"))
     has = lambda text, low, r: F.forall(r["terms"], lambda t: F.when(r["case"], F.contains(text, t)).otherwise(F.contains(low, F.lower(t))))
     hit = _with_requests(own, parsed, lambda r: has(F.col("text"), F.col("low"), r) & F.forall(r["files"], lambda f: F.regexp_like(F.col("path"), f)))
-    parts = F.split("text", "\n", -1)
-    line = hit.select("r", "repository", "path", parts.alias("_all"), F.posexplode(parts).alias("at", "line")).filter(has(F.col("line"), F.lower("line"), F.col("r")))
-    count = lambda t: F.when(F.col("r.case"), F.size(F.split(F.col("line"), F.concat(F.lit("\\Q"), t, F.lit("\\E")), -1))).otherwise(F.size(F.split(F.lower("line"), F.concat(F.lit("\\Q"), F.lower(t), F.lit("\\E")), -1))) - 1
-    first = F.greatest(F.col("at") + 1 - context, F.lit(1))
-    out = line.select("r.query_id", "repository", "path", (F.col("at") + 1).alias("line_no"), F.array_join(F.slice("_all", first, F.col("at") + 2 + context - first), "\n").alias("preview"), F.aggregate("r.terms", F.lit(0), lambda n, t: n + count(t)).alias("score"))
-    return bounded(out, [F.desc("score"), "repository", "path", "line_no"], limit)
+    hit = hit.select("r", "repository", "path", F.split("text", "\n", -1).alias("_lines"))
+    hit = hit.withColumn("_hits", F.filter(_numbered(), lambda x: has(x["line"], F.lower(x["line"]), F.col("r"))))
+    times = lambda line, t: F.size(F.split(line, F.concat(F.lit("\\Q"), t, F.lit("\\E")), -1)) - 1
+    score = lambda line: F.aggregate("r.terms", F.lit(0), lambda n, t: n + F.when(F.col("r.case"), times(line, t)).otherwise(times(F.lower(line), F.lower(t))))
+    return bounded(_shown(hit, context, ["r.query_id", "repository", "path"], score), [F.desc("score"), "repository", "path", "line_no"], limit)
 
 
 def bounded(matches: DataFrame, order: list[str | Column], limit: int) -> DataFrame:
-    """The first `limit` matches of each query with their number, and whether the query had more."""
-    w = Window.partitionBy("query_id")
-    out = matches.withColumn("no", F.row_number().over(w.orderBy(*order))).withColumn("truncated", F.count("*").over(w) > limit)
-    return out.filter(F.col("no") <= limit)
+    """The first `limit` matches of each query with their number, and whether the query had more.
+
+    Matches are kept once. Their number is a count with partial sums, and row numbers are asked under a limit alone, so that
+    each task hands on `limit` rows a query: no task sorts all matches of a query.
+    """
+    matches = durable(matches)
+    total = matches.groupBy("query_id").agg((F.count("*") > limit).alias("truncated"))
+    first = matches.withColumn("no", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("no") <= limit)
+    return first.join(total, "query_id")
 
 
 def consistent(matches: DataFrame, repositories: DataFrame) -> DataFrame:
@@ -129,10 +145,8 @@ def _accents() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-# Words that say nothing in a query, and endings that are tried without.
+# Words that say nothing in a query.
 STOP = ("a", "an", "and", "are", "by", "do", "does", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "what", "when", "where", "which", "with")
-SUFFIXES = ("ing", "tion", "ment", "ies", "es", "s", "ed", "er")
-STRONG = ("class", "interface", "method", "function", "enum")
 
 
 def normalise(text: Column) -> Column:
@@ -154,103 +168,6 @@ def query_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(segments(text), lambda s: ~s.isin(*STOP)))
 
 
-def variants(term: Column) -> Column:
-    """A term and what is left of it without each ending, of three letters or more; ies becomes y as well."""
-    cut = [F.when(F.endswith(term, F.lit(x)) & (F.char_length(term) >= len(x) + 3), F.substring(term, F.lit(1), F.char_length(term) - len(x))) for x in SUFFIXES]
-    y = F.when(F.endswith(term, F.lit("ies")) & (F.char_length(term) >= 6), F.concat(F.substring(term, F.lit(1), F.char_length(term) - 3), F.lit("y")))
-    return F.array_distinct(F.array_compact(F.array(term, *cut, y)))
-
-
-def parse_filters(req: DataFrame, kinds: list[str], languages: list[str]) -> DataFrame:
-    """(query_id, kind, lang, path, name, rest, problem) of texts with kind:, lang:, path: and name: filters. req: query_id, text.
-
-    Values may be quoted. A kind or language that isn't listed is a problem; the last of several filters of one name counts.
-    """
-    filters = r'(?:^|\s)(?:kind|lang|path|name):(?:"[^"]*"|\S+)'
-    one = lambda k: F.nullif(F.regexp_replace(F.try_element_at(F.regexp_extract_all("text", F.lit(rf'(?:^|\s){k}:("[^"]*"|\S+)'), F.lit(1)), F.lit(-1)), '^"|"$', ""), F.lit(""))
-    out = req.select("query_id", *[one(k).alias(k) for k in ("kind", "lang", "path", "name")], F.trim(F.regexp_replace(F.regexp_replace("text", filters, " "), r"\s+", " ")).alias("rest"))
-    problem = F.when(F.col("kind").isNotNull() & ~F.col("kind").isin(*kinds), "unknown_kind").when(F.col("lang").isNotNull() & ~F.col("lang").isin(*languages), "unknown_language")
-    return out.withColumn("problem", problem)
-
-
-def projection(nodes: DataFrame, edges: DataFrame, generated: Column, test: Column, ambient: DataFrame | None = None) -> DataFrame:
-    """What discovery reads of each node, to be stored once: (occurrence, kind, path, name, folded, segments, grams, usage, generated, test, ambient).
-
-    folded is the normalised name, grams its distinct runs of one to three characters; usage counts edge ends other than
-    contains, imports and exports, a loop once. generated and test are conditions on path; ambient: path.
-    """
-    ends = edges.filter("kind NOT IN ('contains', 'imports', 'exports')")
-    usage = ends.select(F.col("source").alias("occurrence")).unionByName(ends.filter("source <> target").select(F.col("target").alias("occurrence"))).groupBy("occurrence").agg(F.count("*").alias("usage"))
-    n = nodes.select("occurrence", "kind", "path", "name", "qualified_name").join(usage, "occurrence", "left")
-    if ambient is not None:
-        n = n.join(ambient.select("path", F.lit(True).alias("ambient")).distinct(), "path", "left")
-    else:
-        n = n.withColumn("ambient", F.lit(False))
-    folded = normalise(F.col("name"))
-    grams = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.when(F.char_length(folded) >= k, F.transform(F.sequence(F.lit(1), F.char_length(folded) - k + 1), lambda i: F.substring(folded, i, k))).otherwise(F.array().cast("array<string>")))))
-    return n.select("occurrence", "kind", "path", "name", "qualified_name", folded.alias("folded"), segments(F.col("name")).alias("segments"), grams.alias("grams"), F.coalesce("usage", F.lit(0)).alias("usage"), generated.alias("generated"), test.alias("test"), F.coalesce("ambient", F.lit(False)).alias("ambient"))
-
-
-def postings(nodes: DataFrame) -> DataFrame:
-    """(occurrence, term, weight): terms of names weigh 1, of qualified names 0.25, of paths 0.1; the heaviest counts."""
-    each = [nodes.select("occurrence", F.explode(segments(F.col(c))).alias("term"), F.lit(w).alias("weight")) for c, w in (("name", 1.0), ("qualified_name", 0.25), ("path", 0.1))]
-    return each[0].unionByName(each[1]).unionByName(each[2]).groupBy("occurrence", "term").agg(F.max("weight").alias("weight"))
-
-
-def discover(projected: DataFrame, req: DataFrame, top: int = 20, deprioritised: Column | None = None, longest: int = 16) -> DataFrame:
-    """Ranked symbols per query: (query_id, occurrence, pinned, corroborated, terms, score, r). req: query_id, text.
-
-    Candidates: a segment of name, qualified name or path begins with a term of the query (prefixes of up to `longest` letters),
-    or the whole text is the name or path (pinned), or the name holds it. score = (1 + 100 * weight + 0.2 * min(usage, 20)), 0.3 if
-    generated, 0.5 if ambient, 0.5 if a test, 0.25 if deprioritised (a condition on path), 0.08 for an unused variable and 0.5 for a
-    file; the weight sums each term's heaviest place, and 0.05 for a name that holds the text. Order: pinned, corroborated (two
-    terms on an unpenalised class, interface, method, function or enum), score, occurrence.
-    """
-    terms = req.select("query_id", F.explode(query_terms(F.col("text"))).alias("term"))
-    post = postings(projected).filter(F.char_length("term") >= 2)
-    heads = post.withColumn("head", F.explode(F.transform(F.sequence(F.lit(2), F.least(F.char_length("term"), F.lit(longest))), lambda k: F.substring(F.col("term"), F.lit(1), k))))
-    heads = heads.groupBy("occurrence", "head").agg(F.max("weight").alias("weight"))
-    hit = heads.join(terms.withColumn("head", F.substring("term", 1, longest)), "head").groupBy("query_id", "occurrence").agg(F.sum("weight").alias("weight"), F.count("*").alias("terms"))
-    whole = req.select("query_id", normalise(F.trim("text")).alias("whole")).filter("whole <> ''")
-    names = projected.select("occurrence", "folded", normalise(F.col("path")).alias("low_path"))
-    exact = whole.join(names, F.col("whole") == F.col("folded")).select("query_id", "occurrence").unionByName(whole.join(names, F.col("whole") == F.col("low_path")).select("query_id", "occurrence")).distinct().withColumn("pinned", F.lit(True))
-    # names that hold the text meet it by the text's first three characters among their grams
-    part = whole.filter(F.char_length("whole") >= 3).withColumn("gram", F.substring("whole", 1, 3)).join(projected.select("occurrence", "folded", F.explode("grams").alias("gram")), "gram").filter(F.contains("folded", F.col("whole"))).select("query_id", "occurrence", F.lit(0.05).alias("inside")).distinct()
-    key = ["query_id", "occurrence"]
-    all_ = hit.join(exact, key, "full").join(part, key, "full").join(projected.select("occurrence", "kind", "path", "usage", "generated", "test", "ambient"), "occurrence")
-    low = F.lit(False) if deprioritised is None else F.coalesce(deprioritised, F.lit(False))
-    factor = lambda c, f: F.when(c, F.lit(f)).otherwise(F.lit(1.0))
-    penalty = factor(F.col("generated"), 0.3) * factor(F.col("ambient"), 0.5) * factor(F.col("test"), 0.5) * factor(low, 0.25)
-    kind = F.when((F.col("kind") == "variable") & (F.col("usage") == 0), 0.08).when(F.col("kind").isin("file", "import", "export"), 0.5).otherwise(1.0)
-    weight = F.coalesce("weight", F.lit(0.0)) + F.coalesce("inside", F.lit(0.0))
-    score = F.round((1 + 100 * weight + 0.2 * F.least("usage", F.lit(20))) * penalty * kind, 6)
-    n = F.coalesce("terms", F.lit(0))
-    sure = (n >= 2) & F.col("kind").isin(*STRONG) & (penalty == 1.0)
-    out = all_.select(*key, F.coalesce("pinned", F.lit(False)).alias("pinned"), sure.alias("corroborated"), n.alias("terms"), score.alias("score"), "kind")
-    w = Window.partitionBy("query_id").orderBy(F.desc("pinned"), F.desc("corroborated"), F.desc("score"), "occurrence")
-    return out.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top)
-
-
-def fuzzy(names: DataFrame, req: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """Names within edit distance 1 (up to four characters) or 2 of the queries that found nothing. req: query_id, text; found: query_id.
-
-    d edits leave one of d + 1 pieces of a name whole, at most d places away: names and queries meet by (length, piece, text of
-    the piece), and only those pairs are measured.
-    """
-    q = req.filter(F.char_length("text") >= 3)
-    q = q if found is None else q.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    q = q.withColumn("d", F.when(F.char_length("text") <= 4, 1).otherwise(2))
-    size = lambda n, d, i: F.floor(n * (i + 1) / (d + 1)) - F.floor(n * i / (d + 1))
-    at = lambda n, d, i: F.floor(n * i / (d + 1))
-    own = names.select("name").distinct().withColumn("n", F.char_length("name")).filter("n >= 1").withColumn("d", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
-    own = own.select("name", "n", "d", "i", F.substring(F.col("name"), (at(F.col("n"), F.col("d"), F.col("i")) + 1).cast("int"), size(F.col("n"), F.col("d"), F.col("i")).cast("int")).alias("piece"))
-    q = q.withColumn("n", F.explode(F.sequence(F.greatest(F.char_length("text") - F.col("d"), F.lit(1)), F.char_length("text") + F.col("d")))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d")))).withColumn("move", F.explode(F.sequence(-F.col("d"), F.col("d"))))
-    start = at(F.col("n"), F.col("d"), F.col("i")) + F.col("move")
-    q = q.filter(start >= 0).select("query_id", "text", "n", "d", "i", F.substring(F.col("text"), (start + 1).cast("int"), size(F.col("n"), F.col("d"), F.col("i")).cast("int")).alias("piece")).distinct()
-    near = q.join(own, ["n", "d", "i", "piece"]).select("query_id", "text", "name", "d").distinct()
-    return near.withColumn("distance", F.levenshtein("text", "name")).filter("distance <= d").select("query_id", "name", "distance")
-
-
 def segment_vocabulary(nodes: DataFrame) -> DataFrame:
     """Segments of names, of 2 to 32 letters and the first 12 of a name, with how many names hold each."""
     own = F.array_distinct(F.filter(F.slice(segments(F.col("name")), F.lit(1), F.lit(12)), lambda s: F.char_length(s) <= 32))
@@ -277,14 +194,6 @@ def segment_matches(nodes: DataFrame, req: DataFrame, rare: tuple[int, int] = (2
     return by.withColumn("has", has).withColumn("tier", tier).filter("tier IS NOT NULL").select("query_id", "name", "tier", "words")
 
 
-def confidence_of(requests: DataFrame, results: DataFrame) -> DataFrame:
-    """(query_id, confidence): credible with a pinned or corroborated hit or, for requests of filters alone, any hit; low with
-    other hits; no_entry_point without. requests: query_id, filters_only; results: query_id, pinned, corroborated."""
-    by = results.groupBy("query_id").agg(F.bool_or(F.col("pinned") | F.col("corroborated")).alias("sure"))
-    out = requests.select("query_id", "filters_only").join(by, "query_id", "left")
-    return out.select("query_id", F.when(F.col("sure").isNull(), "no_entry_point").when(F.col("sure") | F.col("filters_only"), "credible").otherwise("low").alias("confidence"))
-
-
 def project_terms(manifests: DataFrame, repositories: DataFrame) -> DataFrame:
     """(repository, term): names of a project that say nothing inside it: lower letters and digits, five or more.
 

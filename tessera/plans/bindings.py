@@ -19,6 +19,12 @@ FROM {part}""",
 SELECT occurrence, kind, name, qualified_name, path, language, is_exported, line, ordinal FROM {entities}
 UNION ALL
 SELECT concat('file:', path), 'file', path, path, path, min(language), CAST(NULL AS BOOLEAN), 0, CAST(-1 AS BIGINT) FROM {entities} GROUP BY path""",
+    "described": """
+SELECT occurrence, kind, name, qualified_name, path, language, line,
+  CASE WHEN kind <> 'file' THEN concat(kind, ' ', name, '(', language, ' ', kind, ')') END AS signature,
+  CASE WHEN line % 3 = 1 THEN concat('Handles ', language, ' widgets of ', path) END AS documentation FROM {nodes}""",
+    "parsed": """
+SELECT path, generated, CASE WHEN size % 1700 = 0 THEN 'bad' END AS errors FROM {files}""",
     "edges": """
 SELECT concat('e:', CAST(l_orderkey AS STRING), ':', CAST(l_linenumber AS STRING), ':', CAST(l_partkey AS STRING), ':', CAST(l_suppkey AS STRING)) AS occurrence,
   concat('part:', CAST(prior AS STRING)) AS source, concat('part:', CAST(l_partkey AS STRING)) AS target,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import graph_queries
+from . import discovery_queries as _discovery  # noqa: F401  registers its queries
 from . import evidence_queries as _evidence  # noqa: F401  registers its queries
 from . import inspect_queries as _inspect  # noqa: F401  registers its queries
 from . import inventory_queries as _inventory  # noqa: F401  registers its queries

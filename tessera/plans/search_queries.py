@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import codeindex as ci
 from ..operators import search as s
+from ..shipping import scratch
 from .bindings import Facts
 from .graph_queries import register
 
@@ -25,32 +27,43 @@ register("c6_bounded_requests", lambda x: s.search_requests(x.corpus, _sql(x, _A
 register("c3_scoped_requests", lambda x: s.search_requests(x.corpus, _sql(x, _ASK, "nation"), 0, 15, x.corpus.select("repository").distinct().filter("repository < 'src15'")).drop("preview"), _HITS.replace("[scope]", "WHERE repository < 'src15'"))
 register("c3_empty_scope", lambda x: s.search_requests(x.corpus, _sql(x, _ASK, "nation"), 0, 15, x.corpus.select("repository").limit(0)).groupBy().agg(F.count("*").alias("n")), "SELECT CAST(0 AS BIGINT) AS n")
 register("c2_path_search", lambda x: s.path_search(x.corpus, x.nation.selectExpr("CAST(n_nationkey AS INT) AS query_id", "concat('/de/.*', n_nationkey, '[.]txt$') AS pattern")), "SELECT n_nationkey::INT AS query_id, repository, path FROM {corpus}, {nation} WHERE regexp_matches(path, concat('/de/.*', n_nationkey, '[.]txt$'))")
+
+#: Requests of an indexed search by n_nationkey % 10: pattern, whether it is a regular expression, case.
+_PATTERNS = (
+    ("anol", False, False), ("The", False, True), ("th[aeiou]t", True, False), ("(?:ing|tion)[ ,.]+(?:the|and) ", True, False), ("[A-Z]n.*erk", True, True),
+    ("q", False, False), ("lich(?:keit)+ü?", True, False), ("ü[a-z]+ß|œuvre|xyzzyq", True, False), ("^In .*in\\\\.$", True, True), ("ment.{0,12}tion", True, False),
+)
+
+
+def _asks(x: Facts) -> DataFrame:
+    rows = [(k, f"{p}{' case:yes' if case else ''}" if " " not in p else f'"{p}"{" case:yes" if case else ""}', regex) for k, (p, regex, case) in enumerate(_PATTERNS)]
+    asked = x.spark.createDataFrame(rows, "k int, text string, regex boolean")
+    return x.nation.select(F.col("n_nationkey").cast("int").alias("query_id"), (F.col("n_nationkey") % 10).cast("int").alias("k")).join(F.broadcast(asked), "k").drop("k")
+
+
+def _indexed(x: Facts) -> ci.Index:
+    folder = scratch(x.spark, "index")
+    ci.write_index(x.corpus, folder)
+    return ci.read_index(x.spark, folder)
+
+
+_ASKED = "VALUES " + ", ".join(f"({k}, '{p}', {str(regex).lower()}, {str(case).lower()})" for k, (p, regex, case) in enumerate(_PATTERNS))
+register(
+    "c1_indexed_search",
+    lambda x: ci.search(_indexed(x), _asks(x), 1, 40),
+    f"""WITH q AS (SELECT n_nationkey::INT AS query_id, v.* FROM {{nation}} JOIN ({_ASKED.replace("{", "{{").replace("}", "}}")}) AS v(k, pattern, regex, cased) ON n_nationkey % 10 = k),
+li AS (SELECT repository, path, parts, unnest(parts) AS line, generate_subscripts(parts, 1) AS line_no FROM (SELECT repository, path, string_split(text, chr(10)) AS parts FROM {{corpus}}) z),
+m AS (SELECT query_id, repository, path, line_no, array_to_string(parts[greatest(line_no - 1, 1):line_no + 1], chr(10)) AS preview FROM q JOIN li
+  ON CASE WHEN regex AND cased THEN regexp_matches(line, pattern) WHEN regex THEN regexp_matches(line, pattern, 'i') WHEN cased THEN contains(line, pattern) ELSE contains(lower(line), lower(pattern)) END),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY repository, path, line_no) AS no, count(*) OVER (PARTITION BY query_id) > 40 AS truncated FROM m)
+SELECT query_id, repository, path, CAST(line_no AS INT) AS line_no, preview, CAST(no AS INT) AS no, truncated FROM n WHERE no <= 40""",
+)
 _MATCH = "SELECT c_custkey AS id, concat('r', CAST(c_custkey % 40 AS STRING)) AS repository, concat('sha', CAST(c_custkey % 3 AS STRING)) AS commit, split(CASE c_custkey % 4 WHEN 0 THEN 'main,dev' WHEN 1 THEN 'dev' ELSE 'trunk,main' END, ',') AS branches FROM {customer}"
 _REPO = "SELECT concat('r', CAST(k AS STRING)) AS name, concat('sha', CAST(k % 3 AS STRING)) AS indexed_sha, CASE k % 2 WHEN 0 THEN 'main' ELSE 'dev' END AS default_branch FROM (SELECT DISTINCT c_custkey % 40 AS k FROM {customer}) q"
 register("c5_consistent", lambda x: s.consistent(_sql(x, _MATCH, "customer"), _sql(x, _REPO, "customer")).select("id", "repository"), f"WITH m AS ({_MATCH}), r AS ({_REPO}) SELECT id, repository FROM m JOIN r ON name = repository AND indexed_sha = m.commit WHERE list_contains(branches, default_branch)")
 
 _SEG = "[s FOR s IN string_split(lower(regexp_replace(regexp_replace({}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' ') IF length(s) >= 2]"
 _STOPPED = "[s FOR s IN " + _SEG.format("text") + " IF s NOT IN ('a', 'an', 'and', 'are', 'by', 'do', 'does', 'for', 'from', 'how', 'in', 'is', 'it', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'what', 'when', 'where', 'which', 'with')]"
-_REQ = "SELECT CAST(n_nationkey AS INT) AS query_id, CASE n_nationkey % 5 WHEN 0 THEN concat('how is the red bol in ', n_name) WHEN 1 THEN 'smallWid' WHEN 2 THEN concat('Brand med ring ', n_name) WHEN 3 THEN 'Blue Bolt' ELSE concat('src/Brand#', CAST(n_nationkey AS STRING), '/SMALL_3.go') END AS text FROM {nation}"
-_projected = lambda x: s.projection(x.nodes, x.edges, F.col("path").endswith(".pb.go"), F.col("path").contains("/test_"), x.files.filter("node_count = 1").select("path"))
-_PROJ = """us AS (SELECT occurrence, count(*) AS usage FROM (SELECT source AS occurrence FROM {edges} WHERE kind NOT IN ('contains', 'imports', 'exports') UNION ALL SELECT target FROM {edges} WHERE kind NOT IN ('contains', 'imports', 'exports') AND source <> target) q GROUP BY occurrence),
-pj AS (SELECT n.occurrence, n.kind, n.path, n.name, lower(n.name) AS folded, coalesce(usage, 0) AS usage, n.path LIKE '%.pb.go' AS generated, contains(n.path, '/test_') AS test, n.path IN (SELECT path FROM {files} WHERE node_count = 1) AS ambient FROM {nodes} n LEFT JOIN us USING (occurrence))"""
-register("d1_projection", lambda x: _projected(x).select("occurrence", "folded", F.array_join("segments", " ").alias("segments"), F.size("grams").alias("grams"), "usage", "generated", "test", "ambient"), f"WITH {_PROJ} SELECT occurrence, folded, array_to_string({_SEG.format('name')}, ' ') AS segments, (len(list_distinct(string_split(folded, ''))) + len(list_distinct([folded[i:i+1] FOR i IN range(1, length(folded))])) + len(list_distinct([folded[i:i+2] FOR i IN range(1, length(folded) - 1)])))::INT AS grams, usage, generated, test, ambient FROM pj")
-register("d2_filters", lambda x: s.parse_filters(x.nodes.select(F.col("occurrence").alias("query_id"), F.concat(F.lit("find kind:"), F.when(F.col("ordinal") % 9 == 0, "odd").otherwise(F.col("kind")), F.lit(' the name:"'), "name", F.lit('" lang:'), "language", F.lit(" path:"), "path", F.lit("  now")).alias("text")), ["class", "interface", "method", "function", "enum", "route", "variable", "file"], ["go", "java", "rust"]), """SELECT occurrence AS query_id, CASE WHEN ordinal % 9 = 0 THEN 'odd' ELSE kind END AS kind, language AS lang, path, name, 'find the now' AS rest, CASE WHEN ordinal % 9 = 0 THEN 'unknown_kind' WHEN language = 'python' THEN 'unknown_language' END AS problem FROM {nodes}""")
-_RANKED = f"""WITH rq AS ({_REQ}), {_PROJ}, qt AS (SELECT DISTINCT query_id, unnest({_STOPPED}) AS term FROM rq),
-po AS (SELECT occurrence, term, max(w) AS weight FROM (SELECT occurrence, unnest({_SEG.format('name')}) AS term, 1.0 AS w FROM {{nodes}} UNION ALL SELECT occurrence, unnest({_SEG.format('qualified_name')}), 0.25 FROM {{nodes}} UNION ALL SELECT occurrence, unnest({_SEG.format('path')}), 0.1 FROM {{nodes}}) q GROUP BY occurrence, term),
-hi AS (SELECT query_id, occurrence, sum(weight)::DOUBLE AS weight, count(*) AS terms FROM (SELECT query_id, occurrence, qt.term, max(weight) AS weight FROM po JOIN qt ON starts_with(po.term, left(qt.term, 16)) GROUP BY 1, 2, 3) q GROUP BY 1, 2),
-pi AS (SELECT query_id, occurrence FROM rq JOIN pj ON lower(trim(text)) = folded UNION SELECT query_id, occurrence FROM rq JOIN pj ON lower(trim(text)) = lower(path)), ins AS (SELECT query_id, occurrence FROM rq JOIN pj ON contains(folded, lower(trim(text)))),
-al AS (SELECT query_id, occurrence, weight, terms, pi.query_id IS NOT NULL AS pinned, ins.query_id IS NOT NULL AS inside FROM hi FULL JOIN pi USING (query_id, occurrence) FULL JOIN ins USING (query_id, occurrence)),
-sc AS (SELECT query_id, occurrence, pinned, coalesce(terms, 0) >= 2 AND kind IN ('class', 'interface', 'method', 'function', 'enum') AND NOT generated AND NOT ambient AND NOT test AND NOT contains(path, 'Brand#2/') AS corroborated, coalesce(terms, 0) AS terms, kind,
-round((1 + 100 * (coalesce(weight, 0) + CASE WHEN inside THEN 0.05 ELSE 0 END) + 0.2 * least(usage, 20)) * CASE WHEN generated THEN 0.3 ELSE 1 END * CASE WHEN ambient THEN 0.5 ELSE 1 END * CASE WHEN test THEN 0.5 ELSE 1 END * CASE WHEN contains(path, 'Brand#2/') THEN 0.25 ELSE 1 END * CASE WHEN kind = 'variable' AND usage = 0 THEN 0.08 WHEN kind = 'file' THEN 0.5 ELSE 1 END, 6)::DOUBLE AS score FROM al JOIN pj USING (occurrence)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pinned DESC, corroborated DESC, score DESC, occurrence) AS r FROM sc)"""
-_ranked = lambda x: s.discover(_projected(x), _sql(x, _REQ, "nation"), 20, F.col("path").contains("Brand#2/"))
-register("d3_discover", lambda x: _ranked(x).select("query_id", "occurrence", "pinned", "corroborated", "terms", F.round("score", 3).alias("score")), _RANKED + " SELECT query_id, occurrence, pinned, corroborated, terms, round(score, 3) AS score FROM rk WHERE r <= 20")
-register("d8_confidence", lambda x: s.confidence_of(_sql(x, _REQ, "nation").select("query_id", (F.col("query_id") % 7 == 0).alias("filters_only")), _ranked(x).filter("query_id % 4 > 0")), _RANKED + " SELECT query_id, CASE WHEN sure IS NULL THEN 'no_entry_point' WHEN sure OR query_id % 7 = 0 THEN 'credible' ELSE 'low' END AS confidence FROM rq LEFT JOIN (SELECT query_id, bool_or(pinned OR corroborated) AS sure FROM rk WHERE r <= 20 AND query_id % 4 > 0 GROUP BY 1) z USING (query_id)")
-_TYPO = "SELECT CAST(n_nationkey AS INT) AS query_id, CASE n_nationkey % 4 WHEN 0 THEN 'red bold' WHEN 1 THEN 'smal ring' WHEN 2 THEN 'blue wigdet' ELSE 'red bolt' END AS text FROM {nation}"
-register("d4_fuzzy", lambda x: s.fuzzy(x.nodes, _sql(x, _TYPO, "nation"), _sql(x, _TYPO, "nation").join(x.nodes.select(F.col("name").alias("text")), "text", "left_semi")), f"WITH q AS ({_TYPO}) SELECT DISTINCT query_id, name, levenshtein(text, name)::INT AS distance FROM q, {{nodes}} WHERE levenshtein(text, name) <= 2 AND text NOT IN (SELECT name FROM {{nodes}})")
-register("d5_terms", lambda x: _sql(x, _REQ, "nation").select("query_id", F.array_join(F.array_sort(s.query_terms(F.concat("text", F.lit(" parsings")))), " ").alias("terms"), F.array_join(F.array_sort(s.variants(F.lit("parsings"))), " ").alias("variants"), s.normalise(F.lit("Ünïcode Ça")).alias("folded")), f"WITH q AS (SELECT query_id, concat(text, ' parsings') AS text FROM ({_REQ}) z) SELECT query_id, array_to_string(list_sort(list_distinct({_STOPPED})), ' ') AS terms, 'parsing parsings' AS variants, 'unicode ca' AS folded FROM q")
 register("d7_segments", lambda x: s.segment_vocabulary(x.nodes), f"SELECT segment, count(*) AS names FROM (SELECT DISTINCT name, unnest({_SEG.format('name')}[1:12]) AS segment FROM {{nodes}}) q WHERE length(segment) <= 32 GROUP BY segment")
 _WORDS = "SELECT CAST(n_nationkey AS INT) AS query_id, CASE n_nationkey % 3 WHEN 0 THEN 'the reds bolts' WHEN 1 THEN concat('medium', CAST(n_nationkey AS STRING)) ELSE concat('brand', CAST(n_nationkey AS STRING), ' small') END AS text FROM {nation}"
 register("d7_matches", lambda x: s.segment_matches(x.nodes, _sql(x, _WORDS, "nation"), (2, 100000)), f"""WITH q AS ({_WORDS}), w AS (SELECT DISTINCT query_id, unnest({_STOPPED}) AS word FROM q), v AS (SELECT DISTINCT query_id, word, unnest(list_filter([word, concat(word, 's'), CASE WHEN word LIKE '%s' AND length(word) > 3 THEN left(word, -1) END], lambda e: e IS NOT NULL)) AS segment FROM w),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,3 +35,8 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a written copy in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
