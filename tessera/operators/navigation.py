@@ -13,13 +13,24 @@ def _before(line: str, char: str, other_line: str, other_char: str, strict: bool
     return (F.col(line) < F.col(other_line)) | ((F.col(line) == F.col(other_line)) & same)
 
 
-#: Lines in one bin: ranges and positions meet by file and bin, not by file alone.
-BIN = 32
+#: Lines of the smallest bins, how many of them one of the next level holds, and levels: more than any file has lines.
+BIN, WIDER, LEVELS = 32, 8, 9
+
+
+def _size(level: Column) -> Column:
+    return F.lit(BIN) * F.pow(F.lit(WIDER), level).cast("long")
 
 
 def _binned(rows: DataFrame, first: str, last: str) -> DataFrame:
-    """rows once for each bin of lines that first to last touches, as bin."""
-    return rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col(first) / BIN), F.floor(F.col(last) / BIN))))
+    """rows with level and bin: each range goes to the one bin, the smallest, that holds its first and its last line."""
+    levels = F.array(*[F.lit(k) for k in range(LEVELS)])
+    level = F.coalesce(F.element_at(F.filter(levels, lambda k: F.floor(F.col(first) / _size(k)) == F.floor(F.col(last) / _size(k))), 1), F.lit(LEVELS))
+    return rows.withColumn("level", level).withColumn("bin", F.floor(F.col(first) / _size(F.col("level"))))
+
+
+def _probing(rows: DataFrame, line: str) -> DataFrame:
+    """rows once for each level, with the bin that its line has there: a range that holds the line lies in one of these bins."""
+    return rows.withColumn("level", F.explode(F.array(*[F.lit(k) for k in range(LEVELS + 1)]))).withColumn("bin", F.floor(F.col(line) / _size(F.col("level"))))
 
 
 def occurrence_at(occurrences: DataFrame, req: DataFrame) -> DataFrame:
@@ -28,8 +39,7 @@ def occurrence_at(occurrences: DataFrame, req: DataFrame) -> DataFrame:
     occurrences: upload_id, path, start_line, start_character, end_line, end_character, symbol, roles.
     req: query_id, upload_id, path, line, character.
     """
-    at = req.withColumn("bin", F.floor(F.col("line") / BIN))
-    hit = at.join(_binned(occurrences, "start_line", "end_line"), ["upload_id", "path", "bin"]).filter(_before("start_line", "start_character", "line", "character") & _before("line", "character", "end_line", "end_character", strict=True))
+    hit = _probing(req, "line").join(_binned(occurrences, "start_line", "end_line"), ["upload_id", "path", "level", "bin"]).filter(_before("start_line", "start_character", "line", "character") & _before("line", "character", "end_line", "end_character", strict=True))
     w = Window.partitionBy("query_id").orderBy(F.desc("start_line"), F.desc("start_character"), "end_line", "end_character", "symbol")
     return hit.withColumn("r", F.row_number().over(w)).filter("r = 1").select("query_id", "symbol", "start_line", "start_character")
 
@@ -60,8 +70,7 @@ def enclosing(references: DataFrame, definitions: DataFrame) -> DataFrame:
     references: reference_id, upload_id, path, line, and character where there is one. definitions: definition_id, upload_id, path,
     from_line, to_line, and name_line, name_character where there are such.
     """
-    at = references.withColumn("bin", F.floor(F.col("line") / BIN))
-    hit = at.join(_binned(definitions, "from_line", "to_line"), ["upload_id", "path", "bin"]).filter("from_line <= line AND line <= to_line")
+    hit = _probing(references, "line").join(_binned(definitions, "from_line", "to_line"), ["upload_id", "path", "level", "bin"]).filter("from_line <= line AND line <= to_line")
     if "character" in references.columns and "name_line" in definitions.columns:
         hit = hit.filter(~((F.col("line") == F.col("name_line")) & (F.col("character") == F.col("name_character"))))
     best = hit.groupBy("reference_id").agg(F.max(F.struct("from_line", (-F.col("to_line")).alias("to"), "definition_id")).alias("b"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,12 @@ from ..operators import evidence as ev
 from ..operators import lifecycle as lc
 from ..operators import navigation as nav
 from ..operators import review as r
+from ..shipping import scratch
+from ..streaming import maintain as mt
 from ..streaming import streams as st
 from .bindings import Facts
 from .graph_queries import register
+from .license_queries import _ASSESSED
 from .lifecycle_queries import _GEN, _gen
 
 
@@ -123,8 +128,33 @@ register("n6_legacy_edges", lambda x: _graph(x, True)[1], _LEGACY + " SELECT * F
 
 _events = lambda x: st.source(x.spark, x.sf_dir, "events")
 _keyed = lambda x: _events(x).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), "event_type", "value", "ts")
-register("t2_targets", lambda x: st.drain(st.coalesced_targets(_keyed(x).select("key", "id", F.col("event_type").alias("target")))), "SELECT user_id AS key, event_id AS id, event_type AS target, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 'same' ELSE 'queued' END AS outcome FROM {events}")
-register("t3_publications", lambda x: st.drain(st.publications(_keyed(x).select("key", "id", F.when(F.col("event_type") != "error", F.floor("value") % 3).alias("digest")))), """WITH o AS (SELECT user_id AS key, event_id AS id, floor(value)::BIGINT % 3 AS d FROM {events} WHERE event_type <> 'error')
+
+
+def _ended(x: Facts, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The whole result of an ordered stream over the events, which come to an end."""
+    end = scratch(x.spark, "end")
+    return st.drain(build(st.closed(_keyed(x), end)), end=end)
+
+
+register("t2_targets", lambda x: _ended(x, lambda e: st.coalesced_targets(e.select("key", "id", "ts", F.col("event_type").alias("target")))), "SELECT user_id AS key, event_id AS id, event_type AS target, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 'same' ELSE 'queued' END AS outcome FROM {events}")
+register("t3_publications", lambda x: _ended(x, lambda e: st.publications(e.select("key", "id", "ts", F.when(F.col("event_type") != "error", F.sha2((F.floor("value") % 3).cast("string"), 256)).alias("digest")))), """WITH o AS (SELECT user_id AS key, event_id AS id, floor(value)::BIGINT % 3 AS d FROM {events} WHERE event_type <> 'error')
 SELECT key, id, CASE WHEN lag(d) OVER (PARTITION BY key ORDER BY id) = d THEN 'unchanged' ELSE 'published' END AS outcome FROM o UNION ALL SELECT user_id, event_id, 'failed' FROM {events} WHERE event_type = 'error'""")
 register("t4_import_once", lambda x: st.drain(st.imports_once(_keyed(x).select("key", (F.floor("value") % 5).alias("digest"), "ts", (F.col("event_type") != "error").alias("accepted")))).select("key", "digest"), "SELECT DISTINCT user_id AS key, floor(value)::BIGINT % 5 AS digest FROM {events} WHERE event_type <> 'error'")
 register("t6_pointers", lambda x: st.drain(st.pointers(_events(x), "user_id", "ts", "event_id", F.col("event_type") != "error"), "complete").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_at", "last_success_at")}), "SELECT user_id, max(ts) AS last_at, max(event_id) AS last_id, count(*) AS n, max(ts) FILTER (event_type <> 'error') AS last_success_at, arg_max(event_type <> 'error', event_id) AS last_good FROM {events} GROUP BY user_id")
+
+
+def _maintained(x: Facts) -> str:
+    """Evidence that comes in four batches, assessed as it comes; the folder of what is known then."""
+    folder = scratch(x.spark, "assessed")
+    for part in range(4):
+        x.registry.filter(F.col("id") % 4 == part).repartition(2).write.parquet(f"{folder}/arrivals/part={part}")
+    arrivals = x.spark.readStream.schema(x.registry.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/arrivals/part=*")
+    mt.run(mt.reassessed(arrivals, x.components.select("snapshot_id", "element_id", (F.col("partkey") % 200).alias("coordinate")), folder, ["coordinate"]))
+    return folder
+
+
+register(
+    "t7_maintained",
+    lambda x: mt.occurrences(x.spark, _maintained(x)).select("snapshot_id", "element_id", "coordinate", "status", "expression"),
+    f"WITH z AS ({_ASSESSED}) SELECT snapshot_id, element_id, partkey % 200 AS coordinate, status, expression FROM {{components}} JOIN z ON coordinate = partkey % 200",
+)
