@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import tempfile
@@ -49,6 +50,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what earlier rounds of a loop left: shuffle files and checkpoints that nothing refers to are removed when the driver
+    collects its garbage, which a loop of small steps otherwise does too rarely."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: durable like a checkpoint, but compressed and read by column."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -101,7 +109,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     total = lambda d: d.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     before = total(e)
     few = before["n"] <= FEW_EDGES
+    turn = 0
     while before["n"]:
+        turn += 1
+        if turn % 4 == 0:
+            tidy(nodes.sparkSession)
         e = e.coalesce(1) if few else e
         both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -160,6 +172,7 @@ def linked(posts: DataFrame, members: DataFrame, verify: Callable[[DataFrame], D
     size = posts.count()
     for no in range(rounds + 1):
         label = durable(components(nodes, links))
+        tidy(nodes.sparkSession)
         inside = durable(members.join(label, "id"))
         parts = inside.groupBy("unit", "component").agg(F.min("id").alias("rep"))
         where = posts.join(parts, "unit")
