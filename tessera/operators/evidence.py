@@ -119,6 +119,36 @@ def page(rows: DataFrame, order: list[str], after: tuple | None, limit: int) ->
     return rows.orderBy(*order).limit(limit)
 
 
+def bound_pages(req: DataFrame, matched: DataFrame, order: list[str], limit: int) -> DataFrame:
+    """(query_id, status, no, order columns, next_cursor): pages of several questions, each cursor bound to what was asked.
+
+    req: query_id, scope and filter (what makes the question, canonical texts), cursor (null for the first page). matched: query_id and
+    the order columns, which are unique within a question: all rows that fit. A cursor is the base64 form of a fingerprint of scope, filter,
+    order and limit, and of the last row shown. One that can't be read gives a row with the status invalid, one of
+    another fingerprint a row with changed; neither shows anything. Pages have up to `limit` rows and, on the last of
+    them, the next cursor, where more follows.
+    """
+    schema = f"fingerprint string, {', '.join(f'`{c}` {matched.schema[c].dataType.simpleString()}' for c in order)}"
+    print_ = F.sha2(F.to_json(F.struct("scope", "filter", F.lit(",".join(order)).alias("order"), F.lit(limit).alias("limit"))), 256)
+    read = F.from_json(F.try_to_binary("cursor", F.lit("base64")).cast("string"), schema)
+    q = req.select("query_id", print_.alias("print"), "cursor", read.alias("c"))
+    status = F.when(F.col("cursor").isNull(), "ok").when(F.col("c").isNull() | F.col("c.fingerprint").isNull(), "invalid").when(F.col("c.fingerprint") != F.col("print"), "changed").otherwise("ok")
+    q = q.select("query_id", "print", status.alias("status"), *[F.col("c")[c].alias(f"_after{i}") for i, c in enumerate(order)], F.col("cursor").isNull().alias("_first"))
+    later = F.col("_first")
+    for i, c in enumerate(order):
+        here = F.col(c) > F.col(f"_after{i}")
+        for j in range(i):
+            here &= F.col(order[j]) == F.col(f"_after{j}")
+        later |= here
+    rows = matched.join(q.filter("status = 'ok'"), "query_id").filter(later)
+    numbered = rows.withColumn("no", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("no") <= limit + 1)
+    more = numbered.filter(F.col("no") == limit + 1).select("query_id", F.lit(True).alias("_more"))
+    cursor = F.base64(F.to_json(F.struct(F.col("print").alias("fingerprint"), *order)).cast("binary"))
+    shown = numbered.filter(F.col("no") <= limit).join(more, "query_id", "left").select("query_id", "status", "no", *order, F.when(F.col("_more") & (F.col("no") == limit), cursor).alias("next_cursor"))
+    refused = q.filter("status <> 'ok'").select("query_id", "status", F.lit(None).cast("int").alias("no"), *[F.lit(None).cast(matched.schema[c].dataType).alias(c) for c in order], F.lit(None).cast("string").alias("next_cursor"))
+    return shown.unionByName(refused)
+
+
 def trailing_count(rows: DataFrame, key: str, at: str, hours: int) -> DataFrame:
     """Rows of a key in the hours before each row, itself included."""
     w = Window.partitionBy(key).orderBy(F.col(at).cast("timestamp").cast("double")).rangeBetween(-hours * 3600, 0)
@@ -149,11 +179,6 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return F.exists(prefixes, dropped)
 
 
-def history_retention(rows: DataFrame, key: list[str], keep: int, order: str) -> DataFrame:
-    """Rows beyond the newest `keep` of each key."""
-    return rows.withColumn("no", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).filter(F.col("no") > keep)
-
-
 def touching(relationships: DataFrame, elements: DataFrame) -> DataFrame:
     """Relationships at either end of the given elements; elements: snapshot_id, element."""
     ends = relationships.select("*", F.explode(F.array_distinct(F.array("from_element", "to_element"))).alias("element"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import durable
+from .discovery import normalise
 from .graph import relation_rank
 
 # Fixed values: (files of the corpus below which a row counts, source units, files shown).
@@ -48,20 +49,36 @@ def relevant_context(edges: DataFrame, ranked: DataFrame, budget: int = 40, entr
     return kept, links.select("query_id", "source", "target", "kind")
 
 
-def evidence_rank(ranked: DataFrame, nodes: DataFrame, terms: DataFrame, penalised: Column) -> DataFrame:
-    """(query_id, occurrence, evidence, place): hits again by how many of the query's segments their names hold.
+def evidence_rank(ranked: DataFrame, nodes: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, occurrence, evidence, place): hits again by how many of the question's segments their names hold, else as they were.
 
-    terms: query_id, term. A segment in name or qualified name counts 1; one that only fits without its -ing counts 2.
-    Within one evidence and name, hits that aren't penalised and shorter qualified names come first.
+    ranked: query_id, occurrence, r; terms: query_id, term. A segment in name or qualified name counts 1; one of more than five letters
+    that only fits without its -ing counts 2.
     """
-    known = nodes.select("occurrence", "name", "qualified_name", penalised.alias("penalised"))
-    text = F.lower(F.concat_ws(" ", "name", "qualified_name"))
-    stem = F.regexp_replace("term", "ing$", "")
-    worth = F.when(F.contains(text, F.col("term")), 1).when((stem != F.col("term")) & (F.char_length(stem) >= 3) & F.contains(text, stem), 2).otherwise(0)
-    seen = ranked.select("query_id", "occurrence", "r").join(known, "occurrence").join(terms, "query_id", "left").groupBy("query_id", "occurrence", "r", "name", "qualified_name", "penalised").agg(F.coalesce(F.sum(worth), F.lit(0)).alias("evidence"))
-    first = F.min("r").over(Window.partitionBy("query_id", "evidence", "name"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("evidence"), "group", "name", "penalised", F.char_length("qualified_name"), "r")
-    return seen.withColumn("group", first).withColumn("place", F.row_number().over(w)).select("query_id", "occurrence", "evidence", "place")
+    text = normalise(F.concat_ws(" ", "name", "qualified_name"))
+    worth = F.when(F.contains("text", F.col("term")), 1).when(F.endswith("term", F.lit("ing")) & (F.octet_length("term") > 5) & F.contains("text", F.substring(F.col("term"), F.lit(1), F.char_length("term") - 3)), 2).otherwise(0)
+    known = ranked.select("query_id", "occurrence", "r").join(nodes.select("occurrence", text.alias("text")), "occurrence")
+    seen = known.join(terms, "query_id", "left").groupBy("query_id", "occurrence", "r").agg(F.coalesce(F.sum(worth), F.lit(0)).alias("evidence"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("evidence"), "r")
+    return seen.withColumn("place", F.row_number().over(w)).select("query_id", "occurrence", "evidence", "place")
+
+
+def exact_name_rank(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query_id, occurrence, place): hits of one name change places among themselves; the places of other names stay.
+
+    For questions that name their seeds. ranked: query_id, occurrence, r, generated, ambient, test, deprioritised. Of a name, hits with fewer
+    of the four penalties come first, then those with fewer bytes of signature and documentation, then by occurrence.
+    """
+    size = F.octet_length(F.coalesce("signature", F.lit(""))) + F.octet_length(F.coalesce("documentation", F.lit("")))
+    known = ranked.join(nodes.select("occurrence", normalise(F.col("name")).alias("name"), size.alias("size")), "occurrence")
+    penalties = sum((F.coalesce(F.col(c), F.lit(False)).cast("int") for c in ("generated", "ambient", "test", "deprioritised")), F.lit(0))
+    # a nameless hit is a group of its own
+    group = [F.col("query_id"), F.col("name"), F.when(F.col("name") == "", F.col("occurrence"))]
+    by_r, by_rank = Window.partitionBy(*group).orderBy("r"), Window.partitionBy(*group).orderBy(penalties, "size", "occurrence")
+    numbered = known.withColumn("no", F.row_number().over(by_rank)).withColumn("seat", F.row_number().over(by_r))
+    member, seat = numbered.select("query_id", "name", F.when(F.col("name") == "", F.col("occurrence")).alias("lone"), "occurrence", "no"), numbered.select("query_id", "name", F.when(F.col("name") == "", F.col("occurrence")).alias("lone"), F.col("r").alias("place"), F.col("seat").alias("no"))
+    same = member["query_id"].eqNullSafe(seat["query_id"]) & (member["name"] == seat["name"]) & member["lone"].eqNullSafe(seat["lone"]) & (member["no"] == seat["no"])
+    return member.join(seat, same).select(member["query_id"], "occurrence", "place")
 
 
 def code_priority(nodes: DataFrame, edges: DataFrame, roots: DataFrame, blocks: int, units: int) -> DataFrame:

@@ -167,7 +167,8 @@ def providers(mapping: DataFrame) -> DataFrame:
 def satisfies(methods: DataFrame, embeds: DataFrame | None = None) -> DataFrame:
     """(type, interface) of one package where the type has every method of the interface, embedded ones included.
 
-    methods: package, owner, kind (interface or class), name, signature. embeds: interface, embedded. Candidates meet by the
+    methods: package, owner, kind (interface or class), name, signature. embeds: package, interface, embedded; an interface embeds those
+    of its own package only. Candidates meet by the
     interface's rarest method only, so that common names don't pair everything; then what they share is counted.
     """
     own = methods.select("package", "owner", "kind", F.concat_ws("#", "name", "signature").alias("m")).distinct()
@@ -175,7 +176,7 @@ def satisfies(methods: DataFrame, embeds: DataFrame | None = None) -> DataFrame:
     if embeds is not None:
         have = durable(asks)
         while True:
-            more = embeds.join(have.withColumnRenamed("interface", "embedded"), "embedded").select("package", "interface", "m").join(have, ["package", "interface", "m"], "left_anti").distinct()
+            more = embeds.join(have.withColumnRenamed("interface", "embedded"), ["package", "embedded"]).select("package", "interface", "m").join(have, ["package", "interface", "m"], "left_anti").distinct()
             more = durable(more)
             if more.isEmpty():
                 break

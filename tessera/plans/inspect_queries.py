@@ -84,8 +84,21 @@ _KEPT = (
 )
 register("g17_context", lambda x: ex.relevant_context(x.edges, x.hits, 12)[0], _KEPT + " SELECT * FROM k3")
 register("g17_links", lambda x: ex.relevant_context(x.edges, x.hits, 12)[1], _KEPT + " SELECT DISTINCT a.query_id, source, target, kind FROM k3 a JOIN {edges} ON source = a.node JOIN k3 b ON b.query_id = a.query_id AND b.node = target WHERE kind <> 'contains'")
-register("g18_evidence_rank", lambda x: ex.evidence_rank(x.hits, x.nodes, x.terms, F.col("path").contains("/test_")), """WITH e AS (SELECT query_id, occurrence, r, name, qualified_name, contains(path, '/test_') AS pen, sum(CASE WHEN contains(lower(concat(name, ' ', qualified_name)), term) THEN 1 WHEN term LIKE '%ing' AND contains(lower(concat(name, ' ', qualified_name)), left(term, -3)) THEN 2 ELSE 0 END)::BIGINT AS evidence
-FROM {hits} JOIN {nodes} USING (occurrence) JOIN {terms} USING (query_id) GROUP BY ALL), g AS (SELECT *, min(r) OVER (PARTITION BY query_id, evidence, name) AS grp FROM e) SELECT query_id, occurrence, evidence, row_number() OVER (PARTITION BY query_id ORDER BY evidence DESC, grp, name, pen, length(qualified_name), r) AS place FROM g""")
+register(
+    "g18_evidence_rank",
+    lambda x: ex.evidence_rank(x.hits, x.nodes, x.terms),
+    """WITH e AS (SELECT query_id, occurrence, r, sum(CASE WHEN contains(lower(concat(name, ' ', qualified_name)), term) THEN 1 WHEN term LIKE '%ing' AND length(term) > 5 AND contains(lower(concat(name, ' ', qualified_name)), left(term, -3)) THEN 2 ELSE 0 END)::BIGINT AS evidence
+  FROM {hits} JOIN {nodes} USING (occurrence) JOIN {terms} USING (query_id) GROUP BY ALL)
+SELECT query_id, occurrence, evidence, row_number() OVER (PARTITION BY query_id ORDER BY evidence DESC, r) AS place FROM e""",
+)
+_FLAGS = "SELECT query_id, occurrence, r, path LIKE '%.pb.go' AS generated, line % 2 = 0 AS ambient, contains(path, '/test_') AS test, line % 5 = 0 AS deprioritised FROM {hits} JOIN {nodes} USING (occurrence)"
+register(
+    "g18_exact_names",
+    lambda x: ex.exact_name_rank(x.spark.sql(_FLAGS, hits=x.hits, nodes=x.nodes), x.described),
+    f"""WITH f AS ({_FLAGS}), k AS (SELECT query_id, occurrence, r, lower(name) AS name, generated::INT + ambient::INT + test::INT + deprioritised::INT AS p, strlen(coalesce(signature, '')) + strlen(coalesce(documentation, '')) AS size FROM f JOIN {{described}} USING (occurrence)),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id, name ORDER BY p, size, occurrence) AS no, row_number() OVER (PARTITION BY query_id, name ORDER BY r) AS seat FROM k)
+SELECT a.query_id, a.occurrence, b.r AS place FROM n a JOIN n b ON a.query_id = b.query_id AND a.name = b.name AND a.no = b.seat""",
+)
 register("g19_code_priority", lambda x: ex.code_priority(x.nodes, x.edges, x.hits.filter("r <= 4").select("query_id", F.col("occurrence").alias("node")), 12, 10), f"""WITH {_UND}, ro AS (SELECT query_id, occurrence AS node, kind FROM {{hits}} JOIN {{nodes}} USING (occurrence) WHERE r <= 4),
 ne AS (SELECT query_id, there AS node, CASE WHEN n.kind IN ('function', 'method') AND ro.kind IN ('function', 'method') THEN 1 WHEN n.kind = 'class' THEN 2 END AS priority, rank FROM ro JOIN und ON here = node JOIN {{nodes}} n ON n.occurrence = there),
 be AS (SELECT query_id, node, min((priority, rank)) AS b FROM (SELECT query_id, node, 0 AS priority, 0 AS rank FROM ro UNION ALL SELECT * FROM ne WHERE priority IS NOT NULL) q GROUP BY query_id, node)

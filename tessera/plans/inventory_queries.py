@@ -68,10 +68,47 @@ UNION ALL SELECT 'relationship_unresolved' FROM c WHERE root_part % 7 <> 0 AND p
 SELECT code, count(*) AS n FROM w GROUP BY code""")
 
 
+_HEADER = {"name": "inventory", "created": "2024-01-01T00:00:00Z", "tool": "inventory"}
+
+
 def _spdx_bodies(x: Facts) -> DataFrame:
     c = x.components.drop("license_raw").join(x.licences.select("partkey", F.col("expression").alias("license_raw")), "partkey")
     comps = c.select(F.col("snapshot_id").alias("document_id"), F.xxhash64("element_id").alias("ordinal"), "element_id", "name", "version", "purl", "license_raw", "is_root")
-    return sbom.export(comps, {"name": "inventory", "created": "2024-01-01T00:00:00Z", "tool": "inventory"})
+    first = comps.groupBy("document_id").agg(F.min_by("element_id", "ordinal").alias("from_element"))
+    rels = comps.filter("NOT is_root").select("document_id", "ordinal", F.lit("DEPENDS_ON").alias("relationship"), F.col("element_id").alias("to_element"), F.lit(True).alias("resolved")).join(first, "document_id")
+    return sbom.export(comps, rels, _HEADER)
+
+
+#: Elements whose names clash once they are sanitised, and edges of several types, some of them unresolved or describing.
+_LISTED = """SELECT snapshot_id AS document_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY element_id) AS ordinal,
+  CASE WHEN partkey % 5 = 0 THEN concat('pkg', CASE partkey % 3 WHEN 0 THEN ':' WHEN 1 THEN '/' ELSE ' ' END, CAST(length(element_id) % 2 AS STRING), CASE WHEN partkey % 2 = 0 THEN '!' ELSE '?' END) ELSE element_id END AS element_id,
+  name, version, purl, license_raw, is_root, partkey FROM {components}"""
+_ELEMENTS = "SELECT document_id, min(ordinal) AS ordinal, element_id, min(name) AS name, min(version) AS version, min(purl) AS purl, min(license_raw) AS license_raw, bool_or(is_root) AS is_root FROM ({listed}) q GROUP BY document_id, element_id"
+_EDGES = """SELECT document_id, ordinal, element_id AS from_element, lead(element_id) OVER (PARTITION BY document_id ORDER BY ordinal) AS to_element,
+  CASE partkey % 4 WHEN 0 THEN 'DEPENDS_ON' WHEN 1 THEN 'CONTAINS' WHEN 2 THEN 'DESCRIBES' ELSE 'DEV_DEPENDENCY_OF' END AS relationship, partkey % 7 > 0 AS resolved FROM ({listed}) q"""
+
+
+def _exported(x: Facts) -> DataFrame:
+    listed = _LISTED.replace("{components}", "{c}")
+    comps = x.spark.sql(_ELEMENTS.replace("{listed}", listed), c=x.components)
+    rels = x.spark.sql(_EDGES.replace("{listed}", listed), c=x.components).filter("to_element IS NOT NULL")
+    parsed = sbom.parse(sbom.export(comps, rels, _HEADER))
+    edges = parsed.select("document_id", F.explode("d.relationships").alias("r")).select("document_id", F.col("r.spdxElementId").alias("a"), F.col("r.relationshipType").alias("kind"), F.col("r.relatedSpdxElement").alias("b"))
+    named = parsed.select("document_id", F.explode("d.packages").alias("p")).select("document_id", F.col("p.SPDXID").alias("a"), F.col("p.licenseDeclared").alias("kind"), F.col("p.name").alias("b"))
+    return edges.unionByName(named).groupBy("document_id", "a", "kind", "b").agg(F.count("*").alias("n"))
+
+
+register(
+    "s13_spdx_export",
+    _exported,
+    f"""WITH l AS ({_LISTED}), e AS ({_ELEMENTS.replace("{listed}", _LISTED)}), r AS ({_EDGES.replace("{listed}", _LISTED)}),
+b AS (SELECT *, concat('SPDXRef-', regexp_replace(element_id, '[^A-Za-z0-9.-]', '-', 'g')) AS base FROM e), i AS (SELECT *, row_number() OVER (PARTITION BY document_id, base ORDER BY ordinal) AS k FROM b),
+d AS (SELECT *, CASE WHEN k = 1 THEN base ELSE concat(base, '-', k) END AS spdx_id FROM i),
+o AS (SELECT document_id, 'SPDXRef-DOCUMENT' AS a, 'DESCRIBES' AS kind, spdx_id AS b FROM d WHERE is_root
+  UNION ALL SELECT r.document_id, f.spdx_id, r.relationship, t.spdx_id FROM r JOIN d f ON f.document_id = r.document_id AND f.element_id = r.from_element JOIN d t ON t.document_id = r.document_id AND t.element_id = r.to_element WHERE r.resolved AND r.relationship <> 'DESCRIBES'
+  UNION ALL SELECT document_id, spdx_id, CASE WHEN license_raw IS NULL OR license_raw IN ('NOASSERTION', ' unlicensed ') THEN 'NOASSERTION' ELSE license_raw END, name FROM d)
+SELECT document_id, a, kind, b, count(*) AS n FROM o GROUP BY ALL""",
+)
 
 
 def _spdx_counts(x: Facts) -> DataFrame:

@@ -88,8 +88,8 @@ _PLACE = "SELECT repository_id + 1000 AS upload_id, namespace AS path, name AS s
 register("n3_approximate", lambda x: lc.approximate_locations(_sql(x, "SELECT DISTINCT * FROM (" + _ASK + ") z", "components", "snapshots"), _sql(x, _ASK, "components", "snapshots").filter("query_id % 3 = 0"), _mapping(x).select("repository_id", "relation", F.col("purl").alias("package"), F.expr("CASE WHEN repository_id % 4 = 0 THEN 'manual' ELSE 'automatic' END").alias("source")), x.repositories.select(F.col("id").alias("repository_id"), (F.col("id") + 1000).alias("upload_id")), _sql(x, _PLACE, "components", "snapshots"), 5), f"""WITH m AS ({_MAP}), q AS (SELECT DISTINCT * FROM ({_ASK}) z WHERE query_id % 3 > 0), pl AS ({_PLACE}), g AS (SELECT purl AS package, min((CASE WHEN repository_id % 4 = 0 THEN 0 ELSE 1 END, repository_id))[2] AS provider FROM m WHERE relation = 'provides' GROUP BY purl),
 h AS (SELECT DISTINCT query_id, provider, path, line FROM q JOIN g USING (package) JOIN pl USING (symbol_key) WHERE upload_id = provider + 1000 AND provider IN (SELECT id FROM {{repositories}}) AND (repository_id, package) IN (SELECT repository_id, purl FROM m WHERE relation = 'depends_on')) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY path, line) AS no FROM h) z WHERE no <= 5""")
 _METHODS = "SELECT p_brand AS package, concat(CASE WHEN p_size % 4 = 0 THEN 'I' ELSE 'C' END, CAST(p_partkey % 60 AS STRING)) AS owner, CASE WHEN p_size % 4 = 0 THEN 'interface' ELSE 'class' END AS kind, concat('m', CAST(p_size % 3 AS STRING)) AS name, CAST(p_partkey % 2 AS STRING) AS signature FROM {part}"
-_EMBEDS = "SELECT concat('I', CAST(n_nationkey AS STRING)) AS interface, concat('I', CAST(n_nationkey + 20 AS STRING)) AS embedded FROM {nation}"
-register("n8_satisfies", lambda x: lc.satisfies(_sql(x, _METHODS, "part"), _sql(x, _EMBEDS, "nation")).distinct(), f"""WITH RECURSIVE me AS ({_METHODS}), em AS ({_EMBEDS}), a AS (SELECT package, owner AS interface, concat(name, '#', signature) AS m FROM me WHERE kind = 'interface' UNION SELECT a.package, em.interface, m FROM a JOIN em ON em.embedded = a.interface),
+_EMBEDS = "SELECT concat('Brand#', CAST(11 + n_nationkey % 15 + 10 * k AS STRING)) AS package, concat('I', CAST(n_nationkey AS STRING)) AS interface, concat('I', CAST(n_nationkey + 20 AS STRING)) AS embedded FROM {nation} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) q"
+register("n8_satisfies", lambda x: lc.satisfies(_sql(x, _METHODS, "part"), _sql(x, _EMBEDS, "nation")).distinct(), f"""WITH RECURSIVE me AS ({_METHODS}), em AS ({_EMBEDS}), a AS (SELECT package, owner AS interface, concat(name, '#', signature) AS m FROM me WHERE kind = 'interface' UNION SELECT a.package, em.interface, m FROM a JOIN em ON em.embedded = a.interface AND em.package = a.package),
 h AS (SELECT DISTINCT package, owner AS type, concat(name, '#', signature) AS m FROM me WHERE kind = 'class'), n AS (SELECT package, interface, count(*) AS need FROM a GROUP BY 1, 2)
 SELECT DISTINCT type, interface FROM (SELECT package, type, interface, count(*) AS got FROM h JOIN a USING (package, m) GROUP BY ALL) g JOIN n USING (package, interface) WHERE got = need""")
 _REFS = "SELECT CAST(event_id AS BIGINT) AS reference_id, concat('src/', p_brand, '/f', CAST(event_id % 4 AS STRING)) AS path, p_brand AS module, p_name AS name, CASE WHEN event_id % 13 = 0 THEN concat('s', CAST(p_partkey AS STRING)) END AS symbol, concat('part:', CAST(user_id AS STRING)) AS source, CASE WHEN event_id % 5 = 0 THEN 'imports' ELSE 'calls' END AS kind FROM {events} JOIN {part} ON p_partkey = (event_id * 7) % 2000"
@@ -156,5 +156,5 @@ def _maintained(x: Facts) -> str:
 register(
     "t7_maintained",
     lambda x: mt.occurrences(x.spark, _maintained(x)).select("snapshot_id", "element_id", "coordinate", "status", "expression"),
-    f"WITH z AS ({_ASSESSED}) SELECT snapshot_id, element_id, partkey % 200 AS coordinate, status, expression FROM {{components}} JOIN z ON coordinate = partkey % 200",
+    f"WITH z AS ({_ASSESSED}) SELECT snapshot_id, element_id, partkey % 200 AS coordinate, z.status, z.expression FROM {{components}} JOIN z ON coordinate = partkey % 200",
 )

@@ -10,14 +10,37 @@ MANAGERS = {"golang": "gomod", "npm": "npm", "maven": "maven", "pypi": "pip", "c
 
 
 def parse_purl(purl: Column) -> Column:
-    """struct(type, namespace, name, version, qualifiers map) of a package URL; null where it isn't one."""
-    p = r"^pkg:/*([A-Za-z][A-Za-z0-9.+-]*)/(?:(.*?)/)?([^/@?#]+)(?:@([^?#]*))?(?:\?([^#]*))?(?:#.*)?$"
-    part = lambda i: F.nullif(F.regexp_extract(purl, p, i), F.lit(""))
+    """struct(type, namespace, name, version, qualifiers map) of a package URL; null where it isn't one.
+
+    The scheme has no case; a subpath is left out; the version is what stands behind the last @. Segments, version and qualifier values are
+    decoded (+ is a space in values alone); one that can't be decoded, an empty name or namespace segment or an empty qualifier key
+    makes the whole value null. Keys are in lower case, and the last of equal ones counts. What isn't there is null.
+    """
+    cut = lambda text, p: F.regexp_extract(text, p, 1)
     decode = lambda c: F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    rest = F.substring_index(cut(purl, "(?s)^[^:]*:/*(.*)$"), "#", 1)
+    path = F.substring_index(rest, "?", 1)
+    told = cut(path, "(?s)^[^/]*/(.*)$")
+    versioned = F.contains(told, F.lit("@"))
+    version = F.when(versioned, decode(F.substring_index(told, "@", -1))).otherwise("")
+    named = F.regexp_replace(F.when(versioned, cut(told, "(?s)^(.*)@[^@]*$")).otherwise(told), "^/+|/+$", "")
+    segments = F.transform(F.split(named, "/", -1), decode)
+    pairs = F.split(cut(rest, r"(?s)^[^?]*\?(.*)$"), "&", -1)
+    entries = F.transform(pairs, lambda p: F.struct(F.lower(F.substring_index(p, "=", 1)).alias("key"), F.try_url_decode(cut(p, "(?s)^[^=]*=(.*)$")).alias("value")))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
+    asked = F.contains(rest, F.lit("?")) & (cut(rest, r"(?s)^[^?]*\?(.*)$") != "")
+    sound = (
+        (F.lower(F.substring_index(purl, ":", 1)) == "pkg") & F.contains(purl, F.lit(":")) & F.contains(path, F.lit("/")) & (F.substring_index(path, "/", 1) != "") & version.isNotNull()
+        & F.forall(segments, lambda s: s.isNotNull() & (s != "")) & (~asked | F.forall(entries, lambda e: (e["key"] != "") & e["value"].isNotNull()))
+    )
+    none = F.lit("")
     return F.when(
-        purl.rlike(p),
-        F.struct(F.lower(part(1)).alias("type"), decode(part(2)).alias("namespace"), decode(part(3)).alias("name"), decode(part(4)).alias("version"), F.when(part(5).isNotNull(), F.str_to_map(part(5), F.lit("&"), F.lit("="))).alias("qualifiers")),
-    )
+        sound,
+        F.struct(
+            F.lower(F.substring_index(path, "/", 1)).alias("type"), F.nullif(F.array_join(F.slice(segments, F.lit(1), F.size(segments) - 1), "/"), none).alias("namespace"), F.element_at(segments, -1).alias("name"),
+            F.nullif(version, none).alias("version"), F.when(asked, F.map_from_entries(last)).alias("qualifiers"),
+        ),
+    )
 
 
 def strict_purl(purl: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,29 +101,90 @@ def warnings(parsed: DataFrame, comps: DataFrame, rels: DataFrame) -> DataFrame:
     return out.groupBy("document_id", "code").agg(F.count("*").alias("n"))
 
 
-def export(comps: DataFrame, header: dict[str, str]) -> DataFrame:
-    """(document_id, body): one SPDX 2.3 JSON document per snapshot. comps: document_id, ordinal, element_id, name, version, purl, license_raw, is_root.
+#: Packages or relationships in one piece of an exported document, by their ordinals.
+CHUNK = 500
+DOCUMENT = "SPDXRef-DOCUMENT"
 
-    Ids are sanitised and stay unique within a document. Licences that parse are declared in canonical form; others go to a
-    comment and nothing is asserted.
+
+def element_ids(elements: DataFrame) -> DataFrame:
+    """(document_id, element_id, spdx_id): ids with sanitised letters that stay unique within a document.
+
+    elements: document_id, element_id, place (struct or number that orders the elements of a document). The first to ask for an id gets it,
+    the next ones get the first free of id-2, id-3 and so on; the document's own id is taken. Only ids that are asked for more than once, and
+    those that could be one of their numbered forms, are dealt with in order, each such family by itself.
     """
     clean = F.regexp_replace("element_id", "[^A-Za-z0-9.-]", "-")
-    base = F.when(F.col("element_id").startswith("SPDXRef-"), clean).otherwise(F.concat(F.lit("SPDXRef-"), clean))
-    comps = normalise(comps.withColumn("base", base), "license_raw").withColumn("same", F.row_number().over(Window.partitionBy("document_id", "base").orderBy("ordinal", "element_id")))
-    sanitised = F.when(F.col("same") > 1, F.concat("base", F.lit("-"), F.col("same").cast("string"))).otherwise(F.col("base"))
+    each = elements.groupBy("document_id", "element_id").agg(F.min("place").alias("place")).withColumn("base", F.when(F.col("element_id").startswith("SPDXRef-"), clean).otherwise(F.concat(F.lit("SPDXRef-"), clean)))
+    each = durable(each)
+    twice = each.groupBy("document_id", "base").count().filter((F.col("count") > 1) | (F.col("base") == DOCUMENT)).select("document_id", F.col("base").alias("family"))
+    # a base and what is left of it without each of its numbers at the end
+    ends = F.size(F.split(F.regexp_extract("base", "(-[0-9]+)*$", 0), "-")) - 1
+    stems = F.transform(F.sequence(F.lit(0), ends), lambda n: F.array_join(F.slice(F.split("base", "-"), F.lit(1), F.size(F.split("base", "-")) - n), "-"))
+    shared = each.select("document_id", "element_id", "place", "base", F.explode(stems).alias("family")).join(twice, ["document_id", "family"])
+    shared = shared.groupBy("document_id", "element_id", "place", "base").agg(F.min_by("family", F.length("family")).alias("family"))
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, out = {DOCUMENT}, []
+        for base in pdf.sort_values("rank")["base"]:
+            name, n = base, 2
+            while name in used:
+                name, n = f"{base}-{n}", n + 1
+            used.add(name)
+            out.append(name)
+        return pdf.sort_values("rank").assign(spdx_id=out)[["document_id", "element_id", "spdx_id"]]
+
+    kind = each.schema["document_id"].dataType.simpleString()
+    ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy("document_id", "family").orderBy("place", "element_id"))).drop("place")
+    numbered = ranked.groupBy("document_id", "family").applyInPandas(number, f"document_id {kind}, element_id string, spdx_id string")
+    return each.join(numbered, ["document_id", "element_id"], "left").select("document_id", "element_id", F.coalesce("spdx_id", "base").alias("spdx_id"))
+
+
+def export_parts(comps: DataFrame, rels: DataFrame, header: dict[str, str]) -> DataFrame:
+    """(document_id, section, chunk, text): SPDX 2.3 JSON documents in pieces; those of a document, in order, are its text.
+
+    comps: document_id, ordinal, element_id, name, version, purl, license_raw, is_root. rels: document_id, ordinal, from_element, relationship,
+    to_element, resolved. Roots are described by the document; of rels those that are resolved and don't describe follow, each with its
+    type and both ends under their new ids. Licences that parse are declared in canonical form, others go to a comment. No row
+    holds more than CHUNK ordinals of packages or relationships.
+    """
+    kept = rels.filter("resolved AND relationship NOT IN ('DESCRIBES', 'DESCRIBED_BY')")
+    place = lambda section, end: F.struct(F.lit(section).alias("section"), F.col("ordinal").alias("ordinal"), F.lit(end).alias("end")).alias("place")
+    elements = comps.select("document_id", "element_id", place(0, 0))
+    for end, c in enumerate(("from_element", "to_element")):
+        elements = elements.unionByName(kept.select("document_id", F.col(c).alias("element_id"), place(1, end)))
+    ids = durable(element_ids(elements))
+    comps = normalise(comps.join(ids, ["document_id", "element_id"]), "license_raw")
     usable = F.col("expression_status").isin("parsed", "unknown_terms")
     package = F.struct(
-        "ordinal", "is_root", sanitised.alias("SPDXID"), "name", F.col("version").alias("versionInfo"), F.when(usable, F.col("expression")).otherwise("NOASSERTION").alias("licenseDeclared"), F.when(~usable & (F.trim("license_raw") != ""), F.concat(F.lit("declared as: "), F.col("license_raw"))).alias("licenseComments"),
+        F.col("spdx_id").alias("SPDXID"), "name", F.col("version").alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"), F.lit("NOASSERTION").alias("licenseConcluded"), F.when(usable, F.col("expression")).otherwise("NOASSERTION").alias("licenseDeclared"),
+        F.when(~usable & (F.trim("license_raw") != ""), F.concat(F.lit("producer declared (not an SPDX expression): "), F.col("license_raw"))).alias("licenseComments"),
         F.when(F.col("purl").isNotNull(), F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), F.col("purl").alias("referenceLocator")))).alias("externalRefs"),
     )
-    by = comps.groupBy("document_id").agg(F.array_sort(F.collect_list(package)).alias("p"))
-    edge = lambda a, t, b: F.struct(a.alias("spdxElementId"), t.alias("relationshipType"), b.alias("relatedSpdxElement"))
-    root = F.lit("SPDXRef-DOCUMENT")
-    describes = F.transform(F.filter("p", lambda x: x["is_root"]), lambda x: edge(root, F.lit("DESCRIBES"), x["SPDXID"]))
-    depends = F.transform(F.filter("p", lambda x: ~x["is_root"]), lambda x: edge(F.element_at("p", 1)["SPDXID"], F.lit("DEPENDS_ON"), x["SPDXID"]))
-    body = F.struct(
-        F.lit("SPDX-2.3").alias("spdxVersion"), root.alias("SPDXID"), F.lit(header["name"]).alias("name"), F.lit("CC0-1.0").alias("dataLicense"),
+    edge = lambda a, t, b: F.to_json(F.struct(a.alias("spdxElementId"), t.alias("relationshipType"), b.alias("relatedSpdxElement"))).alias("json")
+    end = lambda c: ids.select("document_id", F.col("element_id").alias(f"{c}_element"), F.col("spdx_id").alias(c))
+    roots = comps.filter("is_root").select("document_id", F.lit(0).alias("part"), "ordinal", edge(F.lit(DOCUMENT), F.lit("DESCRIBES"), F.col("spdx_id")))
+    links = kept.join(end("from"), ["document_id", "from_element"]).join(end("to"), ["document_id", "to_element"]).select("document_id", F.lit(1).alias("part"), "ordinal", edge(F.col("from"), F.col("relationship"), F.col("to")))
+
+    def pieces(rows: DataFrame, section: int) -> DataFrame:
+        at = F.struct("part", F.floor(F.col("ordinal") / CHUNK).alias("no"))
+        by = rows.groupBy("document_id", at.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "json"))).alias("j"))
+        first = by.groupBy("document_id").agg(F.min("chunk").alias("first"))
+        text = F.array_join(F.transform("j", lambda x: x["json"]), ",")
+        return by.join(first, "document_id").select("document_id", F.lit(section).alias("section"), "chunk", F.when(F.col("chunk") == F.col("first"), text).otherwise(F.concat(F.lit(","), text)).alias("text"))
+
+    # the head is cut out of a document without packages and relationships, so that every value is escaped in one way
+    empty = F.struct(
+        F.lit("SPDX-2.3").alias("spdxVersion"), F.lit(DOCUMENT).alias("SPDXID"), F.lit(header["name"]).alias("name"), F.lit("CC0-1.0").alias("dataLicense"),
         F.struct(F.lit(header["created"]).alias("created"), F.array(F.lit(f"Tool: {header['tool']}")).alias("creators")).alias("creationInfo"),
-        F.transform("p", lambda x: x.dropFields("ordinal", "is_root")).alias("packages"), F.concat(describes, depends).alias("relationships"),
     )
-    return by.select("document_id", F.to_json(body).alias("body"))
+    none = F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("no"))
+    docs = comps.select("document_id").unionByName(kept.select("document_id")).distinct()
+    fixed = lambda section, text: docs.select("document_id", F.lit(section).alias("section"), none.alias("chunk"), text.alias("text"))
+    out = fixed(0, F.concat(F.regexp_replace(F.to_json(empty), r"\}$", ""), F.lit(',"packages":['))).unionByName(fixed(2, F.lit('],"relationships":['))).unionByName(fixed(4, F.lit("]}")))
+    return out.unionByName(pieces(comps.select("document_id", F.lit(0).alias("part"), "ordinal", F.to_json(package).alias("json")), 1)).unionByName(pieces(roots.unionByName(links), 3))
+
+
+def export(comps: DataFrame, rels: DataFrame, header: dict[str, str]) -> DataFrame:
+    """(document_id, body): the pieces of export_parts put together, for documents that fit into a row."""
+    by = export_parts(comps, rels, header).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("section", "chunk", "text"))).alias("p"))
+    return by.select("document_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("body"))

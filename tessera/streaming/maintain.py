@@ -22,8 +22,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
 
 
 def _latest(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The row of the last batch of each coordinate."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("batch")))).filter("_r = 1").drop("_r")
+    """The rows of the last batch of each key; rows that repeat in it are kept."""
+    return rows.withColumn("_r", F.rank().over(Window.partitionBy(*by).orderBy(F.desc("batch")))).filter("_r = 1").drop("_r")
 
 
 def reassessed(evidence: DataFrame, occurrences: DataFrame, folder: str, by: list[str]) -> DataStreamWriter:
