@@ -19,16 +19,17 @@ def steps(edges: DataFrame, kinds: list[str] | None, direction: str, least: floa
     return e.groupBy(F.col(here).alias("here"), F.col(there).alias("there")).agg(first.alias("f")).select("here", "there", "f.rank", "f.edge", "f.via", (F.lit(1) if cost is None else cost).alias("cost"))
 
 
-def bfs(step: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+def bfs(step: DataFrame, roots: DataFrame, depth: int, goals: DataFrame | None = None) -> DataFrame:
     """(query_id, node, depth, parent, edge): each node a request reaches, at its first depth, by its first edge.
 
     roots: query_id, node. Ties at one depth go by relation rank, parent, edge. The loop ends at the depth or when no
-    request has a frontier left. Visited nodes leave by an anti-join, never through the driver.
+    request has a frontier left. Visited nodes leave by an anti-join, never through the driver. goals (query_id, node): a
+    request goes no further than the level that reaches its goal.
     """
     none = F.lit(None).cast("string")
     front = durable(roots.select("query_id", "node", F.lit(0).alias("depth"), none.alias("parent"), none.alias("edge")).distinct())
     seen = front
-    step = durable(step)
+    step = durable(step.repartition("here"))  # dealt once by what every level joins
     for d in range(1, depth + 1):
         found = front.select("query_id", F.col("node").alias("here")).join(step, "here")
         first = found.groupBy("query_id", F.col("there").alias("node")).agg(F.min(F.struct("rank", F.col("here").alias("parent"), "edge")).alias("f"))
@@ -37,6 +38,9 @@ def bfs(step: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if goals is not None:
+            there = goals.join(front.select("query_id", "node"), ["query_id", "node"], "left_semi").select("query_id")
+            front = front.join(there, "query_id", "left_anti")
     return seen
 
 
@@ -58,12 +62,15 @@ def call_graph(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
 def trace(edges: DataFrame, requests: DataFrame, depth: int = 10, kinds: list[str] | None = None) -> DataFrame:
     """Shortest path of each request from root to goal: (query_id, status, hops, path array).
 
-    requests: query_id, root, goal. The path follows each node's first edge back from the goal.
+    requests: query_id, root, goal. The path follows each node's first edge back from the goal. A request leaves the search with the level
+    that reaches its goal, and the way back takes as many joins as the longest path found has steps.
     """
-    reached = durable(bfs(steps(edges, kinds or ["calls"], "outgoing"), requests.select("query_id", F.col("root").alias("node")), depth))
-    walk = requests.select("query_id", F.col("goal").alias("node")).join(reached, ["query_id", "node"]).select("query_id", F.col("depth").alias("hops"), F.array("node").alias("path"), "parent")
-    for _ in range(depth):
-        back = reached.select("query_id", F.col("node").alias("parent"), F.col("parent").alias("next"))
+    goals = durable(requests.select("query_id", F.col("goal").alias("node")))
+    reached = durable(bfs(steps(edges, kinds or ["calls"], "outgoing"), requests.select("query_id", F.col("root").alias("node")), depth, goals))
+    walk = goals.join(reached, ["query_id", "node"]).select("query_id", F.col("depth").alias("hops"), F.array("node").alias("path"), "parent")
+    back = reached.select("query_id", F.col("node").alias("parent"), F.col("parent").alias("next"))
+    walk = durable(walk)
+    for _ in range(walk.agg(F.max("hops")).first()[0] or 0):
         walk = walk.join(back, ["query_id", "parent"], "left").select("query_id", "hops", F.when(F.col("parent").isNotNull(), F.concat(F.array("parent"), "path")).otherwise(F.col("path")).alias("path"), F.col("next").alias("parent"))
     return requests.select("query_id").join(walk, "query_id", "left").select("query_id", F.when(F.col("hops").isNull(), "no_path").otherwise("ok").alias("status"), "hops", "path")
 
@@ -151,17 +158,54 @@ def derived_overrides(edges: DataFrame, nodes: DataFrame, roots: DataFrame, dept
 
 
 def containment_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct ancestors of each node over contains, cyclic containment included once; goes on until no ancestor is new."""
+    """Distinct ancestors of each node over contains, cyclic containment included once.
+
+    Where every ancestor has one container, they are counted by pointer jumping: each round a node takes over what the node that it points
+    to points to, so that a chain of n takes some log2 n rounds. Only nodes of several containers, and those that a cycle keeps
+    from ending, get the set of all their ancestors; a chain that ends below such a node adds its own length to that
+    node's number.
+    """
     up = durable(edges.filter("kind = 'contains'").select(F.col("target").alias("node"), F.col("source").alias("above")).distinct())
-    found = front = up
+    count = up.groupBy("node").agg(F.count("*").alias("n"), F.min("above").alias("above"))
+    single, knots = durable(count.filter("n = 1").select("node", "above")), durable(count.filter("n > 1").select("node"))
+    at = _jumped(single)
+    # what still points at a node with a single container goes round a cycle
+    looped = at.join(at.select(F.col("node").alias("at")), "at", "left_semi").select("node")
+    sets = _ancestors(up, knots.unionByName(looped))
+    # chain nodes that are above their own knot are on a cycle through it: they are knots too, and chains end below them
+    below = at.join(knots.select(F.col("node").alias("at")), "at", "left_semi")
+    again = durable(below.join(sets.select(F.col("node").alias("at"), F.col("above").alias("node")), ["at", "node"], "left_semi").select("node"))
+    if not again.isEmpty():
+        sets = sets.unionByName(_ancestors(up, again))
+        at = _jumped(single.join(again, "node", "left_anti"))
+    number = durable(sets.groupBy("node").agg(F.count("*").alias("depth"), F.count_if(F.col("above") != F.col("node")).alias("others")))
+    # the end of a chain is among its steps already, even where it is above itself
+    chain = at.join(number, "node", "left_anti").join(number.select(F.col("node").alias("at"), F.col("others").alias("more")), "at", "left")
+    by = number.drop("others").unionByName(chain.select("node", (F.col("steps") + F.coalesce("more", F.lit(0))).alias("depth")))
+    return nodes.select("occurrence").join(by.withColumnRenamed("node", "occurrence"), "occurrence", "left").select("occurrence", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+def _jumped(single: DataFrame) -> DataFrame:
+    """(node, at, steps): how far each node's chain of single containers goes, and where it ends. single: node, above."""
+    at = durable(single.select("node", F.col("above").alias("at"), F.lit(1).cast("long").alias("steps")))
+    for _ in range(max(1, at.count().bit_length())):
+        on = at.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"))
+        moved = at.join(on, "at", "left")
+        if moved.filter("next IS NOT NULL").isEmpty():
+            break
+        at = durable(moved.select("node", F.coalesce("next", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+    return at
+
+
+def _ancestors(up: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, above), each once: all that is above the nodes of starts; goes on until nothing is new."""
+    found = front = durable(up.join(starts.distinct(), "node", "left_semi"))
     while True:
         more = front.join(up.select(F.col("node").alias("above"), F.col("above").alias("next")), "above").select("node", F.col("next").alias("above")).distinct()
         front = durable(more.join(found, ["node", "above"], "left_anti"))
         if front.isEmpty():
-            break
-        found = found.unionByName(front)
-    by = found.groupBy(F.col("node").alias("occurrence")).agg(F.countDistinct("above").alias("depth"))
-    return nodes.select("occurrence").join(by, "occurrence", "left").select("occurrence", F.coalesce("depth", F.lit(0)).alias("depth"))
+            return found
+        found = durable(found.unionByName(front))
 
 
 def strong_components(deps: DataFrame) -> DataFrame:
