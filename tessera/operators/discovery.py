@@ -46,7 +46,8 @@ def _plain() -> tuple[str, str]:
 
 def normalise(text: Column) -> Column:
     """Lower case without marks; NUL becomes a space. Letters that decompose into several letters (Hangul) stay composed."""
-    return F.lower(F.regexp_replace(F.translate(F.regexp_replace(text, "\x00", " "), *_plain()), r"\p{Mn}", ""))
+    # most texts are ASCII, which has nothing to take apart
+    return F.when(text.rlike(r"^[\x01-\x7F]*$"), F.lower(text)).otherwise(F.lower(F.regexp_replace(F.translate(F.regexp_replace(text, "\x00", " "), *_plain()), r"\p{Mn}", "")))
 
 
 def _split(text: Column) -> Column:
