@@ -265,10 +265,7 @@ def discover(projected: DataFrame, post: DataFrame, req: DataFrame, limit: int =
     listed = facts.select("occurrence", "kind", "language", "path", "name").join(F.broadcast(blank.select("query_id", "kinds", "languages", "paths", "names")), passes()).select(*key)
     all_ = ranked.join(inside, key, "full")
     more = wish("symbols", "name").unionByName(wish("files", "path")).unionByName(listed).distinct()
-    all_ = durable(all_.join(more.withColumn("m", F.lit(1)), key, "full").join(facts, "occurrence").join(asks, "query_id").filter(passes()))
-    near = fuzzy(projected.select("name", "occurrence"), q.select("query_id", F.col("raw").alias("text")), all_)
-    second = near.join(facts, "occurrence").join(asks, "query_id").filter(passes())
-    all_ = all_.withColumn("edit_distance", F.lit(0)).withColumn("fuzzy", F.lit(False)).unionByName(second.withColumn("fuzzy", F.lit(True)), allowMissingColumns=True)
+    all_ = all_.join(more.withColumn("m", F.lit(1)), key, "full").join(facts, "occurrence").join(asks, "query_id").filter(passes())
 
     low = F.lit(False) if deprioritised is None else F.coalesce(deprioritised, F.lit(False))
     one = F.lit(1.0)
@@ -283,10 +280,16 @@ def discover(projected: DataFrame, post: DataFrame, req: DataFrame, limit: int =
     bits = F.coalesce("f", F.lit(0)).bitwiseOR(F.coalesce("i", F.lit(0))).bitwiseOR(F.when(F.col("fuzzy"), 1).otherwise(0)).bitwiseOR(F.when(F.array_contains("kinds", F.col("kind")), 64).otherwise(0)).bitwiseOR(F.when(F.array_contains("languages", F.col("language")), 32).otherwise(0))
     names = F.array_compact(F.array(*[F.when(bits.bitwiseAND(F.lit(1 << k)) > 0, FIELDS[k][0]) for k in (0, 1, 2, 3, 4, 6, 5)]))
     pinned = wanted | (says & ~low)
-    scored = all_.select(
+    score_of = lambda rows: rows.select(
         *key, pinned.alias("pinned"), "fuzzy", "edit_distance", (clean & strong & (matched >= 2) & F.lit(multiterm)).alias("corroborated"), matched.alias("matched"), names.alias("fields"), F.round(score, 9).alias("score"),
         ((pinned & F.array_contains("files", F.col("path"))) | wanted | (F.size("terms") == 0) & (F.col("raw") == "") | (F.size("terms") > 0) & strong).alias("entry"), (pinned & F.array_contains("symbols", F.col("name"))).alias("named"),
     )
+    # what is kept of the first tier are its few columns; the second needs to know which questions found something
+    scored = durable(score_of(all_.withColumn("edit_distance", F.lit(0)).withColumn("fuzzy", F.lit(False))))
+    near = fuzzy(projected.select("name", "occurrence"), q.select("query_id", F.col("raw").alias("text")), scored)
+    second = near.join(facts, "occurrence").join(asks, "query_id").filter(passes()).withColumn("fuzzy", F.lit(True))
+    second = second.withColumns({"rank": F.lit(None).cast("double"), "matched": F.lit(None).cast("long"), "f": F.lit(None).cast("int"), "i": F.lit(None).cast("int")})
+    scored = scored.unionByName(score_of(second))
     first = top(scored, "query_id", [F.desc("pinned"), F.col("edit_distance"), F.desc("corroborated"), F.desc("score"), F.sha2("occurrence", 256)], candidates, "c")
     return top(first, "query_id", [F.col("edit_distance"), F.desc("pinned"), F.desc("corroborated"), F.desc("score"), F.col("occurrence")], limit).drop("c")
 
