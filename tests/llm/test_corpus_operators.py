@@ -584,6 +584,28 @@ def test_line_dedup_finds_one_changed_word(spark, words):
     assert sum(got[2 * i + 1] for i in range(400)) >= 380 and not any(got[2 * i] for i in range(400))
 
 
+def test_line_dedup_links_by_similarity(spark):
+    """Pairs that nothing but their own likeness can link: the share that is linked at each similarity, down to the edge."""
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(5000)]
+    kinds = [(10, 2, 0), (10, 0, 2), (10, 1, 1), (15, 3, 0), (16, 3, 0), (20, 4, 0), (35, 7, 0), (40, 8, 0), (100, 20, 0), (20, 3, 0), (40, 6, 0), (10, 1, 0), (40, 4, 0)]
+    docs, each = [], 400
+    for no, (n, changed, gone) in enumerate(kinds):
+        for i in range(each):
+            line = [rng.choice(vocabulary) for _ in range(n)]
+            docs.append((2 * (no * each + i), " ".join(line)))
+            at = rng.sample(range(n), changed + gone)
+            for j in at[:changed]:
+                line[j] = f"q{rng.choice(vocabulary)}"
+            docs.append((2 * (no * each + i) + 1, " ".join(x for j, x in enumerate(line) if j not in at[changed:])))
+    gone = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).filter("n_dropped > 0").select("doc_id").collect()}
+    assert all(i % 2 for i in gone)
+    found = {k: sum(2 * (no * each + i) + 1 in gone for i in range(each)) / each for no, k in enumerate(kinds)}
+    print(found)
+    assert min(found.values()) >= 0.88 and sum(found.values()) / len(found) >= 0.93  # 0.9 less what chance does to 400 pairs
+    assert all(found[k] >= 0.95 for k in kinds[-4:])
+
+
 @needs_tables
 def test_line_dedup_against_all_pairs(spark):
     """Every line that goes also goes by comparing all pairs; at least nine tenths of what those would drop go."""
