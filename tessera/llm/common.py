@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +62,21 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: durable like a checkpoint, but compressed and read by column."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _TABLES[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of `written` that nothing reads any more: what was made of them must be durable itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_TABLES.pop(df))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Paths of the tables that `written` made, as long as someone holds them.
+_TABLES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def columns(df: DataFrame) -> list[Column]:
@@ -168,8 +183,10 @@ def linked(posts: DataFrame, members: DataFrame, verify: Callable[[DataFrame], D
     star = posts.filter((F.col("unit") != F.col("a")) & near).select("a", F.col("unit").alias("b")).unionByName(members.filter("id <> unit").select(F.col("unit").alias("a"), F.col("id").alias("b")))
     posts = posts.select("token", "unit", *extra)
     posts = posts if own is None else posts.unionByName(own)
-    links = durable(verify(written(star.distinct())))
-    size = posts.count()
+    star = written(star.distinct())
+    links = durable(verify(star))
+    release(star)
+    size, open_ = posts.count(), None
     for no in range(rounds + 1):
         label = durable(components(nodes, links))
         tidy(nodes.sparkSession)
@@ -186,13 +203,16 @@ def linked(posts: DataFrame, members: DataFrame, verify: Callable[[DataFrame], D
         left = main.agg(F.sum((F.col("all") - F.col("most")) * F.col("all")).alias("pairs"), F.sum(F.col("all") - F.col("most")).alias("posts")).first()
         if not left["posts"]:
             return label
+        if open_ is not None:
+            release(open_)
         open_ = written(where.join(main.select("token", "main"), "token"))  # only tokens of several components go on
         if no == rounds or left["pairs"] <= max(share * size, few):
             break
         picked = [F.min_by("rep", F.xxhash64("rep", F.lit(no * leads + i))) for i in range(leads)]
         lead = open_.filter("component = main").groupBy("token").agg(F.array_distinct(F.array(*picked)).alias("a")).select("token", F.explode("a").alias("a"))
-        star = open_.filter("component <> main").select("token", F.col("rep").alias("b")).join(lead, "token").select("a", "b").distinct()
-        links = durable(links.unionByName(verify(written(star))))
+        star = written(open_.filter("component <> main").select("token", F.col("rep").alias("b")).join(lead, "token").select("a", "b").distinct())
+        links = durable(links.unionByName(verify(star)))
+        release(star)
     one, other = F.struct("unit", "component"), F.struct(F.col("unit2").alias("unit"), F.col("component2").alias("component"))
     rest = (
         open_.filter("component <> main")
