@@ -47,7 +47,15 @@ register("l10_pending_enrichment", lambda x: lc.pending_enrichment(x.components,
 AND NOT EXISTS (SELECT 1 FROM {{components}} b WHERE b.partkey % 50 = 0 AND b.ecosystem = c.ecosystem AND b.namespace = c.namespace AND b.name = c.name)""")
 _KEYED = "SELECT concat_ws('/', CAST(snapshot_id AS STRING), element_id) AS key, partkey % 7 AS repository_id, status AS fingerprint FROM {components}"
 _RESULT = "SELECT concat_ws('/', CAST(snapshot_id AS STRING), element_id) AS key, partkey % 3 AS policy_id, 'resolved' AS fingerprint FROM {components} WHERE is_root"
-register("r4_pending", lambda x: r.pending_evaluation(_sql(x, _KEYED, "components"), _sql(x, _RESULT, "components"), x.spark.range(5).selectExpr("id AS repository_id", "id % 3 AS policy_id")), f"WITH c AS ({_KEYED}), p AS ({_RESULT}) SELECT key, c.repository_id % 3 AS policy_id, c.fingerprint FROM c LEFT JOIN p USING (key) WHERE c.repository_id < 5 AND (p.policy_id IS NULL OR p.policy_id <> c.repository_id % 3 OR c.fingerprint IS DISTINCT FROM p.fingerprint)")
+_SET = "SELECT DISTINCT partkey % 7 AS repository_id, partkey % 7 % 3 AS policy_id FROM {components}"
+register(
+    "r4_pending",
+    lambda x: r.pending_evaluation(_sql(x, _KEYED, "components"), _sql(x, _RESULT, "components"), _sql(x, _SET, "components")),
+    f"""WITH c AS ({_KEYED}), p AS ({_RESULT}), a AS ({_SET})
+    SELECT key, a.policy_id, c.fingerprint
+    FROM c JOIN a USING (repository_id) LEFT JOIN p USING (key)
+    WHERE p.policy_id IS NULL OR p.policy_id <> a.policy_id OR c.fingerprint IS DISTINCT FROM p.fingerprint""",
+)
 _OLD = "SELECT repository_id AS key, 1 AS policy_id, name AS verdict, CAST(fingerprint AS STRING) AS fingerprint, id FROM {decisions}"
 _NEW = "SELECT repository_id AS key, 1 AS policy_id, CASE repository_id % 2 WHEN 0 THEN max_by(name, id) ELSE 'new' END AS verdict, CAST(max_by(fingerprint, id) AS STRING) AS fingerprint, max(id) + 1000000 AS id FROM {decisions} GROUP BY repository_id UNION ALL SELECT -1, 2, 'approved', 'x', CAST(1 AS BIGINT)"
 register("r5_current_results", lambda x: r.current_results(_sql(x, _OLD, "decisions"), _sql(x, _NEW, "decisions")).select("key", "id", "current", "version"), f"""WITH o AS ({_OLD}), n AS ({_NEW}), l AS (SELECT key, max_by(verdict, id) AS v FROM o GROUP BY key), a AS (SELECT key, id FROM o UNION ALL SELECT n.key, n.id FROM n LEFT JOIN l USING (key) WHERE l.v IS NULL OR l.v <> n.verdict)
