@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import durable
+from ..shipping import durable, written
 from .graph import CONTAINERS, confident, relation_rank
 
 
@@ -62,15 +62,51 @@ def call_graph(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
 def trace(edges: DataFrame, requests: DataFrame, depth: int = 10, kinds: list[str] | None = None) -> DataFrame:
     """Shortest path of each request from root to goal: (query_id, status, hops, path array).
 
-    requests: query_id, root, goal. The path follows each node's first edge back from the goal. A request leaves the search with the level
-    that reaches its goal, and the way back takes as many joins as the longest path found has steps.
+    requests: query_id, root, goal. Both ends are searched, a level at a time and the smaller front first; a request whose
+    fronts meet leaves, and so does one that has no front left on one side. Of several shortest paths it is the one that goes
+    back from the goal by the least relation rank, then node, then edge, whichever fronts met. The way back takes as many
+    joins as the longest path found has steps.
     """
-    goals = durable(requests.select("query_id", F.col("goal").alias("node")))
-    reached = durable(bfs(steps(edges, kinds or ["calls"], "outgoing"), requests.select("query_id", F.col("root").alias("node")), depth, goals))
-    walk = goals.join(reached, ["query_id", "node"]).select("query_id", F.col("depth").alias("hops"), F.array("node").alias("path"), "parent")
-    back = reached.select("query_id", F.col("node").alias("parent"), F.col("parent").alias("next"))
-    walk = durable(walk)
-    for _ in range(walk.agg(F.max("hops")).first()[0] or 0):
+    step = steps(edges, kinds or ["calls"], "outgoing")
+    none = F.lit(None).cast("string")
+    out = durable(step.select("here", "there", "rank", "edge").repartition("here"))  # dealt once by what the levels of each side join
+    ends = {"out": ("here", "there", out), "in": ("there", "here", durable(out.select("here", "there").repartition("there")))}
+    goals = durable(requests.select("query_id", "root", F.col("goal").alias("node"), F.coalesce(F.col("goal") == F.col("root"), F.lit(False)).alias("met")))
+    done = goals.filter("met").select("query_id", "node", F.lit(0).alias("depth"), F.lit(0).alias("rest"))
+    start = lambda c, own: goals.filter(own).select("query_id", F.col(c).alias("node"), F.lit(0).alias("depth"), none.alias("parent")).distinct()
+    seen = {side: start(c, F.lit(True)) for side, c in (("out", "root"), ("in", "node"))}
+    front = {side: start(c, ~F.col("met")) for side, c in (("out", "root"), ("in", "node"))}
+    level, size = {"out": 0, "in": 0}, dict.fromkeys(front, goals.filter("NOT met").count())
+    while sum(level.values()) < depth and min(size.values()):
+        side = min(("out", "in"), key=lambda x: size[x])
+        other = "in" if side == "out" else "out"
+        here, there, by = ends[side]
+        go = front[side].join(front[other].select("query_id").distinct(), "query_id", "left_semi")
+        found = go.select("query_id", F.col("node").alias(here)).join(by, here)
+        first = F.min(F.struct("rank", F.col("here").alias("parent"), "edge")).getField("parent") if side == "out" else none
+        new = found.groupBy("query_id", F.col(there).alias("node")).agg(first.alias("parent")).join(seen[side].select("query_id", "node"), ["query_id", "node"], "left_anti")
+        level[side] += 1
+        meets = front[other].select("query_id", "node", F.lit(True).alias("met"))
+        new = durable(new.join(meets, ["query_id", "node"], "left").select("query_id", "node", F.lit(level[side]).alias("depth"), "parent", F.coalesce("met", F.lit(False)).alias("met")))
+        seen[side] = seen[side].unionByName(new.drop("met"))
+        both = new.filter("met").select("query_id", "node", F.lit(level["out"]).alias("depth"), F.lit(level["in"]).alias("rest"))
+        done = done.unionByName(both)
+        front[side] = new.drop("met").join(both.select("query_id").distinct(), "query_id", "left_anti")
+        size[side] = new.filter("NOT met").count()
+    # from where fronts met on to the goal: each level of the way in, by the same first edges
+    done = durable(done)
+    reached, at = seen["out"].select("query_id", "node", "parent"), done
+    ways = seen["in"].select("query_id", F.col("node").alias("there"), F.col("depth").alias("rest"))
+    most = done.agg(F.max("rest").alias("rest"), F.max(F.col("depth") + F.col("rest")).alias("hops")).first()
+    for _ in range(most["rest"] or 0):
+        on = at.filter("rest > 0").select("query_id", F.col("node").alias("here"), "depth", (F.col("rest") - 1).alias("rest")).join(ends["out"][2], "here").join(ways, ["query_id", "there", "rest"])
+        first = F.min(F.struct("rank", F.col("here").alias("parent"), "edge"))
+        at = durable(on.groupBy("query_id", F.col("there").alias("node"), F.col("rest")).agg(first.alias("f"), F.max("depth").alias("depth")).select("query_id", "node", "depth", "rest", "f.parent"))
+        reached = reached.unionByName(at.select("query_id", "node", "parent"))
+    hops = done.groupBy("query_id").agg(F.max(F.col("depth") + F.col("rest")).alias("hops"))
+    walk = goals.join(hops, "query_id").join(reached, ["query_id", "node"], "left").select("query_id", "hops", F.array("node").alias("path"), "parent")
+    back = durable(reached.join(hops, "query_id", "left_semi").select("query_id", F.col("node").alias("parent"), F.col("parent").alias("next")))
+    for _ in range(most["hops"] or 0):
         walk = walk.join(back, ["query_id", "parent"], "left").select("query_id", "hops", F.when(F.col("parent").isNotNull(), F.concat(F.array("parent"), "path")).otherwise(F.col("path")).alias("path"), F.col("next").alias("parent"))
     return requests.select("query_id").join(walk, "query_id", "left").select("query_id", F.when(F.col("hops").isNull(), "no_path").otherwise("ok").alias("status"), "hops", "path")
 
@@ -186,14 +222,15 @@ def containment_depth(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _jumped(single: DataFrame) -> DataFrame:
-    """(node, at, steps): how far each node's chain of single containers goes, and where it ends. single: node, above."""
-    at = durable(single.select("node", F.col("above").alias("at"), F.lit(1).cast("long").alias("steps")))
+    """(node, at, steps, low): how far each node's chain of single containers goes, where it ends, and the smallest on it;
+    a chain that is a ring has no end, and its smallest is that of the ring. single: node, above."""
+    at = durable(single.select("node", F.col("above").alias("at"), F.lit(1).cast("long").alias("steps"), F.least("node", "above").alias("low")))
     for _ in range(max(1, at.count().bit_length())):
-        on = at.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"))
+        on = at.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("steps").alias("more"), F.col("low").alias("lower"))
         moved = at.join(on, "at", "left")
         if moved.filter("next IS NOT NULL").isEmpty():
             break
-        at = durable(moved.select("node", F.coalesce("next", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+        at = durable(moved.select("node", F.coalesce("next", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.least("low", "lower").alias("low")))
     return at
 
 
@@ -209,32 +246,62 @@ def _ancestors(up: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def strong_components(deps: DataFrame) -> DataFrame:
-    """(path, component): files on common dependency cycles, named by their smallest path.
+    """(path, component, files): files on common dependency cycles, named by their smallest path, and how many they are.
 
-    Forward and backward colouring: a node's colour is the smallest node that reaches it; those that reach their colour
-    back within it are one component and leave, the rest go on. Nodes without incoming or outgoing edges are on no cycle
-    and leave before each round, edges between colours after it. Ends when no edge is left.
+    Runs of files with one edge in and one out become one edge first, by pointer jumping; a ring of them is a component
+    at once. Then forward and backward colouring: a node's colour is the first node, in an order of hashes that changes
+    each round, that reaches it; those that reach their colour back within it are one component and leave, the rest go on.
+    Colours travel along edges and jump to the colour of their colour, so that rounds don't grow with the length of a way.
+    Nodes without incoming or outgoing edges are on no cycle and leave before each round, edges between colours after it.
     """
     edges = durable(deps.select(F.col("source_path").alias("s"), F.col("target_path").alias("t")).filter("s <> t").distinct())
     done = edges.select(F.col("s").alias("path"), F.col("t").alias("component")).filter(F.lit(False))
-    edges = _trimmed(edges)
+    edges, runs, rings = _contracted(_trimmed(edges))
+    turn = 0
     while not edges.isEmpty():
-        nodes = durable(edges.select(F.col("s").alias("n")).unionByName(edges.select(F.col("t").alias("n"))).distinct())
-        colour = _spread(edges, nodes.select("n", F.col("n").alias("c")))
-        same = durable(edges.join(colour.toDF("s", "cs"), "s").join(colour.toDF("t", "ct"), "t").filter("cs = ct").select("s", "t", F.col("cs").alias("c")))
-        back = durable(colour.filter("n = c"))
-        front = back
-        while True:  # who reaches the colour's own node inside the colour
-            new = same.join(front.select(F.col("n").alias("t"), "c"), ["t", "c"]).select(F.col("s").alias("n"), "c").distinct()
-            front = durable(new.join(back, ["n", "c"], "left_anti"))
-            if front.isEmpty():
-                break
-            back = durable(back.unionByName(front))
+        turn += 1
+        order = lambda c: F.xxhash64(c, F.lit(turn))  # noqa: E731, B023
+        nodes = edges.select(F.col("s").alias("n")).unionByName(edges.select(F.col("t").alias("n"))).distinct()
+        colour = _spread(edges, nodes.select("n", order("n").alias("k"), F.col("n").alias("c"))).select("n", "c")
+        same = durable(edges.join(colour.toDF("s", "cs"), "s").join(colour.toDF("t", "ct"), "t").filter("cs = ct").select("s", "t"))
+        # who reaches the colour's own node inside the colour: against the edges that node comes before all others
+        own = colour.select("n", F.when(F.col("n") == F.col("c"), F.lit(-(2**63))).otherwise(order("n")).alias("k"), F.col("n").alias("c"))
+        ends = _spread(same.select(F.col("t").alias("s"), F.col("s").alias("t")), own)
+        back = durable(ends.select("n", "c").join(colour, ["n", "c"], "left_semi"))
         done = done.unionByName(back.select(F.col("n").alias("path"), F.col("c").alias("component")))
         gone = back.select("n")
-        edges = _trimmed(same.select("s", "t").join(gone.toDF("s"), "s", "left_anti").join(gone.toDF("t"), "t", "left_anti").select("s", "t"))
-    size = Window.partitionBy("component")
-    return done.withColumn("files", F.count("*").over(size)).filter("files > 1")
+        edges = _trimmed(same.join(gone.toDF("s"), "s", "left_anti").join(gone.toDF("t"), "t", "left_anti").select("s", "t"))
+    if runs is not None:  # a run is on a cycle if both of its ends are in one component, or are one node
+        of = lambda c: done.select(F.col("path").alias(c), F.col("component").alias(f"{c}_of"))
+        both = runs.join(of("head"), "head", "left").join(of("tail"), "tail", "left").withColumns({f"{c}_of": F.coalesce(f"{c}_of", c) for c in ("head", "tail")}).filter("head_of = tail_of")
+        inside = durable(both.select("node", "head", F.col("head_of").alias("component")))
+        every = done.unionByName(inside.select(F.col("node").alias("path"), "component")).unionByName(inside.select(F.col("head").alias("path"), "component"))
+        done = durable(every.unionByName(rings.select(F.col("node").alias("path"), F.col("low").alias("component"))).distinct())
+    name = done.groupBy("component").agg(F.min("path").alias("name"), F.count("*").alias("files")).filter("files > 1")
+    return done.join(name, "component").select("path", F.col("name").alias("component"), "files")
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Edges with each run of nodes of one edge in and one out as one edge from its head to its tail; (node, head, tail) of
+    the nodes on runs, (node, low) of those on rings of nothing else, named by the smallest. Nothing changes, and there
+    are no runs, where no two such nodes follow each other."""
+    into = edges.groupBy(F.col("t").alias("node")).agg(F.count("*").alias("i"), F.min("s").alias("before")).filter("i = 1")
+    out = edges.groupBy(F.col("s").alias("node")).agg(F.count("*").alias("o"), F.min("t").alias("after")).filter("o = 1")
+    single = durable(into.join(out, "node").select("node", "before", "after"))
+    inner = durable(single.join(single.select(F.col("node").alias("before")), "before", "left_semi").select("node", F.col("before").alias("above")))
+    if inner.isEmpty():
+        return edges, None, None
+    at = _jumped(inner)
+    ring = at.join(inner.select(F.col("node").alias("at")), "at", "left_semi").select("node", "low")
+    rings = durable(ring)
+    # first of a run: the only one whose source is on no run; last: the only one whose target is on none
+    firsts = single.join(inner.select("node"), "node", "left_anti").select(F.col("node").alias("first"), F.col("before").alias("head"))
+    on = at.select("node", F.col("at").alias("first")).unionByName(firsts.select(F.col("first").alias("node"), "first"))
+    lasts = single.join(single.select(F.col("node").alias("after")), "after", "left_anti").select("node", F.col("after").alias("tail"))
+    tails = on.join(lasts, "node").select("first", "tail")
+    runs = durable(on.join(firsts, "first").join(tails, "first").select("node", "head", "tail"))
+    bare = edges.join(single.select(F.col("node").alias("s")), "s", "left_anti").join(single.select(F.col("node").alias("t")), "t", "left_anti").select("s", "t")
+    return _trimmed(bare.unionByName(runs.select(F.col("head").alias("s"), F.col("tail").alias("t"))).filter("s <> t").distinct()), runs, rings
 
 
 def cycles(deps: DataFrame) -> DataFrame:
@@ -274,11 +341,15 @@ def cycles(deps: DataFrame) -> DataFrame:
     return inner.groupBy("component").applyInPandas(walk, "component string, no long, cycle array<string>")
 
 
+#: Times that ends are cut before the rest, long tails among them, is left to colours.
+TRIMS = 4
+
+
 def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges whose source has an incoming and whose target an outgoing edge, again until none goes."""
+    """Edges whose source has an incoming and whose target an outgoing edge, again while some go, TRIMS times at most."""
     edges = durable(edges)
     before = edges.count()
-    while before:
+    for _ in range(TRIMS if before else 0):
         ends, starts = edges.select(F.col("t").alias("s")).distinct(), edges.select(F.col("s").alias("t")).distinct()
         edges = durable(edges.join(ends, "s", "left_semi").join(starts, "t", "left_semi").select("s", "t"))
         after = edges.count()
@@ -289,11 +360,14 @@ def _trimmed(edges: DataFrame) -> DataFrame:
 
 
 def _spread(edges: DataFrame, label: DataFrame) -> DataFrame:
-    """The smallest label that reaches each node."""
-    label = durable(label)
+    """The label (k, c), least by k, that reaches each node n. c is a node: a label also jumps to the label of its c."""
+    label = written(label)
     while True:
-        got = edges.join(label.select(F.col("n").alias("s"), "c"), "s").groupBy(F.col("t").alias("n")).agg(F.min("c").alias("d"))
-        new = durable(label.join(got, "n", "left").select("n", F.least("c", F.coalesce("d", "c")).alias("c"), (F.coalesce("d", "c") < F.col("c")).alias("moved")))
-        label = new.select("n", "c")
+        one = F.struct("k", "c")
+        got = edges.join(label.select(F.col("n").alias("s"), "k", "c"), "s").groupBy(F.col("t").alias("n")).agg(F.min(one).alias("d"))
+        jump = label.select(F.col("n").alias("c"), F.struct(F.col("k"), F.col("c")).alias("j"))
+        new = label.join(got, "n", "left").join(jump, "c").select("n", F.least(one, F.coalesce("d", one), "j").alias("x"), one.alias("old"))
+        new = written(new.select("n", "x.k", "x.c", (F.col("x") < F.col("old")).alias("moved")))
+        label = new.select("n", "k", "c")
         if new.filter("moved").isEmpty():
             return label

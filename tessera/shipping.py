@@ -40,3 +40,11 @@ def durable(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path below the shared one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder. A checkpoint keeps what the optimizer inferred of its columns, which in long loops
+    of joins with themselves grows with every round; a table keeps nothing."""
+    path = scratch(df.sparkSession, "round")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
