@@ -59,6 +59,10 @@ def call_graph(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
     return both[0].unionByName(both[1]).groupBy("query_id", "node").agg(F.min("depth").alias("depth"))
 
 
+#: Rows of a front, of some 100 bytes, that a trace broadcasts; they are counted at each level, and larger ones shuffle.
+FRONT_ROWS = 200_000
+
+
 def trace(edges: DataFrame, requests: DataFrame, depth: int = 10, kinds: list[str] | None = None) -> DataFrame:
     """Shortest path of each request from root to goal: (query_id, status, hops, path array).
 
@@ -77,22 +81,25 @@ def trace(edges: DataFrame, requests: DataFrame, depth: int = 10, kinds: list[st
     seen = {side: start(c, F.lit(True)) for side, c in (("out", "root"), ("in", "node"))}
     front = {side: start(c, ~F.col("met")) for side, c in (("out", "root"), ("in", "node"))}
     level, size = {"out": 0, "in": 0}, dict.fromkeys(front, goals.filter("NOT met").count())
+    rows = dict.fromkeys(front, goals.count())
+    small = lambda df, n: F.broadcast(df) if n <= FRONT_ROWS else df
     while sum(level.values()) < depth and min(size.values()):
         side = min(("out", "in"), key=lambda x: size[x])
         other = "in" if side == "out" else "out"
         here, there, by = ends[side]
-        go = front[side].join(front[other].select("query_id").distinct(), "query_id", "left_semi")
-        found = go.select("query_id", F.col("node").alias(here)).join(by, here)
+        go = front[side].join(small(front[other].select("query_id").distinct(), size[other]), "query_id", "left_semi")
+        found = small(go.select("query_id", F.col("node").alias(here)), size[side]).join(by, here)
         first = F.min(F.struct("rank", F.col("here").alias("parent"), "edge")).getField("parent") if side == "out" else none
-        new = found.groupBy("query_id", F.col(there).alias("node")).agg(first.alias("parent")).join(seen[side].select("query_id", "node"), ["query_id", "node"], "left_anti")
+        new = found.groupBy("query_id", F.col(there).alias("node")).agg(first.alias("parent")).join(small(seen[side].select("query_id", "node"), rows[side]), ["query_id", "node"], "left_anti")
         level[side] += 1
         meets = front[other].select("query_id", "node", F.lit(True).alias("met"))
-        new = durable(new.join(meets, ["query_id", "node"], "left").select("query_id", "node", F.lit(level[side]).alias("depth"), "parent", F.coalesce("met", F.lit(False)).alias("met")))
+        new = durable(new.join(small(meets, size[other]), ["query_id", "node"], "left").select("query_id", "node", F.lit(level[side]).alias("depth"), "parent", F.coalesce("met", F.lit(False)).alias("met")))
         seen[side] = seen[side].unionByName(new.drop("met"))
         both = new.filter("met").select("query_id", "node", F.lit(level["out"]).alias("depth"), F.lit(level["in"]).alias("rest"))
         done = done.unionByName(both)
         front[side] = new.drop("met").join(both.select("query_id").distinct(), "query_id", "left_anti")
-        size[side] = new.filter("NOT met").count()
+        counted = new.agg(F.count("*").alias("all"), F.count_if("met").alias("met")).first()
+        rows[side], size[side] = rows[side] + counted["all"], counted["all"] - counted["met"]
     # from where fronts met on to the goal: each level of the way in, by the same first edges
     done = durable(done)
     reached, at = seen["out"].select("query_id", "node", "parent"), done
@@ -284,12 +291,12 @@ def strong_components(deps: DataFrame) -> DataFrame:
 def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """Edges with each run of nodes of one edge in and one out as one edge from its head to its tail; (node, head, tail) of
     the nodes on runs, (node, low) of those on rings of nothing else, named by the smallest. Nothing changes, and there
-    are no runs, where no two such nodes follow each other."""
+    are no runs, where few such nodes follow each other: colours jump along those."""
     into = edges.groupBy(F.col("t").alias("node")).agg(F.count("*").alias("i"), F.min("s").alias("before")).filter("i = 1")
     out = edges.groupBy(F.col("s").alias("node")).agg(F.count("*").alias("o"), F.min("t").alias("after")).filter("o = 1")
     single = durable(into.join(out, "node").select("node", "before", "after"))
     inner = durable(single.join(single.select(F.col("node").alias("before")), "before", "left_semi").select("node", F.col("before").alias("above")))
-    if inner.isEmpty():
+    if inner.count() * RUNS <= edges.count():
         return edges, None, None
     at = _jumped(inner)
     ring = at.join(inner.select(F.col("node").alias("at")), "at", "left_semi").select("node", "low")
@@ -341,6 +348,8 @@ def cycles(deps: DataFrame) -> DataFrame:
     return inner.groupBy("component").applyInPandas(walk, "component string, no long, cycle array<string>")
 
 
+#: Runs are taken together where more than one in so many edges lies inside one.
+RUNS = 16
 #: Times that ends are cut before the rest, long tails among them, is left to colours.
 TRIMS = 4
 
