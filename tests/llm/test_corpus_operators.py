@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -509,6 +510,55 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == plain(a, b)
 
 
+@pytest.mark.parametrize("many", [0, 40])
+def test_edit_distances_of_many(monkeypatch, many):
+    monkeypatch.setattr(line_dedup, "MANY", many)
+    rng = random.Random(5)
+    runs = [[rng.randrange(9) for _ in range(rng.choice([1, 2, 30, 63, 64, 65, 128, 129, 200, 300]))] for _ in range(120)]
+    d, at = np.array([c for r in runs for c in r], dtype=np.uint32), np.cumsum([0, *map(len, runs)])
+    a, b = np.array([rng.randrange(120) for _ in range(400)]), np.array([rng.randrange(120) for _ in range(400)])
+    got = line_dedup.edit_distances(d, at[a], at[a + 1] - at[a], at[b], at[b + 1] - at[b])
+    assert got.tolist() == [line_dedup.edit_distance(runs[i], runs[j]) for i, j in zip(a, b, strict=True)]
+
+
+def test_crowds_keep_every_link():
+    """Lines of one token: what comparing all pairs connects is connected, with fewer edges than lines; two crowds share none."""
+    rng = random.Random(6)
+    centres = [[rng.randrange(5000) for _ in range(30)] for _ in range(12)]
+    lines = []
+    for _ in range(150):
+        line = list(rng.choice(centres))
+        for _ in range(rng.randint(0, 5)):
+            line[rng.randrange(len(line))] = rng.randrange(5000)
+        lines.append(line)
+    d, o = np.array([c for x in lines for c in x], dtype=np.uint32), np.cumsum([0, *map(len, lines)])
+
+    def labels(edges):
+        out = list(range(len(lines)))
+        for i, j in edges:
+            x, y = out[i], out[j]
+            out = [min(x, y) if z in (x, y) else z for z in out]
+        return out
+
+    for size in ([150], [100, 50], [1, 149]):
+        i, j = line_dedup.crowds(np.array(size), d, o, 80)
+        crowd = np.repeat(np.arange(len(size)), size)
+        near = [(x, y) for x in range(150) for y in range(x) if crowd[x] == crowd[y] and line_dedup.edit_distance(lines[x], lines[y]) <= max(len(lines[x]), len(lines[y])) // 5]
+        assert labels(zip(i.tolist(), j.tolist(), strict=True)) == labels(near) and len(i) < 150
+
+
+@pytest.mark.parametrize(("crowd", "size"), [(8, 1 << 23), (4096, 400)])
+def test_line_dedup_of_large_crowds(spark, monkeypatch, crowd, size):
+    """Tokens of more lines, or more words, than a task compares are linked as well."""
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    monkeypatch.setattr(line_dedup, "CROWD_BYTES", size)
+    rng = random.Random(8)
+    centres = [[f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(30)] for _ in range(2)]
+    docs = [(i, " ".join([*centres[i % 2][:29], f"only{chr(97 + i % 26)}{chr(97 + i // 26)}"])) for i in range(60)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {i: int(i > 1) for i in range(60)}
+
+
 def test_line_dedup(spark, nothing):
     rng = random.Random(7)
     line = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(n))
