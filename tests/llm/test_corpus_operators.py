@@ -11,10 +11,11 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, common, decontam, exact_dedup, html_text, line_dedup, ngram_join, quality, queries, secret_scan, toxicity, warc
+from tessera.llm import bpe, common, decontam, exact_dedup, html_text, line_dedup, ngram_join, quality, queries, secret_scan, textnum, toxicity, warc
 
 DOCS = "doc_id long, text string"
 SF = "/root/testdata/sf0.001"
@@ -547,6 +548,55 @@ def test_crowds_keep_every_link():
         assert labels(zip(i.tolist(), j.tolist(), strict=True)) == labels(near) and len(i) < 150
 
 
+def test_crowds_compare_a_pair_once(monkeypatch):
+    """Lines that meet under several tokens are compared once, and each token gets its edges."""
+    compared, similar = [], line_dedup.similar
+    monkeypatch.setattr(line_dedup, "similar", lambda d, o, a, b, percent: compared.append(len(a)) or similar(d, o, a, b, percent))
+    lines = [list(range(20)), [*range(19), 99], list(range(50, 70))]
+    d, o = np.array([c for x in (*lines, *lines[:2], *lines) for c in x], dtype=np.uint32), np.arange(9) * 20
+    i, j = line_dedup.crowds(np.array([3, 2, 3]), d, o, 80, np.array([5, 7, 9, 5, 7, 5, 7, 9]))
+    assert sorted(map(sorted, zip(i.tolist(), j.tolist(), strict=True))) == [[0, 1], [3, 4], [5, 6]]
+    assert sum(compared) == 1  # the third line shares no word
+
+
+def test_picked_lines():
+    """Only wanted lines leave their texts; a line that a text lacks (another text of that hash has it) gives none."""
+    texts = ["a b\n\nc d", None, "", "one", "\nend\n", "é ü\nx"]
+    k, line = np.array([1, 1, 3, 4, 5, 5, 5, 6, 6, 9]), np.array([2, 3, 0, 0, 1, 2, 0, 0, 1, 0])
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(1, 7), pa.int64())], names=["text", "k"])
+    got = [(r["unit"], r["text"]) for b in line_dedup.picked([batch.slice(0, 2), batch.slice(2)], k, line, np.arange(10)) for r in b.to_pylist()]
+    assert got == [(0, "c d"), (2, ""), (3, "one"), (4, "end"), (5, ""), (6, ""), (7, "é ü"), (8, "x")]
+
+
+def test_blocks_and_bands_by_hand():
+    """Majorities of bits and smallest values, also for a few of many lines."""
+    rng = random.Random(9)
+    texts = ["\n".join(" ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(n)) for n in sizes) for sizes in ([3, 700, 5], [8, 40, 300])]
+    lines = line_dedup.Lines(*textnum.utf8(pa.array(texts)))
+    own, w = lines.pick(1), lines.words
+    high, low = lines.simhash(own)
+    for at in own.tolist():
+        words = w.hash[w.first_word[at] : w.first_word[at + 1]]
+        for salt, got in ((1, high), (2, low)):
+            bits = np.unpackbits(textnum.mix(words ^ np.uint64(salt)).view(np.uint8).reshape(-1, 8), axis=1)
+            assert np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(words)).tobytes() == got[at].tobytes()
+    both = lines.bands(own, 0, 5)
+    for some in ([0, 2], [4], [1, 5]):
+        assert (lines.bands(own[some], 0, 5) == both[some]).all()
+
+
+@pytest.mark.parametrize("wanted", [0, 2_000_000])
+def test_first_occurrence_by_id(spark, monkeypatch, wanted):
+    """The smallest id keeps a line, however far ids lie from zero, and rows without one come last; words are found with and without picking."""
+    monkeypatch.setattr(line_dedup, "WANTED", wanted)
+    words = [f"w{chr(97 + i)}" for i in range(26)]
+    for ids in ([2**31 - 1, -(2**31), 5], [2**31, 5, 7], [-(2**31) - 1, 5, 2**62], [None, 5, 7], [7, None, -(2**62)]):
+        docs = [(i, f"{'x' * no} y\n{' '.join([*words[:25], f'v{chr(97 + no)}'])}") for no, i in enumerate(ids, 1)]
+        got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        stays = min(i for i in ids if i is not None)
+        assert got == {i: int(i != stays) for i in ids}
+
+
 @pytest.mark.parametrize(("crowd", "size"), [(8, 1 << 23), (4096, 400)])
 def test_line_dedup_of_large_crowds(spark, monkeypatch, crowd, size):
     """Tokens of more lines, or more words, than a task compares are linked as well."""
