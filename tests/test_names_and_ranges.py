@@ -18,3 +18,21 @@ def test_one_place_of_several_providers(spark):
     for order in ("upload_id", "-upload_id"):
         got = lifecycle.approximate_locations(req, req.limit(0).select("query_id"), mapping, uploads, places.orderBy(F.expr(order)), 2)
         assert rows(got, "no", "provider") == [(1, 4), (2, 17)]
+
+
+def test_a_name_that_many_declare(spark):
+    """20,000 references of one name to 20,000 declarations of it: no pairs. What is single in a tier decides."""
+    refs = spark.range(20_000).select(F.col("id").alias("reference_id"), F.lit("f").alias("path"), F.lit("m").alias("module"), F.lit("n").alias("name"), F.when(F.col("id") == 7, "s7").alias("symbol"))
+    decl = spark.range(20_000).select(F.concat(F.lit("d"), "id").alias("occurrence"), F.when(F.col("id") == 5, "f").otherwise(F.concat(F.lit("g"), "id")).alias("path"), F.lit("m").alias("module"), F.lit("n").alias("name"), F.concat(F.lit("s"), "id").alias("symbol"))
+    none = spark.createDataFrame([], "path string, module string, name string, alias string")
+    got = lifecycle.resolve(refs, decl, none)
+    assert rows(got.groupBy("tier", "target").count(), "tier", "target", "count") == [(1, "d7", 1), (4, "d5", 19_999)]
+    assert lifecycle.resolve(refs, decl.filter("path <> 'f'"), none).count() == 1
+
+
+def test_tiers_of_imports(spark):
+    refs = spark.createDataFrame([(1, "f", "m", "x", None), (2, "f", "m", "y", None), (3, "f", "m", "z", None), (4, "f", "m", "w", None), (4, "f", "m", "x", None), (5, None, None, None, None)], "reference_id int, path string, module string, name string, symbol string")
+    decl = spark.createDataFrame([("a", "g", "p", "x", None), ("b", "g", "p", "own", None), ("c", "h", "q", "z", None), ("d", "h", "q", "z", None), ("e", "i", "m", "z", None), ("e", "j", "m", "z", None)], "occurrence string, path string, module string, name string, symbol string")
+    imports = spark.createDataFrame([("f", "p", "x", None), ("f", "p", "x", None), ("f", "p", "own", "y"), ("f", "q", None, None)], "path string, module string, name string, alias string")
+    # two z in q decide nothing; one z of the own module, declared in two files, does
+    assert rows(lifecycle.resolve(refs, decl, imports), "reference_id", "tier", "target") == [(1, 2, "a"), (2, 2, "b"), (3, 5, "e"), (4, 2, "a")]
