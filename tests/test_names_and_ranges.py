@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import lifecycle
+from tessera.operators import lifecycle, navigation
 
 
 def rows(df, *cols):
@@ -36,3 +36,17 @@ def test_tiers_of_imports(spark):
     imports = spark.createDataFrame([("f", "p", "x", None), ("f", "p", "x", None), ("f", "p", "own", "y"), ("f", "q", None, None)], "path string, module string, name string, alias string")
     # two z in q decide nothing; one z of the own module, declared in two files, does
     assert rows(lifecycle.resolve(refs, decl, imports), "reference_id", "tier", "target") == [(1, 2, "a"), (2, 2, "b"), (3, 5, "e"), (4, 2, "a")]
+
+
+def test_a_line_that_many_ranges_hold(spark):
+    """20,000 references on a line and 20,000 definitions around it, but two ranges: no pairs."""
+    refs = spark.range(20_000).select(F.col("id").alias("reference_id"), F.lit(1).alias("upload_id"), F.lit("f").alias("path"), F.when(F.col("id") == 3, 90).otherwise(50).alias("line"))
+    defs = spark.range(20_000).select(F.col("id").alias("definition_id"), F.lit(1).alias("upload_id"), F.lit("f").alias("path"), F.when(F.col("id") % 2 == 0, 40).otherwise(10).alias("from_line"), F.lit(60).alias("to_line"))
+    got = navigation.enclosing(refs, defs)
+    assert rows(got.groupBy("definition_id").count(), "definition_id", "count") == [(19_998, 19_999)]
+
+
+def test_a_name_is_not_inside_its_definition(spark):
+    defs = spark.createDataFrame([("outer", 1, "f", 1, 30, 1, 5), ("inner", 1, "f", 10, 20, 10, 5), ("twin", 1, "f", 10, 20, 10, 9), ("bare", 1, "f", 12, 13, None, None)], "definition_id string, upload_id int, path string, from_line int, to_line int, name_line int, name_character int")
+    refs = spark.createDataFrame([(1, 1, "f", 10, 5), (2, 1, "f", 10, 9), (3, 1, "f", 10, 7), (4, 1, "f", 1, 5), (5, 1, "f", 12, 5), (6, 1, "f", 31, 0)], "reference_id int, upload_id int, path string, line int, character int")
+    assert rows(navigation.enclosing(refs, defs), "reference_id", "definition_id") == [(1, "twin"), (2, "inner"), (3, "twin"), (5, "bare")]
