@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import lifecycle, navigation
+from tessera.operators import discovery, inspect, lifecycle, navigation, traverse
 
 
 def rows(df, *cols):
@@ -50,3 +50,33 @@ def test_a_name_is_not_inside_its_definition(spark):
     defs = spark.createDataFrame([("outer", 1, "f", 1, 30, 1, 5), ("inner", 1, "f", 10, 20, 10, 5), ("twin", 1, "f", 10, 20, 10, 9), ("bare", 1, "f", 12, 13, None, None)], "definition_id string, upload_id int, path string, from_line int, to_line int, name_line int, name_character int")
     refs = spark.createDataFrame([(1, 1, "f", 10, 5), (2, 1, "f", 10, 9), (3, 1, "f", 10, 7), (4, 1, "f", 1, 5), (5, 1, "f", 12, 5), (6, 1, "f", 31, 0)], "reference_id int, upload_id int, path string, line int, character int")
     assert rows(navigation.enclosing(refs, defs), "reference_id", "definition_id") == [(1, "twin"), (2, "inner"), (3, "twin"), (5, "bare")]
+
+
+def test_options_that_many_declare(spark):
+    """10,000 requests for a name and a prefix that 10,000 options have: no pairs."""
+    nodes = spark.range(10_000).select(F.format_string("o%05d", "id").alias("occurrence"), F.lit("nix").alias("language"), F.lit("p").alias("path"), F.lit(1).alias("line"), F.lit("a.b").alias("name"))
+    req = spark.range(20_000).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("a.b").alias("text"))
+    got = inspect.dotted_options(nodes, req, prefixed=3, limit=2)
+    assert rows(got.groupBy("occurrence", "tier", "no").count(), "occurrence", "tier", "no", "count") == [("o00000", 1, 1, 10_000), ("o00000", 2, 1, 10_000), ("o00001", 1, 2, 10_000), ("o00001", 2, 2, 10_000)]
+
+
+def test_texts_are_measured_once(spark):
+    """Requests with the same text, and nodes of the same name, are one pair: it is measured once."""
+    names = spark.range(2000).select(F.concat(F.lit("n"), "id").alias("occurrence"), F.when(F.col("id") % 2 == 0, "bolted").otherwise("ring").alias("name"))
+    req = spark.range(1000).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, "bxlted").otherwise("rings").alias("text"))
+    got = discovery.fuzzy(names, req)
+    assert rows(got.groupBy("edit_distance").count(), "edit_distance", "count") == [(1, 1_000_000)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" not in plan  # it lies behind the durable pairs
+
+
+def test_cycles_are_handed_on_as_found(spark, monkeypatch):
+    """A dense component: cycles come in pieces, in the order of one walk."""
+    n = 40
+    deps = spark.createDataFrame([(f"p{i:02}", f"p{j:02}") for i in range(n) for j in range(n)] + [("x", "y"), ("y", "x")], "source_path string, target_path string")
+    got = rows(traverse.cycles(deps), "component", "no", "cycle")
+    way = [f"p{i:02}" for i in range(n)]
+    assert [c for _, _, c in got if c[0] != "x"] == [way[j : i + 1] for i in range(n) for j in range(i)]
+    assert [no for c, no, _ in got if c == "p00"] == list(range(n * (n - 1) // 2)) and got[-1] == ("x", 0, ["x", "y"])
+    monkeypatch.setattr(traverse, "CYCLED", 7)
+    assert rows(traverse.cycles(deps), "component", "no", "cycle") == got
