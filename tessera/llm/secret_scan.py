@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,10 +60,12 @@ def _spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column
     """
     p = F.lit(pattern)
     m, between = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
-    own = F.regexp_extract_all(text, p, F.lit(group)) if group else m
-    step = F.transform(F.arrays_zip(m.alias("m"), F.slice(between, F.lit(1), F.size(m)).alias("b"), own.alias("g")), lambda x: F.struct(F.char_length(x["b"]).alias("skip"), F.char_length(x["m"]).alias("len"), F.char_length(x["g"]).alias("g"), x["m"].alias("m")))
+    cut = [m.alias("m"), between.alias("b"), *([F.regexp_extract_all(text, p, F.lit(group)).alias("g")] if group else [])]
+    size = lambda x: F.struct(F.char_length(x["b"]).alias("skip"), F.char_length(x["m"]).alias("len"), F.char_length(x["g" if group else "m"]).alias("g"), x["m"].alias("m"))
+    zipped = lambda c: F.arrays_zip(c["m"].alias("m"), F.slice(c["b"], F.lit(1), F.size(c["m"])).alias("b"), *([c["g"].alias("g")] if group else []))
+    step = _let(F.struct(*cut), lambda c: F.transform(zipped(c), size))
     total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x["skip"] + x["len"])
-    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(step) - 1) / _GROUP).cast("int")), lambda i: F.slice(step, i * _GROUP + 1, F.lit(_GROUP)))
+    groups = _let(step, lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _GROUP).cast("int")), lambda i: F.slice(all_, i * _GROUP + 1, F.lit(_GROUP))))
     none = F.lit(None).cast("array<struct<s:int,e:int,g:int,m:string>>")
     start = F.struct(F.lit(0).alias("at"), F.coalesce(none, F.array().cast("array<struct<s:int,e:int,g:int,m:string>>")).alias("out"))
 
@@ -72,15 +75,20 @@ def _spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column
         return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["g"].alias("g"), x["m"].alias("m")))).alias("out"))
 
     placed = F.transform(groups, lambda g: F.struct(F.aggregate(g, start, add)["out"].alias("out"), total(g).alias("n")))
-    begin = F.aggregate(placed, F.array(F.lit(0)), lambda a, g: F.concat(a, F.array(F.element_at(a, -1) + g["n"])))
-    both = F.struct(placed.alias("placed"), begin.alias("begin"))
-    moved = F.transform(F.arrays_zip(both["placed"].alias("g"), F.slice(both["begin"], F.lit(1), F.size(both["placed"])).alias("at")), lambda z: F.transform(z["g"]["out"], lambda x: F.struct((x["s"] + z["at"]).alias("s"), (x["e"] + z["at"]).alias("e"), x["g"].alias("g"), x["m"].alias("m"))))
+    begin = lambda all_: F.aggregate(all_, F.array(F.lit(0)), lambda a, g: F.concat(a, F.array(F.element_at(a, -1) + g["n"])))
+    both = _let(placed, lambda all_: F.arrays_zip(all_.alias("g"), F.slice(begin(all_), F.lit(1), F.size(all_)).alias("at")))
+    moved = F.transform(both, lambda z: F.transform(z["g"]["out"], lambda x: F.struct((x["s"] + z["at"]).alias("s"), (x["e"] + z["at"]).alias("e"), x["g"].alias("g"), x["m"].alias("m"))))
     found = F.flatten(moved)
     if least:
         found = F.filter(found, lambda x: x["g"] >= least)
     return F.when(text.rlike(pattern), F.transform(found, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value made once: what a lambda reads of an expression from outside is made anew for each of its elements."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _below(z: Column) -> Column:
     """The normal distribution function; in its lower tail the relative error stays under half a percent."""
     x = F.least(F.abs(z), F.lit(37.0))
@@ -96,38 +104,48 @@ def surprise(token: Column) -> Column:
     by (n - 1) * (COINCIDENCE - 1). A string is no candidate (0) if the statistic is too large for a random one, or if the runs
     above and below the middle of the alphabet, or the correlation of neighbours, lie outside OUTLYING deviations.
     """
-    alphabet = F.lit(ENCODINGS[-1][0])
-    often = F.lit(COINCIDENCE[-1])
-    for (letters, pattern), c in reversed(list(zip(ENCODINGS[:-1], COINCIDENCE[:-1], strict=True))):
-        alphabet, often = F.when(token.rlike(pattern), F.lit(letters)).otherwise(alphabet), F.when(token.rlike(pattern), F.lit(c)).otherwise(often)
-    codes = F.transform(F.split(token, ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-    n, k = F.char_length(token).cast("double"), F.char_length(alphabet).cast("double")
-
+    kind = lambda no: F.struct(F.lit(ENCODINGS[no][0]).alias("letters"), F.lit(COINCIDENCE[no]).alias("often"))
+    own = F.when(token.rlike(ENCODINGS[0][1]), kind(0))
+    for no in range(1, len(ENCODINGS) - 1):
+        own = own.when(token.rlike(ENCODINGS[no][1]), kind(no))
+    own = own.otherwise(kind(len(ENCODINGS) - 1))
+    codes = lambda a: F.transform(F.split(token, ""), lambda c: (F.instr(a["letters"], c) - 1).cast("double"))
+    known = lambda a: F.struct(codes(a).alias("codes"), F.char_length(token).cast("double").alias("n"), F.char_length(a["letters"]).cast("double").alias("k"), a["often"].alias("often"))
+    return _let(_let(_let(own, known), _summed), _judged)
+
+
+def _summed(x: Column) -> Column:
+    """What the battery asks of a string's codes: the sum of squared letter counts, runs, moments and how many lie in the upper half."""
     zero = F.lit(0.0)
     squares = F.aggregate(
-        F.array_sort(codes),
+        F.array_sort(x["codes"]),
         F.struct(F.lit(-1.0).alias("p"), zero.alias("run"), zero.alias("sq")),
-        lambda a, x: F.struct(
-            x.alias("p"),
-            F.when(x == a["p"], a["run"] + 1).otherwise(F.lit(1.0)).alias("run"),
-            F.when(x == a["p"], a["sq"] + 2 * a["run"] + 1).otherwise(a["sq"] + 1).alias("sq"),
+        lambda a, c: F.struct(
+            c.alias("p"),
+            F.when(c == a["p"], a["run"] + 1).otherwise(F.lit(1.0)).alias("run"),
+            F.when(c == a["p"], a["sq"] + 2 * a["run"] + 1).otherwise(a["sq"] + 1).alias("sq"),
         ),
     )["sq"]
-    half = lambda x: x >= k / 2
+    half = lambda c: c >= x["k"] / 2
     sums = F.aggregate(
-        codes,
+        x["codes"],
         F.struct(F.lit(-1.0).alias("p"), zero.alias("runs"), zero.alias("x"), zero.alias("xx"), zero.alias("xy"), zero.alias("up")),
-        lambda a, x: F.struct(
-            x.alias("p"),
-            (a["runs"] + F.when((a["p"] < 0) | (half(x) != half(a["p"])), F.lit(1.0)).otherwise(zero)).alias("runs"),
-            (a["x"] + x).alias("x"),
-            (a["xx"] + x * x).alias("xx"),
-            (a["xy"] + F.when(a["p"] < 0, zero).otherwise(a["p"] * x)).alias("xy"),
-            (a["up"] + F.when(half(x), F.lit(1.0)).otherwise(zero)).alias("up"),
+        lambda a, c: F.struct(
+            c.alias("p"),
+            (a["runs"] + F.when((a["p"] < 0) | (half(c) != half(a["p"])), F.lit(1.0)).otherwise(zero)).alias("runs"),
+            (a["x"] + c).alias("x"),
+            (a["xx"] + c * c).alias("xx"),
+            (a["xy"] + F.when(a["p"] < 0, zero).otherwise(a["p"] * c)).alias("xy"),
+            (a["up"] + F.when(half(c), F.lit(1.0)).otherwise(zero)).alias("up"),
         ),
     )
+    return F.struct(x["n"].alias("n"), x["k"].alias("k"), x["often"].alias("often"), squares.alias("squares"), sums.alias("sums"))
+
+
+def _judged(x: Column) -> Column:
+    n, k, squares, sums = x["n"], x["k"], x["squares"], x["sums"]
     chi = k * squares / n - n
-    away = (n - 1) * (often - 1)
+    away = (n - 1) * (x["often"] - 1)
     p = _below((chi - (k - 1) - away) / F.sqrt(2 * (k - 1) + 4 * away))
     even = (chi - (k - 1)) / F.sqrt(2 * (k - 1)) < OUTLYING
     up, down = sums["up"], n - sums["up"]
