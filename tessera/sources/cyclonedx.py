@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shipping import durable
+from ..shipping import written
 from .purl import parse_purl
 
 #: Nested components beyond this depth are reported, not opened.
@@ -31,7 +31,7 @@ def components(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     top = parsed.select("document_id", F.posexplode("d.components").alias("i", "j")).select("document_id", F.array(F.lit(1), F.col("i")).alias("at"), "j")
     level, all_ = one.unionByName(top), None
     for depth in range(DEPTH + 1):
-        read = durable(level.select("document_id", "at", F.lit(depth).alias("depth"), F.from_json("j", _COMPONENT).alias("c")))
+        read = written(level.select("document_id", "at", F.lit(depth).alias("depth"), F.from_json("j", _COMPONENT).alias("c")))
         all_ = read if all_ is None else all_.unionByName(read)
         level = read.select("document_id", "at", F.posexplode("c.components").alias("i", "j")).select("document_id", F.concat("at", F.array("i")).alias("at"), "j")
         if level.isEmpty():
@@ -52,7 +52,7 @@ def components(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.coalesce("c.bom-ref", F.lit("")).alias("given_id"), (F.col("no") > 1).alias("duplicate"), text("name").isNull().alias("nameless"), F.col("c.evidence").isNotNull().alias("evidence"), F.coalesce(F.size("c.components"), F.lit(0)).alias("inner"),
         F.coalesce(F.exists("c.licenses", lambda x: x["license"]["name"].isNotNull() & x["license"]["id"].isNull() & x["expression"].isNull()), F.lit(False)).alias("named_licence"),
     )
-    c = durable(c)
+    c = written(c)
     above = F.slice("at", F.lit(1), F.size("at") - 1)
     holds = c.filter(F.size("at") > F.when(F.col("in_root"), 1).otherwise(2)).select("document_id", above.alias("at"), F.col("element_id").alias("to_element"))
     contains = holds.join(c.select("document_id", "at", F.col("element_id").alias("from_element")), ["document_id", "at"])

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import normalise
-from ..shipping import durable
+from ..shipping import written
 from .purl import parse_purl
 
 SPDX = """spdxVersion string, SPDXID string, name string, documentNamespace string, dataLicense string,
@@ -71,7 +71,7 @@ def roots(parsed: DataFrame, comps: DataFrame, rels: DataFrame) -> DataFrame:
 
 def warnings(parsed: DataFrame, comps: DataFrame, rels: DataFrame) -> DataFrame:
     """(document_id, code, n): structural problems, counted."""
-    parsed, comps, rels = durable(parsed), durable(comps), durable(rels)  # each is read by many checks
+    parsed, comps, rels = written(parsed), written(comps), written(rels)  # each is read by many checks
     p = comps.withColumn("u", parse_purl(F.col("purl")))
     created = F.nullif(F.col("d.creationInfo.created"), F.lit(""))
     told = parsed.select("document_id", "root_id", F.explode("d.documentDescribes").alias("element_id")).unionByName(rels.filter("relationship = 'DESCRIBES' AND from_element = root_id").select("document_id", "root_id", F.col("to_element").alias("element_id"))).unionByName(rels.filter("relationship = 'DESCRIBED_BY' AND to_element = root_id").select("document_id", "root_id", F.col("from_element").alias("element_id")))
@@ -104,6 +104,8 @@ def warnings(parsed: DataFrame, comps: DataFrame, rels: DataFrame) -> DataFrame:
 #: Packages or relationships in one piece of an exported document, by their ordinals.
 CHUNK = 500
 DOCUMENT = "SPDXRef-DOCUMENT"
+#: Elements with ids of their own, of some 100 bytes, that are broadcast.
+FEW = 200_000
 
 
 def element_ids(elements: DataFrame) -> DataFrame:
@@ -113,15 +115,32 @@ def element_ids(elements: DataFrame) -> DataFrame:
     the next ones get the first free of id-2, id-3 and so on; the document's own id is taken. Only ids that are asked for more than once, and
     those that could be one of their numbered forms, are dealt with in order, each such family by itself.
     """
-    clean = F.regexp_replace("element_id", "[^A-Za-z0-9.-]", "-")
-    each = elements.groupBy("document_id", "element_id").agg(F.min("place").alias("place")).withColumn("base", F.when(F.col("element_id").startswith("SPDXRef-"), clean).otherwise(F.concat(F.lit("SPDXRef-"), clean)))
-    each = durable(each)
-    twice = each.groupBy("document_id", "base").count().filter((F.col("count") > 1) | (F.col("base") == DOCUMENT)).select("document_id", F.col("base").alias("family"))
+    each = elements.groupBy("document_id", "element_id").agg(F.min("place").alias("place")).withColumn("base", _base("element_id"))
+    return each.join(_numbered(elements), ["document_id", "element_id"], "left").select("document_id", "element_id", F.coalesce("spdx_id", "base").alias("spdx_id"))
+
+
+def _base(element: str) -> Column:
+    clean = F.regexp_replace(element, "[^A-Za-z0-9.-]", "-")
+    return F.when(F.col(element).startswith("SPDXRef-"), clean).otherwise(F.concat(F.lit("SPDXRef-"), clean))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table, broadcast where it has FEW rows or less."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
+def _numbered(elements: DataFrame) -> DataFrame:
+    """(document_id, element_id, spdx_id) of the elements whose families are dealt with in order, the only ones whose id may not be their
+    base. Stored."""
+    based = elements.withColumn("base", _base("element_id"))
+    asked = based.groupBy("document_id", "base").agg(F.min("element_id").alias("lo"), F.max("element_id").alias("hi"))
+    twice = _small(written(asked.filter((F.col("lo") != F.col("hi")) | (F.col("base") == DOCUMENT)).select("document_id", F.col("base").alias("family"))))
     # a base and what is left of it without each of its numbers at the end
     ends = F.size(F.split(F.regexp_extract("base", "(-[0-9]+)*$", 0), "-")) - 1
     stems = F.transform(F.sequence(F.lit(0), ends), lambda n: F.array_join(F.slice(F.split("base", "-"), F.lit(1), F.size(F.split("base", "-")) - n), "-"))
-    shared = each.select("document_id", "element_id", "place", "base", F.explode(stems).alias("family")).join(twice, ["document_id", "family"])
-    shared = shared.groupBy("document_id", "element_id", "place", "base").agg(F.min_by("family", F.length("family")).alias("family"))
+    # the elements of those families, then their first places
+    shared = based.select("document_id", "element_id", "place", "base", F.explode(stems).alias("family")).join(twice, ["document_id", "family"])
+    shared = shared.groupBy("document_id", "element_id", "base").agg(F.min("place").alias("place"), F.min_by("family", F.length("family")).alias("family"))
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = {DOCUMENT}, []
@@ -133,10 +152,10 @@ def element_ids(elements: DataFrame) -> DataFrame:
             out.append(name)
         return pdf.sort_values("rank").assign(spdx_id=out)[["document_id", "element_id", "spdx_id"]]
 
-    kind = each.schema["document_id"].dataType.simpleString()
+    kind = elements.schema["document_id"].dataType.simpleString()
     ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy("document_id", "family").orderBy("place", "element_id"))).drop("place")
     numbered = ranked.groupBy("document_id", "family").applyInPandas(number, f"document_id {kind}, element_id string, spdx_id string")
-    return each.join(numbered, ["document_id", "element_id"], "left").select("document_id", "element_id", F.coalesce("spdx_id", "base").alias("spdx_id"))
+    return written(numbered)
 
 
 def export_parts(comps: DataFrame, rels: DataFrame, header: dict[str, str]) -> DataFrame:
@@ -147,13 +166,31 @@ def export_parts(comps: DataFrame, rels: DataFrame, header: dict[str, str]) -> D
     type and both ends under their new ids. Licences that parse are declared in canonical form, others go to a comment. No row
     holds more than CHUNK ordinals of packages or relationships.
     """
+    docs, packages, edges, (first, between, last) = _export_rows(comps, rels, header)
+
+    def pieces(rows: DataFrame, section: int) -> DataFrame:
+        at = F.struct("part", F.floor(F.col("ordinal") / CHUNK).alias("no"))
+        by = rows.groupBy("document_id", at.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "json"))).alias("j"))
+        first = by.groupBy("document_id").agg(F.min("chunk").alias("first"))
+        text = F.array_join(F.transform("j", lambda x: x["json"]), ",")
+        return by.join(first, "document_id").select("document_id", F.lit(section).alias("section"), "chunk", F.when(F.col("chunk") == F.col("first"), text).otherwise(F.concat(F.lit(","), text)).alias("text"))
+
+    none = F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("no"))
+    fixed = lambda section, text: docs.select("document_id", F.lit(section).alias("section"), none.alias("chunk"), text.alias("text"))
+    out = fixed(0, first).unionByName(fixed(2, between)).unionByName(fixed(4, last))
+    return out.unionByName(pieces(packages, 1)).unionByName(pieces(edges, 3))
+
+
+def _export_rows(comps: DataFrame, rels: DataFrame, header: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame, tuple[Column, Column, Column]]:
+    """(document_id) of all documents, then (document_id, part, ordinal, json) of packages and of relationships, and the texts before, between
+    and behind them."""
     kept = rels.filter("resolved AND relationship NOT IN ('DESCRIBES', 'DESCRIBED_BY')")
     place = lambda section, end: F.struct(F.lit(section).alias("section"), F.col("ordinal").alias("ordinal"), F.lit(end).alias("end")).alias("place")
     elements = comps.select("document_id", "element_id", place(0, 0))
     for end, c in enumerate(("from_element", "to_element")):
         elements = elements.unionByName(kept.select("document_id", F.col(c).alias("element_id"), place(1, end)))
-    ids = durable(element_ids(elements))
-    comps = normalise(comps.join(ids, ["document_id", "element_id"]), "license_raw")
+    ids = _small(_numbered(elements))
+    comps = normalise(comps.filter("document_id IS NOT NULL AND element_id IS NOT NULL").join(ids, ["document_id", "element_id"], "left").withColumn("spdx_id", F.coalesce("spdx_id", _base("element_id"))), "license_raw")
     usable = F.col("expression_status").isin("parsed", "unknown_terms")
     package = F.struct(
         F.col("spdx_id").alias("SPDXID"), "name", F.col("version").alias("versionInfo"), F.lit("NOASSERTION").alias("downloadLocation"), F.lit("NOASSERTION").alias("licenseConcluded"), F.when(usable, F.col("expression")).otherwise("NOASSERTION").alias("licenseDeclared"),
@@ -162,29 +199,24 @@ def export_parts(comps: DataFrame, rels: DataFrame, header: dict[str, str]) -> D
     )
     edge = lambda a, t, b: F.to_json(F.struct(a.alias("spdxElementId"), t.alias("relationshipType"), b.alias("relatedSpdxElement"))).alias("json")
     end = lambda c: ids.select("document_id", F.col("element_id").alias(f"{c}_element"), F.col("spdx_id").alias(c))
+    named = lambda c: F.coalesce(c, _base(f"{c}_element"))
     roots = comps.filter("is_root").select("document_id", F.lit(0).alias("part"), "ordinal", edge(F.lit(DOCUMENT), F.lit("DESCRIBES"), F.col("spdx_id")))
-    links = kept.join(end("from"), ["document_id", "from_element"]).join(end("to"), ["document_id", "to_element"]).select("document_id", F.lit(1).alias("part"), "ordinal", edge(F.col("from"), F.col("relationship"), F.col("to")))
-
-    def pieces(rows: DataFrame, section: int) -> DataFrame:
-        at = F.struct("part", F.floor(F.col("ordinal") / CHUNK).alias("no"))
-        by = rows.groupBy("document_id", at.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "json"))).alias("j"))
-        first = by.groupBy("document_id").agg(F.min("chunk").alias("first"))
-        text = F.array_join(F.transform("j", lambda x: x["json"]), ",")
-        return by.join(first, "document_id").select("document_id", F.lit(section).alias("section"), "chunk", F.when(F.col("chunk") == F.col("first"), text).otherwise(F.concat(F.lit(","), text)).alias("text"))
+    links = kept.filter("document_id IS NOT NULL AND from_element IS NOT NULL AND to_element IS NOT NULL").join(end("from"), ["document_id", "from_element"], "left").join(end("to"), ["document_id", "to_element"], "left").select("document_id", F.lit(1).alias("part"), "ordinal", edge(named("from"), F.col("relationship"), named("to")))
 
     # the head is cut out of a document without packages and relationships, so that every value is escaped in one way
     empty = F.struct(
         F.lit("SPDX-2.3").alias("spdxVersion"), F.lit(DOCUMENT).alias("SPDXID"), F.lit(header["name"]).alias("name"), F.lit("CC0-1.0").alias("dataLicense"),
         F.struct(F.lit(header["created"]).alias("created"), F.array(F.lit(f"Tool: {header['tool']}")).alias("creators")).alias("creationInfo"),
     )
-    none = F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("no"))
+    packages = comps.select("document_id", F.lit(0).alias("part"), "ordinal", F.to_json(package).alias("json"))
     docs = comps.select("document_id").unionByName(kept.select("document_id")).distinct()
-    fixed = lambda section, text: docs.select("document_id", F.lit(section).alias("section"), none.alias("chunk"), text.alias("text"))
-    out = fixed(0, F.concat(F.regexp_replace(F.to_json(empty), r"\}$", ""), F.lit(',"packages":['))).unionByName(fixed(2, F.lit('],"relationships":['))).unionByName(fixed(4, F.lit("]}")))
-    return out.unionByName(pieces(comps.select("document_id", F.lit(0).alias("part"), "ordinal", F.to_json(package).alias("json")), 1)).unionByName(pieces(roots.unionByName(links), 3))
+    return docs, packages, roots.unionByName(links), (F.concat(F.regexp_replace(F.to_json(empty), r"\}$", ""), F.lit(',"packages":[')), F.lit('],"relationships":['), F.lit("]}"))
 
 
 def export(comps: DataFrame, rels: DataFrame, header: dict[str, str]) -> DataFrame:
-    """(document_id, body): the pieces of export_parts put together, for documents that fit into a row."""
-    by = export_parts(comps, rels, header).groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("section", "chunk", "text"))).alias("p"))
-    return by.select("document_id", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("body"))
+    """(document_id, body): what export_parts gives in pieces as one text, for documents that fit into a row. Rows are dealt by document once."""
+    _, packages, edges, (first, between, last) = _export_rows(comps, rels, header)
+    rows = packages.select("document_id", F.lit(0).alias("section"), "part", "ordinal", "json").unionByName(edges.select("document_id", F.lit(1).alias("section"), "part", "ordinal", "json"))
+    by = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("section", "part", "ordinal", "json"))).alias("p"))
+    text = lambda no: F.array_join(F.transform(F.filter("p", lambda x: x["section"] == no), lambda x: x["json"]), ",")
+    return by.select("document_id", F.concat(first, text(0), between, text(1), last).alias("body"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import discovery, inspect, lifecycle, navigation, traverse
+from tessera.operators import discovery, inspect, lifecycle, navigation, portfolio, traverse
 
 
 def rows(df, *cols):
@@ -80,3 +80,20 @@ def test_cycles_are_handed_on_as_found(spark, monkeypatch):
     assert [no for c, no, _ in got if c == "p00"] == list(range(n * (n - 1) // 2)) and got[-1] == ("x", 0, ["x", "y"])
     monkeypatch.setattr(traverse, "CYCLED", 7)
     assert rows(traverse.cycles(deps), "component", "no", "cycle") == got
+
+
+def test_levels_are_those_of_a_search(spark):
+    """The same nodes and depths as with ways, loops and several roots included."""
+    step = spark.createDataFrame([("a", "b", 0, ""), ("b", "c", 0, ""), ("c", "a", 0, ""), ("c", "d", 0, ""), ("d", "d", 0, "")], "here string, there string, rank int, edge string")
+    roots = spark.createDataFrame([(1, "a"), (1, "c"), (2, "d"), (3, "nowhere")], "query_id int, node string")
+    for depth in (1, 2, 9):
+        assert rows(traverse.levels(step, roots, depth), "query_id", "node", "depth") == rows(traverse.bfs(step, roots, depth), "query_id", "node", "depth")
+
+
+def test_compared_snapshots(spark):
+    """What both have, an edge without a name too, is no change; licences count once for each pair of elements that differ."""
+    comps = spark.createDataFrame([(1, "e", "x", None, "p", "1", "MIT"), (1, "e", "x", None, "p", "1", None), (2, "e", "x", None, "p", "1", "MIT"), (2, "f", "x", None, "q", "1", "ISC")], "snapshot_id int, element_id string, ecosystem string, namespace string, name string, version string, license_raw string")
+    edges = spark.createDataFrame([(1, "a", "R", None), (2, "a", "R", None), (2, "a", "R", "b")], "snapshot_id int, from_element string, relationship string, to_element string")
+    snaps = spark.createDataFrame([(1, "o"), (2, "p")], "id int, outcome string")
+    got = portfolio.compare_snapshots(comps, edges, snaps, spark.createDataFrame([(7, 1, 2)], "pair_id int, before int, after int"))
+    assert rows(got, "pair_id", "change", "n") == [(7, "added", 1), (7, "changed_outcome", 1), (7, "edge_added", 1), (7, "license_changed", 1)]
